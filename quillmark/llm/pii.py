@@ -151,14 +151,22 @@ def _spread(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     return t.select(*keep, *cols)
 
 
+def _labelled(kind: str) -> Column:
+    """array<struct<code, hit>>: hit is 1 where a candidate is a base span."""
+    base = F.col(f"base_{kind}")
+
+    def label(c: Column) -> Column:
+        same = F.exists(base, lambda b: (b["s"] == c["s"]) & (b["e"] == c["e"]))
+        return F.struct(c["code"].alias("code"), same.cast("int").alias("hit"))
+
+    return F.transform(f"cand_{kind}", label)
+
+
 def learn(df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[Trees, dict[str, float]]:
     """The trees, and per kind the least margin that selects a candidate
     (infinite where no margin is right often enough)."""
     s = _spread(df, text, (key,))
-    rows = []
-    for kind in KINDS:
-        base = F.transform(f"base_{kind}", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e")))
-        rows.append(F.transform(f"cand_{kind}", lambda c, base=base: F.struct(c["code"].alias("code"), F.array_contains(base, F.struct(c["s"].alias("s"), c["e"].alias("e"))).cast("int").alias("hit"))))
+    rows = [_labelled(kind) for kind in KINDS]
     half = F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(2))
     flat = s.select(half.alias("half"), F.explode(F.concat(*rows)).alias("r")).select("half", "r.code", "r.hit")
     counts = flat.groupBy("half", "code").agg(F.count("*").alias("n"), F.sum("hit").alias("p")).collect()  # at most 2 * 2**16
@@ -176,28 +184,32 @@ def learn(df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[Trees
     return trees, cuts
 
 
+def _added(kind: str, trees: Trees, cut: float) -> Column:
+    if cut == float("inf"):
+        return F.array().cast("array<struct<s:bigint,e:bigint>>")
+    base = F.col(f"base_{kind}")
+
+    def picked(c: Column) -> Column:
+        touches = F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+        return (trees.column(c["code"]) >= cut - 1e-9) & ~touches
+
+    return F.transform(F.filter(f"cand_{kind}", picked), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))
+
+
 def find_spans(df: DataFrame, trees: Trees, cuts: dict[str, float], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns, base_<kind> and added_<kind> arrays of (s, e)."""
     s = _spread(df, text, keep)
-    out = []
-    for kind in KINDS:
-        base = F.col(f"base_{kind}")
-        if cuts[kind] == float("inf"):
-            added = F.array().cast("array<struct<s:bigint,e:bigint>>")
-        else:
-            cut = cuts[kind] - 1e-9
-            apart = lambda c, base=base: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-            picked = F.filter(f"cand_{kind}", lambda c, cut=cut, apart=apart: (trees.column(c["code"]) >= cut) & apart(c))
-            added = F.transform(picked, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))
-        out += [base, added.alias(f"added_{kind}")]
-    return s.select(*keep, *out)
+    added = [_added(kind, trees, cuts[kind]).alias(f"added_{kind}") for kind in KINDS]
+    return s.select(*keep, *[f"base_{kind}" for kind in KINDS], *added)
+
+
+def _named(arr: Column, i: int, kind: str) -> Column:
+    return F.transform(arr, lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("i"), x["e"].alias("e"), F.lit(kind).alias("k")))
 
 
 def joined(spans: dict[str, Column]) -> Column:
     """kind:start:end of all spans by start, then kind as listed."""
-    rows = []
-    for i, (kind, arr) in enumerate(spans.items()):
-        rows.append(F.transform(arr, lambda x, i=i, kind=kind: F.struct(x["s"].alias("s"), F.lit(i).alias("i"), x["e"].alias("e"), F.lit(kind).alias("k"))))
+    rows = [_named(arr, i, kind) for i, (kind, arr) in enumerate(spans.items())]
     ordered = F.array_sort(F.concat(*rows))
     return F.array_join(F.transform(ordered, lambda r: F.concat_ws(":", r["k"], r["s"].cast("string"), r["e"].cast("string"))), ",")
 
