@@ -13,10 +13,13 @@ are packed apart from each other; a group leaves about one bin part-filled.
 from __future__ import annotations
 
 import math
+import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,8 @@ MAX_ATTENTION = MAX_TOKENS * MAX_TOKENS
 END_ID = 1
 GROUP_PIECES = 10_000
 #: Words whose ids a Python worker remembers.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 600_000
+REMEMBERED_CORES = 600_000
 _HELD: dict[str, tuple] = {}
 
 
@@ -38,39 +42,77 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-ins of bytes in byte-level vocabularies: printable
+    Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class WordIds(dict):
     """Ids, as little-endian 32-bit bytes, of what lies between blanks.
 
     This tokenizer's pieces never span a blank or line feed, so a text's ids
-    are those of its parts one after another.
+    are those of its parts one after another. Runs of Latin letters with at
+    most one point or comma behind go to the merge model straight away: there
+    the normaliser only lower-cases, and the letters and the sign are pieces of
+    their own. All else takes the tokenizer's whole way.
     """
 
+    _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.cores: dict[str, bytes] = {}
+        self.letters = _byte_letters()
         super().__init__({"": b""})
+        self.signs = {x: self._whole(x) if x else b"" for x in ("", ".", ",")}
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _core(self, core: str) -> bytes:
+        ids = self.cores.get(core)
+        if ids is None:
+            mapped = core if core.isascii() else "".join(map(self.letters.__getitem__, core.encode()))
+            found = [t.id for t in self.model.tokenize(mapped)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(self.cores) >= REMEMBERED_CORES:
+                self.cores.clear()
+            self.cores[core] = ids
+        return ids
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        m = self._plain.match(word) if len(word) <= 64 else None
+        ids = self._core(m[1].lower()) + self.signs[m[2]] if m else self._whole(word)
         if len(word) <= 64:
-            if len(self) > REMEMBERED_WORDS:
+            if len(self) >= REMEMBERED_WORDS:
                 self.clear()
                 self[""] = b""
             self[word] = ids
         return ids
 
-    def learn(self, words) -> None:
-        new = [w for w in words if w not in self and len(w) <= 64]
-        if len(self) + len(new) > REMEMBERED_WORDS:
-            self.clear()
-            self[""] = b""
-        for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids end; each
+        different word of the texts is looked up once."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        ids = list(map(self.__getitem__, coded.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = sizes[at]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(first[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        words = np.asarray(parts.offsets.to_numpy(zero_copy_only=False))[1:] - parts.offsets[0].as_py()
+        return out, np.concatenate(([0], ends))[words]
 
 
 def _tokenizer(path: str) -> WordIds:
@@ -79,6 +121,16 @@ def _tokenizer(path: str) -> WordIds:
     return _HELD[path][0]
 
 
+def _slices(batch: pa.RecordBatch, size: int = 4 << 20):
+    """Row ranges of a batch of about size bytes of text."""
+    sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+    groups = np.cumsum(sizes) // size
+    cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def pieces(
     df: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID
 ) -> DataFrame:
@@ -97,17 +149,19 @@ def pieces(
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * max_tokens
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            at, out = [], []
-            for i, t in enumerate(texts):
-                ids = words.encode(t) + end
-                for p in range(0, len(ids), step):
-                    part = ids[p : p + step]
-                    at.append(i)
-                    out.append((p // step, p // 4, len(part) // 4, zlib.crc32(part)))
-            cols = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-            ids = batch.column("doc_id").take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part in _slices(batch):
+                ids, ends = words.encode_all(part.column("text"))
+                at, out, start = [], [], 0
+                for i, e in enumerate(ends.tolist()):
+                    own = ids[start:e].tobytes() + end
+                    start = e
+                    for p in range(0, len(own), step):
+                        cut = own[p : p + step]
+                        at.append(i)
+                        out.append((p // step, p // 4, len(cut) // 4, zlib.crc32(cut)))
+                cols = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+                keys = part.column("doc_id").take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *cols], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return map_arrow(rows, run, schema)
 
