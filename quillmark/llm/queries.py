@@ -103,9 +103,9 @@ WITH d AS (
     / sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM c
 ), f AS (
-  SELECT arg_min(level, cap / w) AS lambda FROM l WHERE cap >= level * w
+  SELECT arg_min(level, cap / w) AS lam FROM l WHERE cap >= level * w
 ), g AS (
-  SELECT source, source_size, coalesce(least(cap, lambda * w), cap) AS target FROM l, f
+  SELECT source, source_size, coalesce(least(cap, lam * w), cap) AS target FROM l, f
 ), t AS (
   SELECT d.doc_id, d.size, g.source_size, g.target,
     CASE WHEN g.source_size > 0 THEN CAST(floor(g.target / g.source_size) AS BIGINT) ELSE 0 END AS whole,
