@@ -68,7 +68,7 @@ class Model:
     logp: list[np.ndarray]  # by order, (n-grams, languages)
     ctx_keys: list[np.ndarray]  # by order of the context
     ctx_logg: list[np.ndarray]
-    floor: float
+    floor: np.ndarray  # log probability of a symbol that no text has
     scale: float = 1.0
     cut: float = float("inf")
 
@@ -162,7 +162,7 @@ def train(texts: dict[str, list[str]]) -> Model:
     letters = np.unique(np.concatenate([s for x in langs for s in fit[x]])) if langs else np.zeros(0, np.uint32)
     letters = letters[letters > 0][: (1 << BITS) - 2]
     v = len(letters) + 2
-    m = Model(langs, letters, [], [], [], [], float(-np.log(v)))
+    m = Model(langs, letters, [], [], [], [], np.full(len(langs), -np.log(v)))
     by = {x: _counts([m.encode(s) for s in fit[x]]) for x in langs}
     below: tuple[np.ndarray, np.ndarray] | None = None
     m.keys, m.logp, m.ctx_keys, m.ctx_logg = ([np.zeros(0, np.uint64)] for _ in range(4))
@@ -178,6 +178,7 @@ def train(texts: dict[str, list[str]]) -> Model:
             back_off[np.searchsorted(contexts, own), k] = DISCOUNT * kinds / total
             prob[np.searchsorted(union, g), k] = np.maximum(c - DISCOUNT, 0) / total[inv]
         if below is None:
+            m.floor = np.log(back_off[0] / v) if len(contexts) else m.floor
             lower = np.full((len(union), len(langs)), 1 / v)
         else:
             lower = below[1][np.searchsorted(below[0], union & np.uint64((1 << (BITS * (n - 1))) - 1))]

@@ -28,6 +28,7 @@ BLOCK = 128
 SHARD_ROWS = 8192
 CHUNK_QUERIES = 4096
 _EXACT = 1 << 53
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vector: Column, factor: int = 256) -> Column:
@@ -90,7 +91,7 @@ def search_shard(q_ids, q, ids, m, k: int = K, block: int = BLOCK) -> list[tuple
                 best[i] = merged[:k]
                 if len(best[i]) == k:
                     kth[i] = -best[i][-1][0]
-    return [(int(q_ids[i]), v, -s) for i, rows in enumerate(best) for s, v in rows]
+    return [(int(q_ids[i]), v, max(_LEAST, min(_MOST, -s))) for i, rows in enumerate(best) for s, v in rows]
 
 
 def top_k(df: DataFrame, queries: DataFrame, vector: str = "embedding", key: str = "vec_id", k: int = K, factor: int = 256) -> DataFrame:
@@ -98,7 +99,7 @@ def top_k(df: DataFrame, queries: DataFrame, vector: str = "embedding", key: str
 
     Vectors that are null or hold null or non-finite components, and rows with
     a null key, take no part; vectors of another length than the query's are
-    no candidates. Of rows that repeat a key and vector one takes part. Empty
+    no candidates. Scores outside the range of a long are cut to it. Of rows that repeat a key and vector one takes part. Empty
     tables give no rows.
     """
 
