@@ -229,11 +229,10 @@ def entities(chunks: DataFrame, key: str = "id", content: str = "content") -> Da
     return chunks.select(F.col(key).alias("chunk_id"), F.explode(F.array_distinct(F.regexp_extract_all(content, F.lit(ENTITY), F.lit(0)))).alias("entity"))
 
 
-def entity_edges(mentions: DataFrame, most: int = 50) -> DataFrame:
-    """src, dst, weight: entities that share a chunk, both directions. Within
-    a chunk only the first ``most`` entities by name are paired, so that one
-    chunk cannot make a quadratic number of edges."""
-    m = top_per_group(mentions, ["chunk_id"], ["entity"], most, "__r").drop("__r")
+def entity_edges(mentions: DataFrame, most: int | None = None) -> DataFrame:
+    """src, dst, weight: entities that share a chunk, both directions. With
+    most, only so many entities of a chunk, by name, are paired."""
+    m = top_per_group(mentions, ["chunk_id"], ["entity"], most, "__r").drop("__r") if most else mentions
     a, b = m.withColumnRenamed("entity", "src"), m.withColumnRenamed("entity", "dst")
     return a.join(b, "chunk_id").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
@@ -254,17 +253,24 @@ def graph_retrieve(queries: DataFrame, query_entities: DataFrame, edges: DataFra
 
 
 def page_index(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Documents by matched share and frequency of the query's terms:
-    0.7 * matched / terms + 0.3 * min(occurrences / words, 1)."""
-    d = chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n").alias("content"))
-    q = small(queries.select("question_id", F.array_distinct(T.tokens("text")).alias("terms")).where(F.size("terms") > 0))
-    j = d.withColumn("low", F.lower("content")).join(q)
-    matched = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
-    freq = F.aggregate("terms", F.lit(0), lambda s, t: s + ((F.length("low") - F.length(F.replace(F.col("low"), t, F.lit("")))) / F.length(t)).cast("int"))
-    words = F.greatest(F.size(T.tokens("content")), F.lit(1))
-    score = 0.7 * matched / F.size("terms") + 0.3 * F.least(freq / words, F.lit(1.0))
-    s = j.where(matched > 0).select("question_id", F.col("doc_id").alias("chunk_id"), F.round(score, 6).alias("score"), F.substring("content", 1, 1000).alias("content"))
-    return ranked(s, k)
+    """Documents by matched share and frequency of the query's terms as
+    substrings: 0.7 * matched / terms + 0.3 * min(occurrences / words, 1).
+
+    Terms hold no white space, so their places lie inside tokens: terms are
+    sought in the vocabulary once, and postings carry the counts."""
+    t = chunks.select(F.col("doc_id").alias("chunk_id"), T.tokens("content").alias("t"))
+    posts = t.select("chunk_id", F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    words = t.groupBy("chunk_id").agg(F.sum(F.size("t")).alias("words"))
+    q = queries.select("question_id", F.array_distinct(T.tokens("text")).alias("terms")).where(F.size("terms") > 0)
+    e = q.select("question_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("q"))
+    sought = small(e.select("q").distinct())
+    held = F.contains("term", "q")
+    times = ((F.length("term") - F.length(F.replace("term", F.col("q"), F.lit("")))) / F.length("q")).cast("int")
+    vocabulary = posts.select("term").distinct().join(sought, held).select("term", "q", times.alias("times"))
+    found = posts.join(vocabulary, "term").groupBy("chunk_id", "q").agg(F.sum(F.col("tf") * F.col("times")).alias("freq"))
+    s = found.join(e, "q").groupBy("question_id", "chunk_id", "n_terms").agg(F.count("*").alias("matched"), F.sum("freq").alias("freq")).join(words, "chunk_id")
+    score = 0.7 * F.col("matched") / F.col("n_terms") + 0.3 * F.least(F.col("freq") / F.greatest("words", F.lit(1)), F.lit(1.0))
+    return ranked(s.select("question_id", "chunk_id", F.round(score, 6).alias("score")), k)
 
 
 # Trust, cache, memory
