@@ -413,3 +413,76 @@ _add("cb01_platt", _ev(lambda d: E.recalibrate(d.select("question_id", "overall_
 _add("cb02_isotonic", _ev(lambda d: E.recalibrate(d.select("question_id", "overall_score", "answer_correct"), "overall_score", "answer_correct", "isotonic").select("question_id", F.round("calibrated", 4).alias("calibrated"))))
 _add("cb03_temperature", _ev(lambda d: E.recalibrate(d.select("question_id", "overall_score", "answer_correct"), "overall_score", "answer_correct", "temperature").select("question_id", F.round("calibrated", 4).alias("calibrated"))))
 _add("vz01_projection", lambda s, d: E.projection(V.vectors(s, d)).select("chunk_id", F.round(F.abs("pc1"), 5).alias("pc1"), F.round(F.abs("pc2"), 5).alias("pc2")))
+
+# Filters, set operations and further aggregates
+
+_add("fl02_category_cap", lambda s, d: V.load(s, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", "o_orderpriority").orderBy("o_orderkey").limit(25),
+     "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') ORDER BY o_orderkey LIMIT 25")
+_add("fl04_optional_filter", lambda s, d: V.load(s, d, "documents").where(F.lit("src3").isNull() | (F.col("source") == "src3")).select("doc_id", "source"),
+     "SELECT doc_id, source FROM documents WHERE ('src3' IS NULL OR source = 'src3')")
+_add("fl05_completed", _ev(lambda d: W.completed(d.withColumn("is_error", F.when(F.col("latency_ms") > 200, 1).when(F.col("latency_ms") > 150, 0)))), f"WITH {V.EV} SELECT DISTINCT question_id FROM ev WHERE latency_ms <= 200")
+_add("fl06_pending", lambda s, d: W.pending(V.load(s, d, "documents").select(F.col("doc_id").alias("id"), "source"), V.load(s, d, "labels").select(F.col("doc_id").alias("question_id"), F.col("toxic").alias("is_error"))),
+     "SELECT doc_id AS id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic IS NULL OR toxic = 0)")
+_add("fl09_label_progress", lambda s, d: V.load(s, d, "documents").join(V.load(s, d, "labels"), "doc_id", "left").agg(F.count_if(F.col("quality").isNotNull()).alias("labelled"), F.count_if(F.col("quality").isNull()).alias("open"), F.min(F.when(F.col("quality").isNull(), F.col("doc_id"))).alias("next_id")),
+     "SELECT count(quality) AS labelled, count(*) - count(quality) AS open, min(CASE WHEN quality IS NULL THEN doc_id END) AS next_id FROM documents LEFT JOIN labels USING (doc_id)")
+_add("fl13_blank_documents", lambda s, d: C.solid(V.documents(s, d)).agg(F.count("*").alias("n")), r"SELECT count(*) AS n FROM documents WHERE regexp_replace(text, '\s', '', 'g') <> ''")
+_add("fl14_drop_nulls", lambda s, d: V.load(s, d, "documents").join(V.load(s, d, "labels"), "doc_id", "left").na.drop(subset=["quality"]).groupBy("quality").agg(F.count("*").alias("n"), A.mean("n_chars").alias("avg_chars")),
+     "SELECT quality, count(*) AS n, round(avg(n_chars), 6) AS avg_chars FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1")
+_add("fl15_unknown_sources", lambda s, d: S.unknown_sources(V.load(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("src"), "n_nationkey").alias("source_type")), V.documents(s, d)),
+     "SELECT 'src' || n_nationkey AS source_type, n_nationkey AS id FROM nation WHERE 'src' || n_nationkey NOT IN (SELECT source FROM documents)")
+_add("jn05_probe_match", lambda s, d: E.adversarial(V.load(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"), F.col("text").alias("predicted_answer")), s.createDataFrame([("the", "answer"), ("ing", "refuse"), ("qu", "flag_uncertainty")], "query string, expected_behavior string")).groupBy("probe", "behaved").agg(F.count("*").alias("n")))
+_add("jn11_best_chunk", lambda s, d: E.training_pairs(_questions(s, d), V.documents(s, d), 1).select("question_id", "chunk_id", "shared"), r"""WITH q AS (SELECT DISTINCT item_id * 100 AS question_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS t FROM benchmark),
+c AS (SELECT DISTINCT doc_id AS chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS t FROM documents),
+n AS (SELECT question_id, chunk_id, count(*) AS shared FROM q JOIN c USING (t) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY shared DESC, chunk_id) AS rn FROM n)
+SELECT question_id, chunk_id, shared FROM r WHERE rn = 1""")
+_add("jn12_answer_support", lambda s, d: E.answerable(_qvecs(s, d).join(V.vectors(s, d).select(F.col("chunk_id").alias("question_id"), "source_type"), "question_id").withColumnRenamed("qvec", "avec"), V.vectors(s, d).where("chunk_id % 100 <> 0")),
+     f"WITH s AS (SELECT q.vec_id AS question_id, round(max({_COS}), 6) AS support FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 100 = 0 AND v.vec_id % 100 <> 0 GROUP BY 1) SELECT question_id, support, support >= 0.3 AS answerable FROM s")
+_add("ag27_average_trust", lambda s, d: R.retrieval_trust(R.dense(_qvecs(s, d), V.vectors(s, d), 5)).agg(F.round(F.avg("trust"), 4).alias("avg_trust")),
+     f"WITH {_dense_sql()}, t AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM dense WHERE rank <= 5 WINDOW w AS (PARTITION BY question_id)) SELECT round(avg(round((score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 4)), 4) AS avg_trust FROM t")
+_add("ag32_run_consistency", lambda s, d: E.run_consistency(V.vectors(s, d).select(F.col("source_type").alias("question_id"), F.col("chunk_id").alias("run"), "vec", F.get("vec", F.lit(0)).alias("score"))),
+     f"""WITH p AS (SELECT q.label AS question_id, round(avg({_COS}), 6) AS similarity FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id < v.vec_id GROUP BY 1),
+v AS (SELECT label AS question_id, round(var_pop(CAST(embedding[1] AS DOUBLE)), 6) AS variance FROM embeddings GROUP BY 1) SELECT question_id, variance, similarity, variance < 0.05 AS reliable FROM v LEFT JOIN p USING (question_id)""")
+_add("ag33_score_variance", _ev(lambda d: d.groupBy("pipeline").agg(F.round(F.var_pop("overall_score"), 6).alias("variance"))), f"WITH {V.EV} SELECT pipeline, round(var_pop(overall_score), 6) AS variance FROM ev GROUP BY 1")
+_add("ag37_metric_means", _ev(lambda d: d.where(E.challenge_filter({"pipeline": "click"})).agg(A.mean("overall_score").alias("score"), A.mean("latency_ms").alias("latency"), A.mean(A.flag("answer_correct")).alias("accuracy"))),
+     f"WITH {V.EV} SELECT round(avg(overall_score), 6) AS score, round(avg(latency_ms), 6) AS latency, round(avg(CASE WHEN answer_correct THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM ev WHERE pipeline = 'click'")
+_add("ag41_best_score", lambda s, d: R.dense(_qvecs(s, d), V.vectors(s, d), 5).groupBy("question_id").agg(F.max("score").alias("best")), f"WITH {_dense_sql()} SELECT question_id, max(score) AS best FROM dense WHERE rank <= 5 GROUP BY 1")
+_add("ag46_baseline_delta", _ev(lambda d: A.regression_trigger(*_halves(d)).select(F.round(100 * (F.col("now_mean") - F.col("prev_mean")), 4).alias("points"))),
+     f"WITH {V.EV} SELECT round(100 * ((SELECT round(avg(overall_score), 6) FROM ev WHERE run_id >= '2024-01-16') - (SELECT round(avg(overall_score), 6) FROM ev WHERE run_id < '2024-01-16')), 4) AS points")
+_add("wn05_min_max", lambda s, d: R.dense(_qvecs(s, d), V.vectors(s, d), 5).withColumns({"lo": F.min("score").over(Window.partitionBy("question_id")), "hi": F.max("score").over(Window.partitionBy("question_id"))}),
+     f"WITH {_dense_sql()} SELECT question_id, rank, chunk_id, score, min(score) OVER (PARTITION BY question_id) AS lo, max(score) OVER (PARTITION BY question_id) AS hi FROM dense WHERE rank <= 5")
+_add("wn07_cap_if_many", lambda s, d: R.cap_if_many(R.dense(_qvecs(s, d), V.vectors(s, d), 15), V.vectors(s, d).select("chunk_id", F.col("source_type").alias("doc_id")), 5, 3), f"""WITH {_dense_sql()},
+c AS (SELECT question_id, chunk_id, score, row_number() OVER (PARTITION BY question_id, label ORDER BY score DESC, chunk_id) AS r FROM dense JOIN embeddings e ON e.vec_id = chunk_id WHERE rank <= 15),
+k AS (SELECT question_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM c WHERE r <= 3) SELECT * FROM k WHERE rank <= 5""")
+_add("st02_first_seen", lambda s, d: R.first_seen(V.load(s, d, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.col("l_suppkey").alias("chunk_id"), F.col("l_linenumber").alias("hop")), ["hop"]),
+     "SELECT l_orderkey AS question_id, l_suppkey AS chunk_id, min(l_linenumber) AS hop FROM lineitem GROUP BY 1, 2")
+_add("st03_best_seen", lambda s, d: R.best_seen(V.load(s, d, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.col("l_suppkey").alias("chunk_id"), F.col("l_extendedprice").alias("score"))),
+     "SELECT l_orderkey AS question_id, l_suppkey AS chunk_id, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2")
+_add("st04_shared_questions", _ev(lambda d: d.where("pipeline = 'click'").select("user_id").intersect(d.where("pipeline = 'view'").select("user_id"))), f"WITH {V.EV} SELECT user_id FROM ev WHERE pipeline = 'click' INTERSECT SELECT user_id FROM ev WHERE pipeline = 'view'")
+_add("st06_token_overlap", lambda s, d: V.load(s, d, "documents").select("doc_id", F.round(T.overlap_share(F.col("source"), F.col("text")), 6).alias("src"), F.size(F.array_distinct(T.tokens("text"))).alias("kinds")),
+     r"""WITH t AS (SELECT doc_id, lower(source) AS s, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS w FROM documents)
+SELECT doc_id, CASE WHEN list_contains(w, s) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS src, CAST(len(w) AS INTEGER) AS kinds FROM t""")
+_add("sf06_cache_keys", lambda s, d: V.load(s, d, "benchmark").select("item_id", T.cache_key("text", F.lit("bm25"), F.lit("5")).alias("key")), "SELECT item_id, sha256(text || '|bm25|5') AS key FROM benchmark")
+_add("sf21_html_escape", lambda s, d: V.load(s, d, "pages").select("page_id", F.sha2(T.html_escape("html"), 256).alias("h")), "SELECT page_id, sha256(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS h FROM pages")
+_add("sf28_token_estimates", lambda s, d: V.documents(s, d).agg(F.sum(T.approx_tokens("content")).alias("tokens")), "SELECT CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens FROM documents")
+_add("sf32_provenance", lambda s, d: V.documents(s, d).select("id", T.provenance("source_type", {"src1": 1.0, "src2": 0.8, "src3": 0.6}).alias("tier")), "SELECT doc_id AS id, CASE source WHEN 'src1' THEN 1.0::DOUBLE WHEN 'src2' THEN 0.8::DOUBLE WHEN 'src3' THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS tier FROM documents")
+_add("sf38_logits", _ev(lambda d: d.select("question_id", F.round(T.logit(F.col("overall_score")), 6).alias("logit"))), f"WITH {V.EV} SELECT question_id, round(ln(greatest(1e-6, least(1 - 1e-6, overall_score)) / (1 - greatest(1e-6, least(1 - 1e-6, overall_score)))), 6) AS logit FROM ev")
+_add("ix05_dense_by_source", lambda s, d: R.ranked(R.dense(_qvecs(s, d), V.vectors(s, d), 50).join(V.vectors(s, d).select("chunk_id", "source_type"), "chunk_id").where("source_type = 1").drop("rank"), 3).select("question_id", "rank", "chunk_id", "score"), f"""WITH {_dense_sql()},
+f AS (SELECT d.question_id, d.chunk_id, d.score, CAST(row_number() OVER (PARTITION BY d.question_id ORDER BY d.score DESC, d.chunk_id) AS INTEGER) AS rank FROM dense d JOIN embeddings e ON e.vec_id = d.chunk_id WHERE d.rank <= 50 AND e.label = 1) SELECT * FROM f WHERE rank <= 3""")
+_add("ix18_max_sim", lambda s, d: R.max_sim(_qvecs(s, d).select("question_id", F.lit(0).alias("qpos"), "qvec"), V.vectors(s, d).select(F.col("source_type").alias("chunk_id"), "vec"), 3), f"""WITH m AS (SELECT q.vec_id AS question_id, v.label AS chunk_id, round(max({_DOT.format("q.embedding", "v.embedding")}), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM m) SELECT * FROM r WHERE rank <= 3""")
+_add("qc03_synthetic_ids", lambda s, d: V.load(s, d, "benchmark").select("item_id", E.synthetic_id("text").alias("id")), "SELECT item_id, 'syn_' || substr(sha256(text), 1, 12) AS id FROM benchmark")
+_add("qc04_synthesis_plan", lambda s, d: E.synthesis_plan(V.documents(s, d), ["factual", "adversarial"]).groupBy("kind").agg(F.count("*").alias("n")))
+_add("lp02_recommendations", _ev(lambda d: A.config_pairs(d).select("config_a", "config_b", E.recommendation(F.col("delta"), F.lit(0.01), F.col("delta") > 0.01).alias("advice"))), f"""WITH {V.EV}, m AS (SELECT user_id, pipeline, avg(overall_score) AS m FROM ev GROUP BY 1, 2),
+p AS (SELECT x.pipeline AS config_a, y.pipeline AS config_b, round(avg(y.m - x.m), 6) AS delta FROM m x JOIN m y ON x.user_id = y.user_id AND x.pipeline < y.pipeline GROUP BY 1, 2)
+SELECT config_a, config_b, CASE WHEN delta <= 0 THEN 'roll back: the change is worse' WHEN NOT delta > 0.01 THEN 'hold: the gain is not the same in all slices' ELSE 'adopt the change' END AS advice FROM p""")
+_add("pl02_decompose", lambda s, d: _over_documents(s, d, lambda q, get: P.decompose(q.select("question_id", F.posexplode(T.sentences("text")).alias("hop", "text")), get, 5)))
+_add("pl07_fusion", lambda s, d: _over_documents(s, d, lambda q, get: P.fusion(q.select("question_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("variant"), "text"), get, 5)))
+_add("pl14_conversational", lambda s, d: P.conversational(V.load(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "conv_id", "text"), V.load(s, d, "conversations")).select("question_id", F.length("text").alias("n")))
+_add("in02_routes", lambda s, d: P.adaptive(_questions(s, d).withColumn("label", T.intent("text")["label"]), "label", {"direct": lambda q: q, "retrieval": lambda q: q}).groupBy("route").agg(F.count("*").alias("n")), "SELECT 'retrieval' AS route, count(*) AS n FROM benchmark")
+
+
+def _over_documents(s, d, f) -> DataFrame:
+    docs = V.documents(s, d)
+    p = R.postings(docs)
+    stats = R.term_statistics(p, docs)
+    return f(_questions(s, d), lambda q, k: R.bm25(q, p, stats, k))

@@ -95,3 +95,38 @@ def make(slot: str, name: str, *args, **kw):
         return REGISTRY[slot][name](*args, **kw)
     except KeyError:
         raise ValueError(f"no {slot} named {name!r}; known: {sorted(REGISTRY.get(slot, {}))}") from None
+
+
+def _dense(score: str, after: bool = False):
+    def search(queries: DataFrame, tables: dict[str, DataFrame], k: int, keep=None) -> DataFrame:
+        return R.dense(queries, tables["vectors"], k, score, keep, after)
+
+    return search
+
+
+def _sparse(queries: DataFrame, tables: dict[str, DataFrame], k: int, keep=None) -> DataFrame:
+    allowed = tables["vectors"].where(keep) if keep is not None else None
+    return R.bm25(queries, tables["postings"], tables["stats"], k, keep=allowed)
+
+
+def _both(fuse):
+    def search(queries: DataFrame, tables: dict[str, DataFrame], k: int, keep=None) -> DataFrame:
+        return fuse(R.dense(queries, tables["vectors"], 3 * k, keep=keep), _sparse(queries, tables, 3 * k, keep), k)
+
+    return search
+
+
+#: Index backends by name. queries: question_id, text, qvec; tables: vectors
+#: (chunk_id, vec, source_type), postings, stats, chunks. The vector stores
+#: differ in score and in whether the filter comes after the ranking.
+INDEXES: dict[str, Callable] = {
+    "bm25": _sparse, "chroma": _dense("distance"), "faiss": _dense("dot", after=True), "pgvector": _dense("cosine"), "milvus": _dense("cosine"),
+    "zilliz": _dense("cosine"), "pinecone": _dense("cosine"), "weaviate": _dense("cosine"), "qdrant": _dense("cosine"), "brute_dense": _dense("dot"),
+    "hybrid_rrf": _both(lambda a, b, k: R.rrf([a, b], k)), "hybrid_weighted": _both(R.weighted),
+    "hybrid": lambda q, t, k, keep=None: R.legacy_hybrid(R.dense(q, t["vectors"], 2 * k), _sparse(q, t, 2 * k), t["vectors"].where(keep) if keep is not None else t["vectors"], k),
+    "pageindex": lambda q, t, k, keep=None: R.page_index(q, t["chunks"], k),
+    "graph_rag": lambda q, t, k, keep=None: R.graph_retrieve(
+        q, R.entities(q, "question_id", "text").withColumnRenamed("chunk_id", "question_id"), t["edges"], t["mentions"], t["vectors"], k, R.dense(q, t["vectors"], 3 * k)
+    ),
+    "colbert": lambda q, t, k, keep=None: R.max_sim(q.select("question_id", F.posexplode("qvecs").alias("qpos", "qvec")), t["token_vectors"], k),
+}

@@ -428,3 +428,15 @@ def test_entry_registers_queries():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and e.FLAGSHIP in q and len(q) > 90
+
+
+def test_index_registry(spark):
+    d = docs(spark, "Ann saw the cat", "dogs bark", "Ann and birds").withColumn("doc_id", F.col("id")).withColumn("chunk_index", F.lit(0))
+    v = d.select(F.col("id").alias("chunk_id"), R.stub_embedding("content").alias("vec"), "source_type")
+    p = R.postings(d)
+    m = R.entities(d)
+    tables = {"vectors": v, "postings": p, "stats": R.term_statistics(p, d), "chunks": d, "mentions": m, "edges": R.entity_edges(m)}
+    q = spark.createDataFrame([("q", "Ann cat")], "question_id string, text string").withColumn("qvec", R.stub_embedding("text"))
+    for name, search in AD.INDEXES.items():
+        if name != "colbert":
+            assert search(q, tables, 2).where("rank = 1").first()["chunk_id"] == "d0", name
