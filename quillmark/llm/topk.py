@@ -25,7 +25,7 @@ from .common import settle, ship
 
 K = 5
 BLOCK = 128
-SHARD_ROWS = 8192
+SHARD_ROWS = 4096
 CHUNK_QUERIES = 4096
 _EXACT = 1 << 53
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
