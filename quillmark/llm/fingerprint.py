@@ -23,7 +23,7 @@ LANES = 128
 SHINGLE = 2
 PARAGRAPH = r"\n"
 #: Rows of documents per bucket when neighbours in order are sought, quantiles.
-BUCKET_ROWS = 4000
+BUCKET_ROWS = 500
 QUANTILES = 64
 _HASHES = ("__h", "__g")
 _LOW = 0xFFFFFFFF
@@ -111,29 +111,25 @@ def _bucket(df: DataFrame, key: str) -> Column:
     return F.when(k.isNull(), F.lit(-1).cast("long")).otherwise(at.cast("long") * inner + F.least(sub, F.lit(inner - 1).cast("long")))
 
 
-def with_next(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: b and rn (together unique), doc_id, text, next_b, next_rn and
-    next_text of the following row in descending order of (key, text), nulls
-    last; after the last comes the first. Buckets of keys are sorted apart;
-    each bucket's last row gets the first row of the next bucket."""
+def with_next(df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Rows b and rn (together unique), doc_id, text and next_text, the text of
+    the following row in descending order of (key, text), nulls last; after
+    the last comes the first. Buckets b of keys are sorted apart, and the rows
+    stay dealt by b: what works on buckets moves no text again.
+
+    Besides, per bucket b the text that follows its last row (head_text).
+    """
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("b", _bucket(rows, "doc_id"))
-    w = Window.partitionBy("b").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    inside = rows.select("*", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next_text"))
     head = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("k"), F.col("text").alias("t"))
-    heads = rows.groupBy("b").agg(F.max(head).alias("head"))
+    heads = settle(rows.groupBy("b").agg(F.max(head).alias("head")).select("b", F.col("head.t").alias("t")), "bucket-heads")
     turn = Window.orderBy(F.col("b").desc())
-    after = rows.groupBy("b").agg(F.lit(1).alias("one")).select(
-        "b", F.coalesce(F.lead("b").over(turn), F.max("b").over(Window.partitionBy(F.lit(1)))).alias("nb")
-    )
-    first = after.join(heads.select(F.col("b").alias("nb"), F.col("head.t").alias("ht")), "nb").select(F.col("b").alias("hb"), "nb", "ht")
-    last = inside.where("next_text is null").join(first, F.col("b") == F.col("hb")).select(
-        "b", "rn", "doc_id", "text", F.col("nb").alias("next_b"), F.lit(1).alias("next_rn"), F.col("ht").alias("next_text")
-    )
-    more = inside.where("next_text is not null").select(
-        "b", "rn", "doc_id", "text", F.col("b").alias("next_b"), (F.col("rn") + 1).alias("next_rn"), "next_text"
-    )
-    return more.unionByName(last)
+    after = heads.select("b", F.coalesce(F.lead("b").over(turn), F.max("b").over(Window.partitionBy(F.lit(1)))).alias("nb"))
+    first = after.join(heads.select(F.col("b").alias("nb"), F.col("t").alias("head_text")), "nb").select(F.col("b").alias("hb"), "head_text")
+    w = Window.partitionBy("b").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    inside = rows.select("*", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next_text"))
+    linked = inside.join(first, F.col("b") == F.col("hb"), "left")
+    return linked.select("b", "rn", "doc_id", "text", F.coalesce("next_text", "head_text").alias("next_text")), first
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -147,22 +143,19 @@ def edited(text: Column, following: Column) -> Column:
 def compare_edited(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next of every row. Null texts are empty; a single row is
-    its own next."""
-    pairs = with_next(df, text, key)
+    its own next; rows that repeat an id are rows of their own."""
+    pairs, first = with_next(df, text, key)
+    keys = ("b", "rn", "doc_id", "n_chars", "edited_sha256")
     both = pairs.select(
-        "b", "rn", "doc_id", "next_b", "next_rn", F.length("text").cast("long").alias("n_chars"), F.col("text").alias("t0"), edited(F.col("text"), F.col("next_text")).alias("t1")
+        "b", "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.col("text").alias("t0"), edited(F.col("text"), F.col("next_text")).alias("t1")
     )
     both = both.select("*", F.sha2(F.col("t1").cast("binary"), 256).alias("edited_sha256"))
     sides = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"t{k}").alias("t")) for k in (0, 1)])
-    keys = ("b", "rn", "doc_id", "next_b", "next_rn", "n_chars", "edited_sha256")
     fps = vectors(both.select(*keys, F.explode(sides).alias("side")).select(*keys, "side.kind", "side.t"), "t", (*keys, "kind"))
-    fps = settle(fps, "fingerprints")
-    own = fps.where("kind = 0").drop("kind")
-    other = fps.where("kind = 1").select(F.col("b").alias("eb"), F.col("rn").alias("ern"), F.col("fp").alias("efp"))
-    following = fps.where("kind = 0").select(F.col("b").alias("fb"), F.col("rn").alias("frn"), F.col("fp").alias("nfp"))
-    joined = own.join(other, (F.col("b") == F.col("eb")) & (F.col("rn") == F.col("ern"))).join(
-        following, (F.col("next_b") == F.col("fb")) & (F.col("next_rn") == F.col("frn"))
-    )
+    wide = fps.groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("efp"))
+    heads = vectors(first, "head_text", ("hb",)).select("hb", F.col("fp").alias("hfp"))
+    following = F.lead("fp").over(Window.partitionBy("b").orderBy("rn"))
+    joined = wide.withColumn("nfp", following).join(heads, F.col("b") == F.col("hb"), "left").withColumn("nfp", F.coalesce("nfp", "hfp"))
     return joined.select(
         "doc_id", "n_chars", "edited_sha256", digest(F.col("fp")).alias("fingerprint"), digest(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
