@@ -45,8 +45,8 @@ def parsed(docs: DataFrame) -> DataFrame:
 
 
 def templates(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """lk, g, at: the recurring template (a hash) of each kind of line that has
-    one, and the first document of the kind."""
+    """lk, g, first: the recurring template (a hash) of each kind of line that
+    has one, and the first document of the template."""
     kinds = settle(
         lines.groupBy("lk", "doc_id", "th").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n")).groupBy("lk").agg(
             F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count("*").alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("at")
@@ -71,19 +71,19 @@ def templates(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> Da
     enough = lk.groupBy("g").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs).select("g")
     general = lk.join(enough, "g").select("lk", "g")
     alone = exact.join(general.select("lk"), "lk", "left_anti")
-    return settle(general.unionByName(alone).join(kinds.select("lk", "at"), "lk"), "line-templates")
+    named = general.unionByName(alone).join(kinds.select("lk", "at"), "lk")
+    firsts = named.groupBy("g").agg(F.min("at").alias("first"))
+    return settle(named.join(firsts, "g").select("lk", "g", "first"), "line-templates")
 
 
 def drops(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = True) -> DataFrame:
     """cd, ct (doc_id and text hash) and dropped, the line numbers that go."""
     lines = settle(parsed(docs), "lines")
-    kinds = templates(docs, lines, min_docs)
-    marked = lines.join(kinds.select("lk", "g"), "lk").select("doc_id", "th", "line_no", "g")
+    marked = lines.join(templates(docs, lines, min_docs), "lk").select("doc_id", "th", "line_no", "g", "first")
     if keep_first:
-        # The first document comes from the kinds, not from the lines, so that
-        # a common line is never gathered by its template.
-        firsts = kinds.groupBy("g").agg(F.min("at").alias("first"))
-        placed = marked.join(firsts, "g").withColumn("own", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
+        # The first document comes with the kind of line, so that a common
+        # line is never gathered by its template.
+        placed = marked.withColumn("own", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
         line = placed.where("own").groupBy("g").agg(F.min("line_no").alias("keep"))
         kept = placed.where("own").join(line, "g").where("line_no <> keep").select("doc_id", "th", "line_no")
         marked = placed.where(~F.col("own")).select("doc_id", "th", "line_no").unionByName(kept)
