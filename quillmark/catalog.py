@@ -195,11 +195,11 @@ _add("wn15_bh_fdr", _ev(lambda d: A.benjamini_hochberg(_pvalues(d), "run_id", "p
 a AS (SELECT run_id, p, min(least(1.0::DOUBLE, p * m / rank)) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS adj FROM r)
 SELECT run_id, p, round(adj, 6) AS p_adjusted, adj < 0.05 AS significant FROM a""")
 _add("sg06_bonferroni", _ev(lambda d: A.bonferroni(_pvalues(d), "run_id", "p")), f"WITH {_P} SELECT run_id, p, round(least(1.0::DOUBLE, p * count(*) OVER ()), 6) AS p_adjusted, least(1.0::DOUBLE, p * count(*) OVER ()) < 0.05 AS significant FROM p")
-_add("jn01_runs_join", lambda s, d: V.eval_results(s, d).join(F.broadcast(V.eval_results(s, d).select("run_id").distinct()), "run_id").groupBy("pipeline").agg(F.count("*").alias("n")),
+_add("jn01_runs_join", lambda s, d: V.eval_results(s, d).join(V.eval_results(s, d).select("run_id").distinct(), "run_id").groupBy("pipeline").agg(F.count("*").alias("n")),
      f"WITH {V.EV}, r AS (SELECT DISTINCT run_id FROM ev) SELECT pipeline, count(*) AS n FROM ev JOIN r USING (run_id) GROUP BY 1")
 _add("jn02_questions_join", lambda s, d: V.load(s, d, "lineitem").join(V.load(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(A.mean("l_quantity").alias("avg_score"), F.count("*").alias("n")),
      "SELECT o_orderpriority, round(avg(l_quantity), 6) AS avg_score, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
-_add("jn18_gap_documents", lambda s, d: V.documents(s, d).join(F.broadcast(V.documents(s, d).groupBy("source_type").agg(F.avg(F.length("content")).alias("a")).where("a < 2200").select("source_type")), "source_type", "left_semi").groupBy("source_type").agg(F.count("*").alias("n")),
+_add("jn18_gap_documents", lambda s, d: V.documents(s, d).join(V.documents(s, d).groupBy("source_type").agg(F.avg(F.length("content")).alias("a")).where("a < 2200").select("source_type"), "source_type", "left_semi").groupBy("source_type").agg(F.count("*").alias("n")),
      "WITH g AS (SELECT source FROM documents GROUP BY 1 HAVING avg(length(text)) < 2200) SELECT source AS source_type, count(*) AS n FROM documents WHERE source IN (SELECT source FROM g) GROUP BY 1")
 _add("jn19_unlabelled", lambda s, d: V.load(s, d, "documents").select("doc_id", "source").join(V.load(s, d, "labels").select("doc_id"), "doc_id", "left_anti"), "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 _add("fl08_uncertain_unlabelled", lambda s, d: V.eval_results(s, d).where(F.col("overall_score").between(0.3, 0.7)).select("question_id").join(V.load(s, d, "labels").select(F.col("doc_id").alias("question_id")), "question_id", "left_anti"),
@@ -407,7 +407,7 @@ _add("fl01_source_filter", lambda s, d: V.load(s, d, "documents").select("doc_id
 _add("st01_rate_limits", lambda s, d: L.per_minute(V.load(s, d, "events"), width="1 day", limit=3), """SELECT date_trunc('day', ts) AS window_start, user_id, count(*) AS n, count(*) > 3 AS limited FROM events GROUP BY 1, 2""")
 _add("st02_tumbling", lambda s, d: L.windowed(V.load(s, d, "events"), "ts", "1 hour", None, "event_type", "value"), "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 _add("st03_circuit_breaker", lambda s, d: L.circuit_breaker(V.load(s, d, "events").select(F.col("event_type").alias("provider"), "ts", (F.col("value") > 30).alias("ok"))).groupBy("provider", "state").agg(F.count("*").alias("n")))
-_add("sg01_bootstrap", _ev(lambda d: E.bootstrap(d.select("pipeline", "overall_score"), "pipeline", "overall_score", 200)))
+_add("sg01_bootstrap", _ev(lambda d: E.bootstrap(d, "pipeline", "overall_score", 200, key="question_id")))
 _add("sg07_matrix", _ev(lambda d: E.pairwise_matrix(d, "user_id", "pipeline", "overall_score")))
 _add("cb01_platt", _ev(lambda d: E.recalibrate(d.select("question_id", "overall_score", "answer_correct"), "overall_score", "answer_correct", "platt").select("question_id", F.round("calibrated", 4).alias("calibrated"))))
 _add("cb02_isotonic", _ev(lambda d: E.recalibrate(d.select("question_id", "overall_score", "answer_correct"), "overall_score", "answer_correct", "isotonic").select("question_id", F.round("calibrated", 4).alias("calibrated"))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .analytics import average_ranks, benjamini_hochberg, flag, top_per_group
+from .retrieval import small
 
 # Scoring
 
@@ -47,7 +48,7 @@ def mrr(hits: DataFrame, relevant: DataFrame) -> DataFrame:
 def adversarial(results: DataFrame, probes: DataFrame) -> DataFrame:
     """Each result with the first probe (by its text) that its question holds;
     whether the answer behaves as the probe wants."""
-    p = F.broadcast(probes.select(F.col("query").alias("probe"), "expected_behavior"))
+    p = small(probes.select(F.col("query").alias("probe"), "expected_behavior"))
     j = results.join(p, F.contains(F.lower("question"), F.lower("probe")))
     j = top_per_group(j, ["question_id"], ["probe"], 1, "__r").drop("__r")
     refuses, unsure = T.any_phrase("predicted_answer", T.REFUSALS), T.any_phrase("predicted_answer", T.UNCERTAIN)
@@ -99,15 +100,16 @@ def bootstrap_mean(values: list[float] | np.ndarray, samples: int = 2000, alpha:
     return float(np.quantile(means, alpha / 2)), float(np.quantile(means, 1 - alpha / 2))
 
 
-def bootstrap(df: DataFrame, group: str, value: str, samples: int = 2000, seed: int = 42) -> DataFrame:
+def bootstrap(df: DataFrame, group: str, value: str, samples: int = 2000, seed: int = 42, key: str | None = None) -> DataFrame:
     """Interval by group from Poisson weights: each sample weighs every row by
     a hash-drawn Poisson(1) number, so that one aggregate over samples scales
-    with the cluster and no group is gathered."""
+    with the cluster and no group is gathered. With a key of the rows, reruns
+    agree."""
     s = df.sparkSession.range(samples).select(F.col("id").alias("sample"))
     u = (F.pmod(F.xxhash64(F.lit(seed), "sample", "__id"), F.lit(1_000_003)) + 0.5) / 1_000_003.0
     steps = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(8)]
     w = sum((F.when(u > t, 1).otherwise(0) for t in steps), F.lit(0))
-    r = df.select(group, F.col(value).alias("v"), F.monotonically_increasing_id().alias("__id")).join(F.broadcast(s))
+    r = df.select(group, F.col(value).alias("v"), (F.col(key) if key else F.monotonically_increasing_id()).alias("__id")).join(F.broadcast(s))
     m = r.select(group, "sample", "v", w.alias("w")).groupBy(group, "sample").agg((F.sum(F.col("v") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
     return m.groupBy(group).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
@@ -327,7 +329,7 @@ def next_iteration(reports: DataFrame) -> DataFrame:
 def call_costs(calls: DataFrame, prices: DataFrame, alert: float = 1.0) -> DataFrame:
     """calls: model_id, input_tokens, output_tokens; prices per million tokens.
     A model without a price costs nothing."""
-    p = F.broadcast(prices.select("model_id", "input_price", "output_price"))
+    p = small(prices.select("model_id", "input_price", "output_price"))
     j = calls.join(p, "model_id", "left")
     cost = (F.col("input_tokens") * F.coalesce("input_price", F.lit(0.0)) + F.col("output_tokens") * F.coalesce("output_price", F.lit(0.0))) / 1_000_000
     return j.withColumn("cost_usd", F.round(cost, 9)).withColumn("alert", F.col("cost_usd") > alert)

@@ -271,4 +271,4 @@ def improvement_round(results_now: DataFrame, results_before: DataFrame, gaps: D
     from ..operators.analytics import regression_trigger
 
     g = gaps.select(F.col("source_type")).distinct()
-    return {"trigger": regression_trigger(results_now, results_before), "material": docs.join(F.broadcast(g), "source_type", "left_semi")}
+    return {"trigger": regression_trigger(results_now, results_before), "material": docs.join(R.small(g), "source_type", "left_semi")}
