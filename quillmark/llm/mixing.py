@@ -24,7 +24,7 @@ MIX_SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 7
 #: Rows that one bucket of the seeded order holds, about.
-BUCKET_ROWS = 5000
+BUCKET_ROWS = 500
 _TOP = 1 << 52
 WORD = r"[^\x20\x09-\x0D]+"
 
