@@ -18,10 +18,11 @@ import math
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, settle, ship
+from .common import map_arrow, scratch_path, settle, ship
 
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 1000
@@ -205,14 +206,22 @@ def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
     return placed.groupBy("part").cogroup(index.groupBy("part")).applyInPandas(find, "key string, path string, offset long, length long")
 
 
+def _cut(batches):
+    """The records of an archive's ranges; a slice copies its own bytes only."""
+    for batch in batches:
+        for content, ranges in zip(batch.column("content"), batch.column("ranges").to_pylist(), strict=True):
+            view = memoryview(content.as_buffer())
+            out = [bytes(view[r["offset"] : r["offset"] + r["length"]]) for r in ranges]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+
+
 def read_records(found: DataFrame, archives: str) -> DataFrame:
     """Range reads: page_id, url, record_type, refers_to, payload_digest, and
     payload (null for revisits) of the captures that lookup() gives."""
     spark = found.sparkSession
     ranges = found.groupBy("path").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
     files = spark.read.format("binaryFile").load(archives).select("path", "content")
-    cut = F.transform("ranges", lambda r: F.substring(F.col("content"), (r["offset"] + 1).cast("int"), r["length"].cast("int")))
-    records = files.join(ranges, "path").select(F.explode(cut).alias("record"))
+    records = map_arrow(files.join(ranges, "path").select("content", "ranges"), _cut, "record binary")
     text = F.col("record").cast("string")
     split = records.select("record", F.substring_index(text, "\r\n\r\n", 1).alias("head"))
     split = split.select("head", F.expr("substring(record, octet_length(head) + 5)").alias("block"))
