@@ -2,12 +2,15 @@
 
 A line's words with digits in them become ``<*>``. The tree has a fixed depth:
 number of tokens, then the first DEPTH tokens; its leaves hold the lines. In a
-leaf, a token stays in the template if enough documents have it at that
-place, any other becomes ``<*>``; a template needs MIN_CONSTANT of its tokens
-constant, and lines of fewer than GENERAL_TOKENS tokens are their own
-templates. A template that MIN_DOCS documents have is recurring: all its lines
-but the very first (by document, then line) are dropped, so that no text
-vanishes from the corpus altogether.
+leaf, a token's level is how often the leaf's documents are to be halved to be
+as few as those with the token at that place. The template of level L keeps
+the tokens of level L or less, any other becomes ``<*>``; so what counts as
+constant follows the size of the leaf. A template needs MIN_CONSTANT of its
+tokens constant, and lines of fewer than GENERAL_TOKENS tokens are their own
+templates. A template that MIN_DOCS documents have is recurring; a line belongs
+to the recurring template of the least level that it has. All lines of it but
+the very first (by document, then line) are dropped, so that no text vanishes
+from the corpus altogether.
 """
 
 from __future__ import annotations
@@ -55,21 +58,27 @@ def templates(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> Da
     )
     exact = kinds.where(F.col("docs") >= min_docs).select("lk", F.col("lk").alias("g"))
     wide = kinds.where(F.col("n") >= GENERAL_TOKENS)
-    busy = wide.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("k")).where((F.col("docs") >= min_docs) & (F.col("k") > 1)).select("leaf")
-    chosen = wide.join(busy, "leaf").select("lk", "leaf", "docs", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"))
-    per = chosen.groupBy(F.col("doc_id").alias("cd"), F.col("th").alias("ct")).agg(F.map_from_entries(F.collect_list(F.struct("lk", F.struct("leaf", "docs")))).alias("want"))
+    busy = wide.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("k")).where((F.col("docs") >= min_docs) & (F.col("k") > 1)).select("leaf", F.col("docs").alias("of"))
+    chosen = wide.join(busy, "leaf").select("lk", "leaf", "docs", "of", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"))
+    per = chosen.groupBy(F.col("doc_id").alias("cd"), F.col("th").alias("ct")).agg(F.map_from_entries(F.collect_list(F.struct("lk", F.struct("leaf", "docs", "of")))).alias("want"))
     held = docs.join(per, F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("th") == F.col("ct")))
     t = held.select("want", F.explode(F.split("text", "\n")).alias("line")).select("want", masked_tokens(F.col("line")).alias("t"))
     t = t.where(F.size("t") >= GENERAL_TOKENS).select("t", F.xxhash64(F.lit(5), "t").alias("lk"), "want")
     t = t.select("lk", "t", F.element_at("want", F.col("lk")).alias("w")).where("w is not null")
-    t = t.groupBy("lk").agg(F.first(F.struct("t", "w")).alias("r")).select("lk", "r.w.leaf", "r.w.docs", "r.t")
-    flat = settle(t.select("lk", "leaf", "docs", F.size("t").alias("n"), F.posexplode("t").alias("p", "tok")), "line-tokens")
-    constant = flat.groupBy("leaf", "p", "tok").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs).select("leaf", "p", "tok")
+    t = t.groupBy("lk").agg(F.first(F.struct("t", "w")).alias("r")).select("lk", "r.w.leaf", "r.w.docs", "r.w.of", "r.t")
+    flat = settle(t.select("lk", "leaf", "docs", "of", F.size("t").alias("n"), F.posexplode("t").alias("p", "tok")), "line-tokens")
+    # A token of fewer documents is in no recurring template.
+    constant = flat.groupBy("leaf", "p", "tok").agg(F.sum("docs").alias("d"), F.first("of").alias("of")).where(F.col("d") >= min_docs)
+    constant = constant.select("leaf", "p", "tok", F.floor(F.log2(F.col("of") / F.col("d"))).cast("int").alias("level"))
     kept = flat.join(constant, ["leaf", "p", "tok"])
-    lk = kept.groupBy("lk", "leaf", "docs", "n").agg(F.array_sort(F.collect_list(F.struct("p", "tok"))).alias("c"))
-    lk = lk.where(F.size("c") >= MIN_CONSTANT * F.col("n")).select("lk", "docs", F.xxhash64(F.lit(6), "leaf", "c").alias("g"))
+    lk = kept.groupBy("lk", "leaf", "docs", "n").agg(F.array_sort(F.collect_list(F.struct("p", "tok", "level"))).alias("c"))
+    lk = lk.where(F.size("c") >= MIN_CONSTANT * F.col("n"))
+    lk = lk.select("lk", "leaf", "docs", "n", "c", F.explode(F.array_distinct("c.level")).alias("level"))
+    lk = lk.withColumn("c", F.filter("c", lambda x: x["level"] <= F.col("level"))).where(F.size("c") >= MIN_CONSTANT * F.col("n"))
+    lk = lk.select("lk", "docs", "level", F.xxhash64(F.lit(6), "leaf", "level", "c").alias("g"))
     enough = lk.groupBy("g").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs).select("g")
-    general = lk.join(enough, "g").select("lk", "g")
+    # The lines of one template have the templates of lower levels in common.
+    general = lk.join(enough, "g").groupBy("lk").agg(F.min_by("g", "level").alias("g"))
     alone = exact.join(general.select("lk"), "lk", "left_anti")
     named = general.unionByName(alone).join(kinds.select("lk", "at"), "lk")
     firsts = named.groupBy("g").agg(F.min("at").alias("first"))

@@ -398,6 +398,15 @@ def test_recurring_lines_go_but_their_first(spark):
     assert not lines.dedup_lines(docs(spark, [])).collect()
 
 
+def test_templates_stay_general_as_field_values_recur(spark):
+    rng = random.Random(17)
+    rows = [(i, f"{prose(rng, 15)}\nThread moved to this board {WORDS[i % 10]} by member {WORDS[i // 10 % 10]} on request") for i in range(200)]
+    # A tenth of the leaf's documents have a template of their own.
+    rows += [(200 + i, f"{prose(rng, 15)}\nThread moved to that archive x{WORDS[i % 11]} after vote x{WORDS[i // 3 + 11]} of staff") for i in range(20)]
+    out = {r["doc_id"]: r["lines_dropped"] for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    assert out == {i: int(i not in (0, 200)) for i, _ in rows}
+
+
 def test_line_dedup_keeps_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(i, "one two three four", i, i) for i in range(9)], "doc_id long, text string, g int, lk int")
     out = lines.dedup_lines(df)
