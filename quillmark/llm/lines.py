@@ -1,13 +1,18 @@
 """Line dedup by a log-template tree, in SQL functions only.
 
 A line's words with digits in them become ``<*>``. The tree has a fixed depth:
-number of tokens, then the first DEPTH tokens; its leaves hold the lines. In a
+number of tokens, then the first DEPTH tokens (SHORT_DEPTH of lines of fewer
+than LONG_TOKENS); its leaves hold the lines. In a
 leaf, a token's level is how often the leaf's documents are to be halved to be
 as few as those with the token at that place. The template of level L keeps
 the tokens of level L or less, any other becomes ``<*>``; so what counts as
 constant follows the size of the leaf. A template needs MIN_CONSTANT of its
-tokens constant, and lines of fewer than GENERAL_TOKENS tokens are their own
-templates. A template that MIN_DOCS documents have is recurring; a line belongs
+tokens constant, or, in lines of fewer than LONG_TOKENS, SHORT_CONSTANT of them
+up to level SHORT_LEVEL. Lines of fewer than GENERAL_TOKENS tokens are their own
+templates; of one or two tokens they must hold a letter or sign besides the
+masked words to be masked at all. A template that MIN_DOCS documents have is recurring (of
+lines of one or two tokens and fewer than BRIEF_CHARS characters, one that
+BRIEF_FACTOR times as many have, since any prose repeats such); a line belongs
 to the recurring template of the least level that it has. All lines of it but
 the very first (by document, then line) are dropped, so that no text vanishes
 from the corpus altogether.
@@ -21,10 +26,16 @@ from pyspark.sql import functions as F
 from .common import settle
 
 DEPTH = 3
+SHORT_DEPTH = 2
 MIN_DOCS = 5
-MIN_TOKENS = 3
-GENERAL_TOKENS = 8
+BRIEF_TOKENS = 2
+BRIEF_CHARS = 16
+BRIEF_FACTOR = 4
+GENERAL_TOKENS = 4
+LONG_TOKENS = 8
 MIN_CONSTANT = 0.75
+SHORT_CONSTANT = 0.6
+SHORT_LEVEL = 2
 WILD = "<*>"
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -32,18 +43,27 @@ _SPACE = r"[\x20\x09-\x0D]+"
 def masked_tokens(line: Column) -> Column:
     """Tokens of a line, variable fields replaced."""
     tokens = F.filter(F.split(line, _SPACE), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
+    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
+    bare = (F.size(tokens) <= BRIEF_TOKENS) & F.forall(tokens, lambda t: t.rlike("[0-9]"))
+    return F.when(bare, tokens).otherwise(masked)
 
 
+def _enough(n: Column, c: Column, level: Column) -> Column:
+    """Whether the tokens c make a template of n tokens, at a level."""
+    short = (n < LONG_TOKENS) & (F.size(c) >= SHORT_CONSTANT * n) & (level <= F.lit(SHORT_LEVEL))
+    return (F.size(c) >= MIN_CONSTANT * n) | short
+
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, th, text. One row per line of MIN_TOKENS tokens or more:
-    doc_id, th, line_no, n, leaf, lk (hash of the masked line)."""
+    """docs: doc_id, th, text. One row per line with tokens: doc_id, th,
+    line_no, n, brief, leaf, lk (hash of the masked line)."""
     lines = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    t = lines.select("doc_id", "th", "line_no", masked_tokens(F.col("line")).alias("t")).where(F.size("t") >= MIN_TOKENS)
+    t = lines.select("doc_id", "th", "line_no", masked_tokens(F.col("line")).alias("t")).where(F.size("t") > 0)
     n = F.size("t")
+    brief = (n <= BRIEF_TOKENS) & (F.length(F.array_join(F.slice("t", 1, BRIEF_TOKENS), " ")) < BRIEF_CHARS)
+    depth = F.when(n < LONG_TOKENS, SHORT_DEPTH).otherwise(DEPTH)
     return t.select(
-        "doc_id", "th", "line_no", n.alias("n"), F.xxhash64(n, F.slice("t", 1, DEPTH)).alias("leaf"), F.xxhash64(F.lit(5), "t").alias("lk")
+        "doc_id", "th", "line_no", n.alias("n"), brief.alias("brief"), F.xxhash64(n, F.slice("t", F.lit(1), depth)).alias("leaf"), F.xxhash64(F.lit(5), "t").alias("lk")
     )
 
 
@@ -51,12 +71,12 @@ def templates(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> Da
     """lk, g, first: the recurring template (a hash) of each kind of line that
     has one, and the first document of the template."""
     kinds = settle(
-        lines.groupBy("lk", "doc_id", "th").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n")).groupBy("lk").agg(
-            F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count("*").alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("at")
+        lines.groupBy("lk", "doc_id", "th").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("brief").alias("brief")).groupBy("lk").agg(
+            F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("brief").alias("brief"), F.count("*").alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("at")
         ),
         "line-kinds",
     )
-    exact = kinds.where(F.col("docs") >= min_docs).select("lk", F.col("lk").alias("g"))
+    exact = kinds.where(F.col("docs") >= F.when(F.col("brief"), BRIEF_FACTOR * min_docs).otherwise(min_docs)).select("lk", F.col("lk").alias("g"))
     wide = kinds.where(F.col("n") >= GENERAL_TOKENS)
     busy = wide.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("k")).where((F.col("docs") >= min_docs) & (F.col("k") > 1)).select("leaf", F.col("docs").alias("of"))
     chosen = wide.join(busy, "leaf").select("lk", "leaf", "docs", "of", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"))
@@ -72,9 +92,9 @@ def templates(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> Da
     constant = constant.select("leaf", "p", "tok", F.floor(F.log2(F.col("of") / F.col("d"))).cast("int").alias("level"))
     kept = flat.join(constant, ["leaf", "p", "tok"])
     lk = kept.groupBy("lk", "leaf", "docs", "n").agg(F.array_sort(F.collect_list(F.struct("p", "tok", "level"))).alias("c"))
-    lk = lk.where(F.size("c") >= MIN_CONSTANT * F.col("n"))
+    lk = lk.where(_enough(F.col("n"), F.col("c"), F.lit(0)))
     lk = lk.select("lk", "leaf", "docs", "n", "c", F.explode(F.array_distinct("c.level")).alias("level"))
-    lk = lk.withColumn("c", F.filter("c", lambda x: x["level"] <= F.col("level"))).where(F.size("c") >= MIN_CONSTANT * F.col("n"))
+    lk = lk.withColumn("c", F.filter("c", lambda x: x["level"] <= F.col("level"))).where(_enough(F.col("n"), F.col("c"), F.col("level")))
     lk = lk.select("lk", "docs", "level", F.xxhash64(F.lit(6), "leaf", "level", "c").alias("g"))
     enough = lk.groupBy("g").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs).select("g")
     # The lines of one template have the templates of lower levels in common.

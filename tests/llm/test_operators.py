@@ -407,6 +407,20 @@ def test_templates_stay_general_as_field_values_recur(spark):
     assert out == {i: int(i not in (0, 200)) for i, _ in rows}
 
 
+def test_short_recurring_lines_go(spark):
+    rng = random.Random(18)
+    board = "".join(chr(0x4E00 + 7 * i) for i in range(24))
+    rows = []
+    for i in range(25):
+        some = [board] if i < 6 else []
+        rows.append((i, "\n".join([prose(rng, 15), "Read more", *some, f"Posted by {WORDS[i]}{i % 3 * 'x'} in x{WORDS[i // 2]}", f"{i % 24}", prose(rng, 12)])))
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    assert out[0] == rows[0][1]
+    for i in range(1, 25):
+        own = rows[i][1].split("\n")
+        assert out[i] == "\n".join([own[0], own[-2], own[-1]]), out[i]
+
+
 def test_line_dedup_keeps_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(i, "one two three four", i, i) for i in range(9)], "doc_id long, text string, g int, lk int")
     out = lines.dedup_lines(df)
