@@ -500,6 +500,37 @@ def test_planted_passages_are_found_and_clean_documents_left(spark):
     assert not passages.repeated_passages(docs(spark, [])).collect()
 
 
+def test_fuzzy_passages_with_few_equal_runs_are_found(spark):
+    rng = random.Random(19)
+    vocab = [f"{a}{b}" for a in WORDS for b in WORDS]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows = []
+    for k in range(40):
+        p = text(55)
+        changed = [f"new{k}" if i % 7 == 6 else w for i, w in enumerate(p)]
+        rows += [(2 * k, text(40) + p + text(40)), (2 * k + 1, text(30) + changed + text(30))]
+    # A seed of very many documents goes over the borders of partitions.
+    rows += [(100 + i, text(20) + ["one", "two", "three", "four", "five"] + text(20)) for i in range(300)]
+    out = passages.repeated_passages(docs(spark, [(i, " ".join(t)) for i, t in rows])).collect()
+    assert sorted((r["doc_id"], r["ref_doc_id"]) for r in out) == [(2 * k + 1, 2 * k) for k in range(40)]
+
+
+def test_every_seed_meets_its_first_occurrence(spark):
+    rng = random.Random(20)
+    rows = sorted({(rng.randrange(50), rng.randrange(30), rng.choice([3, 3, 3, rng.randrange(40)])) for _ in range(900)})
+    first = {}
+    for d, p, h in rows:
+        first.setdefault(h, (d, p))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    held = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        got = passages._first_hits(spark.createDataFrame(rows[::-1], "doc_id long, pos int, h long")).collect()
+    finally:
+        spark.conf.set(name, held)
+    assert sorted(map(tuple, got)) == sorted((d, p, *first[h]) for d, p, h in rows if first[h][0] != d)
+
+
 def test_edit_distance_matches_plain_table():
     rng = np.random.default_rng(16)
     for _ in range(30):
