@@ -1,13 +1,17 @@
 """WARC archives with a two-level capture index.
 
-Archives are written by Spark's own text writer, one record per row, so any
-file system that Spark writes to will do and a lost task is simply written
-again. Captures are in order of their key: the URL with its host reversed, and
-the page id. The index has those keys in compressed blocks, and a sparse
-directory with the first key of each block. A lookup finds the part of the
-index by its first key, the block by binary search in the part's directory,
-the capture by binary search in the block; the record is then one range of
-bytes of an archive.
+Tasks write archives of gzip members, one record each, straight to the shared
+file system. A task's files have names of their own, and only the captures
+that Spark commits name them: what a lost or repeated attempt wrote is never
+referred to. Captures are in order of their key: the URL with its host
+reversed, and the page id. The index has those keys in compressed blocks, and
+a sparse directory with the first key of each block. A lookup finds the part
+of the index by its first key, the block by binary search in the part's
+directory, the capture by binary search in the block; the record is then one
+range of bytes, for which the archive is opened and only that range is read.
+
+Archives are reached through ``pyarrow.fs`` from the URI of the shared folder
+(``file``, ``hdfs``, ``s3``, ``gs``, ``abfs``).
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import bisect
 import json
 import math
+import uuid
 import zlib
 
 import pandas as pd
@@ -30,7 +35,13 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 16 << 20
 BLOCK_CAPTURES = 512
 PART_CAPTURES = 50_000
+#: Bytes of records that a task hands on at once.
+BATCH_BYTES = 8 << 20
+LEVEL = 5
 WARC_DATE = "2024-01-01T00:00:00Z"
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+CAPTURE = "key string, path string, offset long, length long"
+RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
 
 
 def surt(url: Column) -> Column:
@@ -45,92 +56,137 @@ def surt(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), port, F.lit(")"), path)
 
 
-def capture_key(url: Column, page_id: Column) -> Column:
-    """Sorts by reversed host and path, then page id; unique per page."""
-    return F.concat(surt(url), F.lit(" "), F.lpad(F.coalesce(page_id.cast("string"), F.lit("")), 20, "0"))
-
-
 def _header_safe(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]+", " ")
 
 
+def capture_key(url: Column, page_id: Column) -> Column:
+    """Sorts by reversed host and path, then page id; unique per page. Line
+    ends count as blanks."""
+    return _header_safe(F.concat(surt(url), F.lit(" "), F.lpad(F.coalesce(page_id.cast("string"), F.lit("")), 20, "0")))
+
+
 def decide(pages: DataFrame) -> DataFrame:
     """pages: page_id, url, html. One row per page with payload (binary),
     payload_bytes, payload_digest, refers_to (null: a response).
 
     Of equal payloads of at least REVISIT_BYTES the largest page_id is the
     response. A null html is an empty payload. Rows with a null page_id are
-    responses; rows that repeat the largest page_id are all responses.
+    responses; rows that repeat the largest page_id are all responses. Which
+    payloads occur more than once is settled on digests alone; payloads move
+    once at most, and short ones never.
     """
-    p = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     p = p.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    big = p.where((F.col("payload_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
-    first = big.groupBy(F.col("payload_digest").alias("d")).agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1")
-    own = F.when((F.col("payload_bytes") >= REVISIT_BYTES) & (F.col("page_id") < F.col("top")), F.col("top"))
-    return p.join(first, F.col("payload_digest") == F.col("d"), "left").select(*p.columns, own.alias("refers_to"))
-
-
-def _record(c_key: Column) -> Column:
-    """The WARC record as text that ends in one line feed pair less: the
-    writer's line separator completes it."""
-    revisit = F.col("refers_to").isNotNull()
-    http = F.concat(
-        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n")
-    )
-    body = F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string"))
-    length = F.octet_length(http).cast("long") + F.when(revisit, F.lit(0).cast("long")).otherwise(F.col("payload_bytes"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(">\r\nWARC-Date: " + WARC_DATE + "\r\nWARC-Target-URI: "), _header_safe(F.col("url")),
-        F.lit("\r\nX-Capture-Key: "), _header_safe(c_key),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
-        F.when(revisit, F.concat(
-            F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"),
-            F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"),
-    )
-    return F.concat(head, http, body, F.lit("\r\n"))
-
-
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """WARC 1.1 files under path, captures in order of their keys."""
-    d = settle(decide(pages), "warc-decided")
-    total = d.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0) + 600)).first()[0] or 0
-    files = max(1, math.ceil(total / archive_bytes))
-    keyed = d.withColumn("__key", capture_key(F.col("url"), F.col("page_id")))
-    keyed = keyed.repartitionByRange(files, "__key", "page_id").sortWithinPartitions("__key")
-    keyed.select(_record(F.col("__key")).alias("value")).write.option("lineSep", "\r\n").text(path)
-
-
-def parse_archive(content: bytes) -> list[tuple]:
-    """(key, offset, length) of each record of an archive, in order."""
-    out, at = [], 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        head = content[at:end].split(b"\r\n")
-        if not head[0].startswith(b"WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = dict(x.split(b": ", 1) if b": " in x else (x.rstrip(b":"), b"") for x in head[1:])
-        length = end + 4 + int(fields[b"Content-Length"]) - at
-        out.append((fields[b"X-Capture-Key"].decode(), at, length))
-        at += length + 4
-    return out
-
-
-def build_index(spark: SparkSession, archives: str, path: str) -> DataFrame:
-    """Writes the index of the archives and returns it: part, block, first_key,
-    captures, data (compressed lines of key, file, offset, length)."""
-    ship(spark)
-    files = spark.read.format("binaryFile").load(archives).select("path", "content")
-
-    def scan(batches):
-        for pdf in batches:
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = parse_archive(bytes(content))
-                yield pd.DataFrame({"key": [r[0] for r in rows], "path": p, "offset": [r[1] for r in rows], "length": [r[2] for r in rows]})
-
-    captures = settle(files.mapInPandas(scan, "key string, path string, offset long, length long"), "warc-captures")
+    may = (F.col("payload_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull()
+    twins = p.where(may).groupBy(F.unhex("payload_digest").alias("d")).agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1")
+    twins = settle(twins.select("d", "top"), "warc-twins")
+    own = F.when(F.col("page_id") < F.col("top"), F.col("top"))
+    long = p.where(may).join(twins, F.unhex("payload_digest") == F.col("d"), "left").select(*p.columns, own.alias("refers_to"))
+    return long.unionByName(p.where(~may).withColumn("refers_to", F.lit(None).cast("long")))
+
+
+def record_bytes(key: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    """One WARC 1.1 record; a revisit has no payload."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    body = http + (payload if refers_to is None else b"")
+    head = [
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Date: {WARC_DATE}", "WARC-Target-URI: " + " ".join((url or "").replace("\r", "\n").split("\n")), f"X-Capture-Key: {key}", f"WARC-Payload-Digest: sha1:{digest}",
+    ]
+    if refers_to is not None:
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
+    return "\r\n".join(head).encode() + body + b"\r\n\r\n"
+
+
+def _open(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes gzip WARC files of about archive_bytes under path; returns their
+    captures (CAPTURE)."""
+    rows = decide(pages).withColumn("key", capture_key(F.col("url"), F.col("page_id")))
+
+    def run(batches):
+        files, folder = _open(path)
+        out, name, at, rows = None, None, 0, []
+        for batch in batches:
+            cols = [batch.column(c) for c in ("key", "page_id", "url", "payload", "payload_digest", "refers_to")]
+            for i in range(batch.num_rows):
+                values = [c[i].as_py() for c in cols]
+                if out is None or at >= archive_bytes:
+                    if out is not None:
+                        out.close()
+                    name, at = f"pages-{uuid.uuid4().hex}.warc.gz", 0
+                    files.create_dir(folder, recursive=True)
+                    out = files.open_output_stream(f"{folder}/{name}", compression=None)
+                gz = zlib.compressobj(LEVEL, wbits=31)
+                data = gz.compress(record_bytes(*values)) + gz.flush()
+                out.write(data)
+                rows.append((values[0], f"{path}/{name}", at, len(data)))
+                at += len(data)
+            yield _batch(rows)
+            rows = []
+        if out is not None:
+            out.close()
+
+    return settle(map_arrow(rows, run, CAPTURE), "warc-captures")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"key": pa.string(), "path": pa.string(), "offset": pa.int64(), "length": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+
+def _fields(record: bytes) -> tuple[dict[bytes, bytes], bytes]:
+    """Header fields and block of a record."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    lines = head.split(b"\r\n")
+    if not lines[0].startswith(b"WARC/"):
+        raise ValueError("no WARC record")
+    found = dict(x.split(b": ", 1) if b": " in x else (x.rstrip(b":"), b"") for x in lines[1:])
+    return found, rest[: int(found[b"Content-Length"])]
+
+
+def members(stream, size: int = 1 << 20):
+    """(offset, length, record) of each gzip member of a stream of bytes."""
+    at, start, held = 0, 0, b""
+    gz, parts = zlib.decompressobj(wbits=31), []
+    while True:
+        data = held or stream.read(size)
+        held = b""
+        if not data:
+            break
+        parts.append(gz.decompress(data))
+        at += len(data)
+        if gz.eof:
+            at -= len(gz.unused_data)
+            yield start, at - start, b"".join(parts)
+            start, held, parts, gz = at, gz.unused_data, [], zlib.decompressobj(wbits=31)
+
+
+def scan_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """CAPTURE rows of whole archives that came without any: paths has their
+    URIs in column path. Each archive is streamed by one task."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                files, name = _open(path)
+                with files.open_input_stream(name, compression=None) as stream:
+                    yield _batch([(_fields(r)[0][b"X-Capture-Key"].decode(), path, at, n) for at, n, r in members(stream)])
+
+    return settle(map_arrow(paths.select("path"), run, CAPTURE), "warc-captures")
+
+
+def build_index(captures: DataFrame, path: str) -> DataFrame:
+    """Writes the index of captures and returns it: part, block, first_key,
+    last_key, captures, data (compressed lines of key, file, offset, length)."""
+    ship(captures.sparkSession)
     parts = max(1, math.ceil(captures.count() / PART_CAPTURES))
     ordered = captures.repartitionByRange(parts, "key", "path", "offset").sortWithinPartitions("key", "path", "offset")
     ordered = ordered.withColumn("part", F.spark_partition_id())
@@ -152,7 +208,7 @@ def build_index(spark: SparkSession, archives: str, path: str) -> DataFrame:
             yield flush()
 
     ordered.mapInPandas(blocks, "part int, block int, first_key string, last_key string, captures int, data binary").write.parquet(path)
-    return spark.read.parquet(path)
+    return captures.sparkSession.read.parquet(path)
 
 
 def find_in_part(keys: list[str], directory: pd.DataFrame) -> list[tuple]:
@@ -176,10 +232,12 @@ def find_in_part(keys: list[str], directory: pd.DataFrame) -> list[tuple]:
 
 
 def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
-    """key, path, offset, length of every capture of the keys (column key).
+    """key, path, offset, length of every capture of the keys (column key);
+    null keys find nothing, repeated ones count once.
 
     The first level has one row per index part; parts are about PART_CAPTURES
-    long, so a part's keys and blocks fit one task.
+    long. Where more keys than that fall into a part, they are dealt into
+    several groups, each with the part's blocks.
     """
     top = index.groupBy("part").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
     k = keys.select("key").where("key is not null").distinct()
@@ -197,49 +255,73 @@ def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
                     i += 1
             yield pd.DataFrame(out, columns=["key", "part"])
 
-    placed = k.mapInPandas(place, "key string, part int")
+    ship(keys.sparkSession)
+    placed = settle(k.mapInPandas(place, "key string, part int"), "warc-placed")
+    asked = placed.groupBy("part").agg(F.ceil(F.count("*") / F.lit(2 * PART_CAPTURES)).alias("groups"))
+    spread = placed.join(asked, "part").withColumn("sub", F.pmod(F.xxhash64("key"), F.col("groups"))).select("key", "part", "sub")
+    blocks = index.join(asked, "part").withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
 
     def find(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = find_in_part(sorted(a["key"]), b) if len(b) else []
         return pd.DataFrame(rows, columns=["key", "path", "offset", "length"])
 
-    return placed.groupBy("part").cogroup(index.groupBy("part")).applyInPandas(find, "key string, path string, offset long, length long")
+    held = blocks.select("part", "sub", "block", "first_key", "data")
+    return spread.groupBy("part", "sub").cogroup(held.groupBy("part", "sub")).applyInPandas(find, CAPTURE)
 
 
-def _cut(batches):
-    """The records of an archive's ranges; a slice copies its own bytes only."""
-    for batch in batches:
-        for content, ranges in zip(batch.column("content"), batch.column("ranges").to_pylist(), strict=True):
-            view = memoryview(content.as_buffer())
-            out = [bytes(view[r["offset"] : r["offset"] + r["length"]]) for r in ranges]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+def runs(ranges: list[tuple[int, int]]) -> list[list]:
+    """[offset, length, ranges] of reads: ranges that follow one another
+    without a gap are one read of at most BATCH_BYTES, unless one is longer."""
+    out: list[list] = []
+    for at, n in sorted(ranges):
+        if out and out[-1][0] + out[-1][1] == at and out[-1][1] + n <= BATCH_BYTES:
+            out[-1][1] += n
+            out[-1][2].append((at, n))
+        else:
+            out.append([at, n, [(at, n)]])
+    return out
+
 
+def _parsed(record: bytes) -> tuple:
+    head, block = _fields(record)
 
-def read_records(found: DataFrame, archives: str) -> DataFrame:
+    def number(name: bytes) -> int | None:
+        value = head.get(name, b"")[len(b"<urn:page:") : -1]
+        return int(value) if value else None
+
+    kind = head[b"WARC-Type"].decode()
+    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
+    digest = head[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
+    return number(b"WARC-Record-ID"), head[b"WARC-Target-URI"].decode(), kind, number(b"WARC-Refers-To"), digest, payload
+
+
+def read_records(found: DataFrame) -> DataFrame:
     """Range reads: page_id, url, record_type, refers_to, payload_digest, and
-    payload (null for revisits) of the captures that lookup() gives."""
-    spark = found.sparkSession
-    ranges = found.groupBy("path").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
-    files = spark.read.format("binaryFile").load(archives).select("path", "content")
-    records = map_arrow(files.join(ranges, "path").select("content", "ranges"), _cut, "record binary")
-    text = F.col("record").cast("string")
-    split = records.select("record", F.substring_index(text, "\r\n\r\n", 1).alias("head"))
-    split = split.select("head", F.expr("substring(record, octet_length(head) + 5)").alias("block"))
-    split = split.select("*", F.substring_index(F.col("block").cast("string"), "\r\n\r\n", 1).alias("http"))
-
-    def field(name: str) -> Column:
-        return F.regexp_extract("head", rf"\r\n{name}: ([^\r]*)", 1)
-
-    kind = field("WARC-Type")
-    urn = r"<urn:page:(-?[0-9]+)>"
-    return split.select(
-        F.nullif(F.regexp_extract("head", rf"\r\nWARC-Record-ID: {urn}", 1), F.lit("")).cast("long").alias("page_id"),
-        field("WARC-Target-URI").alias("url"),
-        kind.alias("record_type"),
-        F.nullif(F.regexp_extract("head", rf"\r\nWARC-Refers-To: {urn}", 1), F.lit("")).cast("long").alias("refers_to"),
-        F.regexp_extract("head", r"\r\nWARC-Payload-Digest: sha1:([0-9a-f]+)", 1).alias("payload_digest"),
-        F.when(kind == "response", F.expr("substring(block, octet_length(http) + 5)")).alias("payload"),
-    )
+    payload (null for revisits) of the captures that lookup() gives. A task has
+    the ranges of an archive, so at most as many as it has records."""
+    ranges = found.groupBy("path").agg(F.collect_set(F.struct("offset", "length")).alias("ranges"))
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+    names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload"]
+
+    def run(batches):
+        for batch in batches:
+            for path, wanted in zip(batch.column("path").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                files, name = _open(path)
+                with files.open_input_file(name) as archive:
+                    rows, held = [], 0
+                    for start, size, own in runs([(r["offset"], r["length"]) for r in wanted]):
+                        archive.seek(start)
+                        data = memoryview(archive.read(size))
+                        for at, n in own:
+                            rows.append(_parsed(zlib.decompress(data[at - start : at - start + n], wbits=31)))
+                            held += n + len(rows[-1][5] or b"")
+                            if held >= BATCH_BYTES:
+                                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+                                rows, held = [], 0
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+    return map_arrow(ranges, run, RECORD)
 
 
 def resolved(records: DataFrame) -> DataFrame:
@@ -263,8 +345,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     an empty table gives no rows."""
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html")
-    archives, index = scratch_path(spark, "warc"), scratch_path(spark, "cdx")
-    write_archives(pages, archives)
-    cdx = build_index(spark, archives, index)
-    keys = pages.select(_header_safe(capture_key(F.col("url"), F.col("page_id"))).alias("key"))
-    return resolved(read_records(lookup(keys, cdx), archives))
+    captures = write_archives(pages, scratch_path(spark, "warc"))
+    cdx = build_index(captures, scratch_path(spark, "cdx"))
+    keys = pages.select(capture_key(F.col("url"), F.col("page_id")).alias("key"))
+    return resolved(read_records(lookup(keys, cdx)))
