@@ -29,16 +29,17 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    trees, cuts = pii.learn(docs)
-    found = pii.find_spans(docs, trees, cuts)
+    found = pii.find_spans(docs, pii.learn(docs))
     base = {k: F.col(f"base_{k}") for k in pii.KINDS}
-    every = {k: F.concat(f"base_{k}", f"added_{k}") for k in pii.KINDS}
+    every = {k: F.array_sort(F.concat(f"base_{k}", f"added_{k}")) if k in base else F.col(f"added_{k}") for k in pii.ALL_KINDS}
+    added = [F.size(f"added_{k}").cast("long").alias(f"added_{k}") for k in pii.ALL_KINDS]
     return found.select(
         "doc_id",
         *[F.size(base[k]).cast("long").alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"),
         pii.joined(every).alias("spans"),
-        *[F.size(f"added_{k}").cast("long").alias(f"added_{k}") for k in pii.KINDS],
+        sum((F.size(x) for x in every.values()), F.lit(0)).cast("long").alias("n_spans"),
+        *added,
     )
 
 
