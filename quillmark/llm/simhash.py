@@ -15,11 +15,14 @@ the value gives the same components in linear space.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_arrow, settle
 from .components import components
@@ -29,6 +32,8 @@ SEED = 42
 MAX_BITS = 2
 #: Grid points with more fingerprints than this take the linear way.
 PAIRED_CELL = 8
+#: Fingerprints whose grid points one task makes.
+TASK_FINGERPRINTS = 20_000
 
 
 def fingerprint_bytes(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -124,11 +129,12 @@ def links(fps: DataFrame) -> DataFrame:
     values = many.select("fp", F.explode(ball).alias("value"))
     least = values.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     star = values.join(least, "value").where("a <> fp").select("a", F.col("fp").alias("b"))
-    return near.unionByName(star).distinct()
+    return near.unionByName(star)
 
 
 def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of df: key, keep columns, ``fp`` and ``component_id``.
+    """Per row of df: key, keep columns, ``fp``, ``root`` (a fingerprint, the
+    same for the rows of a component) and ``component_id``.
 
     component_id is the smallest key reachable over links of at most two
     differing bits, itself included. Null keys are never the smallest (a group
@@ -136,13 +142,14 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tu
     empty table gives an empty result.
     """
     rows = settle(fingerprints(df, text, (key, *keep)), "simhash-fp")
-    fps = rows.groupBy("fp").agg(F.min(key).alias("low"))
-    comp = components(links(fps.select("fp")), "a", "b")
-    named = fps.join(comp, F.col("fp") == F.col("node"), "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
+    fps = rows.groupBy("fp").agg(F.min(key).alias("low"), F.count("*").alias("n"))
+    fps = settle(fps, "simhash-fps")
+    # A fingerprint becomes 33 rows: few of them make a task's work.
+    dealt = fps.select("fp").repartition(max(1, math.ceil(fps.count() / TASK_FINGERPRINTS)))
+    comp = components(links(dealt), "a", "b")
+    named = settle(fps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-named")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = named.join(lows, "root").select("fp", "component_id")
+    ids = named.select("fp", "root").join(lows, "root")
     return rows.join(ids, "fp")
 
 
@@ -151,15 +158,18 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of df, one of each near-duplicate group: the smallest key,
-    of equal keys one row by text. Rows with a null key all stay."""
-    held = near_groups(df, text, key)
-    first = held.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("__first")).agg(F.count("*").alias("__n"))
+    """The rows of df, exactly one of each near-duplicate group: the one of the
+    smallest key, nulls last, of equal keys the one of the least text hash (null
+    texts are empty). Groups go by row, so rows that repeat a key but not the
+    text stay apart, and copies without a key go like any other. Columns of any
+    names return as they came.
+    """
     names = df.columns
-    lows = df.join(first, F.col(key) == F.col("__first")).drop("__first")
-    once = lows.where("__n = 1").select(*names)
-    several = lows.where("__n > 1").groupBy("__n", key).agg(F.min_by(F.struct(*names), F.coalesce(F.col(text), F.lit(""))).alias("__row"))
-    return (
-        once.unionByName(several.select("__row.*").select(*names))
-        .unionByName(df.where(F.col(key).isNull()).select(*names))
-    )
+    th = F.coalesce(F.xxhash64(F.lit(9), F.coalesce(F.col(text), F.lit(""))), F.lit(0).cast("long"))
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), th.alias("th"))
+    held = near_groups(rows, "t", "k", ("th",)).groupBy("root", "k", "th").agg(F.count("*").alias("n"))
+    best = held.groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "th", "n")).alias("b"))
+    first = settle(best.select(F.col("b.k").alias("__k"), F.col("b.th").alias("__h"), F.col("b.n").alias("__n")), "simhash-first")
+    kept = df.withColumn("__th", th).join(first, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__h")))
+    several = kept.where("__n > 1").withColumn("__r", F.row_number().over(Window.partitionBy("__th", key).orderBy("__n"))).where("__r = 1")
+    return kept.where("__n = 1").select(*names).unionByName(several.select(*names))
