@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -92,7 +93,9 @@ def test_simhash_links_of_dense_cells(spark):
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
     edges = simhash.links(spark.createDataFrame(signed, "fp long"))
     comp = {r[0]: r[1] for r in components.components(edges, "a", "b").collect()}
-    got = [comp.get(s[0], s[0]) for s in signed]
+    root = [comp.get(s[0], s[0]) for s in signed]
+    least = {r: min(s[0] for s, x in zip(signed, root) if x == r) for r in root}
+    got = [least[r] for r in root]
     want = brute_components([s[0] for s in signed], fps)
     assert got == want
 
@@ -100,15 +103,23 @@ def test_simhash_links_of_dense_cells(spark):
 def test_keep_one_keeps_one_of_each_group(spark):
     rng = random.Random(3)
     a, b = prose(rng, 300), prose(rng, 300)
-    rows = [(1, a), (2, a), (3, b), (3, b), (4, None), (5, ""), (None, a)]
-    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(docs(spark, rows)).collect()), key=str)
-    assert kept == sorted([(1, a), (3, b), (4, None), (None, a)], key=str)
+    c, d = prose(rng, 300), prose(rng, 300)
+    # 6 has two unrelated texts, one of them a copy of an earlier document's.
+    rows = [(1, a), (2, a), (3, b), (3, b), (4, None), (5, ""), (None, a), (6, c), (6, b), (7, c), (None, d), (None, d)]
+    df = docs(spark, rows).withColumns({"fp": F.lit(1), "root": F.lit("x"), "k": F.lit(2)})
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert kept == sorted([(1, a), (3, b), (4, None), (6, c), (None, d)], key=str)
+    assert not simhash.keep_one(df.limit(0)).collect()
 
 
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
-    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
+    assert set(got) == {*range(41), *range(100, 130)}
+    roots = [{got[i] for i in part} for part in (range(41), range(100, 130))]
+    assert all(len(r) == 1 for r in roots) and roots[0] <= set(range(41)) and roots[1] <= set(range(100, 130))
     assert not components.components(spark.createDataFrame([], "a long, b long"), "a", "b").collect()
 
 
@@ -176,23 +187,40 @@ def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=4), 1)]) for i in range(400)]
     rows += [(400, None), (450, [1.0, None, 0.0, 0.0]), (500, [float("nan")] * 4), (550, [float("inf")] * 4), (None, [1.0] * 4), (600, [1.0, 2.0]), (650, [3.0, 1.0]), (700, [1e12] * 4), (701, [1e12] * 4)]
+    rows += [(800 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(60)]  # one vector that many rows have
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk.top_k(df, df.where("vec_id % 50 = 0")).collect()
     assert sorted(map(tuple, got)) == sorted(brute_topk(rows))
     assert not topk.top_k(df.limit(0), df.limit(0)).collect()
 
 
-def test_block_pruning_is_exact():
+def test_topk_keeps_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [0.9, 0.0]), (0, [1.0, 0.0]), (3, [0.1, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id = 0")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 65536), (0, 2, 1, 65536), (0, 3, 2, 58880), (0, 4, 2, 32768), (0, 5, 3, 6400)]
+
+
+def test_blocks_are_pruned_on_clustered_data(spark):
     rng = np.random.default_rng(5)
-    centres = rng.integers(-50, 50, (10, 8))
-    m = np.repeat(centres, 60, axis=0) + rng.integers(-2, 3, (600, 8))
-    ids, q = np.arange(600), m[::50].astype(float)
-    got = topk.search_shard(ids[::50], q, ids, m.astype(float), 5, 16)
-    want = []
-    for i, v in zip(ids[::50], q):
-        s = sorted((-int(x), j) for x, j in zip(m @ v, ids) if j != i)[:5]
-        want += [(i, j, -x) for x, j in s]
-    assert sorted(got) == sorted(want)
+    centres = rng.normal(size=(40, 16))
+    m = np.repeat(centres, 60, axis=0) + 0.02 * rng.normal(size=(2400, 16))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    report = {}
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), report=report).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_topk(rows))
+    assert report["survivors"] <= 0.25 * report["pairs"]
+
+
+def test_bounds_and_layout():
+    rng = np.random.default_rng(6)
+    m = rng.integers(-50, 50, (600, 8)).astype(float)
+    cut = topk.halved(m, 16)
+    assert sorted(np.concatenate(cut).tolist()) == list(range(600)) and max(map(len, cut)) <= 16
+    ends = [np.array(x) for x in zip(*(topk._summary(m[r]) for r in cut), strict=True)]
+    top = topk.bounds(m[:50], *ends)
+    assert all((m[:50] @ m[r].T).max(axis=1).max() <= top[:, j].max() and ((m[:50] @ m[r].T).max(axis=1) <= top[:, j]).all() for j, r in enumerate(cut))
 
 
 # Language
@@ -349,8 +377,7 @@ def test_base_spans_equal_brute_force(spark):
     rows = [(i, "".join(rng.choice(parts) + rng.choice(["", " ", "x", "\n"]) for _ in range(rng.randrange(1, 14)))) for i in range(300)]
     rows += odd_rows() + [(900, "7 " * 3000), (901, "1" * 20000), (902, "a@b.cd " * 700), (903, "+" * 5000)]
     df = docs(spark, rows)
-    trees, cuts = pii.learn(df)
-    out = pii.find_spans(df, trees, cuts).select("doc_id", pii.joined({k: F.col(f"base_{k}") for k in pii.KINDS}).alias("s")).collect()
+    out = pii.find_spans(df, pii.learn(df)).select("doc_id", pii.joined({k: F.col(f"base_{k}") for k in pii.KINDS}).alias("s")).collect()
     want = sorted(((i, ",".join(f"{k}:{a}:{b}" for k, a, b in brute_spans(t))) for i, t in rows), key=str)
     assert sorted(((r[0], r[1]) for r in out), key=str) == want
 
@@ -370,6 +397,49 @@ def test_trees_as_sql_equal_trees_in_python(spark):
     assert good and np.mean([t.probability(c) for c, n, p in counts if not c >> 9 & 1]) < 0.2
 
 
+def planted_texts(rng, n):
+    """(text, added spans as texts, whether clean)."""
+    out = []
+    for i in range(n):
+        d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+        code = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        issued = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+        what = [
+            (f"phone +1 ({d(3)}) {d(3)}-{d(4)}", None), (f"token = \"{code}\"", code), (f"password={code[:18]}", code[:18]), (issued, issued),
+            (f"write to {rng.choice(WORDS)}{d(2)} [at] {rng.choice(WORDS)} [dot] com", "mail"), (f"host {':'.join(code[j : j + 4] for j in range(0, 32, 4))}", "v6"),
+            (f"call ({d(3)}) {d(3)}-{d(4)}", "phone"), (f"version {d(1)}.{d(1)} of 20{d(2)}", ""), (f"at {rng.randrange(24)}:{d(2)} on page {d(3)}", ""), (f"item {d(6)}", ""), (f"mail {rng.choice(WORDS)}@site{d(2)}.org", None),
+        (f"and ({d(3)}) {d(3)}-{d(4)}", "phone") if i % 120 == 11 else ("and so on", ""),
+        ][i % 12]
+        out.append((f"{prose(rng, 8)} {what[0]} {prose(rng, 8)}", what[1]))
+    return out
+
+
+def test_added_spans_have_precision_and_recall(spark):
+    rows = [(i, *x) for i, x in enumerate(planted_texts(random.Random(19), 1200))]
+    df = docs(spark, [r[:2] for r in rows])
+    found = pii.find_spans(df, pii.learn(df)).collect()
+    spans = {r["doc_id"]: sum(len(r[f"added_{k}"]) for k in pii.ALL_KINDS) for r in found}
+    want = {i for i, _, kind in rows if kind}
+    clean = {i for i, _, kind in rows if kind == ""}
+    caught = {i for i, n in spans.items() if n}
+    assert len(caught & want) >= 0.9 * len(want), {k: sum(1 for i, _, x in rows if x == k and i in caught) for k in ("mail", "v6", "phone")}
+    assert len(caught & clean) <= 0.02 * len(clean)
+    exact = [(r, rows[r["doc_id"]]) for r in found if rows[r["doc_id"]][2] and len(rows[r["doc_id"]][2]) > 10]
+    assert all([t[s["s"] : s["e"]] for s in r["added_secret"]] == [secret] for r, (_, t, secret) in exact if r["doc_id"] in caught)
+
+
+def test_pii_on_long_texts_empty_tables_and_clashing_names(spark):
+    rng = random.Random(20)
+    long = " ".join(rng.choice(["+49 30 123 456 78", "a.b@c.org", "4111 1111 1111 1111", "10.0.0.1", "tel 030 1234567", "word"]) for _ in range(30_000))
+    df = docs(spark, [(1, long), (2, None), (3, ""), (3, "x@y.org"), (None, "x@y.org")]).withColumns({"t": F.lit(1), "base_ip": F.lit("x")})
+    start = time.monotonic()
+    out = pii.find_spans(df, pii.learn(df)).collect()
+    assert time.monotonic() - start < 60 and len(long) > 300_000
+    assert sorted((str(r["doc_id"]), len(r["base_email"])) for r in out) == sorted([("1", long.count("@")), ("2", 0), ("3", 0), ("3", 1), ("None", 1)])
+    none = docs(spark, [])
+    assert not pii.find_spans(none, pii.learn(none)).collect()
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("mail a@b.c now", [(5, 10)])], "t string, s array<struct<s:bigint,e:bigint>>")
     assert df.select(pii.redact(F.col("t"), F.col("s"))).first()[0] == "mail ***** now"
@@ -421,10 +491,30 @@ def test_short_recurring_lines_go(spark):
         assert out[i] == "\n".join([own[0], own[-2], own[-1]]), out[i]
 
 
+def test_templates_of_one_document_stay(spark):
+    listed = "\n".join(f"the total price of this item called {w} was rather high" for w in WORDS[:8])
+    rows = [(1, listed), (2, listed.split("\n")[0]), *[(3 + i, prose(random.Random(i), 20)) for i in range(8)]]
+    assert not any(r["lines_dropped"] for r in lines.dedup_lines(docs(spark, rows)).collect())
+    # In five documents, if not by one wording, the template recurs.
+    rows += [(20 + i, listed.split("\n")[i]) for i in range(3, 6)]
+    out = {r["doc_id"]: r["lines_dropped"] for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    assert out[1] == 7 and out[2] == 1 and all(out[20 + i] == 1 for i in range(3, 6))
+
+
+def test_line_dedup_of_long_texts(spark):
+    rng = random.Random(21)
+    own = [f"{WORDS[i % 42]} {prose(rng, 6)} {i}" if i % 2 else "this line is common to all of them" for i in range(60_000)]
+    rows = [(i, "this line is common to all of them") for i in range(5)] + [(9, "\n".join(own))]
+    start = time.monotonic()
+    out = {r["doc_id"]: r for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    assert time.monotonic() - start < 60
+    assert out[9]["lines_dropped"] >= 30_000 and out[0]["lines_dropped"] == 0 and out[4]["text"] == ""
+
+
 def test_line_dedup_keeps_columns_with_clashing_names(spark):
-    df = spark.createDataFrame([(i, "one two three four", i, i) for i in range(9)], "doc_id long, text string, g int, lk int")
+    df = spark.createDataFrame([(i, "one two three four", i, i, i, "x", i) for i in range(9)], "doc_id long, text string, g int, lk int, __th int, first string, lines_total int")
     out = lines.dedup_lines(df)
-    assert out.columns == ["doc_id", "text", "g", "lk", "lines_total", "lines_dropped"]
+    assert out.columns == ["doc_id", "text", "g", "lk", "__th", "first", "lines_total", "lines_dropped"]
     assert sum(r["lines_dropped"] for r in out.collect()) == 8
 
 
@@ -446,19 +536,45 @@ def test_warc_round_trip(spark):
     assert not warc.round_trip(df.limit(0)).collect()
 
 
+def test_warc_of_null_and_repeated_pages(spark):
+    big = "y" * 1500
+    rows = [(None, "http://a.b/", big), (5, "http://a.b/", big), (5, "http://a.b/", big), (3, None, big), (3, None, big), (4, "u", None)]
+    got = sorted(map(tuple, warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
+    sha = hashlib.sha1(big.encode()).hexdigest()
+    want = [(None, 1500, sha, "response", None), *[(5, 1500, sha, "response", None)] * 2, *[(3, 1500, sha, "revisit", 5)] * 2, (4, 0, hashlib.sha1(b"").hexdigest(), "response", None)]
+    assert got == sorted(want, key=str)
+
+
 def test_index_lookup_finds_all_and_only_the_keys(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "PART_CAPTURES", 40)
     monkeypatch.setattr(warc, "BLOCK_CAPTURES", 7)
     rows = [(i, f"http://h{i % 5}.example.com/{i % 50}", f"<b>{i}</b>") for i in range(150)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     a, x = f"file://{tmp_path}/warc", f"file://{tmp_path}/cdx"
-    warc.write_archives(df, a, 4000)
-    cdx = warc.build_index(spark, a, x)
+    captures = warc.write_archives(df, a, 4000)
+    cdx = warc.build_index(captures, x)
     keys = df.where("page_id % 3 = 0").select(warc.capture_key(F.col("url"), F.col("page_id")).alias("key"))
     missing = spark.createDataFrame([("zzz",), ("",), (None,), ("com,example,h1)/ nope",)], "key string")
-    got = warc.read_records(warc.lookup(keys.unionByName(missing), cdx), a).collect()
+    got = warc.read_records(warc.lookup(keys.unionByName(missing), cdx)).collect()
     assert sorted((r["page_id"], r["payload"].decode()) for r in got) == [(i, h) for i, _, h in rows if i % 3 == 0]
     assert spark.createDataFrame([("http://a.B.org:80/x?y",)], "u string").select(warc.surt(F.col("u"))).first()[0] == "org,b,a:80)/x?y"
+    # Archives that came without captures give the same ones.
+    scanned = warc.scan_archives(spark, captures.select("path").distinct())
+    assert sorted(map(tuple, scanned.collect())) == sorted(map(tuple, captures.collect()))
+
+
+def test_range_reads_take_only_what_is_asked_for(spark, tmp_path):
+    rng = random.Random(22)
+    rows = [(i, f"http://h{i % 7}.org/{i}", prose(rng, 200)) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    captures = warc.write_archives(df, f"file://{tmp_path}/warc")
+    cdx = warc.build_index(captures, f"file://{tmp_path}/cdx")
+    keys = df.where("page_id % 100 = 7").select(warc.capture_key(F.col("url"), F.col("page_id")).alias("key"))
+    found = [tuple(r)[2:] for r in warc.lookup(keys, cdx).collect()]
+    asked, total = sum(r[1] for r in warc.runs(found)), captures.agg(F.sum("length")).first()[0]
+    assert len(found) == 4 and asked == sum(n for _, n in found) and asked < 0.02 * total
+    assert sum(p.stat().st_size for p in (tmp_path / "warc").iterdir()) == total
+    assert warc.runs([(10, 5), (0, 10), (20, 3)]) == [[0, 15, [(0, 10), (10, 5)]], [20, 3, [(20, 3)]]]
 
 
 # Passages
