@@ -110,11 +110,14 @@ _add("ag16_regression_trigger", _ev(lambda d: A.regression_trigger(*_halves(d)))
   (SELECT round(avg(overall_score), 6) FROM ev WHERE run_id >= '2024-01-16') AS now_mean, (SELECT round(avg(overall_score), 6) FROM ev WHERE run_id < '2024-01-16') AS prev_mean)
 SELECT now_mean, prev_mean, now_mean < prev_mean - 1e-9 AS regressed FROM m""")
 _add("ag17_slice_consistency", _ev(A.slice_consistency), f"""WITH {V.EV}, g AS (
-  SELECT CASE WHEN source_type IS NOT NULL THEN 'source_type=' || source_type WHEN category IS NOT NULL THEN 'category=' || category ELSE 'all' END AS slice, pipeline, round(avg(overall_score), 6) AS s
-  FROM ev GROUP BY GROUPING SETS ((source_type, pipeline), (category, pipeline), (pipeline))),
-r AS (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY s DESC, pipeline) AS rn FROM g), w AS (SELECT slice, pipeline AS winner FROM r WHERE rn = 1)
+  SELECT 'source_type=' || source_type AS slice, pipeline, round(avg(overall_score), 6) AS s, count(*) AS n FROM ev GROUP BY source_type, pipeline
+  UNION ALL SELECT 'category=' || category, pipeline, round(avg(overall_score), 6), count(*) FROM ev GROUP BY category, pipeline
+  UNION ALL SELECT 'all', pipeline, round(avg(overall_score), 6), 3 FROM ev GROUP BY pipeline),
+k AS (SELECT slice FROM g GROUP BY 1 HAVING min(n) >= 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY s DESC, pipeline) AS rn FROM g JOIN k USING (slice)), w AS (SELECT slice, pipeline AS winner FROM r WHERE rn = 1)
 SELECT slice, winner, (SELECT winner FROM w WHERE slice = 'all') AS agg_winner, winner = (SELECT winner FROM w WHERE slice = 'all') AS agrees FROM w""")
 
+
 _BINS = f"""{V.EV}, b AS (SELECT least(CAST(floor(overall_score * 10) AS INTEGER), 9) AS bin, overall_score, answer_correct FROM ev),
 g AS (SELECT bin, round(avg(overall_score), 6) AS predicted, round(avg(CASE WHEN answer_correct THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy, count(*) AS n FROM b GROUP BY 1),
 c AS (SELECT CAST(r.range AS INTEGER) AS bin, coalesce(predicted, 0.0::DOUBLE) AS predicted, coalesce(accuracy, 0.0::DOUBLE) AS accuracy, coalesce(n, 0) AS n FROM range(10) r LEFT JOIN g ON g.bin = r.range)"""
@@ -167,8 +170,11 @@ _add("ag42_corpus_hash", lambda s, d: A.corpus_hash(V.documents(s, d)), """SELEC
 _add("ag43_recall_delta", _ev(lambda d: d.agg(A.mean(A.flag("answer_correct")).alias("base"), A.mean(A.flag(F.col("latency_ms") > 50)).alias("tuned")).withColumn("delta", F.round(F.col("tuned") - F.col("base"), 6))),
      f"""WITH {V.EV}, x AS (SELECT round(avg(CASE WHEN answer_correct THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS base, round(avg(CASE WHEN latency_ms > 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS tuned FROM ev)
 SELECT base, tuned, round(tuned - base, 6) AS delta FROM x""")
-_add("ag45_eval_summary", _ev(A.eval_summary), f"""WITH {V.EV} SELECT count(*) AS n, round(sum(CASE WHEN answer_correct THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / greatest(count(*), 1), 3) AS accuracy,
-  round(coalesce(avg(overall_score), 0), 3) AS avg_score FROM ev""")
+_add("ag45_eval_summary", _ev(lambda e: A.eval_summary(e.withColumn("completeness", F.when(F.col("source_type") != 1, F.col("overall_score"))))), f"""WITH {V.EV} SELECT count(*) AS n, count(*) FILTER (answer_correct) AS correct, round(count(*) FILTER (answer_correct) / CAST(greatest(count(*), 1) AS DOUBLE), 3) AS accuracy,
+  round(coalesce(avg(overall_score) FILTER (source_type <> 1), 0), 3) AS avg_completeness, round(coalesce(avg(overall_score), 0), 3) AS avg_score FROM ev""")
+_add("ag40_prompt_lab", _ev(lambda e: e.groupBy("model_id").agg(A.mean(A.flag("answer_correct")).alias("accuracy"), A.mean("overall_score").alias("mean_score"), A.mean("latency_ms", 4).alias("mean_latency"))), f"""WITH {V.EV} SELECT model_id, round(avg(CASE WHEN answer_correct THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy,
+  round(avg(overall_score), 6) AS mean_score, round(avg(latency_ms), 4) AS mean_latency FROM ev GROUP BY 1""")
+_add("fl16_failed_rows", _ev(lambda e: e.where(~F.col("answer_correct")).select("question_id", "pipeline")), f"WITH {V.EV} SELECT question_id, pipeline FROM ev WHERE NOT answer_correct")
 _add("tk07_best_and_worst", _ev(lambda d: d.select("question_id", "overall_score", F.lit("best").alias("side")).orderBy(F.desc("overall_score"), "question_id").limit(5).unionByName(
     d.select("question_id", "overall_score", F.lit("worst").alias("side")).orderBy("overall_score", "question_id").limit(5)).withColumn("overall_score", F.round("overall_score", 6))),
     f"""WITH {V.EV}, b AS (SELECT question_id, overall_score, 'best' AS side FROM ev ORDER BY overall_score DESC, question_id LIMIT 5),
@@ -215,8 +221,8 @@ SELECT model_id, c > 0.0005 AS alert, round(sum(c), 6) AS cost, count(*) AS n FR
 
 _add("sf04_document_stats", lambda s, d: D.normalise(V.documents(s, d)).select("id", "char_count", "word_count", "version"), rf"""WITH t AS (SELECT doc_id AS id, regexp_replace(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS c FROM documents)
 SELECT id, CAST(length(c) AS INTEGER) AS char_count, CAST({_TOKENS.format('c')} AS INTEGER) AS word_count, substr(sha256(c), 1, 8) AS version FROM t""")
-_add("sf07_clean_query", lambda s, d: V.load(s, d, "conversations").select("conv_id", "turn", T.clean_query("text").alias("query")), rf"""WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM conversations)
-SELECT conv_id, turn, substr(CASE WHEN regexp_matches(lower(t), '^({"|".join(T.QUESTION_WORDS)})\b') AND NOT t LIKE '%?' THEN t || '?' ELSE t END, 1, 512) AS query FROM t""")
+_add("sf07_clean_query", lambda s, d: V.load(s, d, "conversations").select("conv_id", "turn", T.clean_query("text").alias("query")), r"""WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM conversations)
+SELECT conv_id, turn, substr(CASE WHEN t <> '' AND right(t, 1) NOT IN ('?', '.', '!') AND regexp_matches(lower(t), '^(what|how|why|when|where|who|which|is|are|do|does|can)') THEN t || '?' ELSE t END, 1, 512) AS query FROM t""")
 _add("sf08_pii_kinds", lambda s, d: V.load(s, d, "documents").select("doc_id", F.array_join(T.pii_kinds("text"), ",").alias("kinds")).where("kinds <> ''"), "WITH k AS (SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in T.PII_PATTERNS.items()) + ") AS kinds FROM documents) SELECT * FROM k WHERE kinds <> ''")
 _SENT = r"list_filter(string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
 _add("sf09_sentences", lambda s, d: V.load(s, d, "documents").select("doc_id", T.sentences("text").alias("x")).select("doc_id", F.size("x").alias("n"), F.sha2(F.array_join("x", "|"), 256).alias("h")),
@@ -226,9 +232,10 @@ _add("sf10_containment", lambda s, d: V.load(s, d, "benchmark").join(V.load(s, d
 _add("sf12_error_rates", lambda s, d: E.error_rates(V.load(s, d, "benchmark").select("item_id", F.regexp_replace("text", " the ", " a ").alias("p"), F.col("text").alias("t")), "p", "t").select("item_id", "cer", "wer"))
 _add("sf25_previews", lambda s, d: V.load(s, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("preview"), T.approx_tokens("text").alias("tokens")), "SELECT doc_id, substr(text, 1, 80) AS preview, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens FROM documents")
 _add("sf30_intent", lambda s, d: V.load(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.intent("text").alias("i")).select("conv_id", "turn", "i.label", "i.method", "i.confidence"),
-     rf"""WITH t AS (SELECT conv_id, turn, text, {_TOKENS.format('text')} AS n FROM conversations WHERE role = 'user'), f AS (SELECT conv_id, turn,
-  CAST(n < 15 AS INTEGER) + CAST(NOT regexp_matches(lower(text), '\b(compare|contrast|versus|difference|analyze|explain|why|summarize|relationship|evaluate|steps|impact)\b') AS INTEGER) + CAST(trim(text) LIKE '%?' OR n <= 10 AS INTEGER) AS p FROM t)
-SELECT conv_id, turn, CASE WHEN p = 3 THEN 'simple' ELSE 'complex' END AS label, 'rule' AS method, round(0.9::DOUBLE - 0.2::DOUBLE * (3 - p), 6) AS confidence FROM f""")
+     rf"""WITH t AS (SELECT conv_id, turn, trim(lower(text)) AS t, {_TOKENS.format('text')} AS n FROM conversations WHERE role = 'user'), f AS (SELECT conv_id, turn,
+  CAST(n < 15 AS INTEGER) + CAST(NOT (contains(t, 'compare') OR contains(t, 'difference') OR contains(t, 'between') OR contains(t, 'changed') OR contains(t, 'conflict') OR contains(t, 'multiple') OR contains(t, 'across')
+    OR contains(t, 'summarize') OR contains(t, 'when did') OR contains(t, 'why did') OR contains(t, 'trace') OR contains(t, 'history')) AS INTEGER) + CAST(t LIKE '%?' OR n <= 10 AS INTEGER) AS p FROM t)
+SELECT conv_id, turn, CASE WHEN p = 3 THEN 'simple' ELSE 'complex' END AS label, 'rule' AS method, round(CASE p WHEN 3 THEN 0.9::DOUBLE WHEN 2 THEN 0.5::DOUBLE WHEN 1 THEN 0.7::DOUBLE ELSE 0.9::DOUBLE END, 6) AS confidence FROM f""")
 _add("sf31_freshness", lambda s, d: V.load(s, d, "orders").select("o_orderkey", F.round(T.freshness(F.col("o_orderdate"), F.lit("1998-08-02").cast("date")), 6).alias("fresh")),
      """WITH t AS (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') AS d FROM orders)
 SELECT o_orderkey, round(CASE WHEN d IS NULL THEN 0.5::DOUBLE WHEN d <= 30 THEN 1.0::DOUBLE WHEN d <= 180 THEN 1 - (d - 30) / 150 * 0.5::DOUBLE ELSE 0.3::DOUBLE END, 6) AS fresh FROM t""")
@@ -245,7 +252,17 @@ SELECT doc_id || '_chunk_' || CAST(p0 / 150 AS INTEGER) AS id, sha256(array_to_s
 _add("ch02_sentence_chunks", lambda s, d: C.sentence(V.documents(s, d)).select("id", F.size(T.tokens("content")).alias("n")))
 _add("ch05_recursive_chunks", lambda s, d: C.recursive(V.documents(s, d)).select("id", F.length("content").alias("n")))
 _add("ch06_whole_chunks", lambda s, d: C.whole(V.documents(s, d)).select("id", "doc_id", F.length("content").alias("n")), r"SELECT doc_id || '_chunk_0' AS id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE regexp_replace(text, '\s', '', 'g') <> ''")
-_add("ch09_boundaries", lambda s, d: C.boundary_diagnosis(C.fixed(V.documents(s, d))).groupBy("boundary").agg(F.count("*").alias("n")))
+_add("ch09_boundaries", lambda s, d: C.boundary_diagnosis(C.fixed(V.documents(s, d))).groupBy("doc_id").agg(F.count_if("mid_clause").alias("mid_clause_splits"), F.count_if("mid_list").alias("mid_list_splits")), r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS t FROM documents WHERE regexp_replace(text, '\s', '', 'g') <> ''),
+e AS (SELECT doc_id, t, unnest(range(0, len(t), 150)) AS p0 FROM t), c AS (SELECT doc_id, p0, array_to_string(t[p0 + 1 : p0 + 200], ' ') AS own FROM e),
+n AS (SELECT *, lead(own) OVER (PARTITION BY doc_id ORDER BY p0) AS next FROM c)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) FILTER (next IS NOT NULL AND NOT regexp_matches(own, '[.!?]["''\)\]]?\s*$')) AS mid_clause_splits,
+  count(*) FILTER (next IS NOT NULL AND regexp_matches(own, '^\s*(\d+[.)]|[-*•])\s') AND NOT regexp_matches(next, '^\s*(\d+[.)]|[-*•])\s')) AS mid_list_splits FROM n GROUP BY 1""")
+_add("sf18_code_presence", lambda s, d: V.load(s, d, "documents").select("doc_id", T.has_code("text").alias("has_code")), r"SELECT doc_id, regexp_matches(text, '`[^`]+`|\bdef\b|\bfunction\b|\bclass\b|[{};]|=>') AS has_code FROM documents")
+_add("sf17_vote_form", lambda s, d: V.load(s, d, "conversations").select("conv_id", "turn", T.vote_form(F.concat(F.lit("  Re [ab-1]\n "), "text", F.lit(" [c_2]"))).alias("form")), r"SELECT conv_id, turn, regexp_replace(regexp_replace(lower('Re [ab-1]' || chr(10) || ' ' || text || ' [c_2]'), '\[[\w-]+\]', '', 'g'), '\s+', ' ', 'g') AS form FROM conversations")
+_add("sf15_answers", lambda s, d: _replies(s, d).select("conv_id", "turn", T.extract_answer("reply").alias("answer")), r"""WITH r AS (SELECT conv_id, turn, text, turn % 5 AS k FROM conversations), w AS (SELECT *, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS t FROM r)
+SELECT conv_id, turn, CASE k WHEN 0 THEN t WHEN 1 THEN 'so ' || t WHEN 2 THEN t || chr(10) || 'In conclusion: no' WHEN 3 THEN 'not ' || t ELSE t END AS answer FROM w""")
+_add("sf26_failures", _ev(lambda e: e.select("question_id", T.failure_hypothesis(F.col("answer_correct"), F.when(F.col("source_type") == 1, 0.0).otherwise(F.col("overall_score"))).alias("cause")).groupBy("cause").agg(F.count("*").alias("n"))), f"""WITH {V.EV}, c AS (SELECT answer_correct, CASE WHEN source_type = 1 THEN 0.0::DOUBLE ELSE overall_score END AS c FROM ev)
+SELECT CASE WHEN answer_correct THEN 'none' WHEN c >= 0.5 THEN 'generation' WHEN c > 0 THEN 'mixed' ELSE 'retrieval' END AS cause, count(*) AS n FROM c GROUP BY 1""")
 
 # Retrieval
 
@@ -352,7 +369,11 @@ _add("wn12_last_turns", lambda s, d: R.last_turns(V.load(s, d, "conversations").
 _add("ca02_semantic_cache", lambda s, d: R.semantic_cache(_qvecs(s, d).withColumns({"backend": F.lit("b"), "top_k": F.lit(5)}), V.vectors(s, d).where("chunk_id % 100 <> 0").select(F.col("chunk_id").alias("cache_id"), "vec", F.lit("b").alias("backend"), F.lit(5).alias("top_k")), 0.3),
      f"WITH {_dense_sql(where='v.vec_id % 100 <> 0')} SELECT question_id, chunk_id AS cache_id, score FROM dense WHERE rank = 1 AND score >= 0.3")
 _add("ix19_route", lambda s, d: R.route_by_size(V.documents(s, d)), f"WITH t AS (SELECT CAST(sum({_TOKENS.format('text')}) AS BIGINT) AS tokens FROM documents) SELECT tokens, CASE WHEN tokens <= 80000 THEN 'cag' WHEN tokens <= 10000000 THEN 'rag' ELSE 'rlm' END AS route FROM t")
-_add("ix17_page_index", lambda s, d: R.page_index(_questions(s, d), C.whole(V.documents(s, d)), 3).select("question_id", "rank", "chunk_id", "score"))
+_add("ix17_page_index", lambda s, d: R.page_index(_questions(s, d), C.whole(V.documents(s, d)), 3).select("question_id", "rank", "chunk_id", "score"), rf"""WITH q AS (SELECT item_id * 100 AS question_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS w FROM benchmark),
+u AS (SELECT question_id, w, count(*) AS m, sum(count(*)) OVER (PARTITION BY question_id) AS n FROM q GROUP BY 1, 2), d AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, lower(text) AS t, {_TOKENS.format('text')} AS words FROM documents WHERE regexp_replace(text, '\s', '', 'g') <> ''),
+f AS (SELECT x.w, d.chunk_id, d.words, (length(t) - length(replace(t, x.w, ''))) // length(x.w) AS f FROM (SELECT DISTINCT w FROM u) x JOIN d ON contains(d.t, x.w)),
+s AS (SELECT question_id, chunk_id, round(0.7::DOUBLE * sum(m) / max(n) + 0.3::DOUBLE * least(CAST(sum(f * m) AS DOUBLE) / max(words), 1), 6) AS score FROM u JOIN f USING (w) GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT question_id, rank, chunk_id, score FROM r WHERE rank <= 3""")
 
 
 def _graph(s, d):
@@ -373,7 +394,7 @@ def _naive(s, d):
 
 
 _add("pl01_naive", _naive)
-_add("pl08_cag", lambda s, d: P.cag(V.documents(s, d), 100_000).select("id", "total"), "WITH t AS (SELECT doc_id AS id, CAST(sum(greatest(1, length(text) // 4)) OVER (ORDER BY doc_id) AS BIGINT) AS total FROM documents) SELECT * FROM t WHERE total <= 80000")
+_add("pl08_cag", lambda s, d: P.cag(V.documents(s, d), 1 << 40).select("id", "total"), "SELECT doc_id AS id, CAST(sum(greatest(1, length(text) // 4)) OVER (ORDER BY doc_id) AS BIGINT) AS total FROM documents")
 _add("jn10_similar_questions", lambda s, d: D.similar_pairs(V.load(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content")), 0.9),
      r"""WITH t AS (SELECT conv_id * 1000 + turn AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> ''))) AS s FROM conversations WHERE role = 'user'),
 j AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.s, y.s)) AS i, len(x.s) + len(y.s) AS n FROM t x JOIN t y ON x.id < y.id WHERE len(x.s) > 0 AND len(y.s) > 0)
@@ -402,7 +423,9 @@ r AS (SELECT CASE WHEN n < 4 THEN 'too_short' WHEN trim(coalesce(a, '')) = '' TH
 _add("sk04_upsert", lambda s, d: A.top_per_group(V.eval_results(s, d).select("user_id", "pipeline", "question_id", F.round("overall_score", 6).alias("score")), ["user_id", "pipeline"], [F.desc("question_id")]).drop("rank"),
      f"WITH {V.EV}, r AS (SELECT user_id, pipeline, question_id, round(overall_score, 6) AS score, row_number() OVER (PARTITION BY user_id, pipeline ORDER BY question_id DESC) AS rn FROM ev) SELECT user_id, pipeline, question_id, score FROM r WHERE rn = 1")
 _add("sk08_experiment_ids", lambda s, d: V.load(s, d, "nation").select("n_name", W.experiment_id(F.col("n_name")).alias("id")), "SELECT n_name, substr(sha256(n_name), 1, 16) AS id FROM nation")
-_add("sc16_subset_cap", lambda s, d: S.capped(V.load(s, d, "documents").select("doc_id", "source"), "source", "doc_id", 5), "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) SELECT doc_id, source FROM r WHERE rn <= 5")
+_add("sc16_subset_cap", lambda s, d: S.benchmark_questions(V.load(s, d, "documents").select(F.element_at(F.array(*[F.lit(x) for x in ("hotpotqa", "msmarco", "nq", "fiqa", "other")]), (F.col("doc_id") % 5 + 1).cast("int")).alias("subset"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("query_id"), F.col("source").alias("text"), F.col("lang").alias("answer")), 50), """WITH t AS (SELECT ['hotpotqa', 'msmarco', 'nq', 'fiqa', 'other'][doc_id % 5 + 1] AS subset, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS q, source, lang FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY q) AS rn FROM t)
+SELECT subset || '_' || q AS id, source AS text, lang AS ground_truth, 'all' AS source_type, CASE subset WHEN 'hotpotqa' THEN 'multi_hop' WHEN 'fiqa' THEN 'analytical' ELSE 'factual' END AS category FROM r WHERE rn <= 50""")
 _add("fl01_source_filter", lambda s, d: V.load(s, d, "documents").select("doc_id", F.concat_ws(", ", "source", "lang").alias("src")).where(S.source_match("src", ["src1", "fr"])), "SELECT doc_id, source || ', ' || lang AS src FROM documents WHERE source = 'src1' OR lang = 'fr'")
 _add("st01_rate_limits", lambda s, d: L.per_minute(V.load(s, d, "events"), width="1 day", limit=3), """SELECT date_trunc('day', ts) AS window_start, user_id, count(*) AS n, count(*) > 3 AS limited FROM events GROUP BY 1, 2""")
 _add("st02_tumbling", lambda s, d: L.windowed(V.load(s, d, "events"), "ts", "1 hour", None, "event_type", "value"), "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -430,7 +453,10 @@ _add("fl14_drop_nulls", lambda s, d: V.load(s, d, "documents").join(V.load(s, d,
      "SELECT quality, count(*) AS n, round(avg(n_chars), 6) AS avg_chars FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1")
 _add("fl15_unknown_sources", lambda s, d: S.unknown_sources(V.load(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("src"), "n_nationkey").alias("source_type")), V.documents(s, d)),
      "SELECT 'src' || n_nationkey AS source_type, n_nationkey AS id FROM nation WHERE 'src' || n_nationkey NOT IN (SELECT source FROM documents)")
-_add("jn05_probe_match", lambda s, d: E.adversarial(V.load(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"), F.col("text").alias("predicted_answer")), s.createDataFrame([("the", "answer"), ("ing", "refuse"), ("qu", "flag_uncertainty")], "query string, expected_behavior string")).groupBy("probe", "behaved").agg(F.count("*").alias("n")))
+_add("jn05_probe_match", lambda s, d: E.adversarial(V.load(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"), F.col("text").alias("predicted_answer")), s.createDataFrame([("the", "answer"), ("ing", "refuse"), ("qu", "flag_uncertainty")], "query string, expected_behavior string")).groupBy("probe", "behaved").agg(F.count("*").alias("n")),
+     """WITH p(probe, want) AS (VALUES ('the', 'answer'), ('ing', 'refuse'), ('qu', 'flag_uncertainty')), j AS (SELECT c.conv_id, c.turn, lower(c.text) AS t, p.*, row_number() OVER (PARTITION BY c.conv_id, c.turn ORDER BY probe) AS rn FROM conversations c JOIN p ON contains(lower(c.text), p.probe))
+SELECT probe, CASE want WHEN 'refuse' THEN contains(t, 'not found') OR contains(t, 'cannot answer') OR contains(t, 'insufficient') OR contains(t, 'i don''t know')
+  WHEN 'flag_uncertainty' THEN contains(t, 'not sure') OR contains(t, 'uncertain') OR contains(t, 'may not be') OR contains(t, 'insufficient') ELSE NOT contains(t, 'not found') END AS behaved, count(*) AS n FROM j WHERE rn = 1 GROUP BY 1, 2""")
 _add("jn11_best_chunk", lambda s, d: E.training_pairs(_questions(s, d), V.documents(s, d), 1).select("question_id", "chunk_id", "shared"), r"""WITH q AS (SELECT DISTINCT item_id * 100 AS question_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS t FROM benchmark),
 c AS (SELECT DISTINCT doc_id AS chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS t FROM documents),
 n AS (SELECT question_id, chunk_id, count(*) AS shared FROM q JOIN c USING (t) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY shared DESC, chunk_id) AS rn FROM n)
@@ -466,19 +492,37 @@ _add("sf21_html_escape", lambda s, d: V.load(s, d, "pages").select("page_id", F.
 _add("sf28_token_estimates", lambda s, d: V.documents(s, d).agg(F.sum(T.approx_tokens("content")).alias("tokens")), "SELECT CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens FROM documents")
 _add("sf32_provenance", lambda s, d: V.documents(s, d).select("id", T.provenance("source_type", {"src1": 1.0, "src2": 0.8, "src3": 0.6}).alias("tier")), "SELECT doc_id AS id, CASE source WHEN 'src1' THEN 1.0::DOUBLE WHEN 'src2' THEN 0.8::DOUBLE WHEN 'src3' THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS tier FROM documents")
 _add("sf38_logits", _ev(lambda d: d.select("question_id", F.round(T.logit(F.col("overall_score")), 6).alias("logit"))), f"WITH {V.EV} SELECT question_id, round(ln(greatest(1e-6, least(1 - 1e-6, overall_score)) / (1 - greatest(1e-6, least(1 - 1e-6, overall_score)))), 6) AS logit FROM ev")
-_add("ix05_dense_by_source", lambda s, d: R.ranked(R.dense(_qvecs(s, d), V.vectors(s, d), 50).join(V.vectors(s, d).select("chunk_id", "source_type"), "chunk_id").where("source_type = 1").drop("rank"), 3).select("question_id", "rank", "chunk_id", "score"), f"""WITH {_dense_sql()},
-f AS (SELECT d.question_id, d.chunk_id, d.score, CAST(row_number() OVER (PARTITION BY d.question_id ORDER BY d.score DESC, d.chunk_id) AS INTEGER) AS rank FROM dense d JOIN embeddings e ON e.vec_id = d.chunk_id WHERE d.rank <= 50 AND e.label = 1) SELECT * FROM f WHERE rank <= 3""")
+_add("ix05_dense_by_source", lambda s, d: R.dense(_qvecs(s, d), V.vectors(s, d), 3, keep=F.col("source_type") == 1), f"""WITH s AS (SELECT q.vec_id AS question_id, v.vec_id AS chunk_id, round({_COS}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.label = 1),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT question_id, rank, chunk_id, score FROM r WHERE rank <= 3""")
 _add("ix18_max_sim", lambda s, d: R.max_sim(_qvecs(s, d).select("question_id", F.lit(0).alias("qpos"), "qvec"), V.vectors(s, d).select(F.col("source_type").alias("chunk_id"), "vec"), 3), f"""WITH m AS (SELECT q.vec_id AS question_id, v.label AS chunk_id, round(max({_DOT.format("q.embedding", "v.embedding")}), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM m) SELECT * FROM r WHERE rank <= 3""")
 _add("qc03_synthetic_ids", lambda s, d: V.load(s, d, "benchmark").select("item_id", E.synthetic_id("text").alias("id")), "SELECT item_id, 'syn_' || substr(sha256(text), 1, 12) AS id FROM benchmark")
 _add("qc04_synthesis_plan", lambda s, d: E.synthesis_plan(V.documents(s, d), ["factual", "adversarial"]).groupBy("kind").agg(F.count("*").alias("n")))
-_add("lp02_recommendations", _ev(lambda d: A.config_pairs(d).select("config_a", "config_b", E.recommendation(F.col("delta"), F.lit(0.01), F.col("delta") > 0.01).alias("advice"))), f"""WITH {V.EV}, m AS (SELECT user_id, pipeline, avg(overall_score) AS m FROM ev GROUP BY 1, 2),
+_add("lp02_recommendations", _ev(lambda d: A.config_pairs(d).select("config_a", "config_b", E.recommendation(F.lit(2), F.col("delta"), F.when(F.abs("delta") > 0.01, 0.01).otherwise(0.5), F.lit(0.25), F.col("delta") > 0, F.lit("it loses a slice.")).alias("advice"))), f"""WITH {V.EV}, m AS (SELECT user_id, pipeline, avg(overall_score) AS m FROM ev GROUP BY 1, 2),
 p AS (SELECT x.pipeline AS config_a, y.pipeline AS config_b, round(avg(y.m - x.m), 6) AS delta FROM m x JOIN m y ON x.user_id = y.user_id AND x.pipeline < y.pipeline GROUP BY 1, 2)
-SELECT config_a, config_b, CASE WHEN delta <= 0 THEN 'roll back: the change is worse' WHEN NOT delta > 0.01 THEN 'hold: the gain is not the same in all slices' ELSE 'adopt the change' END AS advice FROM p""")
+SELECT config_a, config_b, CASE WHEN abs(delta) <= 0.01 THEN 'Iteration 2: no significant improvement (p=0.500). Consider more training data or a different base embedding model.'
+  WHEN delta <= 0 THEN printf('Iteration 2: significant on aggregate (delta=%+.3f, p=0.010) but it loses a slice. Do not deploy without reviewing per-slice detail.', delta)
+  ELSE printf('Deploy iter_2 model — significant %+.3f on overall_score (p=0.010, effect_size=0.25).', delta) END AS advice FROM p""")
 _add("pl02_decompose", lambda s, d: _over_documents(s, d, lambda q, get: P.decompose(q.select("question_id", F.posexplode(T.sentences("text")).alias("hop", "text")), get, 5)))
 _add("pl07_fusion", lambda s, d: _over_documents(s, d, lambda q, get: P.fusion(q.select("question_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("variant"), "text"), get, 5)))
-_add("pl14_conversational", lambda s, d: P.conversational(V.load(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "conv_id", "text"), V.load(s, d, "conversations")).select("question_id", F.length("text").alias("n")))
-_add("in02_routes", lambda s, d: P.adaptive(_questions(s, d).withColumn("label", T.intent("text")["label"]), "label", {"direct": lambda q: q, "retrieval": lambda q: q}).groupBy("route").agg(F.count("*").alias("n")), "SELECT 'retrieval' AS route, count(*) AS n FROM benchmark")
+_add("pl14_conversational", lambda s, d: P.conversational(V.load(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "conv_id", "turn", "text"), V.load(s, d, "conversations")).select("question_id", "text"), """WITH t AS (SELECT *, array_to_string(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), chr(10)) AS c FROM conversations)
+SELECT conv_id * 1000 + turn AS question_id, CASE WHEN coalesce(c, '') <> '' THEN c || chr(10) || 'user: ' || text ELSE text END AS text FROM t WHERE role = 'user'""")
+_add("in02_routes", lambda s, d: P.adaptive(V.load(s, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 6 < 5, F.format_string('{"type": "%s", "confidence": 0.9}', F.element_at(F.array(*[F.lit(x) for x in (*P.ROUTES, "odd")]), (F.col("turn") % 6 + 1).cast("int")))).otherwise("no json").alias("reply")).withColumn("label", P.parse_query_type("reply")["type"]), "label", {r: (lambda q: q) for r in P.ROUTES}).groupBy("route").agg(F.count("*").alias("n")),
+     "SELECT CASE turn % 6 WHEN 1 THEN 'analytical' WHEN 2 THEN 'generative' WHEN 3 THEN 'conversational' ELSE 'factual' END AS route, count(*) AS n FROM conversations GROUP BY 1")
+
+
+def _replies(s, d) -> DataFrame:
+    """Turns as replies with each of the answer markers, or none."""
+    t = T.collapse_space("text")
+    k = F.col("turn") % 5
+    reply = (
+        F.when(k == 0, F.concat(F.lit("thinking\n Answer: "), t, F.lit("\n\nmore\nAnswer: no")))
+        .when(k == 1, F.concat(F.lit("a\nTherefore, so "), t))
+        .when(k == 2, F.concat(F.lit("b\nFinal answer: "), t, F.lit("\nIn conclusion: no")))
+        .when(k == 3, F.concat(F.lit("In conclusion, not "), t, F.lit("\n\nend")))
+        .otherwise(F.concat(F.lit("answer: low\n\nsecond\n\n "), t, F.lit(" \n\n")))
+    )
+    return V.load(s, d, "conversations").select("conv_id", "turn", reply.alias("reply"))
 
 
 def _over_documents(s, d, f) -> DataFrame:

@@ -7,16 +7,31 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-QUESTION_WORDS = ("what", "who", "where", "when", "why", "how", "which", "is", "are", "can", "does", "do", "did", "should", "could", "would")
+# First words of questions.
+QUESTION_WORDS = ("what", "how", "why", "when", "where", "who", "which", "is", "are", "do", "does", "can")
+# Words of complex questions.
+COMPLEX_KEYWORDS = ("compare", "difference", "between", "changed", "conflict", "multiple", "across", "summarize", "when did", "why did", "trace", "history")
 # Phrases that mark a refusal or an uncertain answer.
-REFUSALS = ("i don't know", "i do not know", "cannot answer", "not enough information", "no information", "not found", "unable to answer")
-UNCERTAIN = ("not sure", "uncertain", "may not", "might", "unclear", "possibly", "it depends")
+REFUSALS = ("not found", "cannot answer", "insufficient", "i don't know")
+UNCERTAIN = ("not sure", "uncertain", "may not be", "insufficient")
+# Patterns of personal data in questions.
 PII_PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
     "phone": r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "card": r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b",
+    "credit_card": r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b",
 }
+# What an answer follows, in order of precedence.
+ANSWER_MARKERS = (
+    r"(?:^|\n)\s*Answer:\s*(.+)",
+    r"(?:^|\n)\s*Therefore[,:]\s*(.+)",
+    r"(?:^|\n)\s*Final [Aa]nswer:\s*(.+)",
+    r"(?:^|\n)\s*In conclusion[,:]\s*(.+)",
+)
+# Marks of code, of the end of a sentence, of a list item.
+CODE = r"`[^`]+`|\bdef\b|\bfunction\b|\bclass\b|[{};]|=>"
+SENTENCE_END = r"[.!?][\"')\]]?\s*$"
+LIST_ITEM = r"^\s*(\d+[.)]|[-*•])\s"
 
 
 def tokens(c) -> Column:
@@ -45,9 +60,10 @@ def cache_key(query, backend, k) -> Column:
 
 
 def clean_query(c) -> Column:
-    """Trimmed and collapsed, a question mark after questions, 512 characters."""
+    """Trimmed and collapsed; a question mark where a question word begins it
+    and no . ? or ! ends it; at most 512 characters."""
     t = collapse_space(c)
-    asks = F.lower(t).rlike(rf"^({'|'.join(QUESTION_WORDS)})\b") & ~t.endswith("?")
+    asks = F.lower(t).rlike(f"^({'|'.join(QUESTION_WORDS)})") & ~t.rlike("[?.!]$")
     return F.substring(F.when(asks, F.concat(t, F.lit("?"))).otherwise(t), 1, 512)
 
 
@@ -108,26 +124,33 @@ def chunk_label(rank) -> Column:
 
 
 def extract_answer(c) -> Column:
-    """What follows the last answer marker, else the last paragraph."""
-    found = [F.nullif(strip(F.regexp_extract(c, p, 1)), F.lit("")) for p in (r"(?is).*final answer:\s*(.+)$", r"(?is).*therefore,?\s+(.+)$", r"(?is).*answer:\s*(.+)$", r"(?is).*in conclusion,?\s+(.+)$")]
-    return F.coalesce(*found, strip(F.element_at(F.split(strip(c), r"\n\s*\n"), -1)))
+    """What follows the first answer marker up to a blank line, else the last
+    paragraph."""
+    c = F.col(c) if isinstance(c, str) else c
+    parts = F.filter(F.transform(F.split(c, "\n\n"), strip), lambda x: x != "")
+    out = F.coalesce(F.try_element_at(parts, F.lit(-1)), strip(c))
+    for p in reversed(ANSWER_MARKERS):
+        p = "(?s)" + p
+        out = F.when(c.rlike(p), strip(F.element_at(F.split(strip(F.regexp_extract(c, p, 1)), "\n\n"), 1))).otherwise(out)
+    return out
 
 
 def vote_form(c) -> Column:
-    """Form in which answers are compared: lower case, no citations."""
-    return collapse_space(F.regexp_replace(F.lower(c), r"\[chunk_\d+\]", ""))
+    """Form in which answers are compared: lower case, no bracketed marks,
+    white space collapsed."""
+    return F.regexp_replace(F.regexp_replace(strip(F.lower(c)), r"\[[\w-]+\]", ""), r"\s+", " ")
 
 
 def has_code(c) -> Column:
-    return F.col(c).rlike(r"```|\bdef \w+\(|\bclass \w+|\bfunction \w+\(|=>|;\s*$")
+    return F.col(c).rlike(CODE)
 
 
 def ends_sentence(c) -> Column:
-    return F.col(c).rlike(r"[.!?][\"')\]]*\s*$")
+    return F.col(c).rlike(SENTENCE_END)
 
 
 def starts_list_item(c) -> Column:
-    return F.col(c).rlike(r"^\s*([-*•]|\d+[.)])\s+")
+    return (F.col(c) if isinstance(c, str) else c).rlike(LIST_ITEM)
 
 
 def caption(c) -> Column:
@@ -244,19 +267,22 @@ def unit(c) -> Column:
 
 
 def intent(c) -> Column:
-    """Rule intent: short, keyword and question features; confidence 0.9 less
-    0.2 for each feature of a simple question that is missing."""
+    """Rule intent: short, no keyword of complex questions, a question mark or
+    at most ten words; simple if all hold, else complex, the less sure the more
+    of them hold."""
+    t = strip(F.lower(c))
     n = F.size(tokens(c))
-    # Words of complex questions.
-    hard = F.lower(c).rlike(r"\b(compare|contrast|versus|difference|analyze|explain|why|summarize|relationship|evaluate|steps|impact)\b")
-    passed = (n < 15).cast("int") + (~hard).cast("int") + (F.trim(c).endswith("?") | (n <= 10)).cast("int")
-    return F.struct(F.when(passed == 3, "simple").otherwise("complex").alias("label"), F.lit("rule").alias("method"), F.round(0.9 - 0.2 * (3 - passed), 6).alias("confidence"))
+    hard = t.rlike("|".join(COMPLEX_KEYWORDS))
+    passed = (n < 15).cast("int") + (~hard).cast("int") + (t.endswith("?") | (n <= 10)).cast("int")
+    sure = F.when(passed == 3, 0.9).otherwise(0.9 - 0.2 * passed)
+    return F.struct(F.when(passed == 3, "simple").otherwise("complex").alias("label"), F.lit("rule").alias("method"), F.round(sure, 6).alias("confidence"))
 
 
-def failure_hypothesis(correct, completeness, recall) -> Column:
-    return (
-        F.when(correct, "none").when(~recall, "retrieval missed the evidence").when(completeness < 0.5, "answer left parts out").otherwise("generation misread the evidence")
-    )
+def failure_hypothesis(correct, completeness) -> Column:
+    """Where a wrong answer went wrong: with half of the truth or more in it in
+    generation, with less both may have, with none of it in retrieval."""
+    c = F.col(completeness) if isinstance(completeness, str) else completeness
+    return F.when(correct, "none").when(c >= 0.5, "generation").when(c > 0, "mixed").otherwise("retrieval")
 
 
 def run_name(*parts) -> Column:

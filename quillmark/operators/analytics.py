@@ -131,12 +131,14 @@ def regression_trigger(now: DataFrame, before: DataFrame, metric: str = "overall
     return a.join(b).withColumn("regressed", F.col("now_mean") < F.col("prev_mean") - 1e-9)
 
 
-def slice_consistency(results: DataFrame, config: str = "pipeline", least: int = 1) -> DataFrame:
-    """Winner of every slice and overall; consistent if all agree."""
+def slice_consistency(results: DataFrame, config: str = "pipeline", least: int = 3) -> DataFrame:
+    """Winner of every slice and overall; consistent if all agree. A slice in
+    which some configuration has fewer than least rows is skipped."""
     r = results.select(F.col("source_type").cast("string").alias("s"), F.col("category").cast("string").alias("c"), config, "overall_score")
     g = r.groupingSets([["s", config], ["c", config], [config]], "s", "c", config).agg(mean("overall_score").alias("avg_score"), F.count("*").alias("n"))
     name = F.when(F.col("s").isNotNull(), F.concat(F.lit("source_type="), "s")).when(F.col("c").isNotNull(), F.concat(F.lit("category="), "c")).otherwise("all")
-    won = top_per_group(g.where(F.col("n") >= least).withColumn("slice", name), ["slice"], [F.desc("avg_score"), config])
+    g = g.withColumn("slice", name).withColumn("few", F.min("n").over(Window.partitionBy("slice")))
+    won = top_per_group(g.where((F.col("few") >= least) | (F.col("slice") == "all")), ["slice"], [F.desc("avg_score"), config])
     agg = won.where("slice = 'all'").select(F.col(config).alias("agg_winner"))
     return won.select("slice", F.col(config).alias("winner")).join(F.broadcast(agg)).select("slice", "winner", "agg_winner", (F.col("winner") == F.col("agg_winner")).alias("agrees"))
 
@@ -167,10 +169,13 @@ def majority_vote(votes: DataFrame, group: str, text: str, seq: str, norm: Colum
 
 
 def eval_summary(results: DataFrame) -> DataFrame:
+    """Number, right answers, accuracy and, where these columns are there, mean
+    completeness and mean score over the rows that have them (none: 0)."""
     n = F.count("*")
-    return results.agg(
-        n.alias("n"), F.round(F.sum(flag("answer_correct")) / F.greatest(n, F.lit(1)), 3).alias("accuracy"), F.round(F.coalesce(F.avg("overall_score"), F.lit(0.0)), 3).alias("avg_score")
-    )
+    share = F.round(F.sum(flag("answer_correct")) / F.greatest(n, F.lit(1)), 3)
+    means = {"completeness": "avg_completeness", "overall_score": "avg_score"}
+    out = [F.round(F.coalesce(F.avg(c), F.lit(0.0)), 3).alias(name) for c, name in means.items() if c in results.columns]
+    return results.agg(n.alias("n"), F.count_if("answer_correct").alias("correct"), F.coalesce(share, F.lit(0.0)).alias("accuracy"), *out)
 
 
 def completeness(results: DataFrame, scored: Column, threshold: float = 0.9) -> DataFrame:

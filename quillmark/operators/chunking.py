@@ -136,11 +136,15 @@ def export_blocks(blocks: DataFrame, target: int = 350, most: int = 500) -> Data
 
 
 def boundary_diagnosis(chunks: DataFrame) -> DataFrame:
-    """How each chunk ends, given how the next begins."""
+    """Whether a chunk that another follows ends inside a sentence
+    (mid_clause), and inside a list: its last line is an item, the first line
+    of the next chunk is none (mid_list). Blank chunks have neither fault."""
     nxt = F.lead("content").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
-    c = chunks.withColumn("__next", nxt)
-    kind = F.when(F.col("__next").isNull(), "end").when(T.starts_list_item("__next"), "list").when(T.ends_sentence("content"), "clean").otherwise("mid_sentence")
-    return c.withColumn("boundary", kind).drop("__next")
+    own = F.regexp_replace("content", r"\s+$", "")
+    c = chunks.withColumns({"__own": own, "__next": F.regexp_replace(nxt, r"^\s+", "")})
+    live = F.col("__next").isNotNull() & (F.col("__own") != "")
+    item = T.starts_list_item(F.substring_index("__own", "\n", -1)) & ~T.starts_list_item(F.substring_index("__next", "\n", 1))
+    return c.withColumns({"mid_clause": live & ~T.ends_sentence("__own"), "mid_list": live & item}).drop("__own", "__next")
 
 
 def offsets(docs: DataFrame, chunks: DataFrame) -> DataFrame:

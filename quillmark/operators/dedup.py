@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,23 +43,24 @@ def similar_pairs(docs: DataFrame, threshold: float, key: str = "id", text: str
     return j.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
-def greedy_keep(docs: DataFrame, pairs: DataFrame, key: str = "id", order: Column | None = None, rounds: int = 50) -> DataFrame:
+def greedy_keep(docs: DataFrame, pairs: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
     """Documents that a greedy pass in ascending order keeps: a document goes
     if it is similar to one that was kept before it. Done in rounds: whoever
-    has no undecided earlier neighbour is decided; only documents in pairs
-    take part."""
+    has no undecided earlier neighbour is decided, until all are; only
+    documents in pairs take part."""
     ends = pairs.select(F.col("a").alias(key)).unionByName(pairs.select(F.col("b").alias(key))).distinct()
     linked = docs.join(ends, key, "left_semi").select(key, F.struct(order if order is not None else F.col(key), F.col(key)).alias("pos"))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pa, pb = linked.select(F.col(key).alias("a"), F.col("pos").alias("x")), linked.select(F.col(key).alias("b"), F.col("pos").alias("y"))
     edges = both.join(pa, "a").join(pb, "b").where("y < x").select(F.col("a").alias("later"), F.col("b").alias("earlier")).persist()
     state = linked.select(key).withColumn("kept", F.lit(None).cast("boolean"))
-    for _ in range(rounds):
+    for i in itertools.count(1):
         s = state.withColumnsRenamed({key: "earlier", "kept": "k"})
         near = edges.join(s, "earlier").groupBy(F.col("later").alias(key)).agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("hit"), F.count_if(F.col("k").isNull()).alias("open"))
         new = state.join(near, key, "left")
         kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = new.select(key, kept.alias("kept")).persist()
+        state = new.select(key, kept.alias("kept"))
+        state = state.checkpoint() if i % 8 == 0 and docs.sparkSession.sparkContext.getCheckpointDir() else state.persist()
         if not state.where("kept is null").limit(1).count():
             break
     gone = state.where("kept = false").select(key)

@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from .analytics import average_ranks, benjamini_hochberg, flag, top_per_group
@@ -52,7 +53,8 @@ def adversarial(results: DataFrame, probes: DataFrame) -> DataFrame:
     j = results.join(p, F.contains(F.lower("question"), F.lower("probe")))
     j = top_per_group(j, ["question_id"], ["probe"], 1, "__r").drop("__r")
     refuses, unsure = T.any_phrase("predicted_answer", T.REFUSALS), T.any_phrase("predicted_answer", T.UNCERTAIN)
-    ok = F.when(F.col("expected_behavior") == "refuse", refuses).when(F.col("expected_behavior") == "flag_uncertainty", unsure | refuses).otherwise(~refuses)
+    found = ~F.contains(F.lower("predicted_answer"), F.lit("not found"))
+    ok = F.when(F.col("expected_behavior") == "refuse", refuses).when(F.col("expected_behavior") == "flag_uncertainty", unsure).otherwise(found)
     return j.withColumn("behaved", ok)
 
 
@@ -288,6 +290,11 @@ def rejection_reasons(gated: DataFrame) -> DataFrame:
     return gated.where("reason is not null").groupBy(F.substring_index("reason", ":", 1).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def difficulty_spread(gated: DataFrame) -> DataFrame:
+    """Questions kept by the gates, by difficulty."""
+    return gated.where("reason is null").groupBy(F.coalesce(F.nullif("difficulty", F.lit("")), F.lit("unspecified")).alias("difficulty")).agg(F.count("*").alias("n"))
+
+
 def synthesis_plan(docs: DataFrame, kinds: list[str], most_docs: int = 50, most_paragraphs: int = 5, least_chars: int = 100) -> DataFrame:
     """doc, paragraph and kind of each question to be written: evenly strided
     paragraphs that are long enough."""
@@ -308,17 +315,40 @@ def training_pairs(questions: DataFrame, chunks: DataFrame, negatives: int = 3,
     c = chunks.select(F.col("id").alias("chunk_id"), F.explode(F.array_distinct(T.tokens("content"))).alias("t"))
     n = q.join(c, "t").groupBy("question_id", "chunk_id").agg(F.count("*").alias("shared"))
     best = top_per_group(n, ["question_id"], [F.desc("shared"), "chunk_id"], 1, "__r").drop("__r")
-    pool = chunks.select(F.col("id").alias("negative_id")).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(negatives * 20)
-    neg = best.join(F.broadcast(pool)).where("negative_id <> chunk_id").withColumn("h", F.xxhash64(F.lit(seed), "question_id", "negative_id"))
-    return top_per_group(neg, ["question_id"], ["h", "negative_id"], negatives, "__r").drop("h", "__r")
-
-
-def recommendation(delta: Column, p_value: Column, consistent: Column) -> Column:
+    # Chunks get numbers in a seeded order; a question draws a place in it and
+    # takes the chunks from there on, so any chunk can be a negative.
+    order = drawn_order(chunks.select(F.col("id").alias("negative_id")), "negative_id", seed)
+    total = order.count()
+    if total < 2:
+        return best.withColumn("negative_id", F.lit(None).cast(order.schema["negative_id"].dataType)).limit(0)
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(min(negatives, total - 1))), lambda i: F.pmod(F.xxhash64(F.lit(seed), "question_id") + i, F.lit(total)))
+    neg = best.withColumn("place", F.explode(drawn)).join(order, "place").where("negative_id <> chunk_id")
+    return top_per_group(neg, ["question_id"], ["place", "negative_id"], negatives, "__r").drop("place", "__r")
+
+
+def drawn_order(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """key and place, from 0 in the order of a seeded hash: counts of hash
+    buckets first, then places inside each."""
+    h = df.select(key, F.xxhash64(F.lit(seed), key).alias("h")).withColumn("b", F.shiftright("h", 48))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    start = h.groupBy("b").agg(F.count("*").alias("n")).select("b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("b").orderBy("h", key))
+    return h.withColumn("i", inside).join(start, "b").select(key, (F.col("start") + F.col("i") - 1).alias("place"))
+
+
+# Formats of the advice after an improvement round.
+NO_GAIN = "Iteration %d: no significant improvement (p=%.3f). Consider more training data or a different base embedding model."
+UNEVEN_GAIN = "Iteration %d: significant on aggregate (delta=%+.3f, p=%.3f) but %s Do not deploy without reviewing per-slice detail."
+DEPLOY = "Deploy iter_%d model — significant %+.3f on overall_score (p=%.3f, effect_size=%.2f)."
+
+
+def recommendation(iteration: Column, delta: Column, p_value: Column, effect: Column, consistent: Column, warning: Column, alpha: float = 0.05) -> Column:
+    """Advice: no significant change, significant but not in all slices (null
+    where slices were not checked), or to be deployed."""
     return (
-        F.when(p_value >= 0.05, "keep the current configuration: no significant change")
-        .when(delta <= 0, "roll back: the change is worse")
-        .when(~consistent, "hold: the gain is not the same in all slices")
-        .otherwise("adopt the change")
+        F.when(p_value >= alpha, F.format_string(NO_GAIN, iteration, p_value))
+        .when(~consistent, F.format_string(UNEVEN_GAIN, iteration, delta, p_value, warning))
+        .otherwise(F.format_string(DEPLOY, iteration, delta, p_value, effect))
     )
 
 

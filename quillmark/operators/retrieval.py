@@ -253,22 +253,22 @@ def graph_retrieve(queries: DataFrame, query_entities: DataFrame, edges: DataFra
 
 
 def page_index(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Documents by matched share and frequency of the query's terms as
-    substrings: 0.7 * matched / terms + 0.3 * min(occurrences / words, 1).
+    """Documents by matched share and frequency of the query's terms, repeated
+    ones as often as they occur, as substrings: 0.7 * matched / terms + 0.3 * min(occurrences / words, 1).
 
     Terms hold no white space, so their places lie inside tokens: terms are
     sought in the vocabulary once, and postings carry the counts."""
     t = chunks.select(F.col("doc_id").alias("chunk_id"), T.tokens("content").alias("t"))
     posts = t.select("chunk_id", F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     words = t.groupBy("chunk_id").agg(F.sum(F.size("t")).alias("words"))
-    q = queries.select("question_id", F.array_distinct(T.tokens("text")).alias("terms")).where(F.size("terms") > 0)
-    e = q.select("question_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("q"))
+    q = queries.select("question_id", T.tokens("text").alias("terms")).where(F.size("terms") > 0)
+    e = q.select("question_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("q")).groupBy("question_id", "n_terms", "q").agg(F.count("*").alias("qn"))
     sought = small(e.select("q").distinct())
     held = F.contains("term", "q")
     times = ((F.length("term") - F.length(F.replace("term", F.col("q"), F.lit("")))) / F.length("q")).cast("int")
     vocabulary = posts.select("term").distinct().join(sought, held).select("term", "q", times.alias("times"))
     found = posts.join(vocabulary, "term").groupBy("chunk_id", "q").agg(F.sum(F.col("tf") * F.col("times")).alias("freq"))
-    s = found.join(e, "q").groupBy("question_id", "chunk_id", "n_terms").agg(F.count("*").alias("matched"), F.sum("freq").alias("freq")).join(words, "chunk_id")
+    s = found.join(e, "q").groupBy("question_id", "chunk_id", "n_terms").agg(F.sum("qn").alias("matched"), F.sum(F.col("freq") * F.col("qn")).alias("freq")).join(words, "chunk_id")
     score = 0.7 * F.col("matched") / F.col("n_terms") + 0.3 * F.least(F.col("freq") / F.greatest("words", F.lit(1)), F.lit(1.0))
     return ranked(s.select("question_id", "chunk_id", F.round(score, 6).alias("score")), k)
 
@@ -335,6 +335,14 @@ def memory_context(turns: DataFrame, most: int, session: str = "conv_id", seq: s
     return g.select(session, F.array_join(F.transform("t", lambda x: F.concat_ws(": ", x["role"], x["text"])), "\n").alias("context"))
 
 
+def context_before(turns: DataFrame, most: int, session: str = "conv_id", seq: str = "turn") -> DataFrame:
+    """One row per turn: the session's last turns before it as lines, oldest
+    first; null for the first turn."""
+    w = Window.partitionBy(session).orderBy(seq).rowsBetween(-most, -1)
+    said = F.collect_list(F.concat_ws(": ", "role", "text")).over(w)
+    return turns.select(session, seq, F.when(F.size(said) > 0, F.array_join(said, "\n")).alias("context"))
+
+
 def relevant_turns(turns: DataFrame, query: DataFrame, k: int = 3, session: str = "conv_id", seq: str = "turn") -> DataFrame:
     """The k turns of a session nearest to its query (session, qvec); sessions
     without vectors take the last k."""

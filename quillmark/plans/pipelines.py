@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import retrieval as R
@@ -180,16 +181,18 @@ def parse_critique(c) -> Column:
 
 
 def cag(docs: DataFrame, window: int, share: float = 0.8) -> DataFrame:
-    """Documents, by id, as long as they fit the share of the window; running
-    sums come from buckets of the ids, so no task sees all documents."""
-    from pyspark.sql.window import Window
-
+    """All documents, by id, with the tokens up to each. A corpus of more
+    tokens than the share of the window is an error: it does not fit a cached
+    context. Running sums come from buckets of the ids, so no task sees all
+    documents."""
     n = docs.select("id", "content", T.approx_tokens("content").cast("long").alias("n")).withColumn("b", F.substring(F.lpad(F.col("id").cast("string"), 12, "0"), 1, 9))
+    total = n.agg(F.sum("n")).first()[0] or 0
+    if total > share * window:
+        raise ValueError(f"corpus too large for a cached context: {total} tokens, {share:.0%} of {window} allowed")
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    per = n.groupBy("b").agg(F.sum("n").alias("s")).withColumn("prior", F.coalesce(F.sum("s").over(before), F.lit(0)))
-    fits = n.join(per.where(F.col("prior") < share * window).select("b", "prior"), "b")
+    per = n.groupBy("b").agg(F.sum("n").alias("s")).select("b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("prior"))
     upto = Window.partitionBy("b").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return fits.withColumn("total", F.col("prior") + F.sum("n").over(upto)).where(F.col("total") <= share * window).select("id", "content", "total")
+    return n.join(per, "b").withColumn("total", F.col("prior") + F.sum("n").over(upto)).select("id", "content", "total")
 
 
 FILTERS: dict[str, Callable[[str, object], Column]] = {
@@ -233,17 +236,24 @@ def agent_graph(questions: DataFrame, classify, plan, retrieve: Retrieve, synthe
     return loop(q, step, revisions + 1)
 
 
-ROUTES = ("direct", "retrieval", "multi_step", "conversational")
+# Types of questions; the first is taken where none is known.
+ROUTES = ("factual", "analytical", "generative", "conversational")
+
+
+def parse_query_type(c) -> Column:
+    """struct<type, confidence> of a model's JSON reply, with defaults."""
+    j = F.from_json(c, "type string, confidence double")
+    return F.struct(F.coalesce(j["type"], F.lit(ROUTES[0])).alias("type"), F.coalesce(j["confidence"], F.lit(0.5)).alias("confidence"))
 
 
 def adaptive(questions: DataFrame, label: str, routes: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Splits by a label, answers each part its own way, unites; unknown
-    labels go the retrieval way."""
+    """Splits by a label, answers each part its own way, unites; labels that
+    are unknown or have no way go the factual way."""
     known = [r for r in ROUTES if r in routes]
     out = None
     for r in known:
         take = F.col(label) == r
-        if r == "retrieval":
+        if r == ROUTES[0]:
             take = take | ~F.coalesce(F.col(label).isin(known), F.lit(False))
         part = routes[r](questions.where(take)).withColumn("route", F.lit(r))
         out = part if out is None else out.unionByName(part)
@@ -258,10 +268,11 @@ def hybrid_intent(questions: DataFrame, model_labels: DataFrame, sure: float = 0
 
 
 def conversational(questions: DataFrame, turns: DataFrame, most: int = 5) -> DataFrame:
-    """Questions (question_id, conv_id, text) with their session's last turns
-    in front; the question itself stays in ``original``."""
-    m = R.memory_context(turns, most)
-    q = questions.join(m, "conv_id", "left")
+    """Questions (question_id, conv_id, turn, text), which are turns
+    themselves, with the turns before them in front; the question itself stays
+    in ``original``."""
+    m = R.context_before(turns, most)
+    q = questions.join(m, ["conv_id", "turn"], "left")
     return q.withColumn("original", F.col("text")).withColumn("text", F.when(F.col("context").isNotNull(), F.concat("context", F.lit("\nuser: "), "text")).otherwise(F.col("text"))).drop("context")
 
 

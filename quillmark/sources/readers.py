@@ -151,12 +151,12 @@ def corpus_switch(mode: str, bench: DataFrame, upload: DataFrame) -> DataFrame:
 
 
 #: Benchmark subsets to question categories.
-SUBSET_CATEGORIES = {"nfcorpus": "single_doc", "scifact": "single_doc", "fiqa": "single_doc", "hotpotqa": "multi_doc"}
+SUBSET_CATEGORIES = {"hotpotqa": "multi_hop", "msmarco": "factual", "nq": "factual", "fiqa": "analytical"}
 
 
 def benchmark_questions(df: DataFrame, per_subset: int = 250) -> DataFrame:
     """subset, query_id, text, answer as questions, capped per subset."""
-    c = F.lit("single_doc")
+    c = F.lit("factual")
     for k, v in SUBSET_CATEGORIES.items():
         c = F.when(F.col("subset") == k, v).otherwise(c)
     q = df.select("subset", F.concat_ws("_", "subset", "query_id").alias("id"), "text", F.col("answer").alias("ground_truth"), F.lit("all").alias("source_type"), c.alias("category"))

@@ -116,9 +116,17 @@ def is_stale(manifest: dict | None, chunk_count: int, corpus_hash: str) -> bool:
     return not (m.get("completed") and m.get("chunk_count") == chunk_count and m.get("corpus_hash") == corpus_hash)
 
 
-def markdown_table(df: DataFrame, most: int = 100) -> str:
+def small_rows(df: DataFrame, most: int) -> list:
+    """The rows of a small result; more than most of them are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write the table with a Spark writer instead")
+    return rows
+
+
+def markdown_table(df: DataFrame, most: int = 1000) -> str:
     """A small result as a Markdown table (reports only)."""
-    rows = df.limit(most).collect()
+    rows = small_rows(df, most)
     line = lambda xs: "| " + " | ".join(str(x) for x in xs) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *(line(r) for r in rows)])
 
@@ -135,14 +143,15 @@ def experiment_report(results: DataFrame, pipelines: list[str], config: dict) ->
 
 
 def export(df: DataFrame, kind: str, most: int = 1000) -> str:
-    """A small result as markdown, csv, html or json text."""
+    """A small result as markdown, csv, html or json text; of more than most
+    rows an error."""
     import csv
     import html
     import io
 
-    rows = [r.asDict(recursive=True) for r in df.limit(most).collect()]
     if kind == "markdown":
         return markdown_table(df, most)
+    rows = [r.asDict(recursive=True) for r in small_rows(df, most)]
     if kind == "json":
         return json.dumps(rows, default=str, indent=2)
     if kind == "csv":

@@ -45,7 +45,10 @@ def test_text_functions(spark):
     assert one(spark, "x [CHUNK_002] [CHUNK_002] [CHUNK_010]", T.citations) == [1, 9]
     assert one(spark, "think\nFinal answer: 42", T.extract_answer) == "42"
     assert one(spark, "first\n\nlast", T.extract_answer) == "last"
-    assert one(spark, "The  ANSWER [CHUNK_001]", T.vote_form) == "the answer"
+    assert one(spark, "Therefore: b\n\nc\nAnswer: a\n\nrest", T.extract_answer) == "a"
+    assert one(spark, "final answer: low case is none\n\nend ", T.extract_answer) == "end"
+    assert one(spark, "what is it.", T.clean_query) == "what is it." and one(spark, "Island life", T.clean_query) == "Island life?"
+    assert one(spark, "The  ANSWER [CHUNK_001]", T.vote_form) == "the answer "
     assert one(spark, "Table 12: x", T.caption).asDict() == {"kind": "table", "number": 12}
     assert one(spark, "<a & \"b\">", T.html_escape) == "&lt;a &amp; &quot;b&quot;&gt;"
     assert one(spark, "<p>a<script>x<y</script></p><p>b&amp;c</p>", T.html_text) == "a\nb&c"
@@ -54,6 +57,8 @@ def test_text_functions(spark):
     assert one(spark, "not json [1, 2.5]", T.json_list) == [1.0, 2.5] and one(spark, "none", T.json_list) == []
     assert one(spark, "What is it?", T.intent)["label"] == "simple"
     assert one(spark, "Compare all of these things and explain the relationship between them in some detail", T.intent)["label"] == "complex"
+    assert one(spark, "Compare this?", T.intent).asDict() == {"label": "complex", "method": "rule", "confidence": 0.5}
+    assert one(spark, "trace " * 16, T.intent)["confidence"] == 0.9
     assert col(spark, T.chunk_label(F.lit(7))) == "CHUNK_007"
     assert col(spark, T.exact_match(F.lit("It is Paris."), F.lit(" paris "))) is True
 
@@ -99,7 +104,7 @@ def test_chunkers(spark):
     o = C.offsets(docs(spark, "ab cd ab"), spark.createDataFrame([("d0", 0, "ab"), ("d0", 1, "ab")], "doc_id string, chunk_index int, content string"))
     assert [r["start"] for r in o.orderBy("chunk_index").collect()] in ([0, 0], [0, 6])
     b = C.boundary_diagnosis(spark.createDataFrame([("d", 0, "Done."), ("d", 1, "- item"), ("d", 2, "half of"), ("d", 3, "it.")], "doc_id string, chunk_index int, content string"))
-    assert [r["boundary"] for r in b.orderBy("chunk_index").collect()] == ["list", "mid_sentence", "mid_sentence", "end"]
+    assert [(r["mid_clause"], r["mid_list"]) for r in b.orderBy("chunk_index").collect()] == [(False, False), (True, True), (True, False), (False, False)]
 
 
 def test_block_export(spark):
@@ -127,7 +132,8 @@ def test_analytics(spark):
     s = A.slice_consistency(r).collect()
     assert all(x["agrees"] for x in s) and len(s) == 7
     simpson = spark.createDataFrame([("a", "x", "A", 0.9)] * 1 + [("a", "x", "B", 0.8)] * 9 + [("b", "x", "A", 0.3)] * 9 + [("b", "x", "B", 0.2)] * 1, "source_type string, category string, pipeline string, overall_score double")
-    assert not all(x["agrees"] for x in A.slice_consistency(simpson).collect())
+    assert not all(x["agrees"] for x in A.slice_consistency(simpson, least=1).collect())
+    assert {x["slice"] for x in A.slice_consistency(simpson).collect()} == {"category=x", "all"}
     bins = A.calibration_bins(spark.createDataFrame([(0.05, False), (1.0, True), (0.95, True)], "p double, y boolean"), "p", "y")
     assert [x["n"] for x in bins.orderBy("bin").collect()] == [1, 0, 0, 0, 0, 0, 0, 0, 0, 2]
     assert A.expected_calibration_error(bins).first()["ece"] == pytest.approx((0.05 + 2 * 0.025) / 3, abs=1e-6)
@@ -362,6 +368,8 @@ def test_table_writes(spark, tmp_path):
     W.write_index(rows(("a", 1)), rows(("b", 2)), {"chunk_count": 1, "corpus_hash": "h"}, f"file://{tmp_path}/i")
     m = W.read_manifest(spark, f"file://{tmp_path}/i")
     assert not W.is_stale(m, 1, "h") and W.is_stale(m, 2, "h") and W.is_stale(None, 1, "h")
+    with pytest.raises(ValueError):
+        W.export(spark.range(3), "csv", 2)
     assert "&lt;b&gt;" in W.export(spark.createDataFrame([("<b>",)], "x string"), "html")
     assert json.loads(W.export(rows(("a", 1)), "json")) == [{"id": "a", "v": 1}]
     assert "## By source" in W.experiment_report(results(spark), ["naive", "agentic"], {"k": 1})
@@ -413,14 +421,20 @@ def test_pipelines(spark):
     answers, seen = P.react(qs, think, get, 2)
     assert {(x["answer"], x["rounds"]) for x in answers.collect()} == {("done", 2)} and seen.count() == 2
     assert one(spark, '{"score": 3, "needs_more": true}', P.parse_critique).asDict() == {"score": 1.0, "issues": [], "needs_more": True, "query": None}
-    assert P.cag(docs(spark, "x" * 40, "y" * 40, "z" * 40), 25).count() == 2
+    assert [r["total"] for r in P.cag(docs(spark, "x" * 40, "y" * 40, "z" * 40), 38).orderBy("id").collect()] == [10, 20, 30]
+    with pytest.raises(ValueError):
+        P.cag(docs(spark, "x" * 40, "y" * 40, "z" * 40), 37)
+    talk = spark.createDataFrame([("c", i, "user", f"t{i}") for i in range(8)], "conv_id string, turn int, role string, text string")
+    asked = talk.where("turn in (0, 6)").withColumn("question_id", F.col("turn")).drop("role")
+    assert {r["turn"]: r["text"] for r in P.conversational(asked, talk, 2).collect()} == {0: "t0", 6: "user: t4\nuser: t5\nuser: t6"}
     assert P.declarative(d, {"filter": [["content", "contains", "CAT"]]}).count() == 1
     with pytest.raises(ValueError):
         P.declarative(d, {"filter": [["__import__", "eval", "x"]]})
     with pytest.raises(ValueError):
         AD.make("reranker", "nope")
-    routed = P.adaptive(qs.withColumn("label", F.lit("odd")), "label", {"direct": lambda x: x, "retrieval": lambda x: x})
-    assert {x["route"] for x in routed.collect()} == {"retrieval"}
+    routed = P.adaptive(qs.withColumn("label", F.lit("odd")), "label", {"analytical": lambda x: x, "factual": lambda x: x})
+    assert {x["route"] for x in routed.collect()} == {"factual"}
+    assert one(spark, "no json", P.parse_query_type).asDict() == {"type": "factual", "confidence": 0.5}
 
 
 def test_entry_registers_queries():
