@@ -18,8 +18,9 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    Taken from ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is made and set.
+    Taken from ``spark.checkpoint.dir``. Where that is unset, a session that
+    runs on one machine alone (``local`` master, as in tests) gets a temporary
+    folder; on a cluster it is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = sc._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")

@@ -8,6 +8,10 @@ vector among the bins that it would leave fullest in tokens, by ``norm`` the
 smallest weighted norm of what is left over. Full-length pieces need no
 search. Pieces are dealt by a hash into groups of about GROUP_PIECES, which
 are packed apart from each other; a group leaves about one bin part-filled.
+
+By default the limits on documents and attention cost are what the limit on
+tokens implies (as many documents as tokens, the square of the tokens), so
+that as few sequences as can be come out; smaller ones bind.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import map_arrow, settle, ship
 
@@ -221,11 +226,16 @@ def best_fit(
 
 def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, **how) -> DataFrame:
     """parts: rows with doc_id, piece, length (as pieces() gives). Adds
-    sequence_id (unique over all groups) and offset, gapless from 0."""
+    sequence_id (unique over all groups) and offset, gapless from 0.
+
+    Of pieces of equal length and of bins that do equally well, the first in
+    order goes first; rows that repeat one another are dealt to different
+    groups. how: max_documents, max_attention, rule and weights of best_fit().
+    """
     n = parts.count()
     groups = max(1, math.ceil(n / GROUP_PIECES))
-    dealt = parts.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    schema = parts.schema.add("sequence_id", "long").add("offset", "long")
+    dealt = parts.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
+    schema = StructType([*parts.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     names = [f.name for f in schema]
 
     def run(group, pdf):
