@@ -3,12 +3,19 @@
 One 4-gram model per language, held for all languages together as sorted
 arrays of n-gram hashes with a row of log probabilities (one column per
 language), looked up by binary search. A text goes to the language with the
-lowest cross-entropy per character; a text whose cross-entropy is far above
-what held-back labelled texts show is marked as rejected.
+lowest cross-entropy per character; of equal ones to the first in order of
+name. A text is rejected if its cross-entropy is above the language's cut for
+texts of its length, in the middle between what texts of the language reach
+(runs of held-back labelled texts, by a normal tail of FALSE_REJECTION, and the
+highest whole held-back text) and what text of none does (the same runs with
+their symbols shuffled, least of all languages, lowest 1 %). So texts with
+foreign passages, keys or license lines stay. Texts of fewer than LENGTHS[0]
+symbols are too short to be rejected.
 
 The models learn from a bounded sample: about DOCS_PER_LANG labelled documents
-per language of at most MAX_SAMPLE_CHARS characters each, chosen by a hash of
-the id. Everything else works on whole texts of all rows.
+per language of at most MAX_SAMPLE_CHARS characters each and about TOTAL_CHARS
+in all, chosen by a hash of the id. Of more than 2**BITS - 2 letters the most
+frequent are told apart. Everything else works on whole texts of all rows.
 """
 
 from __future__ import annotations
@@ -27,6 +34,14 @@ BITS = 15
 DOCS_PER_LANG = 400
 MAX_SAMPLE_DOCS = 8000
 MAX_SAMPLE_CHARS = 1 << 18
+TOTAL_CHARS = 16 << 20
+#: Share of a language's texts that may be rejected, its and the shuffled
+#: runs' place in a normal tail, symbols from which a cut holds, runs for each.
+FALSE_REJECTION = 0.001
+TAIL = 3.0902
+SHUFFLED_TAIL = 2.3263
+LENGTHS = (24, 96, 384, 1536)
+RUNS = 300
 DISCOUNT = 0.75
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -70,7 +85,7 @@ class Model:
     ctx_logg: list[np.ndarray]
     floor: np.ndarray  # log probability of a symbol that no text has
     scale: float = 1.0
-    cut: float = float("inf")
+    cut: np.ndarray | None = None  # (languages, LENGTHS)
 
     def encode(self, s: np.ndarray) -> np.ndarray:
         """1: not a letter, 0: a letter unknown to the models, 2..: letters."""
@@ -123,7 +138,11 @@ class Model:
         h = self.entropy(s)
         best = int(np.argmin(h))
         z = np.exp(np.maximum(-self.scale * (h - h[best]), -700))
-        return self.langs[best], float(1 / z.sum()), float(h[best] / np.log(2)), bool(h[best] > self.cut)
+        return self.langs[best], float(1 / z.sum()), float(h[best] / np.log(2)), self.rejects(best, float(h[best]), len(s))
+
+    def rejects(self, lang: int, entropy: float, n: int) -> bool:
+        at = int(np.searchsorted(LENGTHS, n, side="right")) - 1
+        return self.cut is not None and at >= 0 and entropy > self.cut[lang, at]
 
 
 def _hash(gram: np.ndarray) -> np.ndarray:
@@ -159,8 +178,9 @@ def train(texts: dict[str, list[str]]) -> Model:
     syms = {x: [s for t in texts[x] if len(s := symbols(t))] for x in langs}
     back = {x: syms[x][3::4] or syms[x] for x in langs}
     fit = {x: [s for i, s in enumerate(syms[x]) if i % 4 != 3] for x in langs}
-    letters = np.unique(np.concatenate([s for x in langs for s in fit[x]])) if langs else np.zeros(0, np.uint32)
-    letters = letters[letters > 0][: (1 << BITS) - 2]
+    letters, seen = np.unique(np.concatenate([s for x in langs for s in fit[x]]), return_counts=True) if langs else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    common = np.argsort(-seen[letters > 0], kind="stable")[: (1 << BITS) - 2]
+    letters = np.sort(letters[letters > 0][common])
     v = len(letters) + 2
     m = Model(langs, letters, [], [], [], [], np.full(len(langs), -np.log(v)))
     by = {x: _counts([m.encode(s) for s in fit[x]]) for x in langs}
@@ -197,8 +217,7 @@ def train(texts: dict[str, list[str]]) -> Model:
 
 
 def _calibrate(m: Model, back: dict[str, list[np.ndarray]]) -> None:
-    """Scale of the score by likelihood; the cut stands above the 99.9 % point
-    of the right language's cross-entropy by half of its own height."""
+    """Scale of the score by likelihood; cuts by language and length."""
     rows = [(k, m.entropy(s), len(s)) for k, x in enumerate(m.langs) for s in back[x]]
     if not rows:
         return
@@ -211,8 +230,18 @@ def _calibrate(m: Model, back: dict[str, list[np.ndarray]]) -> None:
         return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]))
 
     m.scale = min((float(2.0**p) for p in np.arange(-2, 7, 0.5)), key=loss)
-    long = [r[1][r[0]] for r in rows if r[2] >= 50] or [r[1][r[0]] for r in rows]
-    m.cut = 1.5 * float(np.quantile(long, 0.999))
+    m.cut = np.full((len(m.langs), len(LENGTHS)), np.inf)
+    rng = np.random.default_rng(11)
+    for k, x in enumerate(m.langs):
+        own = np.array([(r[1][k], r[2]) for r in rows if r[0] == k])
+        for j, n in enumerate(LENGTHS):
+            runs = [s[i : i + n] for s in back[x] for i in range(0, len(s) - n + 1, n)]
+            runs = runs[:: max(1, len(runs) // RUNS)]
+            if len(runs) >= 8:
+                some = np.array([m.entropy(r)[k] for r in runs])
+                mixed = np.array([m.entropy(rng.permutation(r)).min() for r in runs])
+                top = max(some.mean() + TAIL * some.std(), own[own[:, 1] >= n, 0].max(initial=0.0))
+                m.cut[k, j] = max(top, (top + mixed.mean() - SHUFFLED_TAIL * mixed.std()) / 2)
 
 
 def fold(key: str = "doc_id"):
@@ -223,13 +252,14 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     """Model from labelled rows outside fold 0; without any, one that answers
     ``und``."""
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(key) != 0))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    rows = rows.where(F.length(text) <= MAX_SAMPLE_CHARS)
+    counts = {r[0]: (r[1], r[2]) for r in rows.groupBy(lang).agg(F.count("*"), F.sum(F.length(text))).collect()}
     each = min(DOCS_PER_LANG, max(1, MAX_SAMPLE_DOCS // max(1, len(counts))))
     share = F.lit(0)
-    for x, n in counts.items():
-        share = F.when(F.col(lang) == x, int(min(1.0, each / n) * 1_000_000)).otherwise(share)
+    for x, (n, chars) in counts.items():
+        part = min(1.0, each / n, TOTAL_CHARS / len(counts) / max(1, chars))
+        share = F.when(F.col(lang) == x, int(part * 1_000_000)).otherwise(share)
     chosen = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < share)
-    chosen = chosen.where(F.length(text) <= MAX_SAMPLE_CHARS)
     texts: dict[str, list[str]] = {}
     for r in sorted(chosen.select(lang, key, text).collect(), key=lambda r: (r[0], str(r[1]), r[2])):
         texts.setdefault(r[0], []).append(r[2])
@@ -260,8 +290,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
 
 def keep_identified(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """The rows of df that are not rejected, with all their columns."""
-    model = fit(df, text, lang, key)
     names = df.columns
+    model = fit(df, text, lang, key)
     held = df.sparkSession.sparkContext.broadcast(model)
     schema = df.schema
 
