@@ -25,6 +25,8 @@ MAX_EPOCHS = 2
 SEED = 7
 #: Rows that one bucket of the seeded order holds, about.
 BUCKET_ROWS = 500
+#: Buckets whose words are summed up first.
+STRETCH = 4096
 _TOP = 1 << 52
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,10 +35,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def seeded(key: str, seed: int = SEED) -> Column:
-    """52 bits of an MD5 of seed and key; null keys count as empty."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+def seeded(key: str, text: str, seed: int = SEED) -> Column:
+    """52 bits of an MD5 of seed, key and text; nulls count as empty."""
+    own = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    full = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), own)
+    return F.conv(F.substring(F.md5(full.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = MIX_SHARE, epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -65,38 +68,48 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = MIX_SHARE, epochs:
 
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = SEED, **how) -> DataFrame:
-    """Per row: key, text hash, size, source_size, target, taken.
+    """Per row: doc_id, h (its place in the seeded order), source, size,
+    source_size, target, taken, whole, extra.
 
-    Null texts have size 0; a source of size 0 has target 0; rows that repeat
-    key and text share their place in the seeded order and are told apart by a
-    count of how often they occur (they take alike, in whole words).
+    Null texts have size 0; a source of size 0 has target 0. Rows that repeat
+    key, text and source are one entry of the order, counted before anything is
+    sorted; they take alike, so where the target ends in such an entry, fewer
+    words than it has rows may be left over. An empty table gives no rows.
     """
-    rows = df.select(
-        F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")
-    )
+    rows = df.select(F.col(key).alias("doc_id"), seeded(key, text, seed).alias("h"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     rows = settle(rows, "mix-sizes")
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    n = per.agg(F.sum("n")).first()[0] or 0
+    entries = settle(rows.groupBy("source", "h", "doc_id", "size").agg(F.count("*").alias("copies")), "mix-entries")
+    found = settle(entries.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("n")), "mix-sources")
+    n = found.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(n / BUCKET_ROWS))
-    h = rows.withColumn("h", seeded("doc_id", seed))
-    h = h.withColumn("bucket", F.floor(F.col("h") / F.lit(float(_TOP)) * buckets).cast("long"))
-    goal = targets(per.select("source", "source_size"), **how)
-    bucket = h.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    prior = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bucket = bucket.withColumn("before", F.coalesce(F.sum("held").over(prior), F.lit(0)))
-    same = F.col("s.source").eqNullSafe(F.col("g.source"))
-    plan = bucket.alias("s").join(goal.alias("g"), same).select(
-        F.col("s.source").alias("p_source"), F.col("bucket").alias("p_bucket"), "before", "source_size", "target"
-    )
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)
-    placed = h.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = placed.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket")))
+    e = entries.withColumn("bucket", F.floor(F.col("h") / F.lit(float(_TOP)) * buckets).cast("long"))
+    # Words before a bucket: those of earlier stretches of buckets, and of
+    # earlier buckets of its own stretch.
+    bucket = e.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("held")).withColumn("stretch", F.floor(F.col("bucket") / STRETCH).cast("long"))
+    bucket = settle(bucket, "mix-buckets")
+
+    def before(held: str, order: str, *group: str) -> Column:
+        w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(held).over(w), F.lit(0))
+
+    goal = targets(found.select("source", "source_size"), **how)
+    long = bucket.groupBy("source", "stretch").agg(F.sum("held").alias("held")).select("source", "stretch", before("held", "stretch", "source").alias("ahead"))
+    long = long.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select(F.col("s.source").alias("l_source"), F.col("stretch").alias("l_stretch"), "ahead", "source_size", "target")
+    near = bucket.select(F.col("source").alias("p_source"), F.col("bucket").alias("p_bucket"), "stretch", before("held", "bucket", "source", "stretch").alias("before"))
+    plan = near.join(long, F.col("p_source").eqNullSafe(F.col("l_source")) & (F.col("stretch") == F.col("l_stretch"))).drop("l_source", "l_stretch")
+    e = e.withColumn("words", F.col("size") * F.col("copies"))
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = e.withColumn("within", F.coalesce(F.sum("words").over(inside), F.lit(0)))
+    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = (F.floor("target") - whole * F.col("source_size")).cast("long")
-    extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before") - F.col("within")))
-    return out.select(
-        "doc_id", "th", "source", "size", "source_size", "target", (whole * F.col("size") + extra).alias("taken"), whole.alias("whole"), extra.alias("extra")
+    extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), rest - F.col("ahead") - F.col("before") - F.col("within")))
+    share = placed.select(
+        F.col("source").alias("e_source"), F.col("h").alias("e_h"), F.col("doc_id").alias("e_doc"), F.col("size").alias("e_size"), "source_size", "target", whole.alias("whole"),
+        F.floor(extra / F.col("copies")).cast("long").alias("extra"),
     )
+    same = (F.col("h") == F.col("e_h")) & F.col("source").eqNullSafe(F.col("e_source")) & F.col("doc_id").eqNullSafe(F.col("e_doc")) & (F.col("size") == F.col("e_size"))
+    return rows.join(share, same).select("doc_id", "h", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"), "whole", "extra")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -105,21 +118,20 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(words, 1, n.cast("int")), "")
 
 
-def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
+def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = SEED, **how) -> DataFrame:
     """The mix itself: each row of df as often as the mix takes it whole, and
     its first words once more where the mix takes it in part. n_chars, where
-    df has it, follows the text. Repeated rows that equal each other in key and
-    text join one plan row."""
-    plan = mix(df, text, source, key, **how).groupBy("doc_id", "th").agg(
-        F.max("whole").alias("__whole"), F.max("extra").alias("__extra"), F.max("size").alias("__size")
-    ).withColumnsRenamed({"doc_id": "__key", "th": "__th"})
-    joined = df.join(plan, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__th")))
-    full = F.col("__whole") + F.when((F.col("__extra") > 0) & (F.col("__extra") == F.col("__size")), 1).otherwise(0)
-    part = (F.col("__extra") > 0) & (F.col("__extra") < F.col("__size"))
+    df has it, follows the text. Rows that repeat one another are taken alike."""
+    names = df.columns
+    plan = mix(df, text, source, key, seed, **how).groupBy("h", "source").agg(F.max("whole").alias("__mix_whole"), F.max("extra").alias("__mix_extra"), F.max("size").alias("__mix_size"))
+    plan = plan.withColumnsRenamed({"h": "__mix_h", "source": "__mix_source"})
+    joined = df.join(plan, (seeded(key, text, seed) == F.col("__mix_h")) & F.col(source).eqNullSafe(F.col("__mix_source")))
+    full = F.col("__mix_whole") + F.when((F.col("__mix_extra") > 0) & (F.col("__mix_extra") == F.col("__mix_size")), 1).otherwise(0)
+    part = (F.col("__mix_extra") > 0) & (F.col("__mix_extra") < F.col("__mix_size"))
     times = F.array_repeat(F.lit(False), full.cast("int"))
-    rows = joined.withColumn("__cut", F.explode(F.when(part, F.concat(times, F.array(F.lit(True)))).otherwise(times)))
-    cut = F.when(F.col("__cut"), first_words(F.col(text), F.col("__extra"))).otherwise(F.col(text))
+    rows = joined.withColumn("__mix_cut", F.explode(F.when(part, F.concat(times, F.array(F.lit(True)))).otherwise(times)))
+    cut = F.when(F.col("__mix_cut"), first_words(F.col(text), F.col("__mix_extra"))).otherwise(F.col(text))
     rows = rows.withColumn(text, cut)
-    if "n_chars" in df.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__cut"), F.length(text)).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType))
-    return rows.select(*df.columns)
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.when(F.col("__mix_cut"), F.length(text)).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType))
+    return rows.select(*names)

@@ -44,7 +44,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(load(spark, sf_dir, "documents"))
+    docs = load(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, max_documents=packing.MAX_DOCUMENTS, max_attention=packing.MAX_ATTENTION)
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +90,7 @@ OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS h
+    CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS h
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
@@ -107,15 +108,18 @@ WITH d AS (
   SELECT arg_min(level, cap / w) AS lam FROM l WHERE cap >= level * w
 ), g AS (
   SELECT source, source_size, coalesce(least(cap, lam * w), cap) AS target FROM l, f
-), t AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target,
+), k AS (
+  SELECT source, h, doc_id, size, count(*) AS c FROM d GROUP BY ALL
+), b AS (
+  SELECT k.*, g.source_size, g.target,
     CASE WHEN g.source_size > 0 THEN CAST(floor(g.target / g.source_size) AS BIGINT) ELSE 0 END AS whole,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+    coalesce(sum(k.size * k.c) OVER (PARTITION BY k.source ORDER BY h, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source
+), t AS (
+  SELECT *, greatest(0, least(size * c, CAST(floor(target) AS BIGINT) - whole * source_size - before)) // c AS extra FROM b
 )
-SELECT doc_id, size, source_size, target,
-  CAST(whole * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - whole * source_size - before)) AS BIGINT) AS taken
-FROM t
+SELECT d.doc_id, d.size, t.source_size, t.target, CAST(t.whole * d.size + t.extra AS BIGINT) AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source AND d.h = t.h AND d.doc_id IS NOT DISTINCT FROM t.doc_id AND d.size = t.size
 """
 
 OP3_SQL = """
