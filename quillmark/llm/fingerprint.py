@@ -25,6 +25,7 @@ PARAGRAPH = r"\n"
 #: Rows of documents per bucket when neighbours in order are sought, quantiles.
 BUCKET_ROWS = 500
 QUANTILES = 64
+_BUCKETS = 1 << 31
 _HASHES = ("__h", "__g")
 _LOW = 0xFFFFFFFF
 _PAIR = 0x0000000100000001  # two counters in one long
@@ -92,41 +93,53 @@ def digest(fp: Column) -> Column:
     return F.sha2(F.array_join(fp.cast("array<string>"), ",").cast("binary"), 256)
 
 
-def _bucket(df: DataFrame, key: str) -> Column:
-    """Monotone number of a key: quantiles of all keys, each cut evenly. Null
-    keys come last in descending order, so they have the least number."""
+def _bucket(df: DataFrame, key: str, th: str) -> Column:
+    """Number of a row's bucket, monotone in (key, th): quantiles of all keys,
+    each cut evenly; a key that holds a whole quantile, and null keys, are cut
+    by the text hash th instead. Null keys come last in descending order, so
+    they have the least numbers."""
     found = df.agg(
-        F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"),
+        F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("nulls"), F.min(key).alias("lo"), F.max(key).alias("hi"),
         F.percentile_approx(key, [i / QUANTILES for i in range(1, QUANTILES)], 10_000).alias("q"),
     ).first()
-    if not found["n"] or found["lo"] is None:
-        return F.lit(0).cast("long")
+    share = (F.col(th) / F.lit(2.0**64)) + 0.5
+    none = -(-(found["nulls"] or 0) // BUCKET_ROWS)
+    lone = F.floor(share * F.lit(max(1, none))).cast("long") - F.lit(_BUCKETS)
+    if found["lo"] is None:
+        return lone
+    q = found["q"] or []
     inner = max(1, -(-found["n"] // (BUCKET_ROWS * QUANTILES)))
-    edges = sorted({found["lo"], *(found["q"] or []), found["hi"] + 1})
+    hot = {x: inner * (q.count(x) + 1) for x in q if q.count(x) > 1}
+    edges = sorted({found["lo"], *q, *hot, *(x + 1 for x in hot), found["hi"] + 1})
     grid = F.array(*[F.lit(int(e)).cast("long") for e in edges])
+    parts = F.array(*[F.lit(hot.get(e, inner)).cast("double") for e in edges])
+    own = F.array(*[F.lit(e in hot) for e in edges])
     k = F.col(key)
-    at = F.aggregate(grid, F.lit(0), lambda acc, e: acc + F.when(e <= k, 1).otherwise(0))
-    lo, hi = F.element_at(grid, F.greatest(at, F.lit(1))), F.element_at(grid, F.least(at + 1, F.lit(len(edges))))
-    sub = F.floor((k - lo) * inner / F.greatest(hi - lo, F.lit(1)))
-    return F.when(k.isNull(), F.lit(-1).cast("long")).otherwise(at.cast("long") * inner + F.least(sub, F.lit(inner - 1).cast("long")))
+    at = F.greatest(F.aggregate(grid, F.lit(0), lambda acc, e: acc + F.when(e <= k, 1).otherwise(0)), F.lit(1))
+    lo, hi = F.element_at(grid, at), F.element_at(grid, F.least(at + 1, F.lit(len(edges))))
+    within = F.when(F.element_at(own, at), share).otherwise((k - lo) / F.greatest(hi - lo, F.lit(1)))
+    n = F.element_at(parts, at)
+    sub = F.floor(F.least(within * n, n - 1)).cast("long")
+    return F.when(k.isNull(), lone).otherwise(at.cast("long") * F.lit(_BUCKETS) + sub)
 
 
 def with_next(df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Rows b and rn (together unique), doc_id, text and next_text, the text of
-    the following row in descending order of (key, text), nulls last; after
-    the last comes the first. Buckets b of keys are sorted apart, and the rows
+    the following row in descending order of (key, text hash), nulls last;
+    after the last comes the first. Buckets b are sorted apart, and the rows
     stay dealt by b: what works on buckets moves no text again.
 
     Besides, per bucket b the text that follows its last row (head_text).
     """
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("b", _bucket(rows, "doc_id"))
-    head = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("k"), F.col("text").alias("t"))
+    rows = rows.withColumn("th", F.xxhash64(F.lit(17), "text"))
+    rows = rows.withColumn("b", _bucket(rows, "doc_id", "th"))
+    head = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("k"), "th", F.col("text").alias("t"))
     heads = settle(rows.groupBy("b").agg(F.max(head).alias("head")).select("b", F.col("head.t").alias("t")), "bucket-heads")
     turn = Window.orderBy(F.col("b").desc())
     after = heads.select("b", F.coalesce(F.lead("b").over(turn), F.max("b").over(Window.partitionBy(F.lit(1)))).alias("nb"))
     first = after.join(heads.select(F.col("b").alias("nb"), F.col("t").alias("head_text")), "nb").select(F.col("b").alias("hb"), "head_text")
-    w = Window.partitionBy("b").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    w = Window.partitionBy("b").orderBy(F.col("doc_id").desc_nulls_last(), F.col("th").desc(), F.col("text").desc())
     inside = rows.select("*", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next_text"))
     linked = inside.join(first, F.col("b") == F.col("hb"), "left")
     return linked.select("b", "rn", "doc_id", "text", F.coalesce("next_text", "head_text").alias("next_text")), first
