@@ -244,12 +244,20 @@ _add("sf34_norms", lambda s, d: V.vectors(s, d).select("chunk_id", F.round(T.nor
 _add("sf36_int8", lambda s, d: V.vectors(s, d).select("chunk_id", F.aggregate(T.int8(F.col("vec")), F.lit(0), lambda a, x: a + x).alias("total"), F.aggregate(T.signs(F.col("vec")), F.lit(0), lambda a, x: a + x).alias("positive")),
      """SELECT vec_id AS chunk_id, CAST(list_sum(list_transform(embedding, lambda x: greatest(-128, least(127, CAST(round_even(CAST(x AS DOUBLE) * 127, 0) AS INTEGER))))) AS INTEGER) AS total,
   CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS positive FROM embeddings""")
-_add("sc06_html_text", lambda s, d: V.load(s, d, "pages").select("page_id", F.length(T.html_text("html")).alias("n"), F.sha2(T.html_text("html"), 256).alias("h")))
+_add("sc06_html_text", lambda s, d: V.load(s, d, "pages").select("page_id", F.length(T.html_text("html")).alias("n"), F.sha2(T.html_text("html"), 256).alias("h")), r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', chr(10), 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', chr(10), 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', chr(10), 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, regexp_replace(regexp_replace(t, '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM c)
+SELECT page_id, CAST(length(t) AS INTEGER) AS n, sha256(t) AS h FROM d""")
 _add("st05_exact_dedup", lambda s, d: D.exact(V.documents(s, d)).select("id"), "SELECT min(doc_id) AS id FROM documents GROUP BY sha256(text)")
 _add("ch01_fixed_chunks", lambda s, d: C.fixed(V.documents(s, d)).select("id", F.sha2("content", 256).alias("h")), r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS t FROM documents WHERE regexp_replace(text, '\s', '', 'g') <> ''),
 e AS (SELECT doc_id, t, unnest(range(0, len(t), 150)) AS p0 FROM t)
 SELECT doc_id || '_chunk_' || CAST(p0 / 150 AS INTEGER) AS id, sha256(array_to_string(t[p0 + 1 : p0 + 200], ' ')) AS h FROM e""")
-_add("ch02_sentence_chunks", lambda s, d: C.sentence(V.documents(s, d)).select("id", F.size(T.tokens("content")).alias("n")))
+_add("ch02_sentence_chunks", lambda s, d: C.sentence(V.documents(s, d)).select("id", F.size(T.tokens("content")).alias("n")), rf"""WITH RECURSIVE t AS (SELECT doc_id, {_SENT.format("regexp_replace(text, '^\\s+|\\s+$', '', 'g')")} AS x FROM documents WHERE regexp_replace(text, '\s', '', 'g') <> ''),
+s AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS x FROM t), n AS (SELECT doc_id, i, {_TOKENS.format('x')} AS n FROM s),
+r AS (SELECT doc_id, i, 0 AS c, n AS acc FROM n WHERE i = 1
+  UNION ALL SELECT n.doc_id, n.i, CASE WHEN r.acc > 0 AND r.acc + n.n > 200 THEN r.c + 1 ELSE r.c END, CASE WHEN r.acc > 0 AND r.acc + n.n > 200 THEN n.n ELSE r.acc + n.n END FROM r JOIN n ON n.doc_id = r.doc_id AND n.i = r.i + 1)
+SELECT doc_id || '_chunk_' || c AS id, CAST(max(acc) AS INTEGER) AS n FROM r GROUP BY doc_id, c""")
 _add("ch05_recursive_chunks", lambda s, d: C.recursive(V.documents(s, d)).select("id", F.length("content").alias("n")))
 _add("ch06_whole_chunks", lambda s, d: C.whole(V.documents(s, d)).select("id", "doc_id", F.length("content").alias("n")), r"SELECT doc_id || '_chunk_0' AS id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE regexp_replace(text, '\s', '', 'g') <> ''")
 _add("ch09_boundaries", lambda s, d: C.boundary_diagnosis(C.fixed(V.documents(s, d))).groupBy("doc_id").agg(F.count_if("mid_clause").alias("mid_clause_splits"), F.count_if("mid_list").alias("mid_list_splits")), r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS t FROM documents WHERE regexp_replace(text, '\s', '', 'g') <> ''),
@@ -429,7 +437,12 @@ SELECT subset || '_' || q AS id, source AS text, lang AS ground_truth, 'all' AS
 _add("fl01_source_filter", lambda s, d: V.load(s, d, "documents").select("doc_id", F.concat_ws(", ", "source", "lang").alias("src")).where(S.source_match("src", ["src1", "fr"])), "SELECT doc_id, source || ', ' || lang AS src FROM documents WHERE source = 'src1' OR lang = 'fr'")
 _add("st01_rate_limits", lambda s, d: L.per_minute(V.load(s, d, "events"), width="1 day", limit=3), """SELECT date_trunc('day', ts) AS window_start, user_id, count(*) AS n, count(*) > 3 AS limited FROM events GROUP BY 1, 2""")
 _add("st02_tumbling", lambda s, d: L.windowed(V.load(s, d, "events"), "ts", "1 hour", None, "event_type", "value"), "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
-_add("st03_circuit_breaker", lambda s, d: L.circuit_breaker(V.load(s, d, "events").select(F.col("event_type").alias("provider"), "ts", (F.col("value") > 30).alias("ok"))).groupBy("provider", "state").agg(F.count("*").alias("n")))
+_add("st03_circuit_breaker", lambda s, d: L.circuit_breaker(V.load(s, d, "events").select(F.col("event_type").alias("provider"), "ts", (F.col("value") > 30).alias("ok"))).groupBy("provider", "state").agg(F.count("*").alias("n")), """WITH RECURSIVE e AS (SELECT event_type AS provider, epoch_us(ts) / 1000000.0::DOUBLE AS t, value > 30 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY ts, value > 30) AS i FROM events),
+r AS (SELECT provider, i, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS fails, -1.0::DOUBLE AS opened FROM e WHERE i = 1
+  UNION ALL SELECT e.provider, e.i, s.state, CASE WHEN s.state = 'open' THEN r.fails WHEN e.ok THEN 0 ELSE r.fails + 1 END,
+    CASE WHEN s.state = 'open' THEN r.opened WHEN e.ok THEN -1.0::DOUBLE WHEN s.state = 'half_open' OR r.fails + 1 >= 3 THEN e.t ELSE -1.0::DOUBLE END
+  FROM r JOIN e ON e.provider = r.provider AND e.i = r.i + 1, LATERAL (SELECT CASE WHEN r.opened >= 0 AND e.t - r.opened >= 30 THEN 'half_open' WHEN r.opened >= 0 THEN 'open' ELSE 'closed' END AS state) s)
+SELECT provider, state, count(*) AS n FROM r GROUP BY 1, 2""")
 _add("sg01_bootstrap", _ev(lambda d: E.bootstrap(d, "pipeline", "overall_score", 200, key="question_id")))
 _add("sg07_matrix", _ev(lambda d: E.pairwise_matrix(d, "user_id", "pipeline", "overall_score")))
 _add("cb01_platt", _ev(lambda d: E.recalibrate(d.select("question_id", "overall_score", "answer_correct"), "overall_score", "answer_correct", "platt").select("question_id", F.round("calibrated", 4).alias("calibrated"))))
@@ -497,14 +510,21 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score
 _add("ix18_max_sim", lambda s, d: R.max_sim(_qvecs(s, d).select("question_id", F.lit(0).alias("qpos"), "qvec"), V.vectors(s, d).select(F.col("source_type").alias("chunk_id"), "vec"), 3), f"""WITH m AS (SELECT q.vec_id AS question_id, v.label AS chunk_id, round(max({_DOT.format("q.embedding", "v.embedding")}), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM m) SELECT * FROM r WHERE rank <= 3""")
 _add("qc03_synthetic_ids", lambda s, d: V.load(s, d, "benchmark").select("item_id", E.synthetic_id("text").alias("id")), "SELECT item_id, 'syn_' || substr(sha256(text), 1, 12) AS id FROM benchmark")
-_add("qc04_synthesis_plan", lambda s, d: E.synthesis_plan(V.documents(s, d), ["factual", "adversarial"]).groupBy("kind").agg(F.count("*").alias("n")))
+_add("qc04_synthesis_plan", lambda s, d: E.synthesis_plan(V.documents(s, d), ["factual", "adversarial"]).groupBy("kind").agg(F.count("*").alias("n")), r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n\s*\n|\n'), lambda x: length(trim(x)) >= 100) AS ps FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 50)),
+n AS (SELECT least(5, len(list_filter(range(len(ps)), lambda i: i % greatest(1, len(ps) // 5) = 0))) AS n FROM d WHERE len(ps) > 0)
+SELECT k AS kind, CAST(sum(n) AS BIGINT) AS n FROM n, (VALUES ('factual'), ('adversarial')) v(k) GROUP BY 1""")
 _add("lp02_recommendations", _ev(lambda d: A.config_pairs(d).select("config_a", "config_b", E.recommendation(F.lit(2), F.col("delta"), F.when(F.abs("delta") > 0.01, 0.01).otherwise(0.5), F.lit(0.25), F.col("delta") > 0, F.lit("it loses a slice.")).alias("advice"))), f"""WITH {V.EV}, m AS (SELECT user_id, pipeline, avg(overall_score) AS m FROM ev GROUP BY 1, 2),
 p AS (SELECT x.pipeline AS config_a, y.pipeline AS config_b, round(avg(y.m - x.m), 6) AS delta FROM m x JOIN m y ON x.user_id = y.user_id AND x.pipeline < y.pipeline GROUP BY 1, 2)
 SELECT config_a, config_b, CASE WHEN abs(delta) <= 0.01 THEN 'Iteration 2: no significant improvement (p=0.500). Consider more training data or a different base embedding model.'
   WHEN delta <= 0 THEN printf('Iteration 2: significant on aggregate (delta=%+.3f, p=0.010) but it loses a slice. Do not deploy without reviewing per-slice detail.', delta)
   ELSE printf('Deploy iter_2 model — significant %+.3f on overall_score (p=0.010, effect_size=0.25).', delta) END AS advice FROM p""")
-_add("pl02_decompose", lambda s, d: _over_documents(s, d, lambda q, get: P.decompose(q.select("question_id", F.posexplode(T.sentences("text")).alias("hop", "text")), get, 5)))
-_add("pl07_fusion", lambda s, d: _over_documents(s, d, lambda q, get: P.fusion(q.select("question_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("variant"), "text"), get, 5)))
+_add("pl02_decompose", lambda s, d: _over_documents(s, d, lambda q, get: P.decompose(q.select("question_id", F.posexplode(T.sentences("text")).alias("hop", "text")), get, 5)), rf"""WITH {_BM25}, sq AS (SELECT item_id, generate_subscripts(x, 1) - 1 AS hop, unnest(x) AS x FROM (SELECT item_id, {_SENT.format('text')} AS x FROM benchmark)),
+st2 AS (SELECT item_id, hop, term, count(*) AS qn FROM (SELECT item_id, hop, unnest(list_filter(regexp_split_to_array(lower(x), '\s+'), lambda t: t <> '')) AS term FROM sq) GROUP BY 1, 2, 3),
+sc AS (SELECT item_id, hop, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al)) * qn), 6) AS score FROM st2 JOIN st USING (term) JOIN post USING (term) GROUP BY 1, 2, 3),
+h AS (SELECT *, row_number() OVER (PARTITION BY item_id, hop ORDER BY score DESC, doc_id) AS rk FROM sc), f AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY hop, rk) AS seen FROM h WHERE rk <= 5),
+r AS (SELECT item_id * 100 AS question_id, doc_id AS chunk_id, score, CAST(hop AS INTEGER) AS hop, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f WHERE seen = 1) SELECT * FROM r WHERE rank <= 5""")
+_add("pl07_fusion", lambda s, d: _over_documents(s, d, lambda q, get: P.fusion(q.select("question_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("variant"), "text"), get, 5)), f"""WITH {_BM25}, v AS (SELECT question_id, chunk_id, round(sum(2 / CAST(60 + rank AS DOUBLE)), 9) AS score FROM sparse WHERE rank <= 15 GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM v) SELECT question_id, rank, chunk_id, score FROM r WHERE rank <= 5""")
 _add("pl14_conversational", lambda s, d: P.conversational(V.load(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "conv_id", "turn", "text"), V.load(s, d, "conversations")).select("question_id", "text"), """WITH t AS (SELECT *, array_to_string(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), chr(10)) AS c FROM conversations)
 SELECT conv_id * 1000 + turn AS question_id, CASE WHEN coalesce(c, '') <> '' THEN c || chr(10) || 'user: ' || text ELSE text END AS text FROM t WHERE role = 'user'""")
 _add("in02_routes", lambda s, d: P.adaptive(V.load(s, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 6 < 5, F.format_string('{"type": "%s", "confidence": 0.9}', F.element_at(F.array(*[F.lit(x) for x in (*P.ROUTES, "odd")]), (F.col("turn") % 6 + 1).cast("int")))).otherwise("no json").alias("reply")).withColumn("label", P.parse_query_type("reply")["type"]), "label", {r: (lambda q: q) for r in P.ROUTES}).groupBy("route").agg(F.count("*").alias("n")),
