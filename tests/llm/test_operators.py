@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -243,6 +244,23 @@ def test_language_model_is_a_distribution_and_separates():
     assert langid.train({}).predict("abc")[0] == "und"
 
 
+def test_rejection_is_calibrated():
+    rng = random.Random(26)
+    own = {"one": WORDS, "two": ["".join(reversed(w)) + "ik" for w in WORDS]}
+    text = lambda lang, n: " ".join(rng.choice(own[lang]) for _ in range(n))
+    m = langid.train({x: [text(x, rng.randrange(5, 150)) for _ in range(300)] for x in own})
+    clean = [m.predict(text(x, rng.randrange(3, 200))) for x in own for _ in range(500)]
+    assert sum(r[3] for r in clean) <= 0.01 * len(clean)
+
+    def shuffled(t):
+        return "".join(rng.sample(t, len(t)))
+
+    junk = [m.predict(shuffled(text("one", n))) for n in range(20, 120)]
+    unseen = [m.predict(" ".join(rng.choice(["qwyz", "jghtr", "vvoe", "ccmmi", "hhyy", "fgwe"]) for _ in range(n))) for n in range(10, 60)]
+    assert sum(r[3] for r in junk) >= 0.98 * len(junk) and sum(r[3] for r in unseen) >= 0.98 * len(unseen)
+    assert m.predict("bama")[3] is False and m.predict("12 34")[0] == "und"
+
+
 def test_language_query_on_odd_rows(spark):
     rows = [(i, "abab aab " * 20, "x", "s", 1) for i in range(20)] + [(100 + i, "cdcd ddc " * 20, "y", "s", 1) for i in range(20)]
     rows += [(None, "abab", None, "s", 1), (1000, None, "x", "s", 1), (1001, "", "x", "s", 1), (1002, "77", None, None, 1)]
@@ -348,6 +366,18 @@ def test_repeated_ids_keep_their_rows(spark):
     assert fingerprint.compare_edited(docs(spark, rows)).count() == 5
 
 
+def test_hot_and_null_ids_are_cut_into_buckets(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 10)
+    rng = random.Random(25)
+    rows = [(7, prose(rng, 9)) for _ in range(300)] + [(None, prose(rng, 9)) for _ in range(200)] + [(i, prose(rng, 9)) for i in range(400)]
+    pairs, _ = fingerprint.with_next(docs(spark, rows))
+    got = pairs.collect()
+    assert len(got) == len(rows) and max(n for n in Counter(r["b"] for r in got).values()) <= 60
+    signed = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["b"], -r["rn"])
+    order = sorted(got, key=signed, reverse=True)
+    assert all(a["next_text"] == b["text"] for a, b in zip(order, order[1:] + order[:1]))
+
+
 # Personal data
 
 
@@ -631,20 +661,55 @@ def test_fuzzy_passages_with_few_equal_runs_are_found(spark):
     assert sorted((r["doc_id"], r["ref_doc_id"]) for r in out) == [(2 * k + 1, 2 * k) for k in range(40)]
 
 
-def test_every_seed_meets_its_first_occurrence(spark):
+def test_every_seed_meets_its_first_occurrence_and_the_one_before(spark):
     rng = random.Random(20)
     rows = sorted({(rng.randrange(50), rng.randrange(30), rng.choice([3, 3, 3, rng.randrange(40)])) for _ in range(900)})
-    first = {}
+    first, before, want = {}, {}, []
     for d, p, h in rows:
         first.setdefault(h, (d, p))
+        own = [first[h]] if first[h][0] != d else []
+        if h in before and before[h][0] not in (d, first[h][0]):
+            own.append(before[h])
+        want += [(d, p, *x) for x in own]
+        before[h] = (d, p)
     name = "spark.sql.adaptive.coalescePartitions.enabled"
     held = spark.conf.get(name)
     spark.conf.set(name, "false")
     try:
-        got = passages._first_hits(spark.createDataFrame(rows[::-1], "doc_id long, pos int, h long")).collect()
+        got = passages._hits(spark.createDataFrame(rows[::-1], "doc_id long, pos int, h long").repartition(9)).collect()
     finally:
         spark.conf.set(name, held)
-    assert sorted(map(tuple, got)) == sorted((d, p, *first[h]) for d, p, h in rows if first[h][0] != d)
+    assert sorted(tuple(r)[:4] for r in got) == sorted(want)
+    assert all(r["first_id"] is None or r["first_id"] < r["ref_id"] for r in got)
+
+
+def test_passages_with_scattered_first_seeds_are_found(spark):
+    rng = random.Random(23)
+    vocab = [f"{a}{b}" for a in WORDS for b in WORDS]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows, want = [], set()
+    for k in range(20):
+        p = text(60)
+        # Earlier documents have slices of the passage, each too short to count.
+        rows += [(1000 * k + i, text(40) + p[6 * i : 6 * i + 16] + text(40)) for i in range(9)]
+        rows += [(1000 * k + 100, text(30) + p + text(30)), (1000 * k + 101, text(20) + p + text(20))]
+        want.add((1000 * k + 101, 1000 * k + 100))
+    out = passages.repeated_passages(docs(spark, [(i, " ".join(t)) for i, t in rows])).collect()
+    found = {(r["doc_id"], r["ref_doc_id"]) for r in out}
+    assert len(found & want) >= 0.95 * len(want) and not found - want
+
+
+def test_passages_of_repeated_keys_and_long_texts(spark):
+    rng = random.Random(24)
+    vocab = [f"{a}{b}" for a in WORDS for b in WORDS]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    p = text(60)
+    rows = [(1, text(200_000) + p), (2, p + text(9)), (2, p + text(9)), (3, ["zz"]), (3, ["aa", *p])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    rows[2] = rows[1]
+    df = docs(spark, rows).withColumns({"pos": F.lit(1), "h": F.lit("x"), "words": F.lit(None)})
+    got = sorted((r["doc_id"], r["ref_doc_id"], r["start_word"], r["end_word"]) for r in passages.repeated_passages(df).collect())
+    assert got == [(2, 1, 0, 60), (3, 1, 1, 61)]
 
 
 def test_edit_distance_matches_plain_table():
