@@ -281,8 +281,7 @@ def _questions(s, d) -> DataFrame:
 
 def _sparse(s, d, k: int = 3) -> DataFrame:
     docs = V.documents(s, d)
-    p = R.postings(docs)
-    return R.bm25(_questions(s, d), p, R.term_statistics(p, docs), k)
+    return R.bm25(_questions(s, d), *R.sparse_index(docs), k)
 
 
 _BM25 = f"""tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') AS t FROM documents),
@@ -394,8 +393,7 @@ _add("ix15_entity_edges", _graph)
 
 def _naive(s, d):
     docs = V.documents(s, d)
-    p = R.postings(docs)
-    stats = R.term_statistics(p, docs)
+    p, stats = R.sparse_index(docs)
     chunks = docs.withColumn("doc_id", F.col("id"))
     out = P.naive(_questions(s, d), lambda q, k: R.bm25(q, p, stats, k), chunks, AD.Extract(), P.Config(top_k=3, trust_threshold=0.1))
     return out["answers"].join(out["gate"], "question_id")
@@ -523,8 +521,23 @@ st2 AS (SELECT item_id, hop, term, count(*) AS qn FROM (SELECT item_id, hop, unn
 sc AS (SELECT item_id, hop, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al)) * qn), 6) AS score FROM st2 JOIN st USING (term) JOIN post USING (term) GROUP BY 1, 2, 3),
 h AS (SELECT *, row_number() OVER (PARTITION BY item_id, hop ORDER BY score DESC, doc_id) AS rk FROM sc), f AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY hop, rk) AS seen FROM h WHERE rk <= 5),
 r AS (SELECT item_id * 100 AS question_id, doc_id AS chunk_id, score, CAST(hop AS INTEGER) AS hop, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f WHERE seen = 1) SELECT * FROM r WHERE rank <= 5""")
-_add("pl07_fusion", lambda s, d: _over_documents(s, d, lambda q, get: P.fusion(q.select("question_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("variant"), "text"), get, 5)), f"""WITH {_BM25}, v AS (SELECT question_id, chunk_id, round(sum(2 / CAST(60 + rank AS DOUBLE)), 9) AS score FROM sparse WHERE rank <= 15 GROUP BY 1, 2),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM v) SELECT question_id, rank, chunk_id, score FROM r WHERE rank <= 5""")
+_add("pl07_fusion", lambda s, d: _over_documents(s, d, lambda q, get: P.fusion(q.select("question_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("variant"), "text"), get, 5)), f"""WITH {_BM25}, v AS (SELECT question_id, chunk_id, round(sum(2 / CAST(60 + rank AS DOUBLE)), 9) AS score, min(score) AS original_score FROM sparse WHERE rank <= 15 GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM v) SELECT question_id, rank, chunk_id, score, original_score FROM r WHERE rank <= 5""")
+_add("pl15_variants", lambda s, d: P.question_variants(_questions(s, d), _questions(s, d).select("question_id", F.when(F.col("question_id") % 300 == 0, "none").otherwise(F.format_string('{"variants": ["a %d", "b", "c", "d", "e"]}', "question_id")).alias("reply")), 3).select("question_id", "variant", F.sha2("text", 256).alias("h")),
+     "WITH v AS (SELECT item_id * 100 AS q, CASE WHEN item_id % 3 = 0 THEN [text] ELSE [text, 'a ' || item_id * 100, 'b', 'c'] END AS v FROM benchmark) SELECT q AS question_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS variant, sha256(unnest(v)) AS h FROM v")
+_add("pl06_reflection", lambda s, d: _reflect(s, d), f"""WITH {_BM25}, t AS (SELECT DISTINCT question_id, question_id // 100 % 3 AS k FROM sparse)
+SELECT question_id, CASE k WHEN 2 THEN 'round 2' ELSE 'round 1' END AS answer, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS reflection_rounds FROM t""")
+_add("ar01_arena_run", lambda s, d: _arena(s, d), """WITH q AS (SELECT item_id AS question_id, 'c' || item_id % 2 AS category, m.model AS model_id, m.k FROM benchmark, (VALUES ('groq/a', 2), ('ollama/b', 3)) m(model, k)),
+r AS (SELECT *, question_id % k = 0 AS ok FROM q) SELECT model_id, count(*) AS n, count(*) FILTER (ok) AS correct, round(avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM r GROUP BY 1""")
+_add("ag30_difficulty", lambda s, d: E.difficulty_spread(V.load(s, d, "documents").select(F.when(F.col("doc_id") % 4 == 0, "too_short").alias("reason"), F.element_at(F.array(F.lit("easy"), F.lit("hard"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int")).alias("difficulty"))),
+     "SELECT ['easy', 'hard', 'unspecified'][doc_id % 3 + 1] AS difficulty, count(*) AS n FROM documents WHERE doc_id % 4 <> 0 GROUP BY 1")
+_add("sf33_display_trust", lambda s, d: V.load(s, d, "documents").select("doc_id", F.element_at(F.array(*[F.lit(x) for x in ("confluence", "github", "jira", "slack", "other")]), (F.col("doc_id") % 5 + 1).cast("int")).alias("src"), "text").select("doc_id", F.round(T.display_trust("text", "src"), 6).alias("trust")),
+     "SELECT doc_id, round(least(length(text) / 1000.0::DOUBLE, 1) * [1.0::DOUBLE, 0.9, 0.8, 0.6, 0.7][doc_id % 5 + 1], 6) AS trust FROM documents")
+_add("sf39_distances", lambda s, d: V.load(s, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("x"), (F.col("o_custkey") * 3.0).alias("y")).withColumns({"u": F.lit(5.0), "v": F.lit(7.0)}).select("o_orderkey", F.round(T.distance("x", "y", "u", "v"), 3).alias("distance")),
+     "SELECT o_orderkey, round(sqrt((o_totalprice - 5) * (o_totalprice - 5) + (o_custkey * 3.0::DOUBLE - 7) * (o_custkey * 3.0::DOUBLE - 7)), 3) AS distance FROM orders")
+_add("sf44_pricing_keys", lambda s, d: V.load(s, d, "supplier").select("s_suppkey", F.element_at(F.array(*[F.lit(x) for x in ("groq", "ollama", "openai")]), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("p"), F.col("s_name").alias("m")).select("s_suppkey", T.pricing_key("p", "m").alias("key")),
+     "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'groq/' || s_name WHEN 1 THEN 'ollama' ELSE s_name END AS key FROM supplier")
+_add("ca03_no_cache", lambda s, d: R.no_cache(_questions(s, d)).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")), "SELECT 0 AS hits, count(*) AS misses FROM benchmark")
 _add("pl14_conversational", lambda s, d: P.conversational(V.load(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "conv_id", "turn", "text"), V.load(s, d, "conversations")).select("question_id", "text"), """WITH t AS (SELECT *, array_to_string(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), chr(10)) AS c FROM conversations)
 SELECT conv_id * 1000 + turn AS question_id, CASE WHEN coalesce(c, '') <> '' THEN c || chr(10) || 'user: ' || text ELSE text END AS text FROM t WHERE role = 'user'""")
 _add("in02_routes", lambda s, d: P.adaptive(V.load(s, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 6 < 5, F.format_string('{"type": "%s", "confidence": 0.9}', F.element_at(F.array(*[F.lit(x) for x in (*P.ROUTES, "odd")]), (F.col("turn") % 6 + 1).cast("int")))).otherwise("no json").alias("reply")).withColumn("label", P.parse_query_type("reply")["type"]), "label", {r: (lambda q: q) for r in P.ROUTES}).groupBy("route").agg(F.count("*").alias("n")),
@@ -545,8 +558,30 @@ def _replies(s, d) -> DataFrame:
     return V.load(s, d, "conversations").select("conv_id", "turn", reply.alias("reply"))
 
 
+def _reflect(s, d) -> DataFrame:
+    """Reflection with stand-ins: a third of the questions is answered at
+    once, a third lacks nothing that could be named, a third is asked again."""
+
+    def critique(a):
+        k = F.floor(F.col("question_id") / 100) % 3
+        return a.select("question_id", F.when(k == 0, '{"complete": true}').when(k == 1, "{}").otherwise('{"complete": false, "missing": "the rest"}').alias("critique"))
+
+    def generate(q, hits):
+        return q.select("question_id", F.when(F.col("query") == F.col("text"), "round 1").otherwise("round 2").alias("answer"))
+
+    return _over_documents(s, d, lambda q, get: P.reflection(q, get, generate, critique, 3))
+
+
+def _arena(s, d) -> DataFrame:
+    q = V.load(s, d, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.lit("c"), F.col("item_id") % 2).alias("category"))
+    every = {"groq/a": 2, "ollama/b": 3}
+    answer = lambda q, name: q.select("question_id", (F.col("question_id") % every[name]).cast("string").alias("predicted_answer"), F.lit(5.0).alias("latency_ms"))
+    score = lambda r: r.withColumns({"answer_correct": F.col("predicted_answer") == "0", "overall_score": (F.col("predicted_answer") == "0").cast("double")})
+    r = P.arena_run(q, [tuple(m.split("/")) for m in every], answer, score)["results"]
+    return r.groupBy("model_id").agg(F.count("*").alias("n"), F.count_if("answer_correct").alias("correct"), A.mean(A.flag("answer_correct")).alias("accuracy"))
+
+
 def _over_documents(s, d, f) -> DataFrame:
     docs = V.documents(s, d)
-    p = R.postings(docs)
-    stats = R.term_statistics(p, docs)
+    p, stats = R.sparse_index(docs)
     return f(_questions(s, d), lambda q, k: R.bm25(q, p, stats, k))

@@ -285,6 +285,29 @@ def failure_hypothesis(correct, completeness) -> Column:
     return F.when(correct, "none").when(c >= 0.5, "generation").when(c > 0, "mixed").otherwise("retrieval")
 
 
+# How far chunk lengths count by source type.
+SOURCE_BOOST = {"confluence": 1.0, "github": 0.9, "jira": 0.8, "slack": 0.6}
+
+
+def display_trust(content, source_type) -> Column:
+    """Trust of a chunk in displays: its length up to 1,000 characters, scaled
+    by source type."""
+    boost = F.lit(0.7)
+    for k, v in SOURCE_BOOST.items():
+        boost = F.when(F.col(source_type) == k, v).otherwise(boost)
+    return F.least(F.length(content) / 1000, F.lit(1.0)) * boost
+
+
+def distance(x1, y1, x2, y2) -> Column:
+    return F.hypot(F.col(x1) - F.col(x2), F.col(y1) - F.col(y2))
+
+
+def pricing_key(provider, model) -> Column:
+    """Key of the price list: groq models under their provider, ollama as one."""
+    p, m = F.col(provider), F.col(model)
+    return F.when(p == "groq", F.concat(F.lit("groq/"), m)).when(p == "ollama", "ollama").otherwise(m)
+
+
 def run_name(*parts) -> Column:
     return F.concat_ws("_", *[F.lower(F.regexp_replace(p, r"[^A-Za-z0-9]+", "-")) for p in parts])
 

@@ -14,13 +14,17 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from .analytics import top_per_group
 
-#: Rows up to which a query table is sent to every task.
+#: Rows and bytes up to which a query table is sent to every task.
 SMALL_ROWS = 10_000
+SMALL_BYTES = 8 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcasting if a count shows it to be small."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    """df, marked for broadcasting if a count of its rows and bytes (as JSON)
+    shows it to be small."""
+    some = df.limit(SMALL_ROWS + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b"))
+    rows, size = some.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= SMALL_ROWS and size <= SMALL_BYTES else df
 
 
 def ranked(scored: DataFrame, k: int, query: str = "question_id", key: str = "chunk_id") -> DataFrame:
@@ -37,6 +41,14 @@ def postings(chunks: DataFrame, key: str = "id", content: str = "content") -> Da
     return e.groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
 
 
+def sparse_index(chunks: DataFrame, key: str = "id", content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Postings and term statistics, kept: texts are split into terms once,
+    however many searches follow. To keep an index beyond a session, write both
+    with writers.write_index and read them back."""
+    posts = postings(chunks, key, content).persist()
+    return posts, term_statistics(posts, chunks, content).persist()
+
+
 def term_statistics(posts: DataFrame, chunks: DataFrame, content: str = "content", epsilon: float = 0.25) -> DataFrame:
     """term, idf; idf = ln(N - df + 0.5) - ln(df + 0.5), negative values
     replaced by epsilon times the mean idf. Also n_docs and avg_len."""
@@ -335,6 +347,11 @@ def memory_context(turns: DataFrame, most: int, session: str = "conv_id", seq: s
     return g.select(session, F.array_join(F.transform("t", lambda x: F.concat_ws(": ", x["role"], x["text"])), "\n").alias("context"))
 
 
+def no_cache(queries: DataFrame) -> DataFrame:
+    """The cache that never hits: every query is a miss."""
+    return queries.withColumns({"hit": F.lit(False), "chunks": F.lit(None).cast("array<string>")})
+
+
 def context_before(turns: DataFrame, most: int, session: str = "conv_id", seq: str = "turn") -> DataFrame:
     """One row per turn: the session's last turns before it as lines, oldest
     first; null for the first turn."""

@@ -117,11 +117,29 @@ def hyde(questions: DataFrame, hypothetical: DataFrame, embedder, vectors: DataF
     return R.dense(q, vectors, k)
 
 
-def fusion(variants: DataFrame, retrieve: Retrieve, k: int, most: int = 4) -> DataFrame:
-    """variants: question_id, variant, text; rank fusion over at most so many."""
+def parse_variants(c, most: int = 4) -> Column:
+    """The variants of a model's JSON reply, at most so many; none if it is
+    invalid."""
+    j = F.from_json(c, "variants array<string>")
+    return F.slice(F.coalesce(j["variants"], F.array().cast("array<string>")), 1, most)
+
+
+def question_variants(questions: DataFrame, replies: DataFrame, most: int = 4) -> DataFrame:
+    """question_id, variant, text: the question itself as variant 0, then what
+    the model's replies (question_id, reply) offer."""
+    r = questions.join(replies.select("question_id", parse_variants("reply", most).alias("v")), "question_id", "left")
+    texts = F.concat(F.array("text"), F.coalesce("v", F.array().cast("array<string>")))
+    return r.select("question_id", F.posexplode(texts).alias("variant", "text"))
+
+
+def fusion(variants: DataFrame, retrieve: Retrieve, k: int, most: int = 5) -> DataFrame:
+    """variants: question_id, variant, text; rank fusion over at most so many.
+    original_score is a chunk's score in the first list that has it."""
     v = variants.where(F.col("variant") < most).withColumn("__q", F.concat_ws("#", "question_id", "variant"))
     h = retrieve(v.select(F.col("__q").alias("question_id"), "text"), 3 * k).withColumnRenamed("question_id", "__q")
-    return R.rrf([h.join(v.select("__q", "question_id"), "__q")], k)
+    h = h.join(v.select("__q", "question_id", "variant"), "__q")
+    first = h.groupBy("question_id", "chunk_id").agg(F.min_by("score", F.struct("variant", "rank")).alias("original_score"))
+    return R.rrf([h], k).join(first, ["question_id", "chunk_id"])
 
 
 def loop(questions: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int) -> DataFrame:
@@ -137,6 +155,47 @@ def loop(questions: DataFrame, step: Callable[[DataFrame, int], DataFrame], roun
     return finished
 
 
+# Fixed value: the answer of a question without any chunk.
+NOT_FOUND = "NOT FOUND: No relevant information found in the corpus."
+
+
+def reflection(questions: DataFrame, retrieve: Retrieve, generate, critique, k: int, rounds: int = 2) -> DataFrame:
+    """question_id, answer, reflection_rounds. generate(questions, hits) gives
+    question_id, answer; critique(answers) gives question_id, critique, a JSON
+    text with complete and missing. While an answer is not complete and
+    something is said to be missing, the question is asked again about that."""
+    left, out = questions.select("question_id", "text", F.col("text").alias("query")), None
+    for i in range(rounds):
+        left = left.persist()  # each round is worked out once
+        hits = retrieve(left.select("question_id", F.col("query").alias("text")), k).persist()
+        some = left.join(hits.select("question_id").distinct(), "question_id", "left_semi")
+        none = left.join(hits.select("question_id").distinct(), "question_id", "left_anti").select("question_id", F.lit(NOT_FOUND).alias("answer"), F.lit(i).alias("reflection_rounds"))
+        answers = generate(some, hits)
+        c = F.from_json("critique", "complete boolean, missing string")
+        said = answers.join(critique(answers).select("question_id", c.alias("c")), "question_id", "left").join(some, "question_id")
+        complete, missing = F.coalesce("c.complete", F.lit(False)), F.nullif("c.missing", F.lit(""))
+        again = ~complete & missing.isNotNull() & F.lit(i < rounds - 1)
+        ended = said.where(~again).select("question_id", "answer", F.when(complete, i).otherwise(i + 1).alias("reflection_rounds")).unionByName(none)
+        out = ended if out is None else out.unionByName(ended)
+        left = said.where(again).select("question_id", "text", F.concat("text", F.lit(" specifically about: "), missing).alias("query"))
+    return out
+
+
+def arena_run(questions: DataFrame, models: list[tuple[str, str]], answer: Callable[[DataFrame, str], DataFrame], score: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """All questions by all models (provider, model): answer(questions, name)
+    gives question_id, predicted_answer, latency_ms; score adds answer_correct
+    and overall_score. Results, leaderboard and winners by category."""
+    from ..operators import analytics as AN
+
+    results = None
+    for provider, model in models:
+        name = f"{provider}/{model}"
+        own = score(questions.join(answer(questions, name), "question_id")).withColumn("model_id", F.lit(name))
+        results = own if results is None else results.unionByName(own)
+    entered = questions.sparkSession.createDataFrame([(f"{p}/{m}",) for p, m in models], "model_id string")
+    return {"results": results, "leaderboard": AN.arena(results, entered), "winners": AN.arena_winners(results)}
+
+
 def react(questions: DataFrame, think: Callable[[DataFrame, int], DataFrame], retrieve: Retrieve, k: int, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
     """think(questions, round) gives question_id, reply. Replies are parsed;
     actions retrieve, answers finish. Answers and all chunks seen."""

@@ -163,6 +163,26 @@ def benchmark_questions(df: DataFrame, per_subset: int = 250) -> DataFrame:
     return capped(q, "subset", "id", per_subset).drop("subset")
 
 
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """path and the first 16 hex digits of the SHA-256 of each file."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return f.select("path", F.substring(F.sha2("content", 256), 1, 16).alias("file_hash"))
+
+
+def presets(spark: SparkSession, path: str) -> DataFrame:
+    """id, name and description of the presets in a folder of YAML files with
+    plain top-level values; the name defaults to the file's, the description
+    to an empty text."""
+    f = spark.read.option("wholetext", True).option("pathGlobFilter", "*.yaml").text(path).select(F.input_file_name().alias("file"), "value")
+
+    def field(name: str):
+        found = F.regexp_extract("value", rf"(?m)^{name}:[ \t]*(.*?)[ \t]*$", 1)
+        return F.nullif(F.regexp_replace(found, "^[\"']|[\"']$", ""), F.lit(""))
+
+    own = F.regexp_extract("file", r"([^/]+)\.yaml$", 1)
+    return f.select(own.alias("id"), F.coalesce(field("name"), own).alias("name"), F.coalesce(field("description"), F.lit("")).alias("description"))
+
+
 def results_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.EVAL_RESULT).option("header", True).csv(path)
 

@@ -437,6 +437,29 @@ def test_pipelines(spark):
     assert one(spark, "no json", P.parse_query_type).asDict() == {"type": "factual", "confidence": 0.5}
 
 
+def test_files_and_presets(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "fast.yaml").write_text("name: Fast one\ndescription: 'few chunks'\nindex:\n  backend: bm25\n")
+    (tmp_path / "bare.yaml").write_text("index: x\n")
+    (tmp_path / "note.txt").write_text("no preset")
+    got = sorted(map(tuple, S.presets(spark, str(tmp_path)).collect()))
+    assert got == [("bare", "bare", ""), ("fast", "Fast one", "few chunks")]
+    hashes = {r["path"].rsplit("/", 1)[1]: r["file_hash"] for r in S.file_hashes(spark, str(tmp_path)).collect()}
+    assert hashes["note.txt"] == hashlib.sha256(b"no preset").hexdigest()[:16] and len(hashes) == 3
+
+
+def test_reflection_and_variants(spark):
+    qs = spark.createDataFrame([("a", "cat"), ("b", "nothing")], "question_id string, text string")
+    get = lambda q, k: q.where("text like 'cat%'").select("question_id", F.lit(1).alias("rank"), F.lit("c").alias("chunk_id"), F.lit(1.0).alias("score"))
+    gen = lambda q, hits: q.select("question_id", F.col("query").alias("answer"))
+    wants = lambda a: a.select("question_id", F.lit('{"complete": false, "missing": "tails"}').alias("critique"))
+    got = {r["question_id"]: (r["answer"], r["reflection_rounds"]) for r in P.reflection(qs, get, gen, wants, 2).collect()}
+    assert got == {"a": ("cat specifically about: tails", 2), "b": (P.NOT_FOUND, 0)}
+    assert one(spark, '{"variants": ["x", "y", "z"]}', lambda c: P.parse_variants(c, 2)) == ["x", "y"]
+    assert one(spark, "no json", P.parse_variants) == []
+
+
 def test_entry_registers_queries():
     import __spark_entry__ as e
 
