@@ -443,9 +443,9 @@ def test_files_and_presets(spark, tmp_path):
     (tmp_path / "fast.yaml").write_text("name: Fast one\ndescription: 'few chunks'\nindex:\n  backend: bm25\n")
     (tmp_path / "bare.yaml").write_text("index: x\n")
     (tmp_path / "note.txt").write_text("no preset")
-    got = sorted(map(tuple, S.presets(spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, RD.presets(spark, str(tmp_path)).collect()))
     assert got == [("bare", "bare", ""), ("fast", "Fast one", "few chunks")]
-    hashes = {r["path"].rsplit("/", 1)[1]: r["file_hash"] for r in S.file_hashes(spark, str(tmp_path)).collect()}
+    hashes = {r["path"].rsplit("/", 1)[1]: r["file_hash"] for r in RD.file_hashes(spark, str(tmp_path)).collect()}
     assert hashes["note.txt"] == hashlib.sha256(b"no preset").hexdigest()[:16] and len(hashes) == 3
 
 
