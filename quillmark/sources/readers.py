@@ -173,7 +173,7 @@ def presets(spark: SparkSession, path: str) -> DataFrame:
     """id, name and description of the presets in a folder of YAML files with
     plain top-level values; the name defaults to the file's, the description
     to an empty text."""
-    f = spark.read.option("wholetext", True).option("pathGlobFilter", "*.yaml").text(path).select(F.input_file_name().alias("file"), "value")
+    f = spark.read.option("pathGlobFilter", "*.yaml").text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
     def field(name: str):
         found = F.regexp_extract("value", rf"(?m)^{name}:[ \t]*(.*?)[ \t]*$", 1)
