@@ -37,7 +37,7 @@ def source_match(c: str, sources: list[str]):
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """<path>/<source_type>/*.txt|md, a document per file."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(path)
+    t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(path, wholetext=True)
     f = F.col("_metadata.file_path")
     source, stem = F.regexp_extract(f, r"([^/]+)/[^/]+$", 1), F.regexp_extract(f, r"([^/]+)\.[^./]+$", 1)
     return t.select(F.concat_ws("_", source, stem).alias("id"), F.col("value").alias("content"), source.alias("source_type"), F.create_map(F.lit("size"), F.length("value").cast("string")).alias("metadata"))
@@ -57,7 +57,7 @@ def csv_rows(spark: SparkSession, path: str, source_type: str = "csv") -> DataFr
 
 
 def html_pages(spark: SparkSession, path: str) -> DataFrame:
-    t = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{html,htm}").option("recursiveFileLookup", True).text(path)
+    t = spark.read.option("pathGlobFilter", "*.{html,htm}").option("recursiveFileLookup", True).text(path, wholetext=True)
     return t.select(F.col("_metadata.file_path").alias("id"), T.html_text("value").alias("content"), F.lit("html").alias("source_type"))
 
 

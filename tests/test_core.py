@@ -445,8 +445,11 @@ def test_files_and_presets(spark, tmp_path):
     (tmp_path / "note.txt").write_text("no preset")
     got = sorted(map(tuple, RD.presets(spark, str(tmp_path)).collect()))
     assert got == [("bare", "bare", ""), ("fast", "Fast one", "few chunks")]
+    (tmp_path / "wiki").mkdir()
+    (tmp_path / "wiki" / "long.txt").write_text("one\n\ntwo\nthree")
+    assert [r["content"] for r in RD.corpus(spark, str(tmp_path)).where("source_type = 'wiki'").collect()] == ["one\n\ntwo\nthree"]
     hashes = {r["path"].rsplit("/", 1)[1]: r["file_hash"] for r in RD.file_hashes(spark, str(tmp_path)).collect()}
-    assert hashes["note.txt"] == hashlib.sha256(b"no preset").hexdigest()[:16] and len(hashes) == 3
+    assert hashes["note.txt"] == hashlib.sha256(b"no preset").hexdigest()[:16] and len(hashes) == 4
 
 
 def test_reflection_and_variants(spark):
