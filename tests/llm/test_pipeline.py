@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillmark.llm import mixing, packing
@@ -52,7 +53,8 @@ def brute(rows):
     out = []
     for s, total in sources.items():
         whole, rest = int(goal[s] // total), int(goal[s]) - int(goal[s] // total) * total
-        order = sorted((r[0] for r in kept if r[3] == s), key=lambda i: int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16))
+        place = lambda i: hashlib.md5(f"{mixing.SEED}:{i}:{hashlib.md5(texts[i].encode()).hexdigest()}".encode()).hexdigest()[:13]
+        order = sorted((r[0] for r in kept if r[3] == s), key=lambda i: int(place(i), 16))
         for i in order:
             extra = max(0, min(size[i], rest))
             rest -= extra
@@ -87,6 +89,10 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         df = stage(spark, df, str(tmp_path))
         assert df.schema.simpleString() == f"struct<{','.join(x.replace(' ', ':') for x in DOC.split(', '))}>".replace("long", "bigint")
+    more = spark.createDataFrame(table(random.Random(22)), DOC).withColumns({"root": F.lit("x"), "h": F.lit(1), "__th": F.lit(2), "lk": F.lit(3)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        wide = stage(spark, more, str(tmp_path))
+        assert wide.columns == more.columns and wide.where("root = 'x' and h = 1 and lk = 3").count() == wide.count() > 0
     empty = spark.createDataFrame([], DOC)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
