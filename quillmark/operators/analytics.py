@@ -37,9 +37,22 @@ def pipeline_comparison(results: DataFrame, least: int = 5) -> DataFrame:
     )
 
 
-def latency_percentiles(results: DataFrame, points: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    cols = [F.round(F.percentile("latency_ms", p), 6).alias(f"p{round(p * 100)}") for p in points]
-    return results.groupBy("pipeline").agg(*cols, F.count("*").alias("n"))
+def percentiles(value: str, points: tuple[float, ...], accuracy: int | None = None) -> Column:
+    """Array of percentiles in one aggregate. Exact ones keep the counts of all
+    different values of a group; with an accuracy, each is off by at most
+    n / accuracy ranks and a group's state is bounded."""
+    if accuracy:
+        return F.percentile_approx(value, list(points), accuracy)
+    return F.percentile(value, list(points))
+
+
+def _point_columns(points: tuple[float, ...]) -> list[Column]:
+    return [F.round(F.element_at("__p", i + 1), 6).alias(f"p{round(p * 100)}") for i, p in enumerate(points)]
+
+
+def latency_percentiles(results: DataFrame, points: tuple[float, ...] = (0.5, 0.95), accuracy: int | None = None) -> DataFrame:
+    a = results.groupBy("pipeline").agg(percentiles("latency_ms", points, accuracy).alias("__p"), F.count("*").alias("n"))
+    return a.select("pipeline", *_point_columns(points), "n")
 
 
 def latency_percentiles_ranked(results: DataFrame, points: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
@@ -75,13 +88,11 @@ def cost_breakdown(costs: DataFrame) -> DataFrame:
     )
 
 
-def cost_summary(costs: DataFrame) -> DataFrame:
+def cost_summary(costs: DataFrame, points: tuple[float, ...] = (0.5, 0.95, 0.99), accuracy: int | None = None) -> DataFrame:
     """Totals by stage, by model and overall in one pass of grouping sets."""
     sets = costs.groupingSets([["stage"], ["model_id"], []], "stage", "model_id")
-    return sets.agg(
-        F.round(F.sum("cost_usd"), 2).alias("total_cost"), F.count("*").alias("calls"),
-        *[F.round(F.percentile("latency_ms", p), 6).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)],
-    )
+    a = sets.agg(F.round(F.sum("cost_usd"), 2).alias("total_cost"), F.count("*").alias("calls"), percentiles("latency_ms", points, accuracy).alias("__p"))
+    return a.select("stage", "model_id", "total_cost", "calls", *_point_columns(points))
 
 
 def score_cube(results: DataFrame, dims: tuple[str, ...] = ("category", "pipeline", "source_type")) -> DataFrame:
@@ -246,9 +257,28 @@ def bonferroni(p: DataFrame, key: str, value: str, alpha: float = 0.05) -> DataF
 
 
 def average_ranks(df: DataFrame, value: str, out: str, group: list[str] | None = None) -> DataFrame:
-    """Ranks with ties averaged."""
-    g = Window.partitionBy(*(group or [F.lit(1)]))
-    return df.withColumn(out, F.rank().over(g.orderBy(value)) + (F.count("*").over(Window.partitionBy(*(group or []), value)) - 1) / 2)
+    """Ranks with ties averaged, nulls first. Values are counted first; without
+    a group, prefix sums go over stretches of values between quantiles, so no
+    task sees all rows or all values."""
+    keys = list(group or [])
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    if not keys:
+        cuts = counts.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 10_000)).first()[0] or []
+        part = sum((F.when(F.col(value) > c, 1).otherwise(0) for c in sorted(set(cuts))), F.when(F.col(value).isNull(), 0).otherwise(1))
+        counts = counts.withColumn("__part", part)
+        keys = ["__part"]
+    before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    if not group:
+        ahead = F.sum("__m").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+        sums = counts.groupBy("__part").agg(F.sum("__n").alias("__m")).select("__part", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+        ranks = ranks.join(F.broadcast(sums), "__part").withColumn("__before", F.col("__before") + F.col("__ahead"))
+    own = [F.col(k).alias(f"__k{i}") for i, k in enumerate([*(group or []), value])]
+    ranks = ranks.select(*own, (F.col("__before") + (F.col("__n") + 1) / 2).alias(out))
+    same = F.lit(True)
+    for i, k in enumerate([*(group or []), value]):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(ranks, same).select(*df.columns, out)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
