@@ -111,16 +111,18 @@ def _grid_points(v: Column) -> Column:
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` that connect exactly
     those which a chain of links of at most MAX_BITS bits connects."""
-    cells = fps.select("fp", F.explode(_grid_points(segment_counts(F.col("fp")))).alias("cell"))
+    # The counts are a column of their own: named many times, worked out once.
+    counted = fps.select("fp", segment_counts(F.col("fp")).alias("v"))
+    cells = counted.select("fp", F.explode(_grid_points(F.col("v"))).alias("cell"))
     shared = cells.groupBy("cell").count().where("count > 1")
-    held = settle(cells.join(shared, "cell"), "simhash-cells")
+    held = settle(cells.join(shared, "cell").withColumn("v", segment_counts(F.col("fp"))), "simhash-cells")
     few = held.where(F.col("count") <= PAIRED_CELL)
-    left = few.select("cell", F.col("fp").alias("a"))
-    right = few.select("cell", F.col("fp").alias("b"))
+    left = few.select("cell", F.col("fp").alias("a"), F.col("v").alias("va"))
+    right = few.select("cell", F.col("fp").alias("b"), F.col("v").alias("vb"))
     near = (
         left.join(right, "cell")
         .where("a < b")
-        .where(manhattan(segment_counts(F.col("a")), segment_counts(F.col("b"))) <= MAX_BITS)
+        .where(manhattan(F.col("va"), F.col("vb")) <= MAX_BITS)
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
         .select("a", "b")
     )
