@@ -16,6 +16,8 @@ from .operators import chunking as C
 from .operators import dedup as D
 from .operators import evaluation as E
 from .operators import retrieval as R
+from .operators import sparse as SP
+from .operators import vectors as X
 from .plans import adapters as AD
 from .plans import pipelines as P
 from .sources import readers as S
@@ -280,8 +282,7 @@ def _questions(s, d) -> DataFrame:
 
 
 def _sparse(s, d, k: int = 3) -> DataFrame:
-    docs = V.documents(s, d)
-    return R.bm25(_questions(s, d), *R.sparse_index(docs), k)
+    return R.bm25_scan(_questions(s, d), V.documents(s, d), k)
 
 
 _BM25 = f"""tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') AS t FROM documents),
@@ -292,7 +293,7 @@ st AS (SELECT term, al, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM
 qt AS (SELECT item_id, term, count(*) AS qn FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS term FROM benchmark) GROUP BY 1, 2),
 bs AS (SELECT item_id * 100 AS question_id, doc_id AS chunk_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al)) * qn), 6) AS score FROM qt JOIN st USING (term) JOIN post USING (term) GROUP BY 1, 2),
 sparse AS (SELECT question_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bs)"""
-_add("ix01_bm25", _sparse, f"WITH {_BM25} SELECT * FROM sparse WHERE rank <= 3")
+_add("ix01_bm25", lambda s, d: SP.search_once(V.documents(s, d), _questions(s, d), 3), f"WITH {_BM25} SELECT * FROM sparse WHERE rank <= 3")
 
 
 def _qvecs(s, d) -> DataFrame:
@@ -325,6 +326,40 @@ def _ivf(s, d):
 _add("ix04_ivf_recall", _ivf)
 
 
+def _recall_row(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Recall of an approximate search, and whether it reaches 0.9."""
+    return R.recall(found, exact).withColumn("enough", F.col("recall") >= 0.9)
+
+
+def _quantised(s, d):
+    pq = X.ProductQuantised()
+    return _recall_row(pq.search(_qvecs(s, d), pq.build(V.vectors(s, d)), V.vectors(s, d), 5), R.dense(_qvecs(s, d), V.vectors(s, d), 5))
+
+
+def _neighbours(s, d):
+    g = X.NeighbourGraph()
+    return _recall_row(g.search(_qvecs(s, d), g.build(V.vectors(s, d)), V.vectors(s, d), 5), R.dense(_qvecs(s, d), V.vectors(s, d), 5))
+
+
+_add("ix04_pq_recall", _quantised)
+_add("ix04_graph_recall", _neighbours)
+
+
+def _token_vectors(s, d) -> tuple[DataFrame, DataFrame]:
+    """Three tokens a question, five a chunk."""
+    v = V.vectors(s, d)
+    q = v.where("chunk_id % 100 < 3").select((F.col("chunk_id") - F.col("chunk_id") % 100).alias("question_id"), (F.col("chunk_id") % 100).alias("qpos"), F.col("vec").alias("qvec"))
+    return q, v.select(F.floor(F.col("chunk_id") / 5).alias("chunk_id"), "vec")
+
+
+def _late(s, d):
+    (q, t), li = _token_vectors(s, d), X.LateInteraction()
+    return _recall_row(li.search(q, li.build(t), t, 3), R.max_sim(q, t, 3))
+
+
+_add("ix18_late_recall", _late)
+
+
 def _two_lists(s, d):
     return R.dense(_qvecs(s, d), V.vectors(s, d), 15), _sparse(s, d, 15)
 
@@ -393,9 +428,8 @@ _add("ix15_entity_edges", _graph)
 
 def _naive(s, d):
     docs = V.documents(s, d)
-    p, stats = R.sparse_index(docs)
     chunks = docs.withColumn("doc_id", F.col("id"))
-    out = P.naive(_questions(s, d), lambda q, k: R.bm25(q, p, stats, k), chunks, AD.Extract(), P.Config(top_k=3, trust_threshold=0.1))
+    out = P.naive(_questions(s, d), lambda q, k: R.bm25_scan(q, docs, k), chunks, AD.Extract(), P.Config(top_k=3, trust_threshold=0.1))
     return out["answers"].join(out["gate"], "question_id")
 
 
@@ -505,8 +539,8 @@ _add("sf32_provenance", lambda s, d: V.documents(s, d).select("id", T.provenance
 _add("sf38_logits", _ev(lambda d: d.select("question_id", F.round(T.logit(F.col("overall_score")), 6).alias("logit"))), f"WITH {V.EV} SELECT question_id, round(ln(greatest(1e-6, least(1 - 1e-6, overall_score)) / (1 - greatest(1e-6, least(1 - 1e-6, overall_score)))), 6) AS logit FROM ev")
 _add("ix05_dense_by_source", lambda s, d: R.dense(_qvecs(s, d), V.vectors(s, d), 3, keep=F.col("source_type") == 1), f"""WITH s AS (SELECT q.vec_id AS question_id, v.vec_id AS chunk_id, round({_COS}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.label = 1),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT question_id, rank, chunk_id, score FROM r WHERE rank <= 3""")
-_add("ix18_max_sim", lambda s, d: R.max_sim(_qvecs(s, d).select("question_id", F.lit(0).alias("qpos"), "qvec"), V.vectors(s, d).select(F.col("source_type").alias("chunk_id"), "vec"), 3), f"""WITH m AS (SELECT q.vec_id AS question_id, v.label AS chunk_id, round(max({_DOT.format("q.embedding", "v.embedding")}), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM m) SELECT * FROM r WHERE rank <= 3""")
+_add("ix18_max_sim", lambda s, d: R.max_sim(*_token_vectors(s, d), 3), f"""WITH m AS (SELECT q.vec_id - q.vec_id % 100 AS question_id, q.vec_id % 100 AS qpos, v.vec_id // 5 AS chunk_id, max({_DOT.format("q.embedding", "v.embedding")}) AS m FROM embeddings v, embeddings q WHERE q.vec_id % 100 < 3 GROUP BY 1, 2, 3),
+t AS (SELECT question_id, chunk_id, round(sum(m), 6) AS score FROM m GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM t) SELECT question_id, rank, chunk_id, score FROM r WHERE rank <= 3""")
 _add("qc03_synthetic_ids", lambda s, d: V.load(s, d, "benchmark").select("item_id", E.synthetic_id("text").alias("id")), "SELECT item_id, 'syn_' || substr(sha256(text), 1, 12) AS id FROM benchmark")
 _add("qc04_synthesis_plan", lambda s, d: E.synthesis_plan(V.documents(s, d), ["factual", "adversarial"]).groupBy("kind").agg(F.count("*").alias("n")), r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n\s*\n|\n'), lambda x: length(trim(x)) >= 100) AS ps FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 50)),
 n AS (SELECT least(5, len(list_filter(range(len(ps)), lambda i: i % greatest(1, len(ps) // 5) = 0))) AS n FROM d WHERE len(ps) > 0)
@@ -583,5 +617,4 @@ def _arena(s, d) -> DataFrame:
 
 def _over_documents(s, d, f) -> DataFrame:
     docs = V.documents(s, d)
-    p, stats = R.sparse_index(docs)
-    return f(_questions(s, d), lambda q, k: R.bm25(q, p, stats, k))
+    return f(_questions(s, d), lambda q, k: R.bm25_scan(q, docs, k))

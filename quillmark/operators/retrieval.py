@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import spread
+from ..storage import written
 from .analytics import top_per_group
 
 #: Rows and bytes up to which a query table is sent to every task.
@@ -41,14 +43,6 @@ def postings(chunks: DataFrame, key: str = "id", content: str = "content") -> Da
     return e.groupBy("term", "chunk_id", "doc_len").agg(F.count("*").alias("tf"))
 
 
-def sparse_index(chunks: DataFrame, key: str = "id", content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """Postings and term statistics, kept: texts are split into terms once,
-    however many searches follow. To keep an index beyond a session, write both
-    with writers.write_index and read them back."""
-    posts = postings(chunks, key, content).persist()
-    return posts, term_statistics(posts, chunks, content).persist()
-
-
 def term_statistics(posts: DataFrame, chunks: DataFrame, content: str = "content", epsilon: float = 0.25) -> DataFrame:
     """term, idf; idf = ln(N - df + 0.5) - ln(df + 0.5), negative values
     replaced by epsilon times the mean idf. Also n_docs and avg_len."""
@@ -71,6 +65,25 @@ def bm25(queries: DataFrame, posts: DataFrame, stats: DataFrame, k: int, k1: flo
     return ranked(s, k)
 
 
+def bm25_scan(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, key: str = "id", content: str = "content") -> DataFrame:
+    """bm25 of all queries without an index, in two passes over the texts: one
+    for the vocabulary, one for the postings of the queries' terms, the only
+    ones that are moved. For many searches build a sparse.SparseIndex."""
+    t = spread(chunks.select(F.col(key).alias("chunk_id"), F.col(content).alias("content"))).select("chunk_id", T.tokens("content").alias("t"))
+    one = t.select(F.size("t").alias("doc_len"), F.posexplode(F.array_distinct("t")).alias("pos", "term"))
+    words = one.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("pos") == 0, F.col("doc_len"))).alias("first"))
+    words, n = written(words, "vocabulary"), chunks.count()
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    total, mean = words.agg(F.sum("first"), F.avg(raw)).first()
+    idf = F.when(raw < 0, F.lit(epsilon * (mean or 0.0))).otherwise(raw)
+    q = queries.select("question_id", F.explode(T.tokens("text")).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qn"))
+    q = small(written(q.join(words, "term").select("question_id", "term", (idf * F.col("qn")).alias("weight")), "query-weights"))
+    tf = t.select("chunk_id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).join(small(q.select("term").distinct()), "term", "left_semi")
+    tf = tf.groupBy("chunk_id", "term", "doc_len").agg(F.count("*").alias("tf"))
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.lit((total or 0) / max(1, n))))
+    return ranked(tf.join(q, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")), k)
+
+
 def bm25_rerank(candidates: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """candidates: question_id, text, chunk_id, content; the statistics are
     those of each question's candidates."""

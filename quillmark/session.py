@@ -44,6 +44,13 @@ def ship(spark: SparkSession) -> None:
     sc._quillmark_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer tasks than there are cores
+    (one row group makes one task); large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def map_pandas(df: DataFrame, run, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInPandas(run, schema)
