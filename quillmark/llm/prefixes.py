@@ -134,7 +134,8 @@ def heavy_paths(prefixes: DataFrame) -> DataFrame:
     prefixes: conv_id, depth, key, chars of every prefix of every conversation.
     """
     nodes = prefixes.groupBy("key").agg(F.min("conv_id").alias("low"), F.count("*").alias("n_convs"))
-    pairs = prefixes.join(nodes, "key")
+    # Both sides are read back, so that a join on a key of very many rows can be split.
+    pairs = prefixes.join(settle(nodes, "trie-counts"), "key")
     # A node's row is the one of its smallest conversation; its parent's key is in the row before.
     seen = running(
         settle(pairs, "trie-rows"), "conv_id", ["depth"], None, lambda r: (r["key"], r["low"]), lambda a, b: b or a, "parent_key binary, parent_conv_id long",
