@@ -229,7 +229,7 @@ _add("sf08_pii_kinds", lambda s, d: V.load(s, d, "documents").select("doc_id", F
 _SENT = r"list_filter(string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
 _add("sf09_sentences", lambda s, d: V.load(s, d, "documents").select("doc_id", T.sentences("text").alias("x")).select("doc_id", F.size("x").alias("n"), F.sha2(F.array_join("x", "|"), 256).alias("h")),
      f"WITH t AS (SELECT doc_id, {_SENT.format('text')} AS x FROM documents) SELECT doc_id, CAST(len(x) AS INTEGER) AS n, sha256(array_to_string(x, '|')) AS h FROM t")
-_add("sf10_containment", lambda s, d: V.load(s, d, "benchmark").join(V.load(s, d, "documents").select("doc_id", "text").withColumnRenamed("text", "doc")).where(T.exact_match("doc", "text")).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")),
+_add("sf10_containment", lambda s, d: E.containment(V.load(s, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), V.load(s, d, "benchmark").select(F.col("item_id").alias("sought_id"), F.col("text").alias("phrase"))).groupBy(F.col("sought_id").alias("item_id")).agg(F.count("*").alias("n"), F.min("text_id").alias("first_doc")),
      "SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(trim(b.text))) WHERE trim(b.text) <> '' GROUP BY 1")
 _add("sf12_error_rates", lambda s, d: E.error_rates(V.load(s, d, "benchmark").select("item_id", F.regexp_replace("text", " the ", " a ").alias("p"), F.col("text").alias("t")), "p", "t").select("item_id", "cer", "wer"))
 _add("sf25_previews", lambda s, d: V.load(s, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("preview"), T.approx_tokens("text").alias("tokens")), "SELECT doc_id, substr(text, 1, 80) AS preview, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens FROM documents")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import written
+
 
 def mean(c, places: int = 6) -> Column:
     return F.round(F.avg(c), places)
@@ -37,34 +42,90 @@ def pipeline_comparison(results: DataFrame, least: int = 5) -> DataFrame:
     )
 
 
-def percentiles(value: str, points: tuple[float, ...], accuracy: int | None = None) -> Column:
-    """Array of percentiles in one aggregate. Exact ones keep the counts of all
-    different values of a group; with an accuracy, each is off by at most
-    n / accuracy ranks and a group's state is bounded."""
-    if accuracy:
-        return F.percentile_approx(value, list(points), accuracy)
-    return F.percentile(value, list(points))
-
-
-def _point_columns(points: tuple[float, ...]) -> list[Column]:
-    return [F.round(F.element_at("__p", i + 1), 6).alias(f"p{round(p * 100)}") for i, p in enumerate(points)]
+#: Rows of a group that may be ranked by their values at once, and cells a
+#: round of the selection cuts a group into.
+RANKED_VALUES = 4096
+SELECTION_CELLS = 1024
+
+
+def elements_at(df: DataFrame, group: list[str], value: str, wanted: DataFrame) -> DataFrame:
+    """group, rank, value: the elements of these ranks (from 1) in each group's
+    values in order, nulls left out. wanted: group, rank.
+
+    Distributed selection: the range of a group is cut into cells, of equal
+    width in one round and of logarithmic width in the next, the counts of the cells show which ones hold wanted ranks, and only
+    their rows go on to the next round, as groups of their own, until groups
+    are small or of one value. Then counts by value are summed up. No task and
+    no state holds a group.
+    """
+    keys = [f"__g{i}" for i in range(len(group))]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(group, keys, strict=True)], F.col(value).cast("double").alias("__v"))
+    want = wanted.select(*[F.col(c).alias(k) for c, k in zip(group, keys, strict=True)], F.col("rank").alias("__rank"), F.col("rank").cast("long").alias("__left"))
+    rows, want, cell = rows.withColumn("__c", F.lit("")), want.withColumn("__c", F.lit("")), [*keys, "__c"]
+
+    def same(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+        b = b.select(*[F.col(c).alias(f"__b{c}") if c in cell else F.col(c) for c in b.columns])
+        on = [F.col(c).eqNullSafe(F.col(f"__b{c}")) for c in cell]
+        return a.join(b, on, how).drop(*[f"__b{c}" for c in cell])
+
+    for turn in itertools.count():
+        span = written(rows.groupBy(*cell).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("__n")), "selection-spans")
+        if not (span.agg(F.max(F.when(F.col("__lo") < F.col("__hi"), F.col("__n")))).first()[0] or 0) > RANKED_VALUES:
+            break
+        share = (F.col("__v") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2)  # halves do not overflow
+        share = F.log1p(share * 2.0**60) / math.log1p(2.0**60) if turn % 2 else share
+        at = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor(share * SELECTION_CELLS), F.lit(SELECTION_CELLS - 1))).otherwise(0)
+        placed = same(rows, F.broadcast(span)).withColumn("__at", at.cast("int")).drop("__lo", "__hi", "__n")
+        n = placed.groupBy(*cell, "__at").agg(F.count("*").alias("__m"))
+        n = n.withColumn("__before", F.sum("__m").over(Window.partitionBy(*cell).orderBy("__at")) - F.col("__m"))
+        want = same(want, n).where((F.col("__left") > F.col("__before")) & (F.col("__left") <= F.col("__before") + F.col("__m")))
+        deeper = F.concat_ws(".", "__c", "__at").alias("__c")
+        want = written(want.select(*keys, "__rank", (F.col("__left") - F.col("__before")).alias("__left"), deeper), "selection-ranks")
+        rows = written(same(placed.select(*keys, "__v", deeper), F.broadcast(want.select(*cell).distinct()), "left_semi"), "selection-rows")
+    n = rows.groupBy(*cell, "__v").agg(F.count("*").alias("__m"))
+    n = n.withColumn("__upto", F.sum("__m").over(Window.partitionBy(*cell).orderBy("__v")))
+    out = same(want, n).where((F.col("__left") <= F.col("__upto")) & (F.col("__left") > F.col("__upto") - F.col("__m")))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(group, keys, strict=True)], F.col("__rank").alias("rank"), F.col("__v").alias(value))
+
+
+def exact_percentiles(df: DataFrame, group: list[str], value: str, points: tuple[float, ...]) -> DataFrame:
+    """group, n (values that are not null) and p<point> of each: interpolated
+    between the elements on both sides, by elements_at."""
+    n = written(df.groupBy(*group).agg(F.count(value).alias("n")), "group-sizes")
+    at = [F.lit(p) * (F.col("n") - 1) for p in points]
+    ranks = F.array_distinct(F.array(*[f(x).cast("long") + 1 for x in at for f in (F.floor, F.ceil)]))
+    found = elements_at(df, group, value, n.where("n > 0").select(*group, F.explode(ranks).alias("rank")))
+    held = F.map_from_entries(F.collect_list(F.struct("rank", value)))  # two entries a point
+    keys = [f"__k{i}" for i in range(len(group))]
+    e = found.groupBy(*[F.col(c).alias(k) for c, k in zip(group, keys, strict=True)]).agg(held.alias("__e"))
+    j = n.join(e, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(group, keys, strict=True)], "left")
+
+    def point(x: Column) -> Column:
+        lo, hi = (F.element_at("__e", f(x).cast("long") + 1) for f in (F.floor, F.ceil))
+        return F.round(lo + (hi - lo) * (x - F.floor(x)), 6)
+
+    return j.select(*group, "n", *[point(x).alias(f"p{round(p * 100)}") for p, x in zip(points, at, strict=True)])
 
 
 def latency_percentiles(results: DataFrame, points: tuple[float, ...] = (0.5, 0.95), accuracy: int | None = None) -> DataFrame:
-    a = results.groupBy("pipeline").agg(percentiles("latency_ms", points, accuracy).alias("__p"), F.count("*").alias("n"))
-    return a.select("pipeline", *_point_columns(points), "n")
+    """Exact percentiles by pipeline and the number of its rows; with an
+    accuracy, approximate ones of n / accuracy ranks at most, in one pass."""
+    if accuracy:
+        a = results.groupBy("pipeline").agg(F.percentile_approx("latency_ms", list(points), accuracy).alias("p"), F.count("*").alias("n"))
+        return a.select("pipeline", *[F.round(F.element_at("p", i + 1), 6).alias(f"p{round(p * 100)}") for i, p in enumerate(points)], "n")
+    p = exact_percentiles(results, ["pipeline"], "latency_ms", points).drop("n").withColumnRenamed("pipeline", "__pipeline")
+    n = results.groupBy("pipeline").agg(F.count("*").alias("n"))
+    return n.join(p, F.col("pipeline").eqNullSafe(F.col("__pipeline"))).drop("__pipeline")
 
 
 def latency_percentiles_ranked(results: DataFrame, points: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """The variant that takes the element at max(0, int(n * p) - 1) of the
-    sorted list, by rank and count over the pipeline."""
-    w = Window.partitionBy("pipeline")
-    r = results.select("pipeline", "latency_ms", F.row_number().over(w.orderBy("latency_ms", "question_id")).alias("rn"), F.count("*").over(w).alias("n"))
-    cols = [
-        F.max(F.when(F.col("rn") == F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(p)).cast("int")), F.col("latency_ms"))).alias(f"p{round(p * 100)}")
-        for p in points
-    ]
-    return r.groupBy("pipeline").agg(*cols, F.max("n").alias("n"))
+    sorted list."""
+    n = written(results.groupBy("pipeline").agg(F.count("latency_ms").alias("n")), "group-sizes")
+    rank = {p: F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(p))).cast("long") for p in points}
+    found = elements_at(results, ["pipeline"], "latency_ms", n.select("pipeline", F.explode(F.array_distinct(F.array(*rank.values()))).alias("rank")))
+    j = n.join(found.withColumnRenamed("pipeline", "__p"), F.col("pipeline").eqNullSafe(F.col("__p")))
+    return j.groupBy("pipeline").agg(*[F.max(F.when(F.col("rank") == r, F.col("latency_ms"))).alias(f"p{round(p * 100)}") for p, r in rank.items()], F.max("n").alias("n"))
 
 
 def run_regression(results: DataFrame) -> DataFrame:
@@ -88,11 +149,17 @@ def cost_breakdown(costs: DataFrame) -> DataFrame:
     )
 
 
-def cost_summary(costs: DataFrame, points: tuple[float, ...] = (0.5, 0.95, 0.99), accuracy: int | None = None) -> DataFrame:
-    """Totals by stage, by model and overall in one pass of grouping sets."""
-    sets = costs.groupingSets([["stage"], ["model_id"], []], "stage", "model_id")
-    a = sets.agg(F.round(F.sum("cost_usd"), 2).alias("total_cost"), F.count("*").alias("calls"), percentiles("latency_ms", points, accuracy).alias("__p"))
-    return a.select("stage", "model_id", "total_cost", "calls", *_point_columns(points))
+def cost_summary(costs: DataFrame, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Totals and exact percentiles by stage, by model and overall."""
+    of = lambda name, stage, model: F.struct(F.lit(name).alias("set"), stage.alias("stage"), model.alias("model_id"))
+    none = lambda c: F.lit(None).cast(costs.schema[c].dataType)
+    sets = F.array(of("stage", F.col("stage"), none("model_id")), of("model", none("stage"), F.col("model_id")), of("all", none("stage"), none("model_id")))
+    rows = costs.select(F.explode(sets).alias("s"), "cost_usd", "latency_ms").select("s.*", "cost_usd", "latency_ms")
+    keys = ["set", "stage", "model_id"]
+    total = rows.groupBy(*keys).agg(F.round(F.sum("cost_usd"), 2).alias("total_cost"), F.count("*").alias("calls"))
+    p = exact_percentiles(rows, keys, "latency_ms", points).drop("n")
+    p = p.select(*[F.col(c).alias(f"__{c}") for c in keys], *[f"p{round(x * 100)}" for x in points])
+    return total.join(p, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]).drop("set", *[f"__{c}" for c in keys])
 
 
 def score_cube(results: DataFrame, dims: tuple[str, ...] = ("category", "pipeline", "source_type")) -> DataFrame:

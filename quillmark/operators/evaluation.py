@@ -5,14 +5,76 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import ship, spread
+from ..storage import written
 from .analytics import average_ranks, benjamini_hochberg, flag, top_per_group
 from .retrieval import small
 
+#: Words of the grams that anchor a sought text, and below how many words it
+#: has no whole words that are sure to be found as such.
+ANCHOR_WORDS = 3
+ANCHORED_WORDS = 3
+
+
+def containment(texts: DataFrame, sought: DataFrame) -> DataFrame:
+    """(sought_id, text_id) of the sought texts that stand in a text, upper and
+    lower case alike. texts: text_id, text; sought: sought_id, phrase.
+
+    All words of a sought text but the first and last are whole words of a text
+    that holds it. So its rarest gram of up to ANCHOR_WORDS such words is its
+    anchor; texts that have an anchor are candidates, and candidates are
+    compared in full. Sought texts of fewer than ANCHORED_WORDS words are
+    compared by words of the vocabulary that hold their longest word.
+    """
+    s = written(sought.select("sought_id", F.lower(F.trim("phrase")).alias("phrase")).where("phrase <> ''"), "sought")
+    p = s.select("sought_id", "phrase", T.tokens("phrase").alias("w"))
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    many = p.where(F.size("w") >= ANCHORED_WORDS).select("sought_id", inner.alias("w"))
+    t = spread(texts.select("text_id", F.lower("text").alias("text")))
+    words = t.select("text_id", T.tokens("text").alias("w"))
+    found = None
+    for size in range(1, ANCHOR_WORDS + 1):
+        last = size == ANCHOR_WORDS
+        own = many.where(F.size("w") >= size if last else F.size("w") == size)
+        grams = written(own.select("sought_id", F.explode(_grams("w", size)).alias("gram")).distinct(), f"grams-{size}")
+        if grams.isEmpty():
+            continue
+        held = words.where(F.size("w") >= size).select("text_id", F.explode(F.array_distinct(_grams("w", size))).alias("gram"))
+        held = written(held.join(small(grams.select("gram").distinct()), "gram", "left_semi"), f"held-{size}")
+        n = held.groupBy("gram").agg(F.count("*").alias("n"))
+        # A gram that no text has rules its sought text out.
+        rare = grams.join(n, "gram", "left").groupBy("sought_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a"))
+        pairs = held.join(rare.where("a.n > 0").select("sought_id", F.col("a.gram").alias("gram")), "gram").select("sought_id", "text_id")
+        found = pairs if found is None else found.unionByName(pairs)
+    few = written(p.where(F.size("w") < ANCHORED_WORDS).select("sought_id", F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("x")), "short")
+    if not few.isEmpty():
+        tokens = words.select("text_id", F.explode(F.array_distinct("w")).alias("token"))
+        vocabulary = tokens.select("token").distinct().join(small(few), F.contains("token", "x")).select("token", "sought_id")
+        pairs = tokens.join(vocabulary, "token").select("sought_id", "text_id")
+        found = pairs if found is None else found.unionByName(pairs)
+    if found is None:
+        return s.join(t.limit(0)).select("sought_id", "text_id")
+    found = written(found.distinct(), "candidates")
+    j = t.join(found, "text_id").join(small(s), "sought_id")
+    return j.where(F.contains("text", "phrase")).select("sought_id", "text_id").distinct()
+
+
+def _grams(words: str, size: int) -> Column:
+    w = F.col(words)
+    if size == 1:
+        return w
+    starts = F.sequence(F.lit(1), F.size(w) - size + 1)
+    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " "))
+
+
 # Scoring
 
 
@@ -83,8 +145,14 @@ def trajectory(steps: DataFrame) -> DataFrame:
 def run_consistency(runs: DataFrame, least_variance: float = 0.05) -> DataFrame:
     """runs: question_id, run, vec, score. Mean pairwise cosine of a question's
     runs and the population variance of their scores."""
-    a, b = runs.select("question_id", F.col("run").alias("ra"), F.col("vec").alias("va")), runs.select("question_id", F.col("run").alias("rb"), F.col("vec").alias("vb"))
-    cos = a.join(b, "question_id").where("ra < rb").groupBy("question_id").agg(F.round(F.avg(T.cosine(F.col("va"), F.col("vb"))), 6).alias("similarity"))
+    # The cosines of all pairs add up to half of |sum of unit vectors|^2 less the sum of their |.|^2.
+    n = F.col("n")
+    u = runs.select("question_id", "vec", T.norm(F.col("vec")).alias("n"))
+    u = u.select("question_id", F.transform("vec", lambda x: F.when(n == 0, 0.0).otherwise(x / n)).alias("u"), (n > 0).cast("int").alias("unit"))
+    g = u.groupBy("question_id").agg(Summarizer.sum(array_to_vector("u")).alias("s"), F.sum("unit").alias("units"), F.count("*").alias("m"))
+    s = vector_to_array("s")
+    similarity = (T.dot(F.col("a"), F.col("a")) - F.col("units")) / (F.col("m") * (F.col("m") - 1))
+    cos = g.where("m > 1").select("question_id", "units", "m", s.alias("a")).select("question_id", F.round(similarity, 6).alias("similarity"))
     var = runs.groupBy("question_id").agg(F.round(F.var_pop("score"), 6).alias("variance"))
     return var.join(cos, "question_id", "left").withColumn("reliable", F.col("variance") < least_variance)
 
@@ -102,18 +170,63 @@ def bootstrap_mean(values: list[float] | np.ndarray, samples: int = 2000, alpha:
     return float(np.quantile(means, alpha / 2)), float(np.quantile(means, 1 - alpha / 2))
 
 
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Poisson(1) up to 7: beyond, less than one in 10^7.
+_POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+_DRAWN = 1 << 21
+
+
+def poisson_draws(ids: np.ndarray, samples: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) numbers, ids x samples, the same for the same pair."""
+    x = ids.astype(np.uint64)[:, None] + (samples.astype(np.uint64)[None, :] + np.uint64(seed)) * np.uint64(_MIX[0])
+    for shift, times in ((30, _MIX[1]), (27, _MIX[2])):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+    return np.searchsorted(_POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right")
+
+
 def bootstrap(df: DataFrame, group: str, value: str, samples: int = 2000, seed: int = 42, key: str | None = None) -> DataFrame:
     """Interval by group from Poisson weights: each sample weighs every row by
-    a hash-drawn Poisson(1) number, so that one aggregate over samples scales
-    with the cluster and no group is gathered. With a key of the rows, reruns
-    agree."""
-    s = df.sparkSession.range(samples).select(F.col("id").alias("sample"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "sample", "__id"), F.lit(1_000_003)) + 0.5) / 1_000_003.0
-    steps = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(8)]
-    w = sum((F.when(u > t, 1).otherwise(0) for t in steps), F.lit(0))
-    r = df.select(group, F.col(value).alias("v"), (F.col(key) if key else F.monotonically_increasing_id()).alias("__id")).join(F.broadcast(s))
-    m = r.select(group, "sample", "v", w.alias("w")).groupBy(group, "sample").agg((F.sum(F.col("v") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
-    return m.groupBy(group).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    a hash-drawn Poisson(1) number. Rows are read once; a task keeps a sum and
+    a weight per group and sample (the lanes of an array) for what it reads,
+    and those are added up, so that no group is gathered and no row is
+    repeated. With a key of the rows, reruns agree. Null values do not count."""
+    ids = F.xxhash64(F.lit(seed), F.col(key)) if key else F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), ids.alias("id"))
+    lanes = np.arange(samples)
+
+    def run(batches):
+        for b in batches:
+            code = b.column("g").dictionary_encode()
+            at = code.indices.fill_null(len(code.dictionary)).to_numpy()
+            v, h = b.column("v").to_numpy(), b.column("id").to_numpy()
+            sums, weights = np.zeros((len(code.dictionary) + 1, samples)), np.zeros((len(code.dictionary) + 1, samples))
+            step = max(1, _DRAWN // samples)
+            for i in range(0, len(v), step):
+                w = poisson_draws(h[i : i + step], lanes, seed)
+                for c in np.unique(at[i : i + step]):
+                    own = at[i : i + step] == c
+                    sums[c] += v[i : i + step][own] @ w[own]
+                    weights[c] += w[own].sum(0)
+            some = np.unique(at)
+            names = code.dictionary.take(pa.array([None if c == len(code.dictionary) else int(c) for c in some], pa.int64()))
+            yield pa.RecordBatch.from_arrays([names, pa.array(sums[some].tolist(), pa.list_(pa.float64())), pa.array(weights[some].tolist(), pa.list_(pa.float64()))], names=["g", "s", "w"])
+
+    ship(df.sparkSession)
+    kind = rows.schema["g"].dataType.simpleString()
+    parts = rows.mapInArrow(run, f"g {kind}, s array<double>, w array<double>")
+    lane = parts.select("g", F.posexplode(F.arrays_zip("s", "w")).alias("sample", "x"))
+    m = lane.groupBy("g", "sample").agg((F.sum("x.s") / F.greatest(F.sum("x.w"), F.lit(1.0))).alias("m"))
+    return m.groupBy(F.col("g").alias(group)).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def bootstrap_delta(pairs: DataFrame, group: str, a: str = "a", b: str = "b", samples: int = 2000, seed: int = 42, key: str | None = None) -> DataFrame:
+    """Interval of the mean paired difference b - a; significant if it leaves
+    out zero."""
+    d = pairs.withColumn("__delta", F.col(b) - F.col(a))
+    mean = d.groupBy(group).agg(F.avg("__delta").alias("delta"), F.count("__delta").alias("n"))
+    out = bootstrap(d, group, "__delta", samples, seed, key)
+    joined = mean.join(out, mean[group].eqNullSafe(out[group])).drop(out[group])
+    return joined.withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 
 
 def _normal_sf(z: float) -> float:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..session import ship
+from ..storage import written
 
 
 def tail(spark: SparkSession, path: str, schema: str = S.RETRIEVAL_LOG, per_trigger: int = 1000) -> DataFrame:
@@ -58,24 +62,152 @@ def session_memory(turns: DataFrame, most: int = 5, key: str = "conv_id") -> Dat
     return turns.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, context string", "held array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
+def breaker_step(state: tuple[int, float], t: float, ok: bool, failures: int, recovery_s: float) -> tuple[str, tuple[int, float]]:
+    """State before a call, and what the breaker goes on with: failures in a
+    row, and when it opened (negative: it is closed)."""
+    fails, opened = state
+    if opened >= 0 and t - opened < recovery_s:
+        return "open", state
+    name = "half_open" if opened >= 0 else "closed"
+    if ok:
+        return name, (0, -1.0)
+    return name, (fails + 1, t if opened >= 0 or fails + 1 >= failures else -1.0)
+
+
+CLOSED = (0, -1.0)
+
+
 def circuit_breaker(calls: DataFrame, failures: int = 3, recovery_s: float = 30.0) -> DataFrame:
     """calls: provider, ts (timestamp), ok. State before each call: closed,
-    open (the call is refused) or half_open (a trial). A fold over a
-    provider's calls in order: states depend on all earlier ones."""
-    g = calls.groupBy("provider").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("timestamp").cast("double").alias("t"), "ok"))).alias("cs"))
-    init = F.struct(F.lit(0).alias("fails"), F.lit(-1.0).alias("opened"), F.array().cast("array<struct<t:double,ok:boolean,state:string>>").alias("out"))
-
-    def step(a, x):
-        is_open = a["opened"] >= 0
-        half = is_open & (x["t"] - a["opened"] >= recovery_s)
-        state = F.when(half, "half_open").when(is_open, "open").otherwise("closed")
-        refused = is_open & ~half
-        fails = F.when(refused, a["fails"]).when(x["ok"], 0).otherwise(a["fails"] + 1)
-        opened = F.when(refused, a["opened"]).when(x["ok"], -1.0).when(half | (fails >= failures), x["t"]).otherwise(-1.0)
-        return F.struct(fails.cast("int").alias("fails"), opened.alias("opened"), F.array_append(a["out"], F.struct(x["t"].alias("t"), x["ok"].alias("ok"), state.alias("state"))).alias("out"))
-
-    e = g.select("provider", F.explode(F.aggregate("cs", init, step, lambda a: a["out"])).alias("c"))
-    return e.select("provider", F.col("c.t").cast("timestamp").alias("ts"), "c.ok", "c.state")
+    open (the call is refused) or half_open (a trial).
+
+    The log is cut into segments by range of (provider, ts). A segment's
+    summary is the state it ends in from the state it is entered with; first
+    every segment is entered closed, then those whose predecessor ends in
+    another state are run again, until none changes. The automaton forgets its
+    past at every success, so few rounds change anything; after round r the
+    first r segments are right whatever the data. No provider's log is in one
+    task or row, and the driver holds one state a segment.
+    """
+    rows = calls.select(F.col("provider").cast("string").alias("provider"), F.col("ts").cast("timestamp").cast("double").alias("t"), "ok").where("provider is not null and t is not null and ok is not null")
+
+    def numbered(batches):
+        part = TaskContext.get().partitionId()
+        for b in batches:
+            yield b.append_column("part", pa.array([part] * len(b), pa.int32()))
+
+    ship(calls.sparkSession)
+    order = ["provider", "t", "ok"]
+    log = written(rows.repartitionByRange(*order).mapInArrow(numbered, "provider string, t double, ok boolean, part int"), "breaker-log")
+
+    def run(entered: dict[int, tuple[int, float]], emit: bool) -> DataFrame:
+        def go(batches):
+            part = at = first = None
+            state = CLOSED
+            for b in batches:
+                ends, states = [], []
+                for p, provider, t, ok in zip(*(b.column(c).to_pylist() for c in ("part", *order)), strict=True):
+                    if p != part:
+                        if part is not None:
+                            ends.append((part, first, at, *state))
+                        part, at, first, state = p, provider, provider, entered.get(p, CLOSED)
+                    elif provider != at:
+                        at, state = provider, CLOSED
+                    name, state = breaker_step(state, t, ok, failures, recovery_s)
+                    states.append(name)
+                if emit:
+                    yield b.append_column("state", pa.array(states, pa.string()))
+                elif ends:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*ends, strict=True)], names=["part", "first", "last", "fails", "opened"])
+            if part is not None and not emit:
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, first, at, *state)], names=["part", "first", "last", "fails", "opened"])
+
+        some = log if emit or not entered else log.where(F.col("part").isin(list(entered)))
+        dealt = some.repartition("part").sortWithinPartitions("part", *order)
+        return dealt.mapInArrow(go, "provider string, t double, ok boolean, part int, state string" if emit else "part long, first string, last string, fails long, opened double")
+
+    entered: dict[int, tuple[int, float]] = {}
+    ends = {r["part"]: r for r in run({}, False).collect()}  # one row a segment
+    while True:
+        changed, before = {}, None
+        for p in sorted(ends):
+            r = ends[p]
+            state = (before["fails"], before["opened"]) if before is not None and before["last"] == r["first"] else CLOSED
+            if state != entered.get(p, CLOSED):
+                changed[p] = state
+            before = r
+        if not changed:
+            break
+        entered |= changed
+        ends |= {r["part"]: r for r in run(changed, False).collect()}
+    return run(entered, True).select("provider", F.col("t").cast("timestamp").alias("ts"), "ok", "state")
+
+
+def breaker_stream(calls: DataFrame, failures: int = 3, recovery_s: float = 30.0) -> DataFrame:
+    """circuit_breaker over a stream: the state of a provider is kept between
+    batches; calls of a batch go by time, those of earlier times that come
+    later are taken as they come."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, held = tuple(state.get) if state.exists else CLOSED, pd.concat(list(frames)).sort_values(["t", "ok"])
+        names = []
+        for t, ok in zip(held["t"], held["ok"], strict=True):
+            name, now = breaker_step(now, float(t), bool(ok), failures, recovery_s)
+            names.append(name)
+        state.update((int(now[0]), float(now[1])))
+        yield pd.DataFrame({"provider": k[0], "t": held["t"].to_numpy(), "ok": held["ok"].to_numpy(), "state": names})
+
+    ship(calls.sparkSession)
+    rows = calls.select(F.col("provider").cast("string").alias("provider"), F.col("ts").cast("timestamp").cast("double").alias("t"), "ok")
+    out = rows.groupBy("provider").applyInPandasWithState(run, "provider string, t double, ok boolean, state string", "fails int, opened double", "append", GroupStateTimeout.NoTimeout)
+    return out.select("provider", F.col("t").cast("timestamp").alias("ts"), "ok", "state")
+
+
+def backoff(key: str, attempt: int, base_s: float, most_s: float) -> float:
+    """Seconds before the next attempt: doubled each time, plus up to a second
+    of jitter from a hash of key and attempt, at most most_s."""
+    jitter = zlib.crc32(f"{key}:{attempt}".encode()) / 2**32
+    return min(most_s, base_s * 2 ** (attempt - 1) + jitter)
+
+
+def retries(outcomes: DataFrame, most: int = 3, base_s: float = 1.0, most_s: float = 30.0) -> DataFrame:
+    """What to do about calls, as a stream of request_id, attempt, action.
+
+    outcomes (stream): request_id, ok, transient. A success is "done"; a
+    failure that is not transient, or the last attempt that is allowed, is
+    "dead" (the dead-letter rows); after any other a timer of the request
+    waits for its backoff and then says "retry". A request is settled once:
+    outcomes replayed after that change nothing.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def row(k, attempt: int, action: str) -> pd.DataFrame:
+        return pd.DataFrame({"request_id": [k[0]], "attempt": [attempt], "action": [action]})
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        attempt, settled = tuple(state.get) if state.exists else (0, False)
+        if state.hasTimedOut:
+            yield row(k, attempt + 1, "retry")
+            state.update((attempt, settled))
+            return
+        for f in frames:
+            for ok, transient in zip(f["ok"], f["transient"], strict=True):
+                if settled:
+                    continue
+                attempt += 1
+                settled = bool(ok) or not transient or attempt >= most
+                if settled:
+                    yield row(k, attempt, "done" if ok else "dead")
+        state.update((attempt, settled))
+        if not settled:
+            state.setTimeoutDuration(max(1, int(1000 * backoff(str(k[0]), attempt, base_s, most_s))))
+
+    ship(outcomes.sparkSession)
+    kind = outcomes.schema["request_id"].dataType.simpleString()
+    return outcomes.groupBy("request_id").applyInPandasWithState(run, f"request_id {kind}, attempt int, action string", "attempt int, settled boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def upsert_sink(table, keys: list[str]):
