@@ -15,6 +15,7 @@ the value gives the same components in linear space.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql.window import Window
 
 from .common import map_arrow, settle
 from .components import components
+from .passages import word_hashes
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -175,3 +177,138 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     kept = df.withColumn("__th", th).join(first, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__h")))
     several = kept.where("__n > 1").withColumn("__r", F.row_number().over(Window.partitionBy("__th", key).orderBy("__n"))).where("__r = 1")
     return kept.where("__n = 1").select(*names).unionByName(several.select(*names))
+
+
+# Similar texts, beyond a few bits
+
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+#: Fingerprints of samples, and shingles in each: texts of similarity 0.8 have
+#: one in common with probability 1 - (1 - 0.8^5)^10 = 0.98.
+SAMPLES = 10
+SAMPLE_SHINGLES = 5
+_ODD = np.array([(int.from_bytes(hashlib.sha256(b"%d" % i).digest()[:8], "big")) | 1 for i in range(SAMPLES * SAMPLE_SHINGLES)], np.uint64)
+
+
+def shingle_hashes(text: bytes, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """64-bit hashes of the word shingles; fewer words: of the whole sequence."""
+    w = word_hashes(text)
+    if not len(w):
+        return w
+    k = min(words, len(w))
+    h = np.zeros(len(w) - k + 1, np.uint64)
+    for j in range(k):
+        h = (h ^ w[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _bits(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(*h.shape, 8), axis=-1, bitorder="little")
+
+
+def sketch(h: np.ndarray) -> tuple[int, list[int]]:
+    """SimHash of all shingles, and SimHashes of samples of them: each sample
+    is the shingles that come first in SAMPLE_SHINGLES orders (hashes)."""
+    if not len(h):
+        return 0, [0] * SAMPLES
+    counts, best, value = np.zeros(64, np.int64), None, np.zeros(len(_ODD), np.uint64)
+    for at in range(0, len(h), 4096):
+        part = h[at : at + 4096]
+        counts += _bits(part).sum(axis=0, dtype=np.int64)
+        x = part[:, None] * _ODD[None, :]
+        i = x.argmin(axis=0)
+        low = np.take_along_axis(x, i[None, :], 0)[0]
+        less = np.ones(len(_ODD), bool) if best is None else low < best
+        best = low if best is None else np.minimum(best, low)
+        value = np.where(less, part[i], value)
+    pack = lambda on: np.packbits(on.astype(np.uint8), axis=-1, bitorder="little").view(np.int64)
+    samples = _bits(value.reshape(SAMPLES, SAMPLE_SHINGLES)).sum(axis=1, dtype=np.int64)
+    return int(pack(2 * counts > len(h))[0]), pack(2 * samples > SAMPLE_SHINGLES)[:, 0].tolist()
+
+
+def _sketches(rows: DataFrame, words: int) -> DataFrame:
+    """k, th, fp, keys of rows (k, th, t)."""
+
+    def run(batches):
+        for b in batches:
+            out = [sketch(shingle_hashes(t or b"", words)) for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("th"), pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["k", "th", "fp", "keys"])
+
+    return map_arrow(rows, run, "k long, th long, fp long, keys array<long>")
+
+
+def similar_candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of text hashes th whose texts may be similar: nodes: th, fp,
+    keys. Fingerprints within MAX_BITS by the grid join, and equal sample
+    fingerprints; groups of more than PAIRED_CELL texts are held against their
+    first and last text only, so pairs stay linear in the texts."""
+    reps = settle(nodes.groupBy("fp").agg(F.min("th").alias("c")), "similar-fps")
+    dealt = reps.select("fp").repartition(max(1, math.ceil(reps.count() / TASK_FINGERPRINTS)))
+    ends = [reps.select(F.col("fp").alias(x), F.col("c").alias(f"c{x}")) for x in "ab"]
+    pairs = links(dealt).join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    pairs = pairs.unionByName(nodes.join(reps, "fp").select(F.col("th").alias("a"), F.col("c").alias("b")))
+    samples = nodes.select("th", F.posexplode("keys").alias("pos", "key"))
+    groups = samples.groupBy("pos", "key").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.count("*").alias("n")).where("n > 1")
+    held = settle(samples.join(settle(groups, "similar-groups"), ["pos", "key"]), "similar-held")
+    few = held.where(F.col("n") <= PAIRED_CELL)
+    pairs = pairs.unionByName(few.select("pos", "key", F.col("th").alias("a")).join(few.select("pos", "key", F.col("th").alias("b")), ["pos", "key"]).select("a", "b"))
+    pairs = pairs.unionByName(held.where(F.col("n") > PAIRED_CELL).select(F.col("th").alias("a"), F.explode(F.array("lo", "hi")).alias("b")))
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles have at least that Jaccard similarity.
+    texts: th, t of the texts in pairs. Shingles go as 32-bit hashes."""
+
+    def sets(batches):
+        for b in batches:
+            out = [np.unique((shingle_hashes(t or b"", words) >> np.uint64(32)).astype("<u4")).tobytes() for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(out, pa.binary())], names=["th", "s"])
+
+    def compare(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
+                p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                n, m = len(p), len(q)
+                both = len(np.intersect1d(p, q, assume_unique=True)) if min(n, m) >= similarity * max(n, m) else 0
+                keep.append(n == m == 0 or both >= similarity * (n + m - both) > 0)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    s = settle(map_arrow(texts, sets, "th long, s binary").dropDuplicates(["th"]), "similar-sets")
+    sides = [s.select(F.col("th").alias(x), F.col("s").alias(f"s{x}")) for x in "ab"]
+    return map_arrow(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb"), compare, "a long, b long")
+
+
+def keep_similar(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of df, exactly one of each group of similar texts: the one of
+    the smallest key, nulls last, of equal keys the one of the least text hash.
+
+    Texts are linked if the Jaccard similarity of their word shingles reaches
+    similarity; a group is what links connect. Candidates come from SimHash:
+    of whole texts, joined within MAX_BITS through the popcount grid, and of
+    samples of their shingles, which reach what a few bits cannot; each is
+    checked on its shingles. Null texts are empty; texts without words are
+    alike. Rows that repeat a key but not the text stay apart; of rows that
+    repeat both one is kept. An empty table gives an empty result; columns of
+    any names return as they came.
+    """
+    names = df.columns
+    th = F.coalesce(F.xxhash64(F.lit(9), F.coalesce(F.col(text), F.lit(""))), F.lit(0).cast("long"))
+    raw = df.select(F.col(key).cast("long").alias("k"), th.alias("th"), F.col(text).cast("binary").alias("t"))
+    rows = settle(_sketches(raw, words), "similar-rows")
+    nodes = settle(rows.groupBy("th", "fp", "keys").agg(F.min("k").alias("k")), "similar-nodes")
+    pairs = settle(similar_candidates(nodes), "similar-pairs")
+    some = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    some = settle(nodes.join(some, F.col("th") == F.col("h")).select("h", F.col("k").alias("of")), "similar-some")
+    texts = raw.join(some, (F.col("th") == F.col("h")) & F.col("k").eqNullSafe(F.col("of"))).select("th", "t")
+    comp = components(settle(_verified(pairs, texts, words, similarity), "similar-links"), "a", "b")
+    named = nodes.join(comp, F.col("th") == F.col("node"), "left").select("th", "k", F.coalesce("root", "th").alias("root"))
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "th")).alias("b"))
+    n = rows.groupBy("th", "k").agg(F.count("*").alias("__n"))
+    first = best.select(F.col("b.k").alias("__k"), F.col("b.th").alias("__h"))
+    first = settle(first.join(n, (F.col("__h") == F.col("th")) & F.col("__k").eqNullSafe(F.col("k"))).select("__k", "__h", "__n"), "similar-first")
+    kept = df.withColumn("__th", th).join(first, F.col(key).cast("long").eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__h")))
+    several = kept.where("__n > 1").withColumn("__r", F.row_number().over(Window.partitionBy("__th", key).orderBy("__n"))).where("__r = 1")
+    return kept.where("__n = 1").select(*names).unionByName(several.select(*names))

@@ -115,6 +115,70 @@ def test_keep_one_keeps_one_of_each_group(spark):
     assert not simhash.keep_one(df.limit(0)).collect()
 
 
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} - {""}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_similar(rows, least=0.8):
+    """Rows that stay: the first of each group of similar texts."""
+    texts = sorted({t or "" for _, t in rows})
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= least:
+                root[find(i)] = find(j)
+    place, best = {t: find(i) for i, t in enumerate(texts)}, {}
+    for k, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        best.setdefault(place[t or ""], k)
+    return sorted(best.values(), key=str)
+
+
+def test_keep_similar_equals_brute_force(spark):
+    rng = random.Random(31)
+    rows, base = [(None, None), (1, None), (2, ""), (3, " \t "), (4, "a b"), (4, "a b"), (5, "A  b"), (6, "a"), (None, "lone text of six words here"), (None, "x y z")], [prose(rng, 150) for _ in range(12)]
+    for g, text in enumerate(base):
+        for c in range(rng.choice([1, 2, 4, 12])):
+            w = text.split()
+            for _ in range(rng.choice([0, 1, 2])):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(999)}"
+            rows.append((100 * g + 20 + c, " ".join(w)))
+    df = docs(spark, rows).withColumns({"fp": F.lit(1), "keys": F.lit("x"), "k": F.lit(2), "root": F.lit(3), "h": F.lit(4)})
+    out = simhash.keep_similar(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"] for r in out.collect()), key=str) == brute_similar(rows)
+    assert not simhash.keep_similar(df.limit(0)).collect()
+
+
+def test_similar_texts_are_found_at_every_band(spark):
+    """Share of pairs linked, by five-word similarity, and none below 0.8."""
+    rng = random.Random(32)
+    rows, band = [], {}
+    for i, edits in enumerate([1, 2, 4, 6, 8, 24] * 60):
+        n = rng.choice([200, 400])
+        w = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)]
+        v, size = list(w), edits if n == 400 else max(1, edits // 2)
+        for at in rng.sample(range(n // 5), size):
+            v[5 * at + 2] = f"new{at}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        band[i] = jaccard(shingle_set(rows[-1][1]), shingle_set(rows[-2][1]))
+    kept = {r["doc_id"] for r in simhash.keep_similar(docs(spark, rows)).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.0)):
+        of = [i for i, j in band.items() if low <= j < high]
+        assert len(of) >= 10 and sum(2 * i + 1 not in kept for i in of) >= 0.9 * len(of)
+    assert all({2 * i, 2 * i + 1} <= kept for i, j in band.items() if j < 0.8)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillmark.llm import mixing, packing
 
-from .test_operators import DOC, brute_components, brute_fingerprint, brute_targets, prose
+from .test_operators import DOC, brute_similar, brute_targets, prose
 
 
 def table(rng):
@@ -43,8 +43,8 @@ def brute(rows):
     gone = {p for v in seen.values() if len({i for i, _ in v}) >= 5 for p in sorted(v)[1:]}
     texts = {r[0]: "\n".join(x for k, x in enumerate(r[1].split("\n")) if (r[0], k) not in gone) for r in rows}
     ids = sorted(texts)
-    comp = brute_components(ids, [brute_fingerprint(texts[i]) for i in ids])
-    kept = [r for r in rows if r[0] in set(comp)]
+    stay = set(brute_similar([(i, texts[i]) for i in ids]))
+    kept = [r for r in rows if r[0] in stay]
     size = {r[0]: len(texts[r[0]].split()) for r in kept}
     sources: dict = {}
     for r in kept:
@@ -99,5 +99,3 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
         assert not empty.collect()
         if "text" not in empty.columns:
             break
-
-
