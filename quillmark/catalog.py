@@ -260,7 +260,8 @@ s AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS x FROM t), n A
 r AS (SELECT doc_id, i, 0 AS c, n AS acc FROM n WHERE i = 1
   UNION ALL SELECT n.doc_id, n.i, CASE WHEN r.acc > 0 AND r.acc + n.n > 200 THEN r.c + 1 ELSE r.c END, CASE WHEN r.acc > 0 AND r.acc + n.n > 200 THEN n.n ELSE r.acc + n.n END FROM r JOIN n ON n.doc_id = r.doc_id AND n.i = r.i + 1)
 SELECT doc_id || '_chunk_' || c AS id, CAST(max(acc) AS INTEGER) AS n FROM r GROUP BY doc_id, c""")
-_add("ch05_recursive_chunks", lambda s, d: C.recursive(V.documents(s, d)).select("id", F.length("content").alias("n")))
+_add("ch05_recursive_chunks", lambda s, d: C.recursive(V.documents(s, d)).select("id", F.length("content").alias("n"), F.sha2("content", 256).alias("h")))
+_add("sf29_token_counts", lambda s, d: C.token_counts(C.token_counts(V.documents(s, d)), kind="approx", out="n_approx").select("id", "n_tokens", "n_approx"), f"SELECT doc_id AS id, coalesce({_TOKENS.format('text')}, 0) AS n_tokens, CAST(coalesce(length(text) // 4, 0) AS INTEGER) AS n_approx FROM documents")
 _add("ch06_whole_chunks", lambda s, d: C.whole(V.documents(s, d)).select("id", "doc_id", F.length("content").alias("n")), r"SELECT doc_id || '_chunk_0' AS id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE regexp_replace(text, '\s', '', 'g') <> ''")
 _add("ch09_boundaries", lambda s, d: C.boundary_diagnosis(C.fixed(V.documents(s, d))).groupBy("doc_id").agg(F.count_if("mid_clause").alias("mid_clause_splits"), F.count_if("mid_list").alias("mid_list_splits")), r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS t FROM documents WHERE regexp_replace(text, '\s', '', 'g') <> ''),
 e AS (SELECT doc_id, t, unnest(range(0, len(t), 150)) AS p0 FROM t), c AS (SELECT doc_id, p0, array_to_string(t[p0 + 1 : p0 + 200], ' ') AS own FROM e),
@@ -578,6 +579,108 @@ _add("in02_routes", lambda s, d: P.adaptive(V.load(s, d, "conversations").select
      "SELECT CASE turn % 6 WHEN 1 THEN 'analytical' WHEN 2 THEN 'generative' WHEN 3 THEN 'conversational' ELSE 'factual' END AS route, count(*) AS n FROM conversations GROUP BY 1")
 
 
+# Scores, trust and caches over given tables
+
+
+_TRUSTED = f"""{_dense_sql()}, t AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM dense WHERE rank <= 5 WINDOW w AS (PARTITION BY question_id)),
+trusted AS (SELECT question_id, rank, chunk_id, score, round((score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 4) AS trust FROM t)"""
+
+
+def _hits(s, d) -> DataFrame:
+    return R.dense(_qvecs(s, d), V.vectors(s, d), 5)
+
+
+_add("rk03_rank_scores", lambda s, d: R.rank_scores(_hits(s, d)), f"WITH {_dense_sql()} SELECT question_id, rank, chunk_id, round(1.0::DOUBLE / (60 + rank), 9) AS score, score AS original_score FROM dense WHERE rank <= 5")
+
+
+def _cached(s, d) -> DataFrame:
+    """Every second question is cached, every fourth of these too long ago."""
+    q = V.load(s, d, "benchmark").select(F.col("item_id").alias("question_id"), "text", F.lit("bm25").alias("backend"), F.lit(5).alias("top_k"))
+    old = F.when(F.col("question_id") % 4 == 0, "2024-01-01").otherwise("2026-01-01").cast("timestamp")
+    cache = q.where("question_id % 2 = 0").select(T.cache_key("text", "backend", F.col("top_k").cast("string")).alias("key"), F.col("question_id").cast("string").alias("answer"), old.alias("expires_at"))
+    return R.exact_cache(q, cache, F.lit("2025-01-01").cast("timestamp")).select("question_id", "key", "answer", "hit")
+
+
+_add("ca01_exact_cache", _cached, """WITH q AS (SELECT item_id AS question_id, sha256(text || '|bm25|5') AS key FROM benchmark), c AS (SELECT key, CAST(question_id AS VARCHAR) AS answer FROM q WHERE question_id % 4 = 2)
+SELECT question_id, key, answer, answer IS NOT NULL AS hit FROM q LEFT JOIN c USING (key)""")
+
+
+def _answered(s, d) -> DataFrame:
+    t = F.when(F.col("conv_id") % 2 == 0, F.upper(F.substring("text", 3, 12))).otherwise("no such words")
+    return V.load(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("predicted_answer"), t.alias("ground_truth"))
+
+
+_add("ev01_exact_match", lambda s, d: E.exact_match(_answered(s, d)).select("conv_id", "turn", "answer_correct", "completeness", "overall_score"), """WITH r AS (SELECT conv_id, turn, text, lower(trim(CASE WHEN conv_id % 2 = 0 THEN upper(substr(text, 3, 12)) ELSE 'no such words' END, ' ')) AS t FROM conversations),
+h AS (SELECT conv_id, turn, contains(lower(text), t) AND t <> '' AS hit FROM r) SELECT conv_id, turn, hit AS answer_correct, CAST(hit AS INTEGER)::DOUBLE AS completeness, CAST(hit AS INTEGER)::DOUBLE AS overall_score FROM h""")
+_add("ev02_judged", lambda s, d: E.judged(V.load(s, d, "events").select(F.col("event_id").alias("question_id")), V.load(s, d, "events").where("user_id % 3 <> 0").select(F.col("event_id").alias("question_id"), (F.col("value") > 50).alias("correct"), (F.col("value") / 200).alias("completeness"))).select("question_id", "overall_score"),
+     """SELECT event_id AS question_id, CASE WHEN user_id % 3 <> 0 THEN round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN value > 50 THEN value / 200 ELSE 0.0::DOUBLE END)), 6) ELSE 0.0::DOUBLE END AS overall_score FROM events""")
+_add("ev06_metric_chain", lambda s, d: E.metric_chain(V.load(s, d, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, F.col("value")).alias("first"), F.when(F.col("user_id") % 2 == 0, -F.col("value")).alias("second")), ["first", "second"], "metric").select("event_id", "metric"),
+     "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN value WHEN user_id % 2 = 0 THEN -value END AS metric FROM events")
+
+
+def _steps(s, d) -> DataFrame:
+    li = V.load(s, d, "lineitem")
+    return li.select(F.col("l_orderkey").alias("question_id"), (F.col("l_returnflag") == "R").alias("plan_ok"), (F.col("l_linenumber") % 3).alias("n_relevant"), (F.col("l_linenumber") % 4).alias("n_retrieved"), (F.col("l_discount") * 20).alias("critique"))
+
+
+_add("ev07_step_scores", lambda s, d: E.step_scores(_steps(s, d)).groupBy("question_id").agg(F.sum("plan").alias("plan"), F.round(F.sum("retrieval"), 4).alias("retrieval"), F.round(F.sum("critique"), 4).alias("critique")), """SELECT l_orderkey AS question_id, sum(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS plan,
+  round(sum(CASE WHEN l_linenumber % 4 = 0 THEN 0.0::DOUBLE ELSE round((l_linenumber % 3)::DOUBLE / (l_linenumber % 4), 6) END), 4) AS retrieval, round(sum(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CAST(l_discount AS DOUBLE) * 20))), 4) AS critique FROM lineitem GROUP BY 1""")
+_add("ev08_trajectory", lambda s, d: E.trajectory(_steps(s, d)), """WITH g AS (SELECT l_orderkey AS question_id, count(*) AS hops, count(*) FILTER (l_linenumber % 3 > 0) AS useful FROM lineitem GROUP BY 1)
+SELECT question_id, hops, hops - useful AS wasted, round(useful::DOUBLE / hops, 6) AS efficiency FROM g""")
+
+
+def _described(s, d) -> DataFrame:
+    """Hits with words, dates and sources made from their ids."""
+    h = _hits(s, d)
+    words = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("w"), ((F.col("chunk_id") * i) % 7).cast("string")))
+    day = F.when(F.col("chunk_id") % 5 > 0, F.date_sub(F.lit("2025-01-01").cast("date"), ((F.col("chunk_id") % 300)).cast("int")))
+    return h.withColumns({"text": F.concat(F.lit("W0 w1 w"), (F.col("question_id") % 7).cast("string")), "content": F.array_join(words, " "), "ingested_at": day, "source_type": F.concat(F.lit("s"), (F.col("chunk_id") % 4).cast("string"))})
+
+
+_add("tr02_composite_trust", lambda s, d: R.composite_trust(_described(s, d), F.lit("2025-01-01").cast("date"), {"s0": 1.0, "s1": 0.8, "s2": 0.6}).select("question_id", "rank", "chunk_id", F.round("trust", 3).alias("trust")), f"""WITH {_TRUSTED},
+w AS (SELECT *, list_distinct(['w0', 'w1', 'w' || question_id % 7]) AS q, list_transform(range(1, 7), lambda i: 'w' || (chunk_id * i) % 7) AS c, CASE WHEN chunk_id % 5 > 0 THEN chunk_id % 300 END AS days FROM trusted)
+SELECT question_id, rank, chunk_id, round(round(0.4 * trust + 0.2 * CASE WHEN days IS NULL THEN 0.5 WHEN days <= 30 THEN 1.0 WHEN days <= 180 THEN 1 - (days - 30) / 150.0::DOUBLE * 0.5 ELSE 0.3 END
+  + 0.2 * len(list_intersect(q, c)) / len(q) + 0.2 * CASE chunk_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 ELSE 0.5 END, 4), 3) AS trust FROM w""")
+
+
+def _logits(s, d) -> DataFrame:
+    v = V.vectors(s, d).select(F.col("chunk_id"), F.when(F.col("chunk_id") % 2 == 0, F.slice("vec", 1, 3)).alias("logits"))
+    return R.entailment_trust(_hits(s, d).join(v, "chunk_id")).select("question_id", "rank", "chunk_id", "trust")
+
+
+_add("tr03_entailment_trust", _logits, f"""WITH {_TRUSTED} SELECT question_id, rank, chunk_id, CASE WHEN chunk_id % 2 = 0
+  THEN round(exp(CAST(e.embedding[3] AS DOUBLE)) / (exp(CAST(e.embedding[1] AS DOUBLE)) + exp(CAST(e.embedding[2] AS DOUBLE)) + exp(CAST(e.embedding[3] AS DOUBLE))), 4) ELSE trust END AS trust
+FROM trusted JOIN embeddings e ON e.vec_id = chunk_id""")
+_add("tr04_judged_trust", lambda s, d: R.judged_trust(_hits(s, d), _qvecs(s, d).where("question_id % 200 = 0").select("question_id", F.lit("scores: [0.25, 1.5, -1]").alias("scores"))).select("question_id", "rank", "chunk_id", "trust"), f"""WITH {_TRUSTED}
+SELECT question_id, rank, chunk_id, CASE WHEN question_id % 200 = 0 AND rank <= 3 THEN CASE rank WHEN 1 THEN 0.25::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE trust END AS trust FROM trusted""")
+
+
+def _reranked(s, d) -> DataFrame:
+    """A conversation's first turn against its other turns."""
+    c = V.load(s, d, "conversations")
+    q = c.where("turn = 0").select(F.col("conv_id").alias("question_id"), "text")
+    t = c.where("turn > 0").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("chunk_id"), F.col("text").alias("content"))
+    return R.bm25_rerank(q.join(t, "question_id"), 3)
+
+
+_add("rk02_bm25_rerank", _reranked, r"""WITH tok AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '') AS t FROM conversations),
+c AS (SELECT conv_id AS q, turn AS c, t, count(*) OVER w AS n, avg(len(t)) OVER w AS al FROM tok WHERE turn > 0 AND conv_id IN (SELECT conv_id FROM tok WHERE turn = 0) WINDOW w AS (PARTITION BY conv_id)),
+tf AS (SELECT q, c, len, n, al, term, count(*) AS tf FROM (SELECT q, c, n, al, len(t) AS len, unnest(t) AS term FROM c) GROUP BY ALL),
+df AS (SELECT q, term, min(n) AS n, count(*) AS df FROM tf GROUP BY 1, 2), raw AS (SELECT q, term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df), mi AS (SELECT q, avg(raw) AS m FROM raw GROUP BY 1),
+qt AS (SELECT q, term, count(*) AS qn FROM (SELECT conv_id AS q, unnest(t) AS term FROM tok WHERE turn = 0) GROUP BY 1, 2),
+s AS (SELECT tf.q, tf.c, round(sum(CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al)) * coalesce(qn, 0)), 6) AS score FROM tf JOIN raw USING (q, term) JOIN mi USING (q) LEFT JOIN qt USING (q, term) GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS INTEGER) AS rank FROM s) SELECT q AS question_id, rank, c AS chunk_id, score FROM r WHERE rank <= 3""".replace("\\\\", "\\"))
+
+
+def _paired(s, d) -> DataFrame:
+    """Two scores of an event, by type: is the mean difference inside its interval?"""
+    e = V.load(s, d, "events").select("event_type", "event_id", (F.col("value") / 500).alias("a"), (F.col("value") / 500 + F.col("user_id") % 3 * 0.1).alias("b"))
+    return E.bootstrap_delta(e, "event_type", samples=200, key="event_id").select("event_type", F.round("delta", 6).alias("delta"), "n", F.col("delta").between(F.col("low"), F.col("high")).alias("inside"), "significant")
+
+
+_add("sg02_paired_delta", _paired, "SELECT event_type, round(avg((value / 500 + user_id % 3 * 0.1::DOUBLE) - value / 500), 6) AS delta, count(*) AS n, true AS inside, true AS significant FROM events GROUP BY 1")
+
+
 def _replies(s, d) -> DataFrame:
     """Turns as replies with each of the answer markers, or none."""
     t = T.collapse_space("text")

@@ -263,7 +263,8 @@ def json_list(c) -> Column:
 
 
 def unit(c) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Cut to 0..1; null stays null (greatest and least pass nulls over)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def intent(c) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..session import map_pandas
+from ..session import map_pandas, ship, spread
 
 
 def _chunks(df: DataFrame, index: Column, content: Column) -> DataFrame:
@@ -69,40 +73,77 @@ def semantic(sents: DataFrame, threshold: float = 0.7) -> DataFrame:
     return _chunks(g, F.col("i"), F.array_join(F.transform("p", lambda x: x["sentence"]), " "))
 
 
+# Separators from coarse to fine.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
-def split_text(text: str, size: int, overlap: int, seps=SEPARATORS) -> list[str]:
-    """Pieces of at most size characters: split at the first separator that
-    occurs, pieces that are too long at the next, then merge neighbours; each
-    merged piece opens with the tail of the one before."""
-    if len(text) <= size:
-        return [text] if text.strip() else []
-    sep = next((s for s in seps if s and s in text), "")
-    rest = seps[seps.index(sep) + 1 :] or ("",)
-    atoms = [p for p in text.split(sep) if p] if sep else [text[i : i + size] for i in range(0, len(text), size)]
-    out, cur = [], ""
-    for a in atoms:
-        for p in [a] if len(a) <= size else split_text(a, size, 0, rest):
-            joined = cur + sep + p if cur else p
-            if len(joined) <= size:
-                cur = joined
-            else:
-                out.append(cur)
-                tail = cur[-overlap:] if overlap else ""
-                cur = tail + sep + p if tail and len(tail + sep + p) <= size else p
-    return [x for x in [*out, cur] if x.strip()]
-
-
-def recursive(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
-    def run(batches):
-        import pandas as pd
+@lru_cache(maxsize=4)
+def counter(kind: str) -> Callable[[str], int]:
+    """Token counts: "words" (between white space), "approx" (a quarter of the
+    characters), or the path of a tokenizer's JSON file."""
+    if kind == "words":
+        return lambda text: len(text.split())
+    if kind == "approx":
+        return lambda text: len(text) // 4
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(kind)
+    return lambda text: len(t.encode(text, add_special_tokens=False).ids)
+
+
+def token_counts(df: DataFrame, content: str = "content", kind: str = "words", out: str = "n_tokens") -> DataFrame:
+    """df with the number of tokens of a text; nulls have none. Only a
+    tokenizer of a file leaves the JVM."""
+    if kind in ("words", "approx"):
+        n = F.size(T.tokens(content)) if kind == "words" else F.floor(F.length(content) / 4)
+        return df.withColumn(out, F.coalesce(n, F.lit(0)).cast("int"))
+    ship(df.sparkSession)
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: counter(kind)(t) if t else 0)
+
+    return df.withColumn(out, count(F.col(content)))
+
+
+def split_tokens(text: str, count: Callable[[str], int], size: int, overlap: int, seps: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Pieces of about size tokens. A text that is too long is cut at the first
+    separator; parts that are still too long are cut at the next ones (their
+    pieces then stand in for them, empty parts fall away); neighbours are
+    joined again while they fit. A piece opens with as many whole last parts
+    of the piece before as overlap tokens hold. A part no separator can cut
+    stands as it is, and what the overlap adds may exceed the size."""
+    if not seps or count(text) <= size:
+        return [text]
+    sep, finer = seps[0], seps[1:]
+    parts = text.split(sep) if sep else list(text)
+    sizes = [count(p) for p in parts]
+    if finer and any(n > size for n in sizes):
+        parts = [x for p, n in zip(parts, sizes, strict=True) if p for x in (split_tokens(p, count, size, overlap, finer) if n > size else (p,))]
+        sizes = [count(p) for p in parts]
+    between, out, first, held = count(sep), [], 0, 0
+    for i, n in enumerate(sizes):
+        gap = between if i > first else 0
+        if i > first and held + gap + n > size:
+            out.append(sep.join(parts[first:i]))
+            opened, first, held = first, i, 0
+            while first > opened and held + sizes[first - 1] <= overlap:
+                first -= 1
+                held += sizes[first] + between
+        held += n + gap
+    return [*out, sep.join(parts[first:])] if parts else out
+
+
+def recursive(docs: DataFrame, size: int = 200, overlap: int = 50, kind: str = "words", seps: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """split_tokens of each document; blank pieces keep their number but are
+    no chunks."""
 
+    def run(batches):
         for pdf in batches:
-            rows = [(f"{i}_chunk_{k}", str(i), c, s, k) for i, t, s in zip(pdf["id"], pdf["content"], pdf["source_type"], strict=True) for k, c in enumerate(split_text(t, size, overlap))]
+            rows = [(f"{i}_chunk_{k}", str(i), c, s, k) for i, t, s in zip(pdf["id"], pdf["content"], pdf["source_type"], strict=True) for k, c in enumerate(split_tokens(t, counter(kind), size, overlap, seps)) if c.strip()]
             yield pd.DataFrame(rows, columns=["id", "doc_id", "content", "source_type", "chunk_index"])
 
-    rows = solid(docs).select("id", "content", F.col("source_type").cast("string").alias("source_type"))
+    rows = spread(solid(docs).select("id", "content", F.col("source_type").cast("string").alias("source_type")))
     return map_pandas(rows, run, "id string, doc_id string, content string, source_type string, chunk_index int")
 
 

@@ -85,9 +85,9 @@ def exact_match(results: DataFrame) -> DataFrame:
 
 def judged(results: DataFrame, verdicts: DataFrame) -> DataFrame:
     """verdicts: question_id, correct, completeness of a judge; the score is
-    their product, between 0 and 1."""
+    their product, between 0 and 1, and 0 without a verdict."""
     j = results.join(verdicts, "question_id", "left")
-    return j.withColumn("overall_score", F.round(T.unit(flag("correct") * F.col("completeness")), 6))
+    return j.withColumn("overall_score", F.round(F.coalesce(T.unit(flag("correct") * F.col("completeness")), F.lit(0.0)), 6))
 
 
 def recall_at_k(hits: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:

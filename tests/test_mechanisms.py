@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillmark.operators import analytics as A
+from quillmark.operators import chunking as C
 from quillmark.operators import evaluation as E
 from quillmark.streaming import logs as L
 
@@ -126,3 +127,32 @@ def test_retries_with_timers(spark, tmp_path):
         assert len(seen()) == 6
     finally:
         q.stop()
+
+
+def test_unit_passes_nulls_and_unjudged_rows_score_nothing(spark):
+    r = spark.createDataFrame([(1,), (2,), (3,)], "question_id long")
+    v = spark.createDataFrame([(1, True, 1.5), (2, False, 0.5)], "question_id long, correct boolean, completeness double")
+    assert {x["question_id"]: x["overall_score"] for x in E.judged(r, v).collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
+
+
+def test_recursive_chunks_by_tokens(spark):
+    words = C.counter("words")
+    assert C.split_tokens("a b c", words, 3, 1) == ["a b c"]
+    assert C.split_tokens("a b c d e", words, 2, 0) == ["a b", "c d", "e"]
+    assert C.split_tokens("a b c d e", words, 3, 1) == ["a b c", "c d e"]
+    # Paragraphs that fit stay whole; one that does not is cut at the next separators, then neighbours join.
+    assert C.split_tokens("a b\n\nc d e f g\n\nh", words, 3, 0) == ["a b", "c d e", "f g\n\nh"]
+    assert C.split_tokens("abcdef", len, 4, 2) == ["abcd", "cdef"]
+    assert C.counter("approx")("12345678") == 2
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice(["aa ", "b", ". ", "\n", "\n\n", " c"]) for _ in range(rng.randrange(1, 80)))
+        size = rng.randrange(1, 9)
+        plain = C.split_tokens(text, words, size, 0)
+        assert "".join("".join(plain).split()) == "".join(text.split()) or "." in text
+        assert all(words(p) <= size + 1 for p in plain)
+    docs = spark.createDataFrame([(1, "a b c d e", "s"), (2, " \n ", "s"), (3, None, "s")], "id long, content string, source_type string")
+    got = [tuple(r) for r in C.recursive(docs, size=2, overlap=0).select("id", "content", "chunk_index").orderBy("id").collect()]
+    assert got == [("1_chunk_0", "a b", 0), ("1_chunk_1", "c d", 1), ("1_chunk_2", "e", 2)]
+    n = {r["id"]: (r["n_tokens"], r["q"]) for r in C.token_counts(C.token_counts(docs), kind="approx", out="q").collect()}
+    assert n == {1: (5, 2), 2: (0, 0), 3: (0, 0)}
