@@ -732,7 +732,7 @@ def test_every_seed_meets_its_first_occurrence_and_the_one_before(spark):
     for d, p, h in rows:
         first.setdefault(h, (d, p))
         own = [first[h]] if first[h][0] != d else []
-        if h in before and before[h][0] not in (d, first[h][0]):
+        if h % 2 and h in before and before[h][0] not in (d, first[h][0]):  # long seeds
             own.append(before[h])
         want += [(d, p, *x) for x in own]
         before[h] = (d, p)
@@ -763,6 +763,33 @@ def test_passages_with_scattered_first_seeds_are_found(spark):
     assert len(found & want) >= 0.95 * len(want) and not found - want
 
 
+def test_exact_passages_with_slices_before_and_between_are_found(spark):
+    rng = random.Random(33)
+    vocab = [f"{a}{b}" for a in WORDS for b in WORDS]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows, want = [], set()
+    for k in range(30):
+        p = text(60)
+        slices = [p[12 * i : 12 * i + 12] for i in range(5)]
+        rows += [(1000 * k + i, text(40) + x + text(40)) for i, x in enumerate(slices)]
+        rows.append((1000 * k + 100, text(30) + p + text(30)))
+        rows += [(1000 * k + 200 + i, text(40) + x + text(40)) for i, x in enumerate(slices)]
+        rows.append((1000 * k + 300, text(20) + p + text(20)))
+        want.add((1000 * k + 300, 1000 * k + 100))
+    out = passages.repeated_passages(docs(spark, [(i, " ".join(t)) for i, t in rows])).collect()
+    assert {(r["doc_id"], r["ref_doc_id"]) for r in out} == want
+    assert all(r["end_word"] - r["start_word"] == 60 and r["similarity"] == 1 for r in out)
+
+
+def test_an_equal_run_shares_a_long_seed():
+    rng = np.random.default_rng(34)
+    for _ in range(50):
+        p = rng.integers(1, 1 << 60, passages.LONG_K + passages.WINDOW - 1).astype(np.uint64)
+        a, b = (np.concatenate((rng.integers(1, 1 << 60, n).astype(np.uint64), p, rng.integers(1, 1 << 60, 50).astype(np.uint64))) for n in (3, 77))
+        x, y = (set(passages.seeds(w)[1].tolist()) for w in (a, b))
+        assert any(h & 1 for h in x & y)
+
+
 def test_passages_of_repeated_keys_and_long_texts(spark):
     rng = random.Random(24)
     vocab = [f"{a}{b}" for a in WORDS for b in WORDS]
