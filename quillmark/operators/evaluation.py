@@ -503,6 +503,16 @@ def evaluate_challenge(results: DataFrame, challenge: dict) -> DataFrame:
     return a.select("value", "n", (met & side).alias("passed"))
 
 
+def joint_projection(chunks: DataFrame, queries: DataFrame, k: int = 2, preview: int = 200) -> DataFrame:
+    """Labelled points of chunks (chunk_id, source_type, content, vec) and
+    queries (question_id, text, qvec), projected together: id, source_type,
+    is_query, preview, trust_score, pc1..pck. Queries are trusted wholly."""
+    text = lambda c: F.col(c).cast("string")
+    c = chunks.select(text("chunk_id").alias("id"), text("source_type").alias("source_type"), F.lit(False).alias("is_query"), F.substring("content", 1, preview).alias("preview"), T.display_trust("content", "source_type").alias("trust_score"), "vec")
+    q = queries.select(F.concat(F.lit("query_"), text("question_id")).alias("id"), F.lit("query").alias("source_type"), F.lit(True).alias("is_query"), F.col("text").alias("preview"), F.lit(1.0).alias("trust_score"), F.col("qvec").alias("vec"))
+    return projection(c.unionByName(q), k).drop("vec")
+
+
 def projection(vectors: DataFrame, k: int = 2) -> DataFrame:
     """Principal components of mean-centred vectors, as pc1..pck; signs are
     fixed by a positive sum of each component's first row."""

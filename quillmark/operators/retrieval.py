@@ -7,12 +7,17 @@ only when their size is known to be small; else Spark shuffles both sides.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..session import spread
+from ..session import ship, spread
 from ..storage import written
 from .analytics import top_per_group
 
@@ -113,7 +118,10 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, score: str = "cosine",
     2 * k first rows (which may leave fewer than k).
     """
     v = vectors.where(keep) if keep is not None and not filter_after else vectors
-    q = small(queries.select("question_id", "qvec"))
+    own = queries.select("question_id", "qvec")
+    q = small(own)
+    if q is own:
+        return dense_tiles(own, v, k, score) if not filter_after else _filtered(dense_tiles(own, v, 2 * k, score), v, keep, k)
     cos = T.dot(F.col("vec"), F.col("qvec")) if score == "dot" else T.cosine(F.col("vec"), F.col("qvec"))
     s = v.join(q).withColumn("score", F.round(T.distance_score(cos) if score == "distance" else cos, 6))
     if filter_after and keep is not None:
@@ -121,6 +129,57 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, score: str = "cosine",
     return ranked(s, k).select("question_id", "rank", "chunk_id", "score")
 
 
+def _filtered(hits: DataFrame, vectors: DataFrame, keep: Column | None, k: int) -> DataFrame:
+    j = hits.drop("rank").join(vectors, "chunk_id")
+    return ranked(j.where(keep) if keep is not None else j, k).select("question_id", "rank", "chunk_id", "score")
+
+
+#: Queries of a tile: its matrix and its partial results stay in memory.
+TILE_QUERIES = 4096
+TILE_VECTORS = 8192
+
+
+def dense_tiles(queries: DataFrame, vectors: DataFrame, k: int, score: str = "cosine", tile: int = TILE_QUERIES) -> DataFrame:
+    """dense for more queries than can be sent to every task: matrix products
+    of tiles of queries with blocks of vectors.
+
+    Queries are dealt into tiles of bounded size. A task gets a block of
+    vectors once per tile (the join is on the tile, not on pairs), and hands on
+    the k best of the block for each query.
+    """
+    n = queries.count()
+    tiles = max(1, math.ceil(n / tile))
+    at = F.pmod(F.xxhash64("question_id"), F.lit(tiles)).cast("int")
+    q = written(queries.select("question_id", F.col("qvec").cast("array<double>").alias("qvec"), at.alias("tile")), "tile-queries")
+    kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((queries, "question_id"), (vectors, "chunk_id"))}
+    ship(queries.sparkSession)
+    # Tiles as rows of one packed matrix, blocks of vectors likewise; both sides meet on the tile.
+    packed_q = q.groupBy("tile").agg(F.collect_list(F.struct("question_id", "qvec")).alias("qs"))
+    block = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, math.ceil(vectors.count() / TILE_VECTORS)))).cast("int")
+    packed_v = vectors.select("chunk_id", F.col("vec").cast("array<double>").alias("vec"), block.alias("block")).groupBy("block").agg(F.collect_list(F.struct("chunk_id", "vec")).alias("vs"))
+    pairs = packed_v.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).join(packed_q, "tile").select("qs", "vs")
+
+    def best(batches):
+        for b in batches:
+            for i in range(len(b)):
+                qs, vs = b.column("qs")[i].values, b.column("vs")[i].values
+                x, y = (np.array(s.field(f).to_pylist(), float) for s, f in ((qs, "qvec"), (vs, "vec")))
+                if score != "dot":
+                    x, y = (m / np.where((z := np.sqrt((m * m).sum(1, keepdims=True))) == 0, 1, z) for m in (x, y))
+                s = x @ y.T
+                s = np.round((1 + s) / 2 if score == "distance" else s, 6)
+                m = min(k, s.shape[1])
+                ids = vs.field("chunk_id")
+                order = np.argsort(pc.sort_indices(ids).to_numpy())  # ties go by id
+                top = np.lexsort((np.broadcast_to(order, s.shape), -s), axis=1)[:, :m]
+                yield pa.RecordBatch.from_arrays(
+                    [qs.field("question_id").take(pa.array(np.repeat(np.arange(len(x)), m))), ids.take(pa.array(top.ravel())), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["question_id", "chunk_id", "score"]
+                )
+
+    found = pairs.mapInArrow(best, f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, score double")
+    return ranked(found, k).select("question_id", "rank", "chunk_id", "score")
+
+
 def quantised_dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Scores from int8 vectors."""
     q = queries.select("question_id", F.transform(T.int8(F.col("qvec")), lambda x: x.cast("double")).alias("qvec"))

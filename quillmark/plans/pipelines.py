@@ -184,16 +184,21 @@ def reflection(questions: DataFrame, retrieve: Retrieve, generate, critique, k:
 def arena_run(questions: DataFrame, models: list[tuple[str, str]], answer: Callable[[DataFrame, str], DataFrame], score: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
     """All questions by all models (provider, model): answer(questions, name)
     gives question_id, predicted_answer, latency_ms; score adds answer_correct
-    and overall_score. Results, leaderboard and winners by category."""
+    and overall_score. Results, leaderboard, winners by category, and how many
+    questions each model failed on (no answer): the others go on."""
     from ..operators import analytics as AN
 
-    results = None
+    results = failed = None
     for provider, model in models:
         name = f"{provider}/{model}"
-        own = score(questions.join(answer(questions, name), "question_id")).withColumn("model_id", F.lit(name))
+        given = answer(questions, name)
+        own = score(questions.join(given, "question_id")).withColumn("model_id", F.lit(name))
+        lost = questions.join(given.select("question_id"), "question_id", "left_anti").groupBy(F.lit(name).alias("model_id")).agg(F.count("*").alias("failed"))
         results = own if results is None else results.unionByName(own)
+        failed = lost if failed is None else failed.unionByName(lost)
     entered = questions.sparkSession.createDataFrame([(f"{p}/{m}",) for p, m in models], "model_id string")
-    return {"results": results, "leaderboard": AN.arena(results, entered), "winners": AN.arena_winners(results)}
+    failures = entered.join(failed, "model_id", "left").withColumn("failed", F.coalesce("failed", F.lit(0).cast("long")))
+    return {"results": results, "failures": failures, "leaderboard": AN.arena(results, entered), "winners": AN.arena_winners(results)}
 
 
 def react(questions: DataFrame, think: Callable[[DataFrame, int], DataFrame], retrieve: Retrieve, k: int, rounds: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -11,9 +11,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillmark.operators import evaluation as E
 from quillmark.operators import retrieval as R
 from quillmark.operators import sparse as SP
 from quillmark.operators import vectors as X
+from quillmark.plans import pipelines as P
 from quillmark.storage import remove, scratch_path
 
 
@@ -115,3 +117,40 @@ def test_late_interaction_with_fallback(spark):
     sparse = spark.createDataFrame([(0, 1, 5, 9.0), (0, 2, 100_000, 8.0), (7777, 1, 100_001, 1.0), (7777, 2, 3, 1.0)], "question_id long, rank int, chunk_id long, score double")
     got = by_question(li.search(q, listed, t, 300, fallback=sparse))
     assert got[0][-1] == 100_000 and got[0].count(5) <= 1 and got[7777] == [100_001]
+
+
+def test_tiles_equal_the_broadcast_search(spark, monkeypatch):
+    v, q = cloud(spark, 500)
+    v = v.withColumn("source_type", F.col("chunk_id") % 3)
+    twice = v.unionByName(v.where("chunk_id < 40").withColumn("chunk_id", F.col("chunk_id") + 10_000))  # ties
+    want = {s: sorted(map(tuple, R.dense(q, twice, 6, s).collect())) for s in ("cosine", "distance", "dot")}
+    after = sorted(map(tuple, R.dense(q, twice, 4, keep=F.col("source_type") < 2, filter_after=True).collect()))
+    before = sorted(map(tuple, R.dense(q, twice, 4, keep=F.col("source_type") < 2).collect()))
+    monkeypatch.setattr(R, "SMALL_ROWS", 3)
+    monkeypatch.setattr(R, "TILE_VECTORS", 100)
+    for s in want:
+        tiled = R.dense_tiles(q, twice, 6, s, tile=5)
+        assert sorted(map(tuple, tiled.collect())) == want[s]
+        plan = tiled._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert sorted(map(tuple, R.dense(q, twice, 4, keep=F.col("source_type") < 2, filter_after=True).collect())) == after
+    assert sorted(map(tuple, R.dense(q, twice, 4, keep=F.col("source_type") < 2).collect())) == before
+
+
+def test_arena_counts_failures(spark):
+    q = spark.createDataFrame([(i, "c") for i in range(6)], "question_id long, category string")
+    answer = lambda q, name: q.where("question_id < 4" if name == "p/a" else "true").select("question_id", F.lit("x").alias("predicted_answer"), F.lit(1.0).alias("latency_ms"))
+    score = lambda r: r.withColumns({"answer_correct": F.lit(True), "overall_score": F.lit(1.0)})
+    out = P.arena_run(q, [("p", "a"), ("p", "b")], answer, score)
+    assert {r["model_id"]: r["failed"] for r in out["failures"].collect()} == {"p/a": 2, "p/b": 0} and out["results"].count() == 10
+
+
+def test_joint_projection(spark):
+    v, q = cloud(spark, 60)
+    c = v.withColumns({"content": F.lit("words " * 60), "source_type": F.lit("md")})
+    out = E.joint_projection(c, q.withColumn("text", F.lit("why?")))
+    rows = out.collect()
+    assert out.columns == ["id", "source_type", "is_query", "preview", "trust_score", "pc1", "pc2"] and len(rows) == 62
+    by = {r["id"]: r for r in rows}
+    assert by["query_30"]["is_query"] and by["query_30"]["trust_score"] == 1.0 and len(by["5"]["preview"]) == 200
+    assert abs(by["query_30"]["pc1"] - by["30"]["pc1"]) < 1e-9
