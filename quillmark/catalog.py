@@ -424,7 +424,8 @@ def _graph(s, d):
     return e.groupBy("src").agg(F.count("*").alias("neighbours"), F.sum("weight").alias("weight"))
 
 
-_add("ix15_entity_edges", _graph)
+_add("ix15_entity_edges", _graph, r"""WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '(?:^|[^\p{L}\p{M}\p{Nd}_])([A-Z]\p{L}+(?: [A-Z]\p{L}+)*)', 1))) AS e FROM documents),
+p AS (SELECT a.e AS src, b.e AS dst, count(*) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.e <> b.e GROUP BY 1, 2) SELECT src, count(*) AS neighbours, CAST(sum(weight) AS BIGINT) AS weight FROM p GROUP BY 1""")
 
 
 def _naive(s, d):
