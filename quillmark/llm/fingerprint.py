@@ -2,8 +2,8 @@
 
 A paragraph's vector has LANES counters: of the hashes of its shingles of
 SHINGLE words (a shorter paragraph is one shingle), how many have the lane's
-bit set; then four words hashed from the whole paragraph, and the number of
-shingles. Every lane is taken modulo 2**32, and a document's fingerprint is the
+bit set; then WORDS words of 32 bits drawn from the SHA-512 digest of the whole
+paragraph, and the number of shingles. Every lane is taken modulo 2**32, and a document's fingerprint is the
 sum over its paragraphs. So equal multisets of paragraphs have equal
 fingerprints in any order, and a paragraph is put in or taken out by adding or
 subtracting its vector. With n shingles and c of them with a bit set, 2c - n is
@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from .common import settle
 
 LANES = 128
+WORDS = 32
 SHINGLE = 2
 PARAGRAPH = r"\n"
 #: Rows of documents per bucket when neighbours in order are sought, quantiles.
@@ -41,25 +42,25 @@ def _shingle_hashes(paragraph: Column) -> Column:
 
 
 def vectors(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys and ``fp``, an array of longs below 2**32: LANES counters, four
+    """keys and ``fp``, an array of longs below 2**32: LANES counters, WORDS
     words, the number of shingles. One row per different keys (rows that share
     keys add up); null texts are empty; a blank paragraph has no shingle."""
     rows = df.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), PARAGRAPH)).alias("__p"))
     hashed = rows.select(
-        *keys, F.xxhash64(F.lit(11), "__p").alias("__a"), F.xxhash64(F.lit(12), "__p").alias("__b"), _shingle_hashes(F.col("__p")).alias("__s")
+        *keys, F.sha2(F.col("__p").cast("binary"), 512).alias("__d"), _shingle_hashes(F.col("__p")).alias("__s")
     )
     # The first row of a paragraph has no shingle: it stands for the paragraph.
-    whole = hashed.select(*keys, "__a", "__b", F.explode(F.array_prepend("__s", F.lit(None).cast("long"))).alias("__h"))
+    whole = hashed.select(*keys, "__d", F.explode(F.array_prepend("__s", F.lit(None).cast("long"))).alias("__h"))
     whole = whole.withColumn("__g", F.when(F.col("__h").isNotNull(), F.xxhash64(F.lit(3), "__h")))
     sums = [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_PAIR))).alias(f"{h}{i}") for h in _HASHES for i in range(32)]
     first = F.col("__h").isNull()
-    for c in ("__a", "__b"):
-        sums.append(F.sum(F.when(first, F.col(c).bitwiseAND(F.lit(_LOW)))).alias(f"{c}0"))
-        sums.append(F.sum(F.when(first, F.shiftrightunsigned(c, 32))).alias(f"{c}1"))
+    for i in range(WORDS // 2):
+        d = F.xxhash64(F.lit(100 + i), "__d")
+        sums += [F.sum(F.when(first, d.bitwiseAND(F.lit(_LOW)))).alias(f"__d{2 * i}"), F.sum(F.when(first, F.shiftrightunsigned(d, 32))).alias(f"__d{2 * i + 1}")]
     agg = whole.groupBy(*keys).agg(*sums, F.count("__h").alias("__n"))
     packed = [F.coalesce(F.col(f"{h}{i}"), F.lit(0).cast("long")) for h in _HASHES for i in range(32)]
     lanes = [x.bitwiseAND(F.lit(_LOW)) for x in packed] + [F.shiftrightunsigned(x, 32) for x in packed]
-    lanes += [F.col(c).bitwiseAND(F.lit(_LOW)) for c in ("__a0", "__a1", "__b0", "__b1")]
+    lanes += [F.col(c).bitwiseAND(F.lit(_LOW)) for c in (f"__d{i}" for i in range(WORDS))]
     return agg.select(*keys, F.array(*lanes, F.col("__n").bitwiseAND(F.lit(_LOW))).alias("fp"))
 
 
@@ -155,7 +156,8 @@ def edited(text: Column, following: Column) -> Column:
 
 def compare_edited(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next of every row. Null texts are empty; a single row is
+    near_edited, near_next, lanes (the fingerprint itself, see vectors: what
+    combine adds to and takes from) of every row. Null texts are empty; a single row is
     its own next; rows that repeat an id are rows of their own."""
     pairs, first = with_next(df, text, key)
     keys = ("b", "rn", "doc_id", "n_chars", "edited_sha256")
@@ -172,4 +174,5 @@ def compare_edited(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return joined.select(
         "doc_id", "n_chars", "edited_sha256", digest(F.col("fp")).alias("fingerprint"), digest(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
+        F.col("fp").alias("lanes"),
     )

@@ -425,6 +425,73 @@ def test_edited_texts_and_neighbours(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def brute_hash(*values):
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.to_bytes(4, "little") if isinstance(v, int) else v if isinstance(v, bytes) else v.encode(), h)
+    return h
+
+
+def brute_shingles(paragraph):
+    w = re.findall(r"[^\x20\x09-\x0D]+", paragraph)
+    return [brute_hash(2, a, b) for a, b in zip(w, w[1:])] if len(w) > 1 else [brute_hash(1, w[0])] if w else []
+
+
+def brute_lanes(text):
+    lanes, n = [0] * 128, 0
+    words = [0] * fingerprint.WORDS
+    for p in (text or "").split("\n"):
+        d = hashlib.sha512(p.encode()).hexdigest()
+        for i in range(fingerprint.WORDS // 2):
+            x = brute_hash(100 + i, d)
+            words[2 * i] += x & 0xFFFFFFFF
+            words[2 * i + 1] += x >> 32
+        for h in brute_shingles(p):
+            n += 1
+            g = brute_hash(3, (h - (1 << 64) if h >> 63 else h).to_bytes(8, "little", signed=True))
+            for k, x in enumerate((h, g)):
+                for i in range(32):
+                    lanes[32 * k + i] += x >> i & 1
+                    lanes[64 + 32 * k + i] += x >> (32 + i) & 1
+    return [x % 2**32 for x in (*lanes, *words, n)]
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([2 * c - f[-1] for c in f[:128]] for f in (a, b))
+    dot = lambda u, v: float(sum(p * q for p, q in zip(u, v)))
+    both = dot(x, x) + dot(y, y)
+    return max(0.0, min(1.0, 2 * dot(x, y) / both)) if both else 0.0
+
+
+def test_op8_equals_brute_force_and_lanes_combine(spark):
+    rng = random.Random(35)
+    rows = [(i, "\n".join(prose(rng, rng.randrange(0, 90)) for _ in range(rng.randrange(1, 6)))) for i in range(40)] + [(90, None), (91, "\n\n"), (92, "one"), (93, " \t é x"), (94, "long " * 30_000)]
+    out = {r["doc_id"]: r for r in fingerprint.compare_edited(docs(spark, rows)).collect()}
+    order, near, true = sorted(rows, key=lambda r: -r[0]), [], []
+    for k, (i, t) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        third = len(t) // 3
+        e = t[: len(t) - third] + nxt[:third]
+        f, g, m = brute_lanes(t), brute_lanes(e), brute_lanes(nxt)
+        r = out[i]
+        sha = lambda x: hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()
+        assert r["lanes"] == f and r["fingerprint"] == sha(f) and r["edited_fingerprint"] == sha(g)
+        assert abs(r["near_edited"] - brute_likeness(f, g)) < 1e-9 and abs(r["near_next"] - brute_likeness(f, m)) < 1e-9
+        a, b = (Counter(h for p in x.split("\n") for h in brute_shingles(p)) for x in (t, e))
+        if sum(a.values()) > 60 and i < 90:
+            near.append(r["near_edited"])
+            sq = lambda u, v: sum(n * v[h] for h, n in u.items())
+            true.append(2 * sq(a, b) / (sq(a, a) + sq(b, b)))
+    assert np.abs(np.array(near) - np.array(true)).mean() < 0.1 and max(abs(x - y) for x, y in zip(near, true)) < 0.35
+    # A paragraph put in, then taken out, by the lanes of the query's rows.
+    x, y = docs(spark, [(1, rows[0][1] + "\n" + rows[1][1])]), fingerprint.vectors(docs(spark, rows[:2]))
+    a, b = (y.where(f"doc_id = {k}").select(F.col("fp").alias(f"f{k}")) for k in (0, 1))
+    j = fingerprint.vectors(x).join(a).join(b).select("fp", fingerprint.combine(F.col("f0"), F.col("f1")).alias("sum"), fingerprint.combine(F.col("fp"), F.col("f1"), -1).alias("less"), "f0").first()
+    assert j["sum"] == j["fp"] == brute_lanes(x.first()["text"]) and j["less"] == j["f0"] == out[0]["lanes"]
+
+
 def test_repeated_ids_keep_their_rows(spark):
     rows = [(1, "a b c"), (1, "a b c"), (1, "x y z"), (None, "q r s"), (None, None)]
     assert fingerprint.compare_edited(docs(spark, rows)).count() == 5
