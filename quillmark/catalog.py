@@ -428,6 +428,30 @@ _add("ix15_entity_edges", _graph, r"""WITH m AS (SELECT doc_id, unnest(list_dist
 p AS (SELECT a.e AS src, b.e AS dst, count(*) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.e <> b.e GROUP BY 1, 2) SELECT src, count(*) AS neighbours, CAST(sum(weight) AS BIGINT) AS weight FROM p GROUP BY 1""")
 
 
+_ENTITY = r"(?:^|[^\p{L}\p{M}\p{Nd}_])([A-Z]\p{L}+(?: [A-Z]\p{L}+)*)"
+
+
+def _graph_hits(s, d):
+    """Questions by the entities of their texts and by the vector of their id."""
+    docs, v = V.documents(s, d), V.vectors(s, d)
+    q = V.load(s, d, "benchmark").select(F.col("item_id").alias("question_id"), "text").join(v.select(F.col("chunk_id").alias("question_id"), F.col("vec").alias("qvec")), "question_id")
+    m = R.entities(docs)
+    own = R.entities(q, "question_id", "text").withColumnRenamed("chunk_id", "question_id")
+    q = q.select("question_id", "qvec")
+    return R.graph_retrieve(q, own, R.entity_edges(m), m, v, 5, R.dense(q, v, 5))
+
+
+_add("ix16_graph_retrieve", _graph_hits, rf"""WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{_ENTITY}', 1))) AS e FROM documents),
+p AS (SELECT a.e AS src, b.e AS dst, count(*) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.e <> b.e GROUP BY 1, 2),
+qe AS (SELECT item_id AS q, unnest(list_distinct(regexp_extract_all(text, '{_ENTITY}', 1))) AS e FROM benchmark),
+n AS (SELECT q, dst AS e FROM (SELECT q, dst, row_number() OVER (PARTITION BY q, e ORDER BY weight DESC, dst) AS r FROM qe JOIN p ON p.src = qe.e) WHERE r <= 10),
+c AS (SELECT DISTINCT q, doc_id FROM (SELECT * FROM qe UNION SELECT * FROM n) JOIN m USING (e)),
+s AS (SELECT b.item_id AS question_id, v.vec_id AS chunk_id, round({_COS}, 6) AS score FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings v),
+g AS (SELECT s.*, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s JOIN c ON c.q = question_id AND c.doc_id = chunk_id),
+f AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s WHERE question_id NOT IN (SELECT question_id FROM g))
+SELECT question_id, rank, chunk_id, score FROM g WHERE rank <= 5 UNION ALL SELECT question_id, rank, chunk_id, score FROM f WHERE rank <= 5""")
+
+
 def _naive(s, d):
     docs = V.documents(s, d)
     chunks = docs.withColumn("doc_id", F.col("id"))

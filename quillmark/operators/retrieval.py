@@ -321,6 +321,57 @@ def entity_edges(mentions: DataFrame, most: int | None = None) -> DataFrame:
     return a.join(b, "chunk_id").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
+#: Entities whose sketches a task holds before it hands them on.
+SKETCHED_ENTITIES = 20_000
+
+
+def heavy_edges(mentions: DataFrame, degree: int, spare: int = 8) -> DataFrame:
+    """src, dst, weight: of each entity at most `degree` neighbours, the
+    heaviest ones, with exact weights.
+
+    Pairs are counted where a chunk's entities are together and are never
+    moved: a task keeps for every entity the counters of spare * degree
+    neighbours (the least make room for others, as in frequent-item sketches),
+    sketches add up, and only the neighbours that they name are counted over
+    all chunks. Sure to be named is whatever shares more than 1 in
+    spare * degree of the entity's pairs; with fewer neighbours than counters
+    all of them are.
+    """
+    most = max(1, spare * degree)
+    per = mentions.groupBy("chunk_id").agg(F.collect_set("entity").alias("es")).select("es")
+
+    def run(batches):
+        held: dict[str, dict[str, int]] = {}
+
+        def out():
+            rows = [(e, f, n) for e, c in held.items() for f, n in c.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["src", "dst", "n"])
+
+        for b in batches:
+            for es in b.column("es").to_pylist():
+                for e in es:
+                    c = held.setdefault(e, {})
+                    for f in es:
+                        if f is not e:
+                            c[f] = c.get(f, 0) + 1
+                    if len(c) > most:  # the same is taken from all, what is used up falls away
+                        cut = sorted(c.values(), reverse=True)[most]
+                        held[e] = {f: n - cut for f, n in c.items() if n > cut}
+                if len(held) > SKETCHED_ENTITIES:
+                    yield out()
+        if held:
+            yield out()
+
+    ship(mentions.sparkSession)
+    named = per.mapInArrow(run, "src string, dst string, n long").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    named = written(top_per_group(named, ["src"], [F.desc("n"), "dst"], most, "r").select("src", "dst"), "heavy-named")
+    m = mentions.select("chunk_id", "entity").distinct()
+    pairs = named.join(m.withColumnRenamed("entity", "src"), "src").join(m.withColumnRenamed("entity", "dst"), ["chunk_id", "dst"])
+    exact = pairs.groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    return top_per_group(exact, ["src"], [F.desc("weight"), "dst"], degree, "r").drop("r")
+
+
 def graph_candidates(query_entities: DataFrame, edges: DataFrame, mentions: DataFrame, cap: int = 10) -> DataFrame:
     """question_id, chunk_id of the entities and their heaviest neighbours."""
     n = query_entities.withColumnRenamed("entity", "src").join(edges, "src")

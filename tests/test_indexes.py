@@ -154,3 +154,20 @@ def test_joint_projection(spark):
     by = {r["id"]: r for r in rows}
     assert by["query_30"]["is_query"] and by["query_30"]["trust_score"] == 1.0 and len(by["5"]["preview"]) == 200
     assert abs(by["query_30"]["pc1"] - by["30"]["pc1"]) < 1e-9
+
+
+def test_heavy_edges_have_bounded_degree_and_exact_weights(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = {(c, f"E{int(rng.paretovariate(0.7)) % 60}") for c in range(300) for _ in range(12)}
+    m = spark.createDataFrame(sorted(rows), "chunk_id long, entity string").repartition(5)
+    every = {(r["src"], r["dst"]): r["weight"] for r in R.entity_edges(m).collect()}
+    best = {}
+    for (a, b), w in every.items():
+        best.setdefault(a, []).append((-w, b))
+    got = {}
+    monkeypatch.setattr(R, "SKETCHED_ENTITIES", 20)
+    for r in R.heavy_edges(m, 5).collect():
+        got.setdefault(r["src"], []).append((-r["weight"], r["dst"]))
+    assert {a: sorted(x) for a, x in got.items()} == {a: sorted(x)[:5] for a, x in best.items()}  # 40 counters, 60 entities
+    few = R.heavy_edges(m, 2, spare=3).collect()
+    assert all(every[r["src"], r["dst"]] == r["weight"] for r in few) and max(Counter(r["src"] for r in few).values()) <= 2
