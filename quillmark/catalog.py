@@ -428,6 +428,21 @@ _add("ix15_entity_edges", _graph, r"""WITH m AS (SELECT doc_id, unnest(list_dist
 p AS (SELECT a.e AS src, b.e AS dst, count(*) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.e <> b.e GROUP BY 1, 2) SELECT src, count(*) AS neighbours, CAST(sum(weight) AS BIGINT) AS weight FROM p GROUP BY 1""")
 
 
+def _stores(s, d):
+    """The same search by three stores, over documents thirty times as long."""
+    docs = V.documents(s, d).select(F.col("id").alias("chunk_id"), F.col("id").cast("string").alias("doc_id"), F.repeat("content", 30).alias("content"), F.col("source_type"), (F.col("id") % 4).alias("chunk_index"))
+    v = V.vectors(s, d).drop("source_type").join(docs.select("chunk_id", "source_type"), "chunk_id")
+    q, out = _qvecs(s, d), None
+    for name in ("milvus", "pinecone", "qdrant"):
+        h = AD.store_search(name, q, {"vectors": v, "chunks": docs}, 5, "src3").select(F.lit(name).alias("store"), "question_id", "rank", "chunk_id", "score", F.length("content").alias("kept"), "chunk_index", "source_type")
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
+_add("ix07_store_fields", _stores, f"""WITH {_dense_sql(where="EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = v.vec_id AND x.source = 'src3')")}
+SELECT store, question_id, rank, chunk_id, score, CAST(least(30 * length(text), most) AS INTEGER) AS kept, CASE WHEN store = 'milvus' THEN 0 ELSE CAST(chunk_id % 4 AS INTEGER) END AS chunk_index, source AS source_type
+FROM dense JOIN documents ON doc_id = chunk_id, (VALUES ('milvus', 65000), ('pinecone', 40000), ('qdrant', 1000000000)) AS stores(store, most) WHERE rank <= 5""")
+
 _ENTITY = r"(?:^|[^\p{L}\p{M}\p{Nd}_])([A-Z]\p{L}+(?: [A-Z]\p{L}+)*)"
 
 

@@ -116,12 +116,35 @@ def _both(fuse):
     return search
 
 
+#: What weaviate's own hybrid search gives vectors and words.
+HYBRID_WEIGHTS = (0.75, 0.25)
+#: Characters of a chunk that a vector store keeps, and stores that do not keep
+#: a chunk's place in its document.
+CONTENT_LIMITS = {"milvus": 65_000, "zilliz": 65_000, "pinecone": 40_000}
+PLACELESS = ("milvus", "zilliz")
+
+
+def store_search(name: str, queries: DataFrame, tables: dict[str, DataFrame], k: int, source_type: str | None = None) -> DataFrame:
+    """Hits of a backend with the chunk as that store gives it back: content
+    (cut at its limit), source_type, doc_id, chunk_index (0 where the store has
+    none). A source type filters before the ranking, and where the backend
+    over-fetches, after it. tables: as for INDEXES; chunks with chunk_id,
+    doc_id, content, source_type, chunk_index. A missing score is 0."""
+    keep = F.col("source_type") == source_type if source_type else None
+    hits = INDEXES[name](queries, tables, k, keep).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    limit = CONTENT_LIMITS.get(name)
+    content = F.substring("content", 1, limit) if limit else F.col("content")
+    place = F.lit(0) if name in PLACELESS else F.coalesce(F.col("chunk_index").cast("int"), F.lit(0))
+    held = tables["chunks"].select("chunk_id", "doc_id", content.alias("content"), "source_type", place.alias("chunk_index"))
+    return hits.select("question_id", "rank", "chunk_id", "score").join(held, "chunk_id", "left").select("question_id", "rank", "chunk_id", "score", "doc_id", "content", "source_type", "chunk_index")
+
+
 #: Index backends by name. queries: question_id, text, qvec; tables: vectors
 #: (chunk_id, vec, source_type), postings, stats, chunks. The vector stores
 #: differ in score and in whether the filter comes after the ranking.
 INDEXES: dict[str, Callable] = {
     "bm25": _sparse, "chroma": _dense("distance"), "faiss": _dense("dot", after=True), "pgvector": _dense("cosine"), "milvus": _dense("cosine"),
-    "zilliz": _dense("cosine"), "pinecone": _dense("cosine"), "weaviate": _dense("cosine"), "qdrant": _dense("cosine"), "brute_dense": _dense("dot"),
+    "zilliz": _dense("cosine"), "pinecone": _dense("cosine"), "weaviate": _both(lambda a, b, k: R.weighted(a, b, k, *HYBRID_WEIGHTS)), "qdrant": _dense("cosine"), "brute_dense": _dense("dot"),
     "hybrid_rrf": _both(lambda a, b, k: R.rrf([a, b], k)), "hybrid_weighted": _both(R.weighted),
     "hybrid": lambda q, t, k, keep=None: R.legacy_hybrid(R.dense(q, t["vectors"], 2 * k), _sparse(q, t, 2 * k), t["vectors"].where(keep) if keep is not None else t["vectors"], k),
     "pageindex": lambda q, t, k, keep=None: R.page_index(q, t["chunks"], k),
