@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 from .common import settle
 
 LANES = 128
-WORDS = 32
+#: More than 16 make the generated aggregate too large to be compiled.
+WORDS = 16
 SHINGLE = 2
 PARAGRAPH = r"\n"
 #: Rows of documents per bucket when neighbours in order are sought, quantiles.
