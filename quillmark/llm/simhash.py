@@ -15,7 +15,6 @@ the value gives the same components in linear space.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -183,11 +182,14 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
-#: Fingerprints of samples, and shingles in each: texts of similarity 0.8 have
-#: one in common with probability 1 - (1 - 0.8^5)^10 = 0.98.
-SAMPLES = 10
-SAMPLE_SHINGLES = 5
-_ODD = np.array([(int.from_bytes(hashlib.sha256(b"%d" % i).digest()[:8], "big")) | 1 for i in range(SAMPLES * SAMPLE_SHINGLES)], np.uint64)
+#: Shingles in this many texts of a batch come late in the order of shingles,
+#: and how many of them are told apart, a batch and in all. They tell how fast
+#: the join is, not what it finds.
+FREQUENT_TEXTS = 6
+FREQUENT_BATCH = 16_384
+FREQUENT = 65_536
+#: Texts a Python worker takes out of an Arrow batch at once.
+SLICE = 512
 
 
 def shingle_hashes(text: bytes, words: int = SIMILAR_WORDS) -> np.ndarray:
@@ -203,81 +205,172 @@ def shingle_hashes(text: bytes, words: int = SIMILAR_WORDS) -> np.ndarray:
     return h
 
 
-def _bits(h: np.ndarray) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(*h.shape, 8), axis=-1, bitorder="little")
+def sketch(h: np.ndarray) -> int:
+    """SimHash of all shingles."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), 4096):
+        bits = np.unpackbits(np.ascontiguousarray(h[at : at + 4096]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * counts > len(h)).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
-def sketch(h: np.ndarray) -> tuple[int, list[int]]:
-    """SimHash of all shingles, and SimHashes of samples of them: each sample
-    is the shingles that come first in SAMPLE_SHINGLES orders (hashes)."""
-    if not len(h):
-        return 0, [0] * SAMPLES
-    counts, best, value = np.zeros(64, np.int64), None, np.zeros(len(_ODD), np.uint64)
-    for at in range(0, len(h), 4096):
-        part = h[at : at + 4096]
-        counts += _bits(part).sum(axis=0, dtype=np.int64)
-        x = part[:, None] * _ODD[None, :]
-        i = x.argmin(axis=0)
-        low = np.take_along_axis(x, i[None, :], 0)[0]
-        less = np.ones(len(_ODD), bool) if best is None else low < best
-        best = low if best is None else np.minimum(best, low)
-        value = np.where(less, part[i], value)
-    pack = lambda on: np.packbits(on.astype(np.uint8), axis=-1, bitorder="little").view(np.int64)
-    samples = _bits(value.reshape(SAMPLES, SAMPLE_SHINGLES)).sum(axis=1, dtype=np.int64)
-    return int(pack(2 * counts > len(h))[0]), pack(2 * samples > SAMPLE_SHINGLES)[:, 0].tolist()
-
-
-def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """k, th, fp, keys of rows (k, th, t)."""
+def _slices(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
 
-    def run(batches):
-        for b in batches:
-            out = [sketch(shingle_hashes(t or b"", words)) for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("th"), pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["k", "th", "fp", "keys"])
 
-    return map_arrow(rows, run, "k long, th long, fp long, keys array<long>")
+def _least(n, similarity: float):
+    """Shingles that a set of n shares with any set as similar as that."""
+    return np.ceil(similarity * n - 1e-9)
+
 
+def _sketches(raw: DataFrame, words: int) -> DataFrame:
+    """A row for each of raw (k, th, t): k, th, fp, d (digest of the set of
+    shingles) and n (its size); and rows tok, c: shingles that many texts of a
+    batch have."""
+    names, kinds = ["k", "th", "fp", "d", "n", "tok", "c"], (pa.int64(),) * 7
 
-def similar_candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of text hashes th whose texts may be similar: nodes: th, fp,
-    keys. Fingerprints within MAX_BITS by the grid join, and equal sample
-    fingerprints; groups of more than PAIRED_CELL texts are held against their
-    first and last text only, so pairs stay linear in the texts."""
-    reps = settle(nodes.groupBy("fp").agg(F.min("th").alias("c")), "similar-fps")
+    def run(batches):
+        for batch in batches:
+            sets = []
+            for b in _slices([batch]):
+                out = []
+                for t in b.column("t").to_pylist():
+                    h = shingle_hashes(t or b"", words)
+                    s = np.unique(h)
+                    sets.append(s)
+                    out.append((sketch(h), xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), len(s)))
+                own = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("th"), *own, *[pa.nulls(len(out), pa.int64())] * 2], names=names)
+            h, c = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
+            most = np.flatnonzero(c >= FREQUENT_TEXTS)
+            most = most[np.argsort(-c[most], kind="stable")[:FREQUENT_BATCH]]
+            if len(most):
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(most), t) for t in kinds[:5]], pa.array(h[most].view(np.int64)), pa.array(c[most].astype(np.int64))], names=names)
+
+    return map_arrow(raw, run, "k long, th long, fp long, d long, n long, tok long, c long")
+
+
+def _prefixes(raw: DataFrame, frequent: list[int], words: int, similarity: float) -> DataFrame:
+    """d, n, p and the p first shingles of each set, in an order of all shingles:
+    by hash, frequent ones (least first) after the others."""
+    f = np.array(frequent, np.int64).view(np.uint64)
+    by = np.argsort(f)
+    held = raw.sparkSession.sparkContext.broadcast((f[by], by + 1))
+
+    def run(batches):
+        tokens, ranks = held.value
+        for b in _slices(batches):
+            ds, ns, first = [], [], []
+            for t in b.column("t").to_pylist():
+                s = np.unique(shingle_hashes(t or b"", words))
+                ds.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
+                ns.append(len(s))
+                p = len(s) - int(_least(len(s), similarity)) + 1 if len(s) else 0
+                if len(tokens) and len(s):
+                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                    rank = np.where(tokens[at] == s, ranks[at], 0)
+                    if rank.any():
+                        s = s[np.argsort(rank, kind="stable")]
+                first.append(s[:p].view(np.int64))
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in first]))).astype(np.int32)
+            own = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(ns, pa.int64()), own], names=["d", "n", "first"])
+
+    return map_arrow(raw.select("t"), run, "d long, n long, first array<long>")
+
+
+def _reach(n: str, m: str, p: str, q: str, similarity: float) -> Column:
+    """Shingles that prefixes of p and q have in common, if sets of n and m are
+    similar: what lies behind them is too little for the rest."""
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col(n) + F.col(m)) - 1e-9)
+    return need - F.greatest(F.col(n) - F.col(p), F.col(m) - F.col(q))
+
+
+def _fits(n: str, m: str, similarity: float) -> Column:
+    """Whether sets of n and m can be similar at all."""
+    return F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-9
+
+
+def _alike(index: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of rows of index that have a shingle and fitting sizes."""
+    sides = [index.select("h", *[F.col(c).alias(c + x) for c in index.columns if c != "h"]) for x in "ab"]
+    return sides[0].join(sides[1], "h").where((F.col("da") < F.col("db")) & _fits("na", "nb", similarity))
+
+
+def prefix_index(prefixes: DataFrame) -> DataFrame:
+    """d, n, p, hot, h, c: the shingles h that c > 1 sets have in their
+    prefixes; hot: how many of a set's are in more than PAIRED_CELL."""
+    one = settle(prefixes.dropDuplicates(["d"]).withColumn("p", F.size("first").cast("long")), "similar-first")
+    rows = one.select("d", F.explode("first").alias("h"))
+    counts = settle(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "similar-counts")
+    held = settle(rows.join(counts, "h"), "similar-held")
+    hot = held.where(F.col("c") > PAIRED_CELL).groupBy("d").agg(F.count("*").alias("hot"))
+    sizes = one.select("d", "n", "p").join(hot, "d", "left").select("d", "n", "p", F.coalesce("hot", F.lit(0)).alias("hot"))
+    return settle(held.join(sizes, "d"), "similar-index")
+
+
+def similar_candidates(nodes: DataFrame, index: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of sets d that may be similar: nodes: d, n, fp. Fingerprints
+    within MAX_BITS by the grid join; sets with enough shingles of their
+    prefixes in common, one of them at least in PAIRED_CELL prefixes or fewer;
+    and the sets of a more frequent shingle with its first and last. What this
+    leaves of the frequent ones is for across_candidates."""
+    reps = settle(nodes.groupBy("fp").agg(F.min(F.struct("d", "n")).alias("c")).select("fp", "c.d", "c.n"), "similar-fps")
     dealt = reps.select("fp").repartition(max(1, math.ceil(reps.count() / TASK_FINGERPRINTS)))
-    ends = [reps.select(F.col("fp").alias(x), F.col("c").alias(f"c{x}")) for x in "ab"]
-    pairs = links(dealt).join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    pairs = pairs.unionByName(nodes.join(reps, "fp").select(F.col("th").alias("a"), F.col("c").alias("b")))
-    samples = nodes.select("th", F.posexplode("keys").alias("pos", "key"))
-    groups = samples.groupBy("pos", "key").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.count("*").alias("n")).where("n > 1")
-    held = settle(samples.join(settle(groups, "similar-groups"), ["pos", "key"]), "similar-held")
-    few = held.where(F.col("n") <= PAIRED_CELL)
-    pairs = pairs.unionByName(few.select("pos", "key", F.col("th").alias("a")).join(few.select("pos", "key", F.col("th").alias("b")), ["pos", "key"]).select("a", "b"))
-    pairs = pairs.unionByName(held.where(F.col("n") > PAIRED_CELL).select(F.col("th").alias("a"), F.explode(F.array("lo", "hi")).alias("b")))
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = [reps.select(F.col("fp").alias(x), F.col("d").alias(f"d{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
+    pairs = links(dealt).join(ends[0], "a").join(ends[1], "b").select("da", "na", "db", "nb")
+    pairs = pairs.unionByName(nodes.select("fp", F.col("d").alias("da"), F.col("n").alias("na")).join(ends[1].withColumnRenamed("b", "fp"), "fp").select("da", "na", "db", "nb"))
+    pairs = pairs.where(_fits("na", "nb", similarity)).select("da", "db")
+    few = _alike(index.where(F.col("c") <= PAIRED_CELL).drop("c"), similarity)
+    few = few.groupBy(*[c + x for c in ("d", "n", "p", "hot") for x in "ab"]).agg(F.count("*").alias("both"))
+    few = few.where(F.col("both") + F.least("hota", "hotb") >= _reach("na", "nb", "pa", "pb", similarity))
+    many = index.where(F.col("c") > PAIRED_CELL).select("h", "d", "n", "p")
+    ends = F.array(F.min(F.struct("d", "n", "p")), F.max(F.struct("d", "n", "p")))
+    stars = many.groupBy("h").agg(ends.alias("ends")).select("h", F.explode(F.array_distinct("ends")).alias("e"))
+    stars = stars.select("h", *[F.col(f"e.{c}").alias(f"{c}b") for c in ("d", "n", "p")])
+    star = many.select("h", *[F.col(c).alias(f"{c}a") for c in ("d", "n", "p")]).join(stars, "h").where((F.col("da") != F.col("db")) & _fits("na", "nb", similarity))
+    star = star.groupBy(*[c + x for c in ("d", "n", "p") for x in "ab"]).agg(F.count("*").alias("both")).where(F.col("both") >= _reach("na", "nb", "pa", "pb", similarity))
+    pairs = pairs.unionByName(few.select("da", "db")).unionByName(star.select("da", "db"))
+    return pairs.where("da <> db").select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).distinct()
+
+
+def across_candidates(index: DataFrame, comp: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of sets that have shingles of more than PAIRED_CELL prefixes
+    in common, enough of them to be similar, and are not in one component yet:
+    comp: node, root. Shingles of one component only are left out."""
+    many = index.where(F.col("c") > PAIRED_CELL).join(comp, F.col("d") == F.col("node"), "left")
+    many = settle(many.select("h", "d", "n", "p", F.coalesce("root", "d").alias("root")), "similar-many")
+    mixed = many.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    pairs = _alike(many.join(mixed, "h"), similarity).where("roota <> rootb")
+    pairs = pairs.groupBy(*[c + x for c in ("d", "n", "p") for x in "ab"]).agg(F.count("*").alias("both"))
+    # With a rarer shingle in common too, a pair was a candidate before.
+    pairs = pairs.where(F.col("both") >= _reach("na", "nb", "pa", "pb", similarity))
+    return pairs.select(F.col("da").alias("a"), F.col("db").alias("b"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs whose sets of shingles have at least that Jaccard similarity.
-    texts: th, t of the texts in pairs. Shingles go as 32-bit hashes."""
+    texts: d, t of the texts in pairs."""
 
     def sets(batches):
-        for b in batches:
-            out = [np.unique((shingle_hashes(t or b"", words) >> np.uint64(32)).astype("<u4")).tobytes() for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(out, pa.binary())], names=["th", "s"])
+        for b in _slices(batches):
+            out = [np.unique(shingle_hashes(t or b"", words)).tobytes() for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(out, pa.binary())], names=["d", "s"])
 
     def compare(batches):
-        for b in batches:
+        for b in _slices(batches):
             keep = []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 n, m = len(p), len(q)
-                both = len(np.intersect1d(p, q, assume_unique=True)) if min(n, m) >= similarity * max(n, m) else 0
-                keep.append(n == m == 0 or both >= similarity * (n + m - both) > 0)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+                both = len(np.intersect1d(p, q, assume_unique=True)) if min(n, m) >= similarity * max(n, m) - 1e-9 else 0
+                keep.append(both >= similarity * (n + m - both) - 1e-9 > 0)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    s = settle(map_arrow(texts, sets, "th long, s binary").dropDuplicates(["th"]), "similar-sets")
-    sides = [s.select(F.col("th").alias(x), F.col("s").alias(f"s{x}")) for x in "ab"]
+    s = settle(map_arrow(texts, sets, "d long, s binary").dropDuplicates(["d"]), "similar-sets")
+    sides = [s.select(F.col("d").alias(x), F.col("s").alias(f"s{x}")) for x in "ab"]
     return map_arrow(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb"), compare, "a long, b long")
 
 
@@ -286,29 +379,44 @@ def keep_similar(df: DataFrame, text: str = "text", key: str = "doc_id", words:
     the smallest key, nulls last, of equal keys the one of the least text hash.
 
     Texts are linked if the Jaccard similarity of their word shingles reaches
-    similarity; a group is what links connect. Candidates come from SimHash:
-    of whole texts, joined within MAX_BITS through the popcount grid, and of
-    samples of their shingles, which reach what a few bits cannot; each is
-    checked on its shingles. Null texts are empty; texts without words are
-    alike. Rows that repeat a key but not the text stay apart; of rows that
-    repeat both one is kept. An empty table gives an empty result; columns of
-    any names return as they came.
+    similarity; a group is what links connect. Candidates come from SimHash of
+    whole texts, joined within MAX_BITS through the popcount grid, and from an
+    exact prefix join: two sets as similar as that share one of the first
+    n - ceil(similarity * n) + 1 shingles of each, in any order of all
+    shingles. Frequent shingles come last in it. Sets of a shingle that is in
+    many prefixes are first held against two of them, then all those against
+    each other that no links connect by then, so no link between groups is
+    lost. Each candidate is checked on its shingles. Null texts are empty;
+    texts without words are alike. Rows that repeat a key but not the text stay
+    apart; of rows that repeat both one is kept. An empty table gives an empty
+    result; columns of any names return as they came.
     """
     names = df.columns
     th = F.coalesce(F.xxhash64(F.lit(9), F.coalesce(F.col(text), F.lit(""))), F.lit(0).cast("long"))
     raw = df.select(F.col(key).cast("long").alias("k"), th.alias("th"), F.col(text).cast("binary").alias("t"))
-    rows = settle(_sketches(raw, words), "similar-rows")
-    nodes = settle(rows.groupBy("th", "fp", "keys").agg(F.min("k").alias("k")), "similar-nodes")
-    pairs = settle(similar_candidates(nodes), "similar-pairs")
-    some = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    some = settle(nodes.join(some, F.col("th") == F.col("h")).select("h", F.col("k").alias("of")), "similar-some")
-    texts = raw.join(some, (F.col("th") == F.col("h")) & F.col("k").eqNullSafe(F.col("of"))).select("th", "t")
-    comp = components(settle(_verified(pairs, texts, words, similarity), "similar-links"), "a", "b")
-    named = nodes.join(comp, F.col("th") == F.col("node"), "left").select("th", "k", F.coalesce("root", "th").alias("root"))
+    seen = settle(_sketches(raw, words), "similar-rows")
+    rows = seen.where("d is not null").select("k", "th", "fp", "d", "n")
+    frequent = seen.where("d is null").groupBy("tok").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "tok").limit(FREQUENT)
+    frequent = [r["tok"] for r in frequent.collect()][::-1]
+    index = prefix_index(_prefixes(raw, frequent, words, similarity))
+    nodes = settle(rows.groupBy("d").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min(F.struct("th", "k")).alias("of")), "similar-nodes")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        some = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
+        some = settle(nodes.join(some, F.col("d") == F.col("x")).select("d", F.col("of.th").alias("h"), F.col("of.k").alias("of")), f"{name}-some")
+        texts = raw.join(some, (F.col("th") == F.col("h")) & F.col("k").eqNullSafe(F.col("of"))).select("d", "t")
+        return settle(_verified(pairs, texts, words, similarity), f"{name}-links")
+
+    found = verified(settle(similar_candidates(nodes, index, similarity), "similar-pairs"), "similar")
+    comp = components(found, "a", "b")
+    rest = settle(across_candidates(index, comp, similarity), "similar-across")
+    if not rest.isEmpty():
+        comp = components(found.unionByName(verified(rest, "similar-rest")), "a", "b")
+    named = rows.join(comp, F.col("d") == F.col("node"), "left").select("th", "k", F.coalesce("root", "d").alias("root"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "th")).alias("b"))
     n = rows.groupBy("th", "k").agg(F.count("*").alias("__n"))
     first = best.select(F.col("b.k").alias("__k"), F.col("b.th").alias("__h"))
-    first = settle(first.join(n, (F.col("__h") == F.col("th")) & F.col("__k").eqNullSafe(F.col("k"))).select("__k", "__h", "__n"), "similar-first")
+    first = settle(first.join(n, (F.col("__h") == F.col("th")) & F.col("__k").eqNullSafe(F.col("k"))).select("__k", "__h", "__n"), "similar-kept")
     kept = df.withColumn("__th", th).join(first, F.col(key).cast("long").eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__h")))
     several = kept.where("__n > 1").withColumn("__r", F.row_number().over(Window.partitionBy("__th", key).orderBy("__n"))).where("__r = 1")
     return kept.where("__n = 1").select(*names).unionByName(several.select(*names))

@@ -160,6 +160,26 @@ def test_keep_similar_equals_brute_force(spark):
     assert not simhash.keep_similar(df.limit(0)).collect()
 
 
+def test_similar_texts_that_share_a_common_block_are_all_found(spark, monkeypatch):
+    """Shingles in many texts, most pairs of which are just not similar."""
+    rng = random.Random(36)
+    words = lambda n: [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)]
+    block, rows = words(200), []
+    for i in range(40):
+        own = words(28)
+        for c in range(rng.choice([1, 2, 3])):
+            new = list(own)
+            if c:
+                new[rng.choice([0, 5, 14, 22])] = f"new{c}"
+            rows.append((10 * i + c, " ".join(block + new)))
+    want = brute_similar(rows)
+    assert 40 <= len(want) < len(rows)
+    df = docs(spark, rows)
+    assert sorted((r["doc_id"] for r in simhash.keep_similar(df).collect()), key=str) == want
+    monkeypatch.setattr(simhash, "FREQUENT_TEXTS", 10**9)  # in order of hashes alone
+    assert sorted((r["doc_id"] for r in simhash.keep_similar(df).collect()), key=str) == want
+
+
 def test_similar_texts_are_found_at_every_band(spark):
     """Share of pairs linked, by five-word similarity, and none below 0.8."""
     rng = random.Random(32)
