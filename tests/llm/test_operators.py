@@ -812,6 +812,19 @@ def test_fuzzy_passages_with_few_equal_runs_are_found(spark):
     assert sorted((r["doc_id"], r["ref_doc_id"]) for r in out) == [(2 * k + 1, 2 * k) for k in range(40)]
 
 
+def test_fuzzy_passages_with_one_equal_run_of_five_are_found(spark):
+    rng = random.Random(37)
+    vocab = [f"{a}{b}" for a in WORDS for b in WORDS]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows = []
+    for k in range(30):
+        p = text(44)
+        changed = [f"new{k}" if i in (4, 9, 15, 20, 25, 30, 35) else w for i, w in enumerate(p)]
+        rows += [(2 * k, text(40) + p[:40] + text(40)), (2 * k + 1, text(30) + changed[:40] + text(30))]
+    out = passages.repeated_passages(docs(spark, [(i, " ".join(t)) for i, t in rows])).collect()
+    assert {(r["doc_id"], r["ref_doc_id"]) for r in out} == {(2 * k + 1, 2 * k) for k in range(30)}
+
+
 def test_every_seed_meets_its_first_occurrence_and_the_one_before(spark):
     rng = random.Random(20)
     rows = sorted({(rng.randrange(50), rng.randrange(30), rng.choice([3, 3, 3, rng.randrange(40)])) for _ in range(900)})
