@@ -190,6 +190,10 @@ FREQUENT_BATCH = 16_384
 FREQUENT = 65_536
 #: Texts a Python worker takes out of an Arrow batch at once.
 SLICE = 512
+#: Bits of the map that keeps texts in place which no candidate needs (8 MiB at
+#: most). They tell how many texts are moved, not what is found.
+FILTER_BITS = 1 << 26
+FILTER_LEAST = 1 << 15
 
 
 def shingle_hashes(text: bytes, words: int = SIMILAR_WORDS) -> np.ndarray:
@@ -350,6 +354,23 @@ def across_candidates(index: DataFrame, comp: DataFrame, similarity: float = SIM
     return pairs.select(F.col("da").alias("a"), F.col("db").alias("b"))
 
 
+def perhaps_among(rows: DataFrame, hashed: str, wanted: DataFrame, by: str) -> DataFrame:
+    """The rows whose long column hashed is among wanted's column by (of hashes,
+    settled), and a few others: what follows moves these rows only. A bitmap of
+    FILTER_BITS hashes at most is broadcast, 64 bits of it a hash while it lasts."""
+    bits = min(FILTER_BITS, max(FILTER_LEAST, 64 << wanted.count().bit_length()))
+
+    def place(c: str) -> Column:
+        return F.pmod(F.col(c), F.lit(bits).cast("long"))
+
+    full = F.bitmap_construct_agg(F.bitmap_bit_position(place(by))).alias("__map")
+    maps = wanted.groupBy(F.bitmap_bucket_number(place(by)).alias("__bucket")).agg(full)
+    j = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(hashed)) == F.col("__bucket"))
+    at = F.bitmap_bit_position(place(hashed))
+    byte = F.conv(F.hex(F.substring("__map", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return j.where(F.getbit(byte, at.bitwiseAND(F.lit(7).cast("long")).cast("int")) == 1).select(*rows.columns)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs whose sets of shingles have at least that Jaccard similarity.
     texts: d, t of the texts in pairs."""
@@ -404,7 +425,7 @@ def keep_similar(df: DataFrame, text: str = "text", key: str = "doc_id", words:
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         some = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
         some = settle(nodes.join(some, F.col("d") == F.col("x")).select("d", F.col("of.th").alias("h"), F.col("of.k").alias("of")), f"{name}-some")
-        texts = raw.join(some, (F.col("th") == F.col("h")) & F.col("k").eqNullSafe(F.col("of"))).select("d", "t")
+        texts = perhaps_among(raw, "th", some, "h").join(some, (F.col("th") == F.col("h")) & F.col("k").eqNullSafe(F.col("of"))).select("d", "t")
         return settle(_verified(pairs, texts, words, similarity), f"{name}-links")
 
     found = verified(settle(similar_candidates(nodes, index, similarity), "similar-pairs"), "similar")

@@ -180,6 +180,34 @@ def test_similar_texts_that_share_a_common_block_are_all_found(spark, monkeypatc
     assert sorted((r["doc_id"] for r in simhash.keep_similar(df).collect()), key=str) == want
 
 
+def test_texts_that_no_candidate_needs_stay_in_place(spark):
+    rows = spark.range(200_000).select(F.col("id").alias("k"), F.xxhash64("id").alias("th"))
+    for n in (0, 1, 3_000):
+        some = rows.where(F.col("k") % 7 == 3).limit(n).select(F.col("k").alias("of"), F.col("th").alias("h")).cache()
+        left = simhash.perhaps_among(rows, "th", some, "h")
+        assert left.columns == ["k", "th"]
+        assert left.join(some, F.col("k") == F.col("of")).count() == n
+        assert left.count() <= n + 5_000
+    values = [0, 1, -1, 7, 8, 32767, 32768, 2**63 - 1, -(2**63)]  # the ends of bytes and buckets
+    some = spark.createDataFrame([(v,) for v in values], "h long").cache()
+    near = spark.createDataFrame([(v + d,) for v in values for d in (-1, 0, 1) if -(2**63) <= v + d < 2**63], "th long")
+    got = {r["th"] for r in simhash.perhaps_among(near, "th", some, "h").collect()}
+    places = {v % simhash.FILTER_LEAST for v in values}
+    assert got == {r["th"] for r in near.collect() if r["th"] % simhash.FILTER_LEAST in places}
+    # keep_similar asks it before it joins texts
+    moved = []
+    held, simhash.perhaps_among = simhash.perhaps_among, lambda *a: moved.append(a) or held(*a)
+    try:
+        text = " ".join(f"w{i}" for i in range(60))
+        texts = [(1, text), (2, text + " end"), *((i, " ".join(f"x{i}y{j}" for j in range(60))) for i in range(3, 50))]
+        kept = simhash.keep_similar(docs(spark, texts)).collect()
+    finally:
+        simhash.perhaps_among = held
+    assert sorted(r["doc_id"] for r in kept) == [1, *range(3, 50)]
+    rows, hashed, some, by = moved[0]
+    assert rows.count() == 49 and held(rows, hashed, some, by).count() < 10
+
+
 def test_similar_texts_are_found_at_every_band(spark):
     """Share of pairs linked, by five-word similarity, and none below 0.8."""
     rng = random.Random(32)
