@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -806,6 +807,53 @@ def test_chains_equal_quadratic_dynamic_program():
         assert all(pos[a] < pos[b] and ref[a] < ref[b] for a, b in zip(c, c[1:]))
 
 
+def test_seeds_come_in_small_batches(monkeypatch):
+    runs = []
+    monkeypatch.setattr(passages, "map_arrow", lambda df, run, schema: runs.append(run))
+    monkeypatch.setattr(passages, "SEED_ROWS", 1000)
+    passages._seed_rows(None)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefgh", k=n)).encode() for n in (*[50] * 300, 0, 4, 5, 3000, 10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    out = list(runs[0](iter([batch, batch.slice(0, 0), batch])))
+    assert all(b.num_rows <= 1000 or len(set(b.column("doc_id").to_pylist())) == 1 for b in out)
+    got = sorted((r["doc_id"], r["pos"], r["h"]) for b in out for r in b.to_pylist())
+    want = sorted((i, int(x), int(y)) for i, t in enumerate(texts) for x, y in zip(*passages.seeds(passages.word_hashes(t)), strict=True))
+    assert got == sorted(want * 2)
+
+
+def test_chains_of_many_pairs_equal_those_of_each(monkeypatch):
+    runs = []
+    monkeypatch.setattr(passages, "map_arrow", lambda df, run, schema: runs.append(run))
+    rng = np.random.default_rng(4)
+    pairs = []
+    for g in range(400):
+        n = int(rng.integers(1, 9))
+        pos = np.cumsum(rng.choice([1, 2, 5, 6, 40, 60, 61], n))
+        ref = pos + (int(rng.integers(0, 90)) if g % 3 else rng.integers(0, 3, n) * 7)
+        pairs.append((g, 1000 + g, [{"pos": int(a), "rpos": int(b)} for a, b in rng.permutation(np.stack([pos, ref], 1))]))
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("rpos", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], t) for i, t in enumerate((pa.int64(), pa.int64(), kind))], names=["doc_id", "ref_id", "hits"])
+    for least in (1, 3):
+        passages._chain_rows(None, least)
+        got = sorted(tuple(map(str, r.values())) for b in runs[-1](iter([batch.slice(7), batch.slice(0, 7), batch.slice(0, 0)])) for r in b.to_pylist())
+        again = sorted(tuple(map(str, r.values())) for b in runs[-1](iter([batch.take(pa.array(range(399, -1, -1)))])) for r in b.to_pylist())
+        want = []
+        for doc, ref, hits in pairs:
+            p, q = (np.array(x) for x in zip(*sorted((h["pos"], h["rpos"]) for h in hits), strict=True))
+            found = passages.chains(p, q)
+            boxes = []
+            for c in found:
+                x, y = p[c], q[c]
+                if len(c) < least or (len(c) == 1 and any(b[0] <= x[0] <= b[1] and b[2] <= y[0] <= b[3] for b in boxes)):
+                    continue
+                boxes.append((x[0], x[-1], y[0], y[-1]))
+                same = [b - a <= passages.K and b - a == d - c_ for a, b, c_, d in zip(x, x[1:], y, y[1:], strict=False)]
+                stay = [i for i in range(len(x)) if not (i and i < len(x) - 1 and same[i - 1] and same[i])]
+                want.append((str(doc), str(ref), str(x[stay].tolist()), str(y[stay].tolist())))
+        assert got == again == sorted(want)
+
+
 def test_planted_passages_are_found_and_clean_documents_left(spark):
     rng = random.Random(15)
     vocab = [f"{a}{b}" for a in WORDS for b in WORDS]
