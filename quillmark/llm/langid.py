@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import give_back, map_arrow
 
 ORDER = 4
 BITS = 15
@@ -263,7 +263,10 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     texts: dict[str, list[str]] = {}
     for r in sorted(chosen.select(lang, key, text).collect(), key=lambda r: (r[0], str(r[1]), r[2])):
         texts.setdefault(r[0], []).append(r[2])
-    return train(texts)
+    model = train(texts)
+    texts.clear()
+    give_back()  # the driver goes on for long after this
+    return model
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import map_arrow, settle, ship
+from .common import map_arrow, remembered, settle, ship
 
 MAX_TOKENS = 4096
 MAX_DOCUMENTS = 4096
@@ -39,6 +39,7 @@ GROUP_PIECES = 10_000
 REMEMBERED_WORDS = 600_000
 REMEMBERED_CORES = 600_000
 _HELD: dict[str, tuple] = {}
+remembered(_HELD.clear)
 
 
 def default_tokenizer() -> str:

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillmark.llm import components, fingerprint, langid, lines, mixing, packing, passages, pii, simhash, topk, warc
+from quillmark.llm import common, components, fingerprint, langid, lines, mixing, packing, passages, pii, simhash, topk, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in ("ba", "ko", "ri", "lu", "te", "so") for b in ("n", "ma", "ru", "x", "pi", "do", "vel")]
@@ -990,3 +990,30 @@ def test_edit_distance_matches_plain_table():
                 new.append(min(d[j + 1] + 1, new[j] + 1, d[j] + (x != y)))
             d = new
         assert passages._edits(a, b) == d[-1]
+
+
+def test_workers_forget_the_words_of_other_operators(spark):
+    class Held:
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words to remember"])], names=["doc_id", "text"])
+
+    def tasks(module):
+        def run(batches):
+            for b in batches:
+                passages.word_hashes(b.column("text")[0].as_py().encode())
+                yield b
+
+        run.__module__ = module
+        return common.map_arrow(Held(), run, None)
+
+    own, other = tasks("quillmark.llm.passages"), tasks("quillmark.llm.langid")
+    assert list(own(iter([batch]))) == [batch] and len(passages._words) >= 4
+    list(own(iter([])))
+    assert len(passages._words) >= 4
+    packing._HELD["x"] = (1,)
+    list(other(iter([])))
+    assert not passages._words and not packing._HELD
