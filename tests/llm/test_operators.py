@@ -1017,3 +1017,54 @@ def test_workers_forget_the_words_of_other_operators(spark):
     packing._HELD["x"] = (1,)
     list(other(iter([])))
     assert not passages._words and not packing._HELD
+
+
+def test_seeds_that_occur_once_are_not_sorted(monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK_SEEDS", 700)
+    rng = random.Random(41)
+    ids = [0, -5, 1 << 50, 7, 300, 70_000, *range(1000, 1060)]
+    texts = [" ".join(rng.choices("abcdefghijkl", k=n)).encode() for n in (200, 3, 0, 5, 70_000, 200, *[60] * 60)]
+    texts[9] = texts[8]  # long seeds too
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    made = pa.Table.from_batches(passages._blocks(iter([batch, batch.slice(0, 0)])))
+    assert {0, 1, 2} == set(made.column("kind").to_pylist())
+    got = pa.Table.from_batches(passages._repeated(iter(made.sort_by("cell").to_batches())))
+    every = [(int(h), int(p), i) for i, t in zip(ids, texts, strict=True) for p, h in zip(*passages.seeds(passages.word_hashes(t)), strict=True)]
+    count = Counter(h for h, _, _ in every)
+    assert sorted(zip(*(got.column(c).to_pylist() for c in ("h", "pos", "doc_id")), strict=True)) == sorted(r for r in every if count[r[0]] > 1)
+    assert 0 < got.num_rows < len(every)
+    # However often a hash occurs, its cell has it once from each block of seeds.
+    same = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([b"a b c d e"] * 400, pa.binary())], names=["doc_id", "text"])
+    held = [r for b in passages._blocks(iter([same])) for r in b.to_pylist() if r["kind"] != passages.REPEATED]
+    assert [len(r["hs"]) for r in held] == [5]
+
+
+def test_signatures_reach_as_far_as_words():
+    rng = np.random.default_rng(42)
+    a = rng.integers(0, 1 << 32, 4000).astype("<u4")
+    b = np.where(rng.random(4000) < 0.75, a, rng.integers(0, 1 << 32, 4000)).astype("<u4")
+    i = rng.integers(200, 3800, 300)
+    n = rng.integers(0, 150, 300)
+    for step in (1, -1):
+        want = [passages._stretch(a[x : x + m * step : step], b[x : x + m * step : step]) for x, m in zip(i, n, strict=True)]
+        assert passages._reaches(a, i, b, i, n, step).tolist() == want
+        assert (passages._reaches(a & 3, i, b & 3, i, n, step) >= want).all()
+    assert passages._reaches(a, i[:2], b, i[:2], np.array([0, 0]), 1).tolist() == [0, 0]
+
+
+def test_chains_too_short_over_signatures_are_dropped(spark):
+    rng = random.Random(43)
+    vocab = [f"{a}{b}" for a in WORDS for b in WORDS]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    short, long = text(12), text(45)
+    texts = {1: text(70) + short + text(60) + long, 2: text(9) + short + text(100), 3: long + text(3)}
+    d = spark.createDataFrame([(i, " ".join(t).encode()) for i, t in texts.items()], "doc_id long, text binary")
+    rows = [(2, 1, [9, 16], [70, 77], 0, 128, 0, 192), (3, 1, [0, 40], [142, 182], 0, 128, 64, 320)]
+    placed = spark.createDataFrame(rows, "doc_id long, ref_id long, pos array<int>, rpos array<int>, da int, db int, ra int, rb int")
+    out = passages._promising(placed, passages._signatures(d), 40).collect()
+    assert [tuple(r) for r in out] == [rows[1]]
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with common.shuffles_removed(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before
