@@ -1068,3 +1068,86 @@ def test_chains_too_short_over_signatures_are_dropped(spark):
     with common.shuffles_removed(spark):
         assert spark.conf.get(name) == "true"
     assert spark.conf.get(name) == before
+
+
+def test_words_and_seeds_of_many_texts_equal_those_of_each():
+    rng = random.Random(51)
+    texts = [b"", b" ", b"  A  b ", b"\x0b\x0c\x1cq\x85r \xc2\xa0z", b"\xff\xfe A\r\nB\x00C", *[b"x" * n + b" " + b"\x00" * n for n in range(70)], b""]
+    texts += [" ".join(rng.choices("abcd", k=n)).encode() for n in (3, 4, 5, 23, 24, 25, 38, 39, 40, 41, 500, 0)]
+    w, sizes = passages.hashes_of_texts(texts)
+    each = [passages.word_hashes(t) for t in texts]
+    assert sizes.tolist() == [len(x) for x in each] and (w == np.concatenate(each)).all()
+    own, pos, h = passages._seeds_of_texts(w, sizes)
+    want = sorted((i, int(p), int(s)) for i, x in enumerate(each) for p, s in zip(*passages.seeds(x), strict=True))
+    assert sorted(zip(own.tolist(), pos.tolist(), h.tolist(), strict=True)) == want
+    assert not len(passages.hashes_of_texts([])[0]) and not len(passages._seeds_of_texts(*passages.hashes_of_texts([b"", b"a b"]))[2])
+
+
+def _brute_chains(pos, ref, w, max_gap):
+    order = sorted(range(len(pos)), key=lambda i: (pos[i], ref[i], i))
+    score, parent = {}, {}
+    for a, j in enumerate(order):
+        best, near = 0, (0, 0, -1)
+        for i in order[:a]:
+            dp, dr = pos[j] - pos[i], ref[j] - ref[i]
+            if dp > 0 and dr > 0:
+                g = score[i] - dp - dr
+                best = max(best, g)
+                if max(dp, dr) <= max_gap and (g > near[0] or (g == near[0] > 0 and abs(dp - dr) <= near[1])):
+                    near = g, abs(dp - dr), i
+        score[j], parent[j] = w + best, near[2]
+    used, out = set(), []
+    for j in sorted(order, key=lambda i: -score[i]):
+        chain = []
+        while j >= 0 and j not in used:
+            used.add(j)
+            chain.append((pos[j], ref[j]))
+            j = parent[j]
+        if chain:
+            out.append(chain[::-1])
+    return out
+
+
+def test_chains_by_runs_equal_those_match_by_match(monkeypatch):
+    monkeypatch.setattr(passages, "PAIRS", 50)
+    rng = np.random.default_rng(52)
+    for turn in range(400):
+        n = int(rng.integers(1, 60))
+        near = np.cumsum(rng.choice([1, 1, 1, 1, 5, 6, 30, 55, 61], n))
+        pos, ref = [
+            (rng.integers(0, 80, n), rng.integers(0, 80, n)),
+            (near, np.abs(near + np.cumsum(rng.choice([0] * 9 + [1, -3], n)))),
+            (near // 3, np.where(rng.random(n) < 0.3, 7, near // 3 + 3)),
+            (np.minimum(near, np.arange(n)), np.minimum(near, rng.permutation(n))),
+        ][turn % 4]
+        for max_gap in (3, 60):
+            got = [list(zip(pos[c].tolist(), ref[c].tolist(), strict=True)) for c in passages.chains(pos, ref, max_gap=max_gap)]
+            assert sorted(got) == sorted(_brute_chains(pos.tolist(), ref.tolist(), 100, max_gap))
+    # Of equal gaps, the chain keeps to its diagonal: (18, 18), not (19, 18).
+    pos, ref = np.array([16, 17, 18, 19, 20, 21]), np.array([16, 17, 18, 18, 20, 21])
+    assert [18, 18] in np.stack([pos, ref], 1)[passages.chains(pos, ref)[0]].tolist()
+
+
+def test_straight_chains_are_aligned_like_others(monkeypatch):
+    runs = []
+    monkeypatch.setattr(passages, "map_arrow", lambda df, run, schema: runs.append(run))
+    monkeypatch.setattr(passages, "ALIGNED", 7)
+    passages._aligned(None, 12, 0.8)
+    rng = np.random.default_rng(53)
+    rows, want = [], []
+    for i in range(200):
+        a = rng.integers(0, 1 << 32, 80).astype("<u4")
+        b = np.where(rng.random(80) < rng.choice([0.7, 0.9, 1]), a, 7).astype("<u4")
+        cut = int(rng.integers(0, 9))
+        b = b[cut:]
+        x = np.sort(rng.choice(np.arange(10, 70), int(rng.integers(1, 4)), replace=False))
+        y = x - cut + (np.arange(len(x)) if i % 5 == 0 else 0)
+        rows.append((i, 1000 + i, (x + 64).tolist(), (y + 128).tolist(), 64, 128, a.tobytes(), b.tobytes()))
+        a0, a1, b0, b1, s = passages.align(a, b, list(zip(x.tolist(), y.tolist(), strict=True)))
+        if min(a1 - a0, b1 - b0) >= 12 and s >= 0.8:
+            want.append((i, 64 + a0, 64 + a1, 1000 + i, 128 + b0, 128 + b1, round(s, 6)))
+    names = ["doc_id", "ref_id", "pos", "rpos", "da", "ra", "dw", "rw"]
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+    got = [tuple(r.values()) for b in runs[0](iter([batch.slice(50), batch.slice(0, 50), batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert sorted(got) == sorted(want) and 20 < len(want) < 200
