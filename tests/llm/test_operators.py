@@ -1151,3 +1151,45 @@ def test_straight_chains_are_aligned_like_others(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
     got = [tuple(r.values()) for b in runs[0](iter([batch.slice(50), batch.slice(0, 50), batch.slice(0, 0)])) for r in b.to_pylist()]
     assert sorted(got) == sorted(want) and 20 < len(want) < 200
+
+
+def test_seeds_are_linked_in_their_cells(monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK_SEEDS", 700)
+    monkeypatch.setattr(passages, "SEED_ROWS", 300)
+    rng = random.Random(54)
+    ids = [*range(1060, 1000, -1), 0, -5, 1 << 50, 7]
+    texts = [" ".join(rng.choices("abcdefghijkl", k=n)).encode() for n in (*[60] * 60, 200, 5, 3000, 200)]
+    texts[9] = texts[40] = texts[62]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    made = pa.Table.from_batches(passages._blocks(iter([batch])))
+    got = pa.Table.from_batches(passages._repeated(iter(made.sort_by("cell").to_batches()), link=True)).to_pylist()
+    places = {}
+    for i, t in zip(ids, texts, strict=True):
+        for p, h in zip(*(x.tolist() for x in passages.seeds(passages.word_hashes(t))), strict=True):
+            places.setdefault(h, []).append((i, p))
+    want = sorted((*x, *min(v)) for h, v in places.items() for x in v if h % 2 == 0 and x[0] != min(v)[0])
+    rest, linked = {}, [(r["doc_id"], r["pos"], r["ref_id"], r["rpos"]) for r in got if r["ref_id"] is not None]
+    for r in got:
+        if r["ref_id"] is None:
+            rest.setdefault(r["h"], []).append((r["doc_id"], r["pos"]))
+    later = [(*x, *min(v)) for h, v in rest.items() for x in v if h % 2 == 0 and x[0] != min(v)[0]]
+    assert sorted(linked + later) == want and linked and later
+    assert {h: sorted(v) for h, v in rest.items() if h % 2} == {h: sorted(v) for h, v in places.items() if h % 2 and len(v) > 1}
+
+
+def test_passages_inside_others_of_their_pair_go(spark):
+    rng = random.Random(55)
+    names = ["doc_id", "start_word", "end_word", "ref_doc_id", "ref_start_word", "ref_end_word", "similarity"]
+    rows = []
+    for _ in range(600):
+        a, b, n, m = (rng.randrange(12) for _ in range(4))
+        rows.append((rng.randrange(9), a, a + n, rng.randrange(3), b, b + m, rng.choice([0.8, 0.9, 1.0])))
+    out = passages._widest(spark.createDataFrame(rows, "doc_id long, start_word long, end_word long, ref_doc_id long, ref_start_word long, ref_end_word long, similarity double"))
+
+    def inside(x, y):
+        size = [r[2] - r[1] + r[5] - r[4] for r in (x, y)]
+        held = x[0] == y[0] and x[3] == y[3] and y[1] <= x[1] and y[2] >= x[2] and y[4] <= x[4] and y[5] >= x[5]
+        return held and (size[1] > size[0] or y[6] > x[6])
+
+    assert out.columns == names
+    assert sorted(map(tuple, out.collect())) == sorted(x for x in set(rows) if not any(inside(x, y) for y in rows))
