@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, settle
+from .common import map_arrow, settle, unsent
 from .components import components
 from .passages import word_hashes
 
@@ -116,12 +116,12 @@ def links(fps: DataFrame) -> DataFrame:
     counted = fps.select("fp", segment_counts(F.col("fp")).alias("v"))
     cells = counted.select("fp", F.explode(_grid_points(F.col("v"))).alias("cell"))
     shared = cells.groupBy("cell").count().where("count > 1")
-    held = settle(cells.join(shared, "cell").withColumn("v", segment_counts(F.col("fp"))), "simhash-cells")
+    held = settle(unsent(cells).join(shared, "cell").withColumn("v", segment_counts(F.col("fp"))), "simhash-cells")
     few = held.where(F.col("count") <= PAIRED_CELL)
     left = few.select("cell", F.col("fp").alias("a"), F.col("v").alias("va"))
     right = few.select("cell", F.col("fp").alias("b"), F.col("v").alias("vb"))
     near = (
-        left.join(right, "cell")
+        unsent(left).join(right, "cell")
         .where("a < b")
         .where(manhattan(F.col("va"), F.col("vb")) <= MAX_BITS)
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
@@ -131,7 +131,7 @@ def links(fps: DataFrame) -> DataFrame:
     ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(_long(1 << i)) for i in range(64)])
     values = many.select("fp", F.explode(ball).alias("value"))
     least = values.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = values.join(least, "value").where("a <> fp").select("a", F.col("fp").alias("b"))
+    star = unsent(values).join(least, "value").where("a <> fp").select("a", F.col("fp").alias("b"))
     return near.unionByName(star)
 
 
@@ -152,8 +152,8 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tu
     comp = components(links(dealt), "a", "b")
     named = settle(fps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-named")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = named.select("fp", "root").join(lows, "root")
-    return rows.join(ids, "fp")
+    ids = unsent(named.select("fp", "root")).join(lows, "root")
+    return unsent(rows).join(ids, "fp")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -173,7 +173,7 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     held = near_groups(rows, "t", "k", ("th",)).groupBy("root", "k", "th").agg(F.count("*").alias("n"))
     best = held.groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "th", "n")).alias("b"))
     first = settle(best.select(F.col("b.k").alias("__k"), F.col("b.th").alias("__h"), F.col("b.n").alias("__n")), "simhash-first")
-    kept = df.withColumn("__th", th).join(first, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__h")))
+    kept = df.withColumn("__th", th).join(unsent(first), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__h")))
     several = kept.where("__n > 1").withColumn("__r", F.row_number().over(Window.partitionBy("__th", key).orderBy("__n"))).where("__r = 1")
     return kept.where("__n = 1").select(*names).unionByName(several.select(*names))
 
@@ -300,7 +300,7 @@ def _fits(n: str, m: str, similarity: float) -> Column:
 def _alike(index: DataFrame, similarity: float) -> DataFrame:
     """Pairs of rows of index that have a shingle and fitting sizes."""
     sides = [index.select("h", *[F.col(c).alias(c + x) for c in index.columns if c != "h"]) for x in "ab"]
-    return sides[0].join(sides[1], "h").where((F.col("da") < F.col("db")) & _fits("na", "nb", similarity))
+    return unsent(sides[0]).join(sides[1], "h").where((F.col("da") < F.col("db")) & _fits("na", "nb", similarity))
 
 
 def prefix_index(prefixes: DataFrame) -> DataFrame:
@@ -309,10 +309,10 @@ def prefix_index(prefixes: DataFrame) -> DataFrame:
     one = settle(prefixes.dropDuplicates(["d"]).withColumn("p", F.size("first").cast("long")), "similar-first")
     rows = one.select("d", F.explode("first").alias("h"))
     counts = settle(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "similar-counts")
-    held = settle(rows.join(counts, "h"), "similar-held")
+    held = settle(unsent(rows).join(counts, "h"), "similar-held")
     hot = held.where(F.col("c") > PAIRED_CELL).groupBy("d").agg(F.count("*").alias("hot"))
     sizes = one.select("d", "n", "p").join(hot, "d", "left").select("d", "n", "p", F.coalesce("hot", F.lit(0)).alias("hot"))
-    return settle(held.join(sizes, "d"), "similar-index")
+    return settle(unsent(held).join(sizes, "d"), "similar-index")
 
 
 def similar_candidates(nodes: DataFrame, index: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -438,6 +438,6 @@ def keep_similar(df: DataFrame, text: str = "text", key: str = "doc_id", words:
     n = rows.groupBy("th", "k").agg(F.count("*").alias("__n"))
     first = best.select(F.col("b.k").alias("__k"), F.col("b.th").alias("__h"))
     first = settle(first.join(n, (F.col("__h") == F.col("th")) & F.col("__k").eqNullSafe(F.col("k"))).select("__k", "__h", "__n"), "similar-kept")
-    kept = df.withColumn("__th", th).join(first, F.col(key).cast("long").eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__h")))
+    kept = df.withColumn("__th", th).join(unsent(first), F.col(key).cast("long").eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__h")))
     several = kept.where("__n > 1").withColumn("__r", F.row_number().over(Window.partitionBy("__th", key).orderBy("__n"))).where("__r = 1")
     return kept.where("__n = 1").select(*names).unionByName(several.select(*names))

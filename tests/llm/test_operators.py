@@ -82,6 +82,31 @@ def test_simhash_equals_brute_force(spark):
     assert sorted(((r[0], r[1], r[2]) for r in got), key=str) == want
 
 
+def test_exploded_fingerprints_are_not_broadcast(spark, tmp_path):
+    spark.range(3000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    found = simhash.links(spark.read.parquet(str(tmp_path / "fps")))
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_settled_plans_broadcast_little(spark, tmp_path):
+    """Spark takes a table for as large as its files: here 0.4 MB, with 10
+    million equal bytes and more in them."""
+    wide = spark.range(100_000).select("id", F.repeat(F.lit("x"), 100).alias("same"))
+    wide.write.parquet(str(tmp_path / "wide"))
+    left, right = (spark.read.parquet(str(tmp_path / "wide")).withColumnRenamed("same", c) for c in "ab")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n, None) for n in names]
+    assert "BroadcastHashJoin" in left.join(right, "id")._jdf.queryExecution().executedPlan().toString()
+    assert common.settle(left.join(right, "id"), "joined").count() == 100_000
+    assert [spark.conf.get(n, None) for n in names] == before
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = spark._jsparkSession.sharedState().statusStore().executionsList()
+    said = [plans.apply(i).physicalPlanDescription() for i in range(plans.size())]
+    said = [x for x in said if "quillmark-joined" in x and "Join" in x]
+    assert said and not any("BroadcastHashJoin" in x for x in said)
+
+
 def test_simhash_links_of_dense_cells(spark):
     rng = random.Random(2)
     values = set()
