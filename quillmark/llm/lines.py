@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, unsent
 
 DEPTH = 3
 SHORT_DEPTH = 2
@@ -92,7 +92,7 @@ def templates(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS) -> Da
     constant = flat.groupBy("leaf", "p", "tok").agg(F.sum("docs").alias("d"), F.first("of").alias("of")).where(F.col("d") >= min_docs)
     constant = constant.select("leaf", "p", "tok", F.floor(F.log2(F.col("of") / F.col("d"))).cast("int").alias("level"))
     c = F.array_sort(F.collect_list(F.struct("p", "tok", "level")))
-    lk = flat.join(constant, ["leaf", "p", "tok"]).groupBy("lk").agg(F.first("leaf").alias("leaf"), F.first("docs").alias("docs"), F.first("n").alias("n"), F.first("at").alias("at"), c.alias("c"))
+    lk = unsent(flat).join(constant, ["leaf", "p", "tok"]).groupBy("lk").agg(F.first("leaf").alias("leaf"), F.first("docs").alias("docs"), F.first("n").alias("n"), F.first("at").alias("at"), c.alias("c"))
     lk = lk.where(_enough(F.col("n"), F.col("c"), F.lit(0))).withColumn("level", F.explode(F.array_distinct("c.level")))
     lk = lk.withColumn("c", F.filter("c", lambda x: x["level"] <= F.col("level"))).where(_enough(F.col("n"), F.col("c"), F.col("level")))
     lk = settle(lk.select("lk", "docs", "level", "at", F.xxhash64(F.lit(6), "leaf", "level", "c").alias("g")), "line-candidates")
@@ -126,7 +126,7 @@ def drops(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = True) ->
     # The place that stays comes with the kind of line, so that a common line
     # is never gathered by its template.
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("line_no") == F.col("first.line_no"))
-    marked = lines.join(templates(lines, docs, min_docs), "lk").where(~first if keep_first else F.lit(True))
+    marked = unsent(lines).join(templates(lines, docs, min_docs), "lk").where(~first if keep_first else F.lit(True))
     found = marked.groupBy(F.col("doc_id").alias("cd"), F.col("th").alias("ct")).agg(F.array_sort(F.collect_set("line_no")).alias("at"))
     before = F.concat(F.array(F.lit(-1)), F.slice("at", 1, F.size("at") - 1))
     gone = F.flatten(F.zip_with(before, F.col("at"), lambda a, b: F.concat(F.array_repeat(F.lit(False), b - a - 1), F.array(F.lit(True)))))
@@ -145,7 +145,7 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_docs
     hashed = df.select(*names, F.coalesce(F.xxhash64(F.col(text)), F.lit(0).cast("long")).alias("__line_hash"))
     docs = hashed.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col("__line_hash").alias("th"), F.col(text).alias("text"))
     gone = drops(docs, min_docs, keep_first).withColumnsRenamed({"cd": "__line_doc", "ct": "__line_text", "dropped": "__line_dropped", "gone": "__line_gone"})
-    j = hashed.join(gone, F.col(key).eqNullSafe(F.col("__line_doc")) & (F.col("__line_hash") == F.col("__line_text")), "left")
+    j = hashed.join(unsent(gone), F.col(key).eqNullSafe(F.col("__line_doc")) & (F.col("__line_hash") == F.col("__line_text")), "left")
     parts = F.split(F.col(text), "\n")
     left = F.filter(parts, lambda x, i: ~F.coalesce(F.get("__line_gone", i), F.lit(False)))
     new = F.when(F.col("__line_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle
+from .common import settle, unsent
 
 WEIGHTS = (3, 1, 2)
 MIX_SHARE = 1.5
@@ -100,7 +100,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     e = e.withColumn("words", F.col("size") * F.col("copies"))
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = e.withColumn("within", F.coalesce(F.sum("words").over(inside), F.lit(0)))
-    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket")))
+    placed = unsent(placed).join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = (F.floor("target") - whole * F.col("source_size")).cast("long")
     extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), rest - F.col("ahead") - F.col("before") - F.col("within")))
@@ -109,7 +109,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
         F.floor(extra / F.col("copies")).cast("long").alias("extra"),
     )
     same = (F.col("h") == F.col("e_h")) & F.col("source").eqNullSafe(F.col("e_source")) & F.col("doc_id").eqNullSafe(F.col("e_doc")) & (F.col("size") == F.col("e_size"))
-    return rows.join(share, same).select("doc_id", "h", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"), "whole", "extra")
+    return unsent(rows).join(share, same).select("doc_id", "h", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"), "whole", "extra")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -125,7 +125,7 @@ def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", k
     names = df.columns
     plan = mix(df, text, source, key, seed, **how).groupBy("h", "source").agg(F.max("whole").alias("__mix_whole"), F.max("extra").alias("__mix_extra"), F.max("size").alias("__mix_size"))
     plan = plan.withColumnsRenamed({"h": "__mix_h", "source": "__mix_source"})
-    joined = df.join(plan, (seeded(key, text, seed) == F.col("__mix_h")) & F.col(source).eqNullSafe(F.col("__mix_source")))
+    joined = df.join(unsent(plan), (seeded(key, text, seed) == F.col("__mix_h")) & F.col(source).eqNullSafe(F.col("__mix_source")))
     full = F.col("__mix_whole") + F.when((F.col("__mix_extra") > 0) & (F.col("__mix_extra") == F.col("__mix_size")), 1).otherwise(0)
     part = (F.col("__mix_extra") > 0) & (F.col("__mix_extra") < F.col("__mix_size"))
     times = F.array_repeat(F.lit(False), full.cast("int"))
