@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillmark import catalog
 from quillmark import schemas as S
 from quillmark.functions import text as T
 from quillmark.operators import analytics as A
@@ -63,6 +64,15 @@ def test_text_functions(spark):
     assert col(spark, T.exact_match(F.lit("It is Paris."), F.lit(" paris "))) is True
 
 
+def test_exact_match_of_letters_without_one_capital(spark, tmp_path):
+    assert one(spark, "Straße ﬁ ᾳ", T.upper_each) == "STRAẞE ﬁ ᾼ" and one(spark, "plain é", T.upper_each) == "PLAIN É"
+    assert one(spark, "ΟΔΟΣ İ", T.lower_each) == "οδοσ i"
+    rows = [(2, 0, "xxgroße Straße"), (2, 1, "xxΟΔΟΣ ΟΔΟΣΑ ΟΔ"), (2, 2, "xx"), (1, 3, "xxgroße"), (2, 4, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = catalog.queries()["ev01_exact_match"](spark, str(tmp_path)).collect()
+    assert {r["turn"]: r["answer_correct"] for r in found} == {0: True, 1: True, 2: False, 3: False, 4: None}
+
+
 def test_error_rates(spark):
     assert col(spark, T.char_error_rate(F.lit("kitten"), F.lit("sitting"))) == pytest.approx(3 / 7)
     for a, b, want in (("a b c", "a x c", 1 / 3), ("", "a b", 1.0), ("a b", "", 1.0), ("", "", 0.0), ("a c", "a b c", 1 / 3)):
