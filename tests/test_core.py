@@ -281,6 +281,23 @@ def test_dense_graph_cache_and_memory(spark):
 # Dedup
 
 
+def test_page_index_moves_no_postings(spark, monkeypatch):
+    """The same rows by counts where documents lie and by joins, with documents
+    of several chunks, ties, and question numbers of 32 bits."""
+    texts = [("a", "cats and dogs, cats"), ("a", "more DOGS"), ("b", "a cat"), ("c", "a cat"), ("d", "none"), ("e", None), ("f", "catcat " * 3000)]
+    chunks = spark.createDataFrame(texts, "doc_id string, content string")
+    q = spark.createDataFrame([(1, "cat dog cat"), (2, "a"), (3, " "), (4, "none zz")], "question_id int, text string")
+    monkeypatch.setattr(R, "PAGE_TOKENS", 4)
+    near = R.page_index(q, chunks, 2)
+    got = near.orderBy("question_id", "rank").collect()
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate explode(t" not in plan
+    monkeypatch.setattr(R, "PAGE_TERMS", 1)
+    assert R.page_index(q, chunks, 2).select(near.columns).orderBy("question_id", "rank").collect() == got
+    assert [(r["question_id"], r["rank"], r["chunk_id"]) for r in got] == [(1, 1, "a"), (1, 2, "b"), (2, 1, "b"), (2, 2, "c"), (4, 1, "d")]
+    assert R.page_index(q.where("question_id = 3"), chunks, 2).count() == 0
+
+
 def test_similar_pairs_and_greedy(spark):
     import random
 
