@@ -320,6 +320,21 @@ def test_similar_pairs_and_greedy(spark):
     assert {r["id"] for r in D.exact(docs(spark, "a", "b", "a")).collect()} == {"d0", "d1"}
 
 
+def test_equal_sets_are_compared_once(spark, monkeypatch):
+    """30 copies of a text: no pair of sets is looked at, all pairs return; by
+    source, those of no source with none, and by numbers of words."""
+    seen = {}
+    keep = D.written
+    monkeypatch.setattr(D, "written", lambda df, name: seen.setdefault(name, keep(df, name)))
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, long, "s" if i else None) for i in range(31)] + [(50, long + " w0 w1 w2 w3", "s"), (51, long + " more", "s"), (52, long, "other")]
+    got = D.near_documents(spark.createDataFrame(rows, "id long, content string, source_type string")).collect()
+    assert seen["similar-pairs"].count() == 1
+    ids = set(range(1, 31))
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in ids for b in ids | {51} if a < b} and len(got) == 465
+    assert {r["similarity"] for r in got} == {1.0, round(40 / 41, 6)}
+
+
 # Layout
 
 
